@@ -1,0 +1,143 @@
+"""Top-k candidates when both queries and index are large.
+
+Index vectors are grouped into cells by their nearest pivot. Angles obey the triangle
+inequality, so a query at angle q from a pivot is at least q - r away from everything in
+a cell of radius r. Each query first searches its own cell; its k-th best similarity
+there rules out all cells that cannot do better, and only the others are searched. The
+result is exact; the pivots only decide how much work is saved.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallymill.operators.nearest import best_of_tile, ranked, tiles
+from tallymill.session import materialize
+
+PIVOTS = 64
+BLOCK = 1024  # rows of one packed block
+SLACK = 1e-9
+
+
+def _choose_pivots(units: DataFrame, pivots: int) -> np.ndarray:
+    """A fixed number of index vectors, picked by the hash of their id."""
+    rows = units.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
+    return np.stack(rows["unit"].to_numpy())
+
+
+def _with_cell(units: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add the nearest pivot and the angle to it."""
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cosines = np.stack(batch["unit"].to_numpy()) @ pivots.T
+                cell = cosines.argmax(axis=1)
+                nearest = np.clip(cosines[np.arange(len(batch)), cell], -1.0, 1.0)
+                yield batch.assign(cell=cell, angle=np.arccos(nearest))
+
+    schema = T.StructType([*units.schema.fields]).add("cell", "long").add("angle", "double")
+    return units.mapInPandas(assign, schema)
+
+
+def _blocks(placed: DataFrame, rows: int) -> DataFrame:
+    """(cell, blocks): into how many blocks a cell is cut. One row per pivot."""
+    return placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(rows)).alias("blocks"))
+
+
+def _packed(placed: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """(cell, block, ids, vectors) with about ``BLOCK`` rows each.
+
+    A crowded cell is cut into more blocks, so no block grows with the data.
+    """
+    row = F.collect_list(F.struct(F.col(key), F.col("unit")))
+    return (
+        placed.join(F.broadcast(blocks), "cell")
+        .withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
+        .groupBy("cell", "block")
+        .agg(row.alias("rows"))
+        .select(
+            "cell",
+            "block",
+            F.col(f"rows.{key}").alias(f"{key}s"),
+            F.col("rows.unit").alias(f"{key}_units"),
+        )
+    )
+
+
+def _search(
+    searches: DataFrame,
+    index_blocks: DataFrame,
+    blocks: DataFrame,
+    k: int,
+    schema: T.StructType,
+) -> DataFrame:
+    """Candidates for searches(query_id, unit, cell): blocks meet blocks of their cell.
+
+    A block of queries goes to each index block of its cell, so the work of a crowded
+    cell is spread by (cell, block).
+    """
+    query_blocks = _packed(searches, "query_id", _blocks(searches, BLOCK)).drop("block")
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    visits = query_blocks.join(F.broadcast(blocks), "cell").withColumn("block", every_block)
+    pairs = visits.join(index_blocks, ["cell", "block"])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pair in batch.itertuples(index=False):
+                query_ids, wanted = np.asarray(pair.query_ids), np.stack(pair.query_id_units)
+                ids, units = np.asarray(pair.ids), np.stack(pair.id_units)
+                for some in tiles(len(query_ids)):
+                    for part in tiles(len(ids)):
+                        yield best_of_tile(
+                            query_ids[some], wanted[some], ids[part], units[part], k
+                        )
+
+    columns = ["query_ids", "query_id_units", "ids", "id_units"]
+    return pairs.select(*columns).mapInPandas(best, schema)
+
+
+def cell_candidates(
+    query_units: DataFrame,
+    units: DataFrame,
+    k: int,
+    schema: T.StructType,
+    pivots: int = PIVOTS,
+) -> DataFrame:
+    if units.isEmpty():
+        return units.sparkSession.createDataFrame([], schema)
+    centers = _choose_pivots(units, pivots)
+    placed = materialize(_with_cell(units, centers), "placed")
+    radius = np.full(len(centers), -np.inf)
+    for cell, widest in placed.groupBy("cell").agg(F.max("angle")).collect():  # one per pivot
+        radius[cell] = widest
+    blocks = _blocks(placed, BLOCK)
+    index_blocks = materialize(_packed(placed, "id", blocks), "index-blocks")
+
+    at_home = materialize(_with_cell(query_units, centers), "at-home")
+    home = materialize(_search(at_home, index_blocks, blocks, k, schema), "home")
+    worst_kept = ranked(home, k).filter(F.col("rank") == k)
+    to_beat = worst_kept.select("query_id", F.col("similarity").alias("to_beat"))
+
+    def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cosines = np.stack(batch["unit"].to_numpy()) @ centers.T
+                angles = np.arccos(np.clip(cosines, -1.0, 1.0))
+                closest = np.clip(angles - radius, 0.0, np.pi)
+                bar = batch["to_beat"].fillna(-1.0).to_numpy()[:, None]
+                useful = (np.cos(closest) >= bar - SLACK) & (radius >= 0)
+                useful[np.arange(len(batch)), batch["cell"].to_numpy()] = False
+                row, cell = np.nonzero(useful)
+                yield batch.iloc[row][["query_id", "unit"]].assign(cell=cell)
+
+    schema_of_visits = T.StructType([*query_units.schema.fields]).add("cell", "long")
+    visits = at_home.join(to_beat, "query_id", "left").mapInPandas(reachable, schema_of_visits)
+    away = _search(materialize(visits, "visits"), index_blocks, blocks, k, schema)
+    return home.unionByName(away)
