@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,8 @@ PHRASES = (
 ALL_TIME = "all"
 WINDOWS = (*PHRASES, ALL_TIME)
 
+Starts = dict[str, datetime.date | None]
+
 # First day of each window, given the newest date. Every window ends on that date.
 _FIRST_DAY: dict[str, Callable[[Column], Column]] = {
     "last month": lambda newest: F.add_months(newest, -1),
@@ -43,35 +46,62 @@ def window_of(query: Column) -> Column:
     return found.otherwise(ALL_TIME)
 
 
-def first_days(txns: DataFrame) -> dict[str, Column]:
-    """First day of every phrase window.
+def first_days(txns: DataFrame) -> Starts:
+    """First day of every phrase window; unknown for a table without dates.
 
-    Reads the newest date of the whole table, one value, so that windows are literals:
-    they reach the file scan and no later step has to look at the table for them.
+    Reads one value, the newest date of the whole table. Windows are literals from then
+    on: they reach the file scan and no later step has to look at the table for them.
     """
-    (newest,) = txns.agg(F.max("date")).first()
-    anchor = F.lit(newest).cast("date")
-    return {phrase: first_day(anchor) for phrase, first_day in _FIRST_DAY.items()}
+    newest = txns.agg(F.max("date").alias("newest"))
+    days = [day(F.col("newest")).alias(phrase) for phrase, day in _FIRST_DAY.items()]
+    return newest.select(*days).first().asDict()
+
+
+def _day(starts: Starts, phrase: str) -> Column:
+    return F.lit(starts[phrase]).cast("date")
 
 
-def in_window(date: Column, window: str, starts: dict[str, Column]) -> Column:
+def in_window(date: Column, window: str, starts: Starts) -> Column:
     """Whether a date lies in a named window; an unknown date lies only in "all"."""
     if window == ALL_TIME:
         return F.lit(True)
-    return date >= starts[window]
+    return date >= _day(starts, window)
 
 
-def start_of(window: Column, starts: dict[str, Column]) -> Column:
+def start_of(window: Column, starts: Starts) -> Column:
     """First day for a window name held in a column; null for "all"."""
-    chosen = F.when(window == PHRASES[0], starts[PHRASES[0]])
+    chosen = F.when(window == PHRASES[0], _day(starts, PHRASES[0]))
     for phrase in PHRASES[1:]:
-        chosen = chosen.when(window == phrase, starts[phrase])
+        chosen = chosen.when(window == phrase, _day(starts, phrase))
     return chosen
 
 
-def windows_with(date: Column, starts: dict[str, Column]) -> Column:
+def windows_with(date: Column, starts: Starts) -> Column:
     """Names of all windows a date lies in."""
     return F.array_compact(
         F.array(*[F.when(in_window(date, w, starts), F.lit(w)) for w in WINDOWS])
     )
 
+
+def stretch_of(date: Column, starts: Starts) -> Column:
+    """Number of the stretch of time a date lies in.
+
+    The first days cut time into at most nine stretches. All windows end on the same
+    day, so a window is made of whole stretches: its own first one and all later ones.
+    """
+    stretch = F.lit(0)
+    for number, day in enumerate(_cuts(starts), start=1):
+        stretch = F.when(date >= F.lit(day), number).otherwise(stretch)
+    return stretch
+
+
+def first_stretch(window: str, starts: Starts) -> int | None:
+    """Number of a window's first stretch; None if the window holds nothing."""
+    if window == ALL_TIME:
+        return 0
+    day = starts[window]
+    return None if day is None else _cuts(starts).index(day) + 1
+
+
+def _cuts(starts: Starts) -> list[datetime.date]:
+    return sorted({day for day in starts.values() if day is not None})

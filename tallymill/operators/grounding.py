@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.money import amount_text
 from tallymill.functions.text import number_tokens
-from tallymill.functions.windows import ALL_TIME, start_of
+from tallymill.functions.windows import ALL_TIME, Starts, start_of
 from tallymill.operators.matching import ASK, CELL
 from tallymill.operators.skew import salted_join
 
+BROADCAST_TOKENS = 500_000
+
 # Fixed value: the reason given for an unsupported number.
 NOT_FOUND = "Answer contains numbers not found in retrieved data."
 FOUND = "Every number in the answer occurs in the retrieved data."
@@ -58,29 +60,33 @@ def grounding(answers: DataFrame, evidence: DataFrame, mode: str = "exact") -> D
     return _verdict(answers, missing, by)
 
 
-def token_cells(txns: DataFrame, mode: str = "exact") -> DataFrame:
-    """Number tokens of all transactions per (category, merchant), with the newest date.
+def token_cells(txns: DataFrame, mode: str, wanted: DataFrame) -> DataFrame:
+    """Wanted tokens of all transactions per (category, merchant), with the newest date.
 
     Every window ends on the newest date of the table, so a token occurs in a window
     exactly if its newest date is not before the window's first day.
+
+    A short list of wanted tokens goes to the tasks that read the transactions, which
+    then hand on next to nothing. A long list is joined after the map-side grouping.
     """
-    return (
-        txns.select(
-            F.coalesce("category", F.lit("")).alias("category"),
-            F.coalesce("merchant", F.lit("")).alias("merchant"),
-            "date",
-            F.explode(number_tokens(evidence_text(txns), mode)).alias("token"),
-        )
-        .groupBy("token", *CELL)
-        .agg(F.max("date").alias("newest"))
+    tokens = txns.select(
+        F.coalesce("category", F.lit("")).alias("category"),
+        F.coalesce("merchant", F.lit("")).alias("merchant"),
+        "date",
+        F.explode(number_tokens(evidence_text(txns), mode)).alias("token"),
     )
+    short = wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    if short:
+        tokens = tokens.join(F.broadcast(wanted), "token", "left_semi")
+    cells = tokens.groupBy("token", *CELL).agg(F.max("date").alias("newest"))
+    return cells if short else cells.join(wanted, "token", "left_semi")
 
 
 def ground_asks(
     asks: DataFrame,
     kept: DataFrame,
     txns: DataFrame,
-    starts: dict[str, Column],
+    starts: Starts,
     mode: str = "exact",
 ) -> DataFrame:
     """Check asks(needle, window, matched, answer) against the rows that answer them.
@@ -89,7 +95,6 @@ def ground_asks(
     producing those rows: a token is supported if it occurs in one of the cells the ask
     keeps or, for an ask that falls back to its window, in any cell.
     """
-    tokens = token_cells(txns, mode)
     in_time = (F.col("window") == ALL_TIME) | (
         F.col("newest") >= start_of(F.col("window"), starts)
     )
@@ -97,6 +102,7 @@ def ground_asks(
         *ASK, "matched", F.explode(number_tokens(F.col("answer"), mode)).alias("token")
     )
 
+    tokens = token_cells(txns, mode, wanted.select("token").distinct())
     from_hits = salted_join(
         kept.select(*ASK, *CELL),
         wanted.filter("matched").select(*ASK, "token"),

@@ -18,8 +18,18 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.keywords import KNOWN_MERCHANTS, MIN_LENGTH, keywords
 from tallymill.functions.keywords import letter_runs, matches, merchant_keywords
-from tallymill.functions.windows import ALL_TIME, WINDOWS, first_days, in_window
-from tallymill.functions.windows import start_of, window_of, windows_with
+from tallymill.functions.windows import (
+    ALL_TIME,
+    WINDOWS,
+    Starts,
+    first_days,
+    first_stretch,
+    in_window,
+    start_of,
+    stretch_of,
+    window_of,
+    windows_with,
+)
 from tallymill.operators.questions import parse_questions
 from tallymill.operators.skew import salted_join
 
@@ -32,33 +42,34 @@ def _filled(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def window_cells(txns: DataFrame, starts: dict[str, Column]) -> DataFrame:
+def window_cells(txns: DataFrame, starts: Starts) -> DataFrame:
     """One row per (category, merchant): amount and row count in every window.
 
-    One pass over date, category, merchant and amount with map-side sums, so a pair
-    that holds most of the rows is one row per task before the shuffle.
+    One pass over date, category, merchant and amount. Rows are first summed per stretch
+    of time, map-side too, so a pair that holds most of the rows is a few rows per task
+    before the shuffle. Windows are then put together from stretches.
     """
-    measures = []
-    for window in WINDOWS:
-        inside = in_window(F.col("date"), window, starts)
-        measures += [
-            F.sum(F.when(inside, F.col("amount"))).alias(f"{window} amount"),
-            F.count(F.when(inside, 1)).alias(f"{window} rows"),
-        ]
-    sums = txns.groupBy(
-        _filled("category").alias("category"), _filled("merchant").alias("merchant")
-    ).agg(*measures)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(window).alias("window"),
-                F.coalesce(F.col(f"{window} amount"), F.lit(0)).alias("amount"),
-                F.col(f"{window} rows").alias("rows"),
-            )
-            for window in WINDOWS
-        ]
+    stretches = txns.groupBy(
+        _filled("category").alias("category"),
+        _filled("merchant").alias("merchant"),
+        stretch_of(F.col("date"), starts).alias("stretch"),
+    ).agg(F.sum("amount").alias("amount"), F.count("*").alias("rows"))
+
+    def of_window(window: str) -> Column:
+        first = first_stretch(window, starts)
+        inside = F.col("stretch") >= F.lit(first).cast("int")
+        return F.struct(
+            F.lit(window).alias("window"),
+            F.coalesce(F.sum(F.when(inside, F.col("amount"))), F.lit(0)).alias("amount"),
+            F.coalesce(F.sum(F.when(inside, F.col("rows"))), F.lit(0)).alias("rows"),
+        )
+
+    cells = F.array(*[of_window(window) for window in WINDOWS])
+    return (
+        stretches.groupBy(*CELL)
+        .agg(cells.alias("cells"))
+        .select(*CELL, F.filter("cells", lambda cell: cell["rows"] > 0).alias("cells"))
     )
-    return sums.select(*CELL, F.filter(cells, lambda cell: cell["rows"] > 0).alias("cells"))
 
 
 def by_window(cells: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions.keywords import KNOWN_MERCHANTS
 from tallymill.functions.money import spent_sentence
-from tallymill.functions.windows import first_days
+from tallymill.functions.windows import Starts, first_days
 from tallymill.operators.grounding import ground_asks
 from tallymill.operators.matching import ASK, ask_cells, by_window, window_cells
 from tallymill.operators.questions import parse_questions
@@ -32,7 +32,7 @@ class AnswerBook:
     """
 
     txns: DataFrame
-    starts: dict[str, Column]
+    starts: Starts
     parsed: DataFrame
     cells: DataFrame
     kept: DataFrame
@@ -113,9 +113,9 @@ class AnswerBook:
 
     def evaluated(self, mode: str = "exact") -> DataFrame:
         """Answers with their totals and the verdict of the grounding check."""
-        return self._to_questions(
-            ground_asks(self.asks(), self.kept, self.txns, self.starts, mode).drop("matched")
-        )
+        asks = materialize(self.asks(), "asks")
+        checked = ground_asks(asks, self.kept, self.txns, self.starts, mode)
+        return self._to_questions(checked.drop("matched"))
 
 
 def evaluation_records(evaluated: DataFrame) -> DataFrame:
