@@ -1,0 +1,98 @@
+import pytest
+
+from conftest import plan_of
+from test_matching import QUESTIONS, asked, frame, make_rows
+from tallymill.functions.keywords import KNOWN_MERCHANTS
+from tallymill.operators import grounding as module
+from tallymill.operators.grounding import evidence_text, grounding
+from tallymill.operators.matching import matching_transactions
+from tallymill.plans.answers import AnswerBook, evaluation_records, responses
+
+ANSWER = "question_id long, answer string"
+EVIDENCE = "question_id long, evidence string"
+
+
+def check(spark, answers, evidence, mode="exact"):
+    found = grounding(
+        spark.createDataFrame(answers, ANSWER), spark.createDataFrame(evidence, EVIDENCE), mode
+    )
+    return {r.question_id: (r.passed, r.unsupported, r.reason) for r in found.collect()}
+
+
+def test_hallucinated_number_is_flagged(spark):
+    evidence = [(1, '{"amount": 10.0, "category": "Groceries"}')]
+    passed, unsupported, reason = check(spark, [(1, "You spent $999,999 last month.")], evidence)[1]
+    assert not passed
+    assert unsupported == ["$999", "999"]
+    assert "not found" in reason.lower()
+
+
+def test_exact_and_normalized_tokens(spark):
+    answers = [
+        (1, "You spent $12.50 across 2 transactions."),
+        (2, "You spent 12.5."),
+        (3, "$1,200.00 and 007"),
+        (4, "no numbers at all"),
+        (5, "nothing given: 5"),
+    ]
+    evidence = [(1, "amount 12.5"), (1, "2 rows"), (2, "12.5"), (3, "1200 7.0"), (4, "4")]
+    exact = check(spark, answers, evidence)
+    assert {q: p for q, (p, _, _) in exact.items()} == {
+        1: False, 2: True, 3: False, 4: True, 5: False,
+    }
+    assert exact[1][1] == ["$12.50"]
+    normalized = check(spark, answers, evidence, "normalized")
+    assert {q: p for q, (p, _, _) in normalized.items()} == {
+        1: True, 2: True, 3: True, 4: True, 5: False,
+    }
+
+
+def test_unknown_mode(spark):
+    with pytest.raises(ValueError):
+        check(spark, [(1, "1")], [], "fuzzy")
+
+
+def test_evidence_text_has_iso_dates_and_short_amounts(spark):
+    row = "date '2024-06-05' date, cast({} as decimal(18,2)) amount, 'c' category, 'm' merchant"
+    for amount, text in (("12345678.5", "12345678.5"), ("10", "10.0"), ("0.05", "0.05")):
+        df = spark.sql("select " + row.format(amount))
+        (value,) = df.select(evidence_text(df)).first()
+        assert f'"amount":"{text}"' in value and "2024-06-05T00:00:00" in value
+
+
+@pytest.mark.parametrize("mode", ["exact", "normalized"])
+@pytest.mark.parametrize("short_list", [True, False])
+def test_answers_are_checked_as_if_all_rows_were_listed(spark, mode, short_list, monkeypatch):
+    if not short_list:
+        monkeypatch.setattr(module, "BROADCAST_TOKENS", 0)
+    rows = make_rows(7, 40)
+    for number, row in enumerate(rows):
+        row["note"] = f"{number % 9} of $0.00"
+    txns = frame(spark, rows)
+    book = AnswerBook.open(asked(spark), txns, KNOWN_MERCHANTS)
+    evaluated = book.evaluated(mode)
+    got = {r.question_id: (r.passed, r.unsupported) for r in evaluated.collect()}
+    matched = matching_transactions(asked(spark), txns, KNOWN_MERCHANTS)
+    evidence = matched.select("question_id", evidence_text(matched.select(*txns.columns)).alias("evidence"))
+    listed = grounding(book.answers().drop("query"), evidence, mode)
+    want = {r.question_id: (r.passed, r.unsupported) for r in listed.collect()}
+    assert got == want
+    assert len(got) == len(QUESTIONS)
+
+
+def test_records_and_responses(spark):
+    txns = frame(spark, make_rows(8, 30))
+    evaluated = AnswerBook.open(asked(spark, ["dining today", "spending"]), txns).evaluated()
+    records = evaluation_records(evaluated)
+    assert records.columns == ["query", "answer", "passed", "reason"]
+    trips = spark.createDataFrame([(1, 5, 1.234)], "trace_id long, steps long, seconds double")
+    rows = {r.question_id: r for r in responses(evaluated, trips).collect()}
+    assert (rows[0].latency_ms, rows[1].latency_ms) == (None, 1234)
+    assert {type(r.grounded) for r in rows.values()} == {bool}
+
+
+def test_grounding_plan_stays_in_the_jvm(spark):
+    answers = spark.createDataFrame([(1, "1")], ANSWER)
+    evidence = spark.createDataFrame([(1, "1")], EVIDENCE)
+    plan = plan_of(grounding(answers, evidence))
+    assert "Python" not in plan and "NestedLoop" not in plan
