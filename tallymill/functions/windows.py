@@ -95,12 +95,20 @@ def stretch_of(date: Column, starts: Starts) -> Column:
     return stretch
 
 
-def first_stretch(window: str, starts: Starts) -> int | None:
-    """Number of a window's first stretch; None if the window holds nothing."""
-    if window == ALL_TIME:
-        return 0
-    day = starts[window]
-    return None if day is None else _cuts(starts).index(day) + 1
+def windows_of_stretches(starts: Starts) -> list[list[str]]:
+    """Names of the windows that contain each stretch, by stretch number."""
+    cuts = _cuts(starts)
+
+    def contains(window: str, number: int) -> bool:
+        if window == ALL_TIME:
+            return True
+        day = starts[window]
+        return day is not None and cuts.index(day) < number
+
+    return [
+        [window for window in WINDOWS if contains(window, number)]
+        for number in range(len(cuts) + 1)
+    ]
 
 
 def _cuts(starts: Starts) -> list[datetime.date]:

@@ -103,14 +103,16 @@ def ground_asks(
     )
 
     tokens = token_cells(txns, mode, wanted.select("token").distinct())
+    anywhere = tokens.groupBy("token").agg(F.max("newest").alias("newest"))
+    # Most sums occur in no transaction at all; only the rest are looked for in cells.
+    present = wanted.join(anywhere, "token")
     from_hits = salted_join(
         kept.select(*ASK, *CELL),
-        wanted.filter("matched").select(*ASK, "token"),
+        present.filter("matched").select(*ASK, "token"),
         ASK,
         spread_by=[F.col(name) for name in CELL],
     ).join(tokens, ["token", *CELL])
-    anywhere = tokens.groupBy("token").agg(F.max("newest").alias("newest"))
-    from_window = wanted.filter("not matched").join(anywhere, "token")
+    from_window = present.filter("not matched")
 
     key = [*ASK, "token"]
     supported = (

@@ -17,21 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions.keywords import KNOWN_MERCHANTS, MIN_LENGTH, keywords
-from tallymill.functions.keywords import letter_runs, matches, merchant_keywords
+from tallymill.functions.keywords import matches, merchant_keywords
 from tallymill.functions.windows import (
     ALL_TIME,
-    WINDOWS,
     Starts,
     first_days,
-    first_stretch,
     in_window,
     start_of,
     stretch_of,
     window_of,
+    windows_of_stretches,
     windows_with,
 )
 from tallymill.operators.questions import parse_questions
 from tallymill.operators.skew import salted_join
+from tallymill.session import materialize
 
 LONGEST_GRAM = 6
 ASK = ["needle", "window"]
@@ -43,7 +43,7 @@ def _filled(column: str) -> Column:
 
 
 def window_cells(txns: DataFrame, starts: Starts) -> DataFrame:
-    """One row per (category, merchant): amount and row count in every window.
+    """(window, category, merchant, amount, rows) of all windows a pair has rows in.
 
     One pass over date, category, merchant and amount. Rows are first summed per stretch
     of time, map-side too, so a pair that holds most of the rows is a few rows per task
@@ -54,105 +54,89 @@ def window_cells(txns: DataFrame, starts: Starts) -> DataFrame:
         _filled("merchant").alias("merchant"),
         stretch_of(F.col("date"), starts).alias("stretch"),
     ).agg(F.sum("amount").alias("amount"), F.count("*").alias("rows"))
-
-    def of_window(window: str) -> Column:
-        first = first_stretch(window, starts)
-        inside = F.col("stretch") >= F.lit(first).cast("int")
-        return F.struct(
-            F.lit(window).alias("window"),
-            F.coalesce(F.sum(F.when(inside, F.col("amount"))), F.lit(0)).alias("amount"),
-            F.coalesce(F.sum(F.when(inside, F.col("rows"))), F.lit(0)).alias("rows"),
-        )
-
-    cells = F.array(*[of_window(window) for window in WINDOWS])
-    return (
-        stretches.groupBy(*CELL)
-        .agg(cells.alias("cells"))
-        .select(*CELL, F.filter("cells", lambda cell: cell["rows"] > 0).alias("cells"))
+    windows = F.array(
+        *[F.array(*[F.lit(w) for w in names]) for names in windows_of_stretches(starts)]
     )
-
-
-def by_window(cells: DataFrame) -> DataFrame:
-    """Cells as rows (window, category, merchant, amount, rows)."""
-    return cells.select(*CELL, F.inline("cells")).select("window", *CELL, "amount", "rows")
-
-
-def _needles(parsed: DataFrame) -> DataFrame:
-    """One row per needle, keyword and side, with the windows the needle is asked for."""
-    sets = (
-        parsed.filter(F.size("keywords") > 0)
-        .groupBy("needle")
+    in_windows = F.explode(F.get(windows, F.col("stretch"))).alias("window")
+    return (
+        stretches.select(in_windows, *CELL, "amount", "rows")
+        .groupBy("window", *CELL)
         .agg(
-            F.first("keywords").alias("keywords"),
-            F.first("merchant_keywords").alias("merchant_keywords"),
-            F.collect_set("window").alias("windows"),
+            F.coalesce(F.sum("amount"), F.lit(0)).alias("amount"),
+            F.sum("rows").alias("rows"),
         )
     )
 
-    def tagged(side: str, words: str) -> Column:
-        return F.transform(
-            words, lambda word: F.struct(F.lit(side).alias("side"), word.alias("keyword"))
-        )
 
-    both = F.concat(tagged("category", "keywords"), tagged("merchant", "merchant_keywords"))
-    return sets.select("needle", "windows", F.inline(both)).withColumn(
+def _needles(parsed: DataFrame, words: str) -> DataFrame:
+    """One row per needle and keyword, with the start of the keyword as its gram."""
+    sets = parsed.filter(F.size("keywords") > 0).select("needle", words).distinct()
+    return sets.select("needle", F.explode(words).alias("keyword")).withColumn(
         "gram", F.substring("keyword", 1, LONGEST_GRAM)
     )
 
 
-def _grams(text: Column) -> Column:
-    """Letter sequences of a text that the start of a keyword can equal.
+def _with_grams(values: DataFrame) -> DataFrame:
+    """(value, text, gram): every letter sequence of a value that a gram can equal.
 
-    A keyword is all letters, so it lies inside one run of letters. Its first
-    ``LONGEST_GRAM`` letters, or the whole keyword if shorter, are one of these grams.
+    The gram of a keyword is its first ``LONGEST_GRAM`` letters, or the whole keyword if
+    it is shorter. It occurs in a text exactly if it is the head of one of its tails.
     """
+    texts = values.withColumn("text", F.lower("value")).filter(F.length("text") >= MIN_LENGTH)
+    at = F.explode(F.sequence(F.lit(1), F.length("text") - (MIN_LENGTH - 1)))
+    tail = F.substr("text", F.col("at"), F.lit(LONGEST_GRAM))
+    heads = [F.left(tail, F.lit(size)) for size in range(MIN_LENGTH, LONGEST_GRAM + 1)]
+    grams = texts.withColumn("at", at).select(
+        "value",
+        "text",
+        F.length(tail).alias("longest"),
+        F.posexplode(F.array(*heads)).alias("number", "gram"),
+    )
+    return grams.filter(F.col("number") + MIN_LENGTH <= F.col("longest")).select(
+        "value", "text", "gram"
+    )
 
-    def heads(tail: Column) -> Column:
-        sizes = F.sequence(F.lit(MIN_LENGTH), F.length(tail))
-        return F.transform(sizes, lambda size: F.left(tail, size))
 
-    def of_word(word: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(word) - (MIN_LENGTH - 1))
-        return F.flatten(
-            F.transform(starts, lambda at: heads(F.substr(word, at, F.lit(LONGEST_GRAM))))
-        )
+def _found(parsed: DataFrame, cells: DataFrame, side: str, words: str) -> DataFrame:
+    """(needle, value): values of one side, each once, that contain one of the words.
 
-    words = F.filter(letter_runs(text), lambda word: F.length(word) >= MIN_LENGTH)
-    return F.array_distinct(F.flatten(F.transform(words, of_word)))
+    An equi-join on grams finds the candidates and ``contains`` confirms keywords that
+    are longer than a gram. The values of one gram, say a very common word, are spread
+    over several tasks.
+    """
+    # Every cell has rows in the window of all time.
+    values = cells.filter(F.col("window") == ALL_TIME).select(F.col(side).alias("value"))
+    candidates = salted_join(
+        _with_grams(values.distinct()),
+        _needles(parsed, words),
+        ["gram"],
+        spread_by=[F.col("value")],
+    )
+    confirmed = candidates.filter(F.contains("text", F.col("keyword")))
+    return confirmed.select("needle", F.col("value").alias(side)).distinct()
 
 
 def ask_cells(parsed: DataFrame, cells: DataFrame) -> DataFrame:
     """(needle, window, category, merchant, amount, rows): cells kept by their keywords.
 
-    An equi-join on grams finds the candidates and ``contains`` confirms keywords that
-    are longer than a gram. The cells of one gram, say a very common word, are spread
-    over several tasks. A cell found in more than one way appears once.
+    Cells found through their merchant leave out those found through their category, so
+    each cell appears once.
     """
-    sided = [
-        cells.select(
-            *CELL,
-            "cells",
-            F.lit(side).alias("side"),
-            F.lower(side).alias("text"),
-            F.explode(_grams(F.col(side))).alias("gram"),
-        )
-        for side in CELL
-    ]
-    candidates = salted_join(
-        sided[0].unionByName(sided[1]),
-        _needles(parsed),
-        ["side", "gram"],
-        spread_by=[F.col(name) for name in CELL],
+    asked = parsed.select(*ASK).distinct()
+    categories = _found(parsed, cells, "category", "keywords")
+    merchants = _found(parsed, cells, "merchant", "merchant_keywords")
+    by_merchant = [F.col("merchant")]
+    through_category = salted_join(
+        cells, categories.join(asked, "needle"), ["window", "category"], by_merchant
     )
-    asked = F.filter("cells", lambda cell: F.array_contains(F.col("windows"), cell["window"]))
-    return (
-        candidates.filter(F.contains("text", F.col("keyword")))
-        .select("needle", *CELL, asked.alias("cells"))
-        .groupBy("needle", *CELL)
-        .agg(F.first("cells").alias("cells"))
-        .select("needle", *CELL, F.inline("cells"))
-        .select(*ASK, *CELL, "amount", "rows")
+    through_merchant = salted_join(
+        cells, merchants.join(asked, "needle"), ["window", "merchant"], [F.col("category")]
+    )
+    others = salted_join(
+        through_merchant, categories, ["needle", "category"], by_merchant, "left_anti"
     )
+    columns = [*ASK, *CELL, "amount", "rows"]
+    return through_category.select(*columns).unionByName(others.select(*columns))
 
 
 def matching_transactions(
@@ -161,7 +145,8 @@ def matching_transactions(
     """All rows that answer each question, with the question's id and ``used_fallback``."""
     parsed = parse_questions(questions, known)
     starts = first_days(txns)
-    kept = ask_cells(parsed, window_cells(txns, starts)).select(*ASK, *CELL)
+    cells = materialize(window_cells(txns, starts), "cells")
+    kept = materialize(ask_cells(parsed, cells).select(*ASK, *CELL), "kept")
 
     asked = parsed.select("question_id", *ASK)
     by_question = [F.col("question_id")]

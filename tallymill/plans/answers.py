@@ -12,7 +12,7 @@ from tallymill.functions.keywords import KNOWN_MERCHANTS
 from tallymill.functions.money import spent_sentence
 from tallymill.functions.windows import Starts, first_days
 from tallymill.operators.grounding import ground_asks
-from tallymill.operators.matching import ASK, ask_cells, by_window, window_cells
+from tallymill.operators.matching import ASK, ask_cells, window_cells
 from tallymill.operators.questions import parse_questions
 from tallymill.operators.skew import salted_join
 from tallymill.operators.summary import TOP_MERCHANTS, category_breakdown
@@ -26,9 +26,9 @@ TOTALS = ("total_spend", "total_income", "net", "transaction_count")
 class AnswerBook:
     """Everything the summaries of a question table are read from.
 
-    ``cells`` is the transactions table reduced to (category, merchant) and window. It
-    is written to the shared folder, so the big table is read once however many
-    summaries are asked for. ``kept`` are the cells each distinct ask keeps.
+    ``cells`` is the transactions table reduced to (category, merchant) and window,
+    ``kept`` the cells each distinct ask keeps. Both are written to the shared folder:
+    the big table is read once however many summaries are asked for.
     """
 
     txns: DataFrame
@@ -47,14 +47,15 @@ class AnswerBook:
         parsed = parse_questions(questions, known)
         starts = first_days(txns)
         cells = materialize(window_cells(txns, starts), "cells")
-        return cls(txns, starts, parsed, cells, ask_cells(parsed, cells))
+        kept = materialize(ask_cells(parsed, cells), "kept")
+        return cls(txns, starts, parsed, cells, kept)
 
     def asks(self) -> DataFrame:
         """Distinct (needle, window) with totals and whether any row was matched."""
         asked = self.parsed.select(*ASK).distinct()
         matched = totals(self.kept, ASK).withColumn("matched", F.lit(True))
         # At most one row per window name, nine in all.
-        whole = totals(by_window(self.cells), ["window"]).withColumnsRenamed(
+        whole = totals(self.cells, ["window"]).withColumnsRenamed(
             {name: f"window_{name}" for name in TOTALS}
         )
         chosen = [
@@ -97,14 +98,14 @@ class AnswerBook:
         """(question_id, category, spend, rank)."""
         return self._per_question(
             category_breakdown(self.kept, ASK),
-            category_breakdown(by_window(self.cells), ["window"]),
+            category_breakdown(self.cells, ["window"]),
         )
 
     def top_merchants(self, k: int = TOP_MERCHANTS) -> DataFrame:
         """(question_id, merchant, spend, rank) with rank up to k."""
         return self._per_question(
             top_merchants(self.kept, ASK, k),
-            top_merchants(by_window(self.cells), ["window"], k),
+            top_merchants(self.cells, ["window"], k),
         )
 
     def answers(self) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from tallymill.functions.windows import (
     WINDOWS,
     first_days,
-    first_stretch,
     in_window,
     start_of,
     stretch_of,
     window_of,
+    windows_of_stretches,
     windows_with,
 )
 
@@ -59,7 +59,7 @@ def test_a_table_without_dates_has_empty_windows(spark):
     assert set(starts.values()) == {None}
     kept = {w: txns.filter(in_window(F.col("date"), w, starts)).count() for w in WINDOWS}
     assert kept == {w: int(w == "all") for w in WINDOWS}
-    assert first_stretch("today", starts) is None
+    assert windows_of_stretches(starts) == [["all"]]
 
 
 def test_first_phrase_in_order_wins(spark):
@@ -83,7 +83,8 @@ def test_stretches_and_window_lists_agree_with_single_windows(spark):
     date = F.col("date")
     for window in WINDOWS:
         inside = F.coalesce(in_window(date, window, starts), F.lit(False))
-        by_stretch = stretch_of(date, starts) >= first_stretch(window, starts)
+        number = [window in names for names in windows_of_stretches(starts)].index(True)
+        by_stretch = stretch_of(date, starts) >= number
         by_list = F.array_contains(windows_with(date, starts), window)
         start = start_of(F.lit(window), starts)
         by_start = F.coalesce(date >= start, F.lit(window == "all"))
