@@ -10,6 +10,7 @@ from tallymill.functions.text import number_tokens
 from tallymill.functions.windows import ALL_TIME, Starts, start_of
 from tallymill.operators.matching import ASK, CELL
 from tallymill.operators.skew import salted_join
+from tallymill.session import materialize
 
 BROADCAST_TOKENS = 500_000
 
@@ -102,7 +103,8 @@ def ground_asks(
         *ASK, "matched", F.explode(number_tokens(F.col("answer"), mode)).alias("token")
     )
 
-    tokens = token_cells(txns, mode, wanted.select("token").distinct())
+    found = token_cells(txns, mode, wanted.select("token").distinct())
+    tokens = materialize(found, "tokens")
     anywhere = tokens.groupBy("token").agg(F.max("newest").alias("newest"))
     # Most sums occur in no transaction at all; only the rest are looked for in cells.
     present = wanted.join(anywhere, "token")

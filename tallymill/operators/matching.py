@@ -29,7 +29,7 @@ from tallymill.functions.windows import (
     windows_of_stretches,
     windows_with,
 )
-from tallymill.operators.questions import parse_questions
+from tallymill.operators.questions import distinct_asks, parse_questions
 from tallymill.operators.skew import salted_join
 from tallymill.session import materialize
 
@@ -68,9 +68,9 @@ def window_cells(txns: DataFrame, starts: Starts) -> DataFrame:
     )
 
 
-def _needles(parsed: DataFrame, words: str) -> DataFrame:
+def _needles(asks: DataFrame, words: str) -> DataFrame:
     """One row per needle and keyword, with the start of the keyword as its gram."""
-    sets = parsed.filter(F.size("keywords") > 0).select("needle", words).distinct()
+    sets = asks.filter(F.size("keywords") > 0).select("needle", words).distinct()
     return sets.select("needle", F.explode(words).alias("keyword")).withColumn(
         "gram", F.substring("keyword", 1, LONGEST_GRAM)
     )
@@ -97,7 +97,7 @@ def _with_grams(values: DataFrame) -> DataFrame:
     )
 
 
-def _found(parsed: DataFrame, cells: DataFrame, side: str, words: str) -> DataFrame:
+def _found(asks: DataFrame, cells: DataFrame, side: str, words: str) -> DataFrame:
     """(needle, value): values of one side, each once, that contain one of the words.
 
     An equi-join on grams finds the candidates and ``contains`` confirms keywords that
@@ -108,7 +108,7 @@ def _found(parsed: DataFrame, cells: DataFrame, side: str, words: str) -> DataFr
     values = cells.filter(F.col("window") == ALL_TIME).select(F.col(side).alias("value"))
     candidates = salted_join(
         _with_grams(values.distinct()),
-        _needles(parsed, words),
+        _needles(asks, words),
         ["gram"],
         spread_by=[F.col("value")],
     )
@@ -116,22 +116,22 @@ def _found(parsed: DataFrame, cells: DataFrame, side: str, words: str) -> DataFr
     return confirmed.select("needle", F.col("value").alias(side)).distinct()
 
 
-def ask_cells(parsed: DataFrame, cells: DataFrame) -> DataFrame:
+def ask_cells(asks: DataFrame, cells: DataFrame) -> DataFrame:
     """(needle, window, category, merchant, amount, rows): cells kept by their keywords.
 
-    Cells found through their merchant leave out those found through their category, so
+    ``asks`` and ``cells`` should be stored tables: their sizes are then known, and
+    Spark sends the asks to the cells as long as they are small enough for that. Cells found through their merchant leave out those found through their category, so
     each cell appears once.
     """
-    asked = parsed.select(*ASK).distinct()
-    categories = _found(parsed, cells, "category", "keywords")
-    merchants = _found(parsed, cells, "merchant", "merchant_keywords")
+    asked = asks.select(*ASK)
+    categories = _found(asks, cells, "category", "keywords")
+    merchants = _found(asks, cells, "merchant", "merchant_keywords")
     by_merchant = [F.col("merchant")]
     through_category = salted_join(
         cells, categories.join(asked, "needle"), ["window", "category"], by_merchant
     )
-    through_merchant = salted_join(
-        cells, merchants.join(asked, "needle"), ["window", "merchant"], [F.col("category")]
-    )
+    # A merchant has at most one cell per category, so this key cannot be crowded.
+    through_merchant = cells.join(merchants.join(asked, "needle"), ["window", "merchant"])
     others = salted_join(
         through_merchant, categories, ["needle", "category"], by_merchant, "left_anti"
     )
@@ -145,8 +145,9 @@ def matching_transactions(
     """All rows that answer each question, with the question's id and ``used_fallback``."""
     parsed = parse_questions(questions, known)
     starts = first_days(txns)
+    asks = materialize(distinct_asks(parsed), "asks")
     cells = materialize(window_cells(txns, starts), "cells")
-    kept = materialize(ask_cells(parsed, cells).select(*ASK, *CELL), "kept")
+    kept = materialize(ask_cells(asks, cells).select(*ASK, *CELL), "kept")
 
     asked = parsed.select("question_id", *ASK)
     by_question = [F.col("question_id")]

@@ -36,3 +36,8 @@ def parse_questions(
     return parsed.withColumn(
         "merchant_keywords", merchant_keywords(F.col("keywords"), known)
     ).withColumn("needle", F.array_join("keywords", " "))
+
+
+def distinct_asks(parsed: DataFrame) -> DataFrame:
+    """(needle, window, keywords, merchant_keywords), each ask once."""
+    return parsed.select("needle", "window", "keywords", "merchant_keywords").distinct()

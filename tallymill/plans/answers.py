@@ -13,7 +13,7 @@ from tallymill.functions.money import spent_sentence
 from tallymill.functions.windows import Starts, first_days
 from tallymill.operators.grounding import ground_asks
 from tallymill.operators.matching import ASK, ask_cells, window_cells
-from tallymill.operators.questions import parse_questions
+from tallymill.operators.questions import distinct_asks, parse_questions
 from tallymill.operators.skew import salted_join
 from tallymill.operators.summary import TOP_MERCHANTS, category_breakdown
 from tallymill.operators.summary import top_merchants, totals
@@ -26,14 +26,16 @@ TOTALS = ("total_spend", "total_income", "net", "transaction_count")
 class AnswerBook:
     """Everything the summaries of a question table are read from.
 
-    ``cells`` is the transactions table reduced to (category, merchant) and window,
-    ``kept`` the cells each distinct ask keeps. Both are written to the shared folder:
-    the big table is read once however many summaries are asked for.
+    ``asked`` holds each distinct ask once, ``cells`` is the transactions table reduced
+    to window, category and merchant, and ``kept`` are the cells each ask keeps. All
+    three are written to the shared folder: the big table is read once however many
+    summaries are asked for, and later joins know the sizes of their sides.
     """
 
     txns: DataFrame
     starts: Starts
     parsed: DataFrame
+    asked: DataFrame
     cells: DataFrame
     kept: DataFrame
 
@@ -46,13 +48,13 @@ class AnswerBook:
     ) -> AnswerBook:
         parsed = parse_questions(questions, known)
         starts = first_days(txns)
+        asked = materialize(distinct_asks(parsed), "asks")
         cells = materialize(window_cells(txns, starts), "cells")
-        kept = materialize(ask_cells(parsed, cells), "kept")
-        return cls(txns, starts, parsed, cells, kept)
+        kept = materialize(ask_cells(asked, cells), "kept")
+        return cls(txns, starts, parsed, asked, cells, kept)
 
     def asks(self) -> DataFrame:
         """Distinct (needle, window) with totals and whether any row was matched."""
-        asked = self.parsed.select(*ASK).distinct()
         matched = totals(self.kept, ASK).withColumn("matched", F.lit(True))
         # At most one row per window name, nine in all.
         whole = totals(self.cells, ["window"]).withColumnsRenamed(
@@ -65,7 +67,8 @@ class AnswerBook:
             for name in TOTALS
         ]
         return (
-            asked.join(matched, ASK, "left")
+            self.asked.select(*ASK)
+            .join(matched, ASK, "left")
             .withColumn("matched", F.coalesce("matched", F.lit(False)))
             .join(F.broadcast(whole), "window", "left")
             .select(*ASK, "matched", *chosen)
@@ -81,8 +84,7 @@ class AnswerBook:
 
     def _unmatched(self) -> DataFrame:
         """Asks that stand for their whole window: no keywords, or none matched."""
-        asked = self.parsed.select(*ASK).distinct()
-        return asked.join(self.kept.select(*ASK).distinct(), ASK, "left_anti")
+        return self.asked.select(*ASK).join(self.kept.select(*ASK).distinct(), ASK, "left_anti")
 
     def _per_question(self, of_kept: DataFrame, of_window: DataFrame) -> DataFrame:
         by_window_ask = salted_join(
@@ -114,7 +116,7 @@ class AnswerBook:
 
     def evaluated(self, mode: str = "exact") -> DataFrame:
         """Answers with their totals and the verdict of the grounding check."""
-        asks = materialize(self.asks(), "asks")
+        asks = materialize(self.asks(), "answered")
         checked = ground_asks(asks, self.kept, self.txns, self.starts, mode)
         return self._to_questions(checked.drop("matched"))
 
