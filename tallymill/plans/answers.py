@@ -13,11 +13,12 @@ from tallymill.functions.money import spent_sentence
 from tallymill.functions.windows import Starts, first_days
 from tallymill.operators.grounding import ground_asks
 from tallymill.operators.matching import ASK, ask_cells, window_cells
-from tallymill.operators.questions import distinct_asks, parse_questions
+from tallymill.operators.questions import clean_questions, distinct_asks, parse_questions
 from tallymill.operators.skew import salted_join
 from tallymill.operators.summary import TOP_MERCHANTS, category_breakdown
 from tallymill.operators.summary import top_merchants, totals
 from tallymill.session import materialize
+from tallymill.sources.evaluations import append_evaluations
 
 TOTALS = ("total_spend", "total_income", "net", "transaction_count")
 
@@ -121,9 +122,32 @@ class AnswerBook:
         return self._to_questions(checked.drop("matched"))
 
 
-def evaluation_records(evaluated: DataFrame) -> DataFrame:
-    """Evaluated answers in the shape of the evaluation log."""
-    return evaluated.select("query", "answer", "passed", "reason")
+def evaluation_records(evaluated: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Evaluated answers in the shape of the evaluation log.
+
+    ``lines`` are latency lines of traces named after their questions.
+    """
+    if lines is None:
+        return evaluated.select("query", "answer", "passed", "reason")
+    first = lines.filter(F.col("line") == 0).select(
+        F.col("trace_id").alias("question_id"), "latency"
+    )
+    timed = evaluated.join(first, "question_id", "left")
+    return timed.select("query", "answer", "latency", "passed", "reason")
+
+
+def answer_and_log(
+    questions: DataFrame,
+    txns: DataFrame,
+    log_path: str,
+    known: Sequence[str] = KNOWN_MERCHANTS,
+    mode: str = "exact",
+) -> DataFrame:
+    """Answer all questions, append their evaluations to the log, return the answers."""
+    book = AnswerBook.open(clean_questions(questions), txns, known)
+    evaluated = materialize(book.evaluated(mode), "evaluated")
+    append_evaluations(evaluation_records(evaluated), log_path)
+    return evaluated
 
 
 def responses(evaluated: DataFrame, trips: DataFrame) -> DataFrame:

@@ -6,7 +6,13 @@ from tallymill.functions.keywords import KNOWN_MERCHANTS
 from tallymill.operators import grounding as module
 from tallymill.operators.grounding import evidence_text, grounding
 from tallymill.operators.matching import matching_transactions
-from tallymill.plans.answers import AnswerBook, evaluation_records, responses
+from tallymill.plans.answers import (
+    AnswerBook,
+    answer_and_log,
+    evaluation_records,
+    responses,
+)
+from tallymill.sources.evaluations import read_evaluations
 
 ANSWER = "question_id long, answer string"
 EVIDENCE = "question_id long, evidence string"
@@ -91,6 +97,17 @@ def test_records_and_responses(spark):
     assert {type(r.grounded) for r in rows.values()} == {bool}
 
 
+def test_answers_are_logged(spark, tmp_path):
+    path = str(tmp_path / "log")
+    txns = frame(spark, make_rows(9, 30))
+    questions = asked(spark, [" dining today ", "spending", "  "])
+    first = answer_and_log(questions, txns, path, mode="normalized")
+    answer_and_log(questions, txns, path, mode="normalized")
+    logged = sorted((r.query, r.answer, r.passed) for r in read_evaluations(spark, path).collect())
+    mine = [(r.query, r.answer, r.passed) for r in first.collect()]
+    assert logged == sorted(mine * 2) and len(mine) == 2
+
+
 def test_grounding_plan_stays_in_the_jvm(spark):
     answers = spark.createDataFrame([(1, "1")], ANSWER)
     evidence = spark.createDataFrame([(1, "1")], EVIDENCE)

@@ -400,9 +400,13 @@ FROM documents""",
         "grounding_exact": _grounding("exact") + "SELECT * FROM grounded",
         "grounding_normalized": _grounding("normalized") + "SELECT * FROM grounded",
         "log_append_scan": _grounding("exact")
+        + ","
+        + STEPS
+        + ","
+        + LINES
         + """
-SELECT 'order ' || question_id AS query, answer, CAST(NULL AS VARCHAR) AS latency, passed, reason
-FROM grounded""",
+SELECT 'order ' || question_id AS query, answer, latency, passed, reason
+FROM grounded LEFT JOIN lines ON trace_id = question_id AND line = 0""",
         "step_durations": _with(STEPS) + "SELECT trace_id, seq, step, position, seconds FROM steps",
         "round_trips": _with(STEPS) + "SELECT trace_id, steps, seconds FROM trips",
         "latency_lines": _with(STEPS, LINES) + "SELECT trace_id, line, latency FROM lines",
