@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +76,14 @@ def start_of(window: Column, starts: Starts) -> Column:
     return chosen
 
 
+def within(txns: DataFrame, windows: Sequence[str], starts: Starts) -> DataFrame:
+    """Rows that lie in any of the windows: one bound on the date, for the file scan."""
+    if ALL_TIME in windows:
+        return txns
+    days = [starts[window] for window in windows if starts[window] is not None]
+    return txns.filter(F.col("date") >= F.lit(min(days, default=None)).cast("date"))
+
+
 def windows_with(date: Column, starts: Starts) -> Column:
     """Names of all windows a date lies in."""
     return F.array_compact(
@@ -95,8 +103,10 @@ def stretch_of(date: Column, starts: Starts) -> Column:
     return stretch
 
 
-def windows_of_stretches(starts: Starts) -> list[list[str]]:
-    """Names of the windows that contain each stretch, by stretch number."""
+def windows_of_stretches(
+    starts: Starts, windows: Sequence[str] = WINDOWS
+) -> list[list[str]]:
+    """Names of those windows that contain each stretch, by stretch number."""
     cuts = _cuts(starts)
 
     def contains(window: str, number: int) -> bool:
@@ -106,7 +116,7 @@ def windows_of_stretches(starts: Starts) -> list[list[str]]:
         return day is not None and cuts.index(day) < number
 
     return [
-        [window for window in WINDOWS if contains(window, number)]
+        [window for window in windows if contains(window, number)]
         for number in range(len(cuts) + 1)
     ]
 

@@ -20,16 +20,17 @@ from tallymill.functions.keywords import KNOWN_MERCHANTS, MIN_LENGTH, keywords
 from tallymill.functions.keywords import matches, merchant_keywords
 from tallymill.functions.windows import (
     ALL_TIME,
+    WINDOWS,
     Starts,
     first_days,
-    in_window,
     start_of,
     stretch_of,
     window_of,
     windows_of_stretches,
     windows_with,
+    within,
 )
-from tallymill.operators.questions import distinct_asks, parse_questions
+from tallymill.operators.questions import distinct_asks, parse_questions, windows_asked
 from tallymill.operators.skew import salted_join
 from tallymill.session import materialize
 
@@ -42,22 +43,27 @@ def _filled(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def window_cells(txns: DataFrame, starts: Starts) -> DataFrame:
-    """(window, category, merchant, amount, rows) of all windows a pair has rows in.
+def window_cells(
+    txns: DataFrame, starts: Starts, windows: Sequence[str] = WINDOWS
+) -> DataFrame:
+    """(window, category, merchant, amount, rows) of those windows a pair has rows in.
 
     One pass over date, category, merchant and amount. Rows are first summed per stretch
     of time, map-side too, so a pair that holds most of the rows is a few rows per task
     before the shuffle. Windows are then put together from stretches.
     """
-    stretches = txns.groupBy(
+    stretches = within(txns, windows, starts).groupBy(
         _filled("category").alias("category"),
         _filled("merchant").alias("merchant"),
         stretch_of(F.col("date"), starts).alias("stretch"),
     ).agg(F.sum("amount").alias("amount"), F.count("*").alias("rows"))
-    windows = F.array(
-        *[F.array(*[F.lit(w) for w in names]) for names in windows_of_stretches(starts)]
+    names = F.array(
+        *[
+            F.array(*[F.lit(w) for w in some]).cast("array<string>")
+            for some in windows_of_stretches(starts, windows)
+        ]
     )
-    in_windows = F.explode(F.get(windows, F.col("stretch"))).alias("window")
+    in_windows = F.explode(F.get(names, F.col("stretch"))).alias("window")
     return (
         stretches.select(in_windows, *CELL, "amount", "rows")
         .groupBy("window", *CELL)
@@ -104,10 +110,9 @@ def _found(asks: DataFrame, cells: DataFrame, side: str, words: str) -> DataFram
     are longer than a gram. The values of one gram, say a very common word, are spread
     over several tasks.
     """
-    # Every cell has rows in the window of all time.
-    values = cells.filter(F.col("window") == ALL_TIME).select(F.col(side).alias("value"))
+    values = cells.select(F.col(side).alias("value")).distinct()
     candidates = salted_join(
-        _with_grams(values.distinct()),
+        _with_grams(values),
         _needles(asks, words),
         ["gram"],
         spread_by=[F.col("value")],
@@ -146,7 +151,8 @@ def matching_transactions(
     parsed = parse_questions(questions, known)
     starts = first_days(txns)
     asks = materialize(distinct_asks(parsed), "asks")
-    cells = materialize(window_cells(txns, starts), "cells")
+    windows = windows_asked(asks)
+    cells = materialize(window_cells(txns, starts, windows), "cells")
     kept = materialize(ask_cells(asks, cells).select(*ASK, *CELL), "kept")
 
     asked = parsed.select("question_id", *ASK)
@@ -157,7 +163,7 @@ def matching_transactions(
     )
 
     row = [F.col(name) for name in txns.columns]
-    keyed = txns.select(
+    keyed = within(txns, windows, starts).select(
         F.struct(*row).alias("txn"),
         F.col("date").alias("_date"),
         _filled("category").alias("category"),
@@ -172,8 +178,8 @@ def matching_transactions(
     )
 
     needed = without_hits.agg(F.collect_set("window")).scalar()
-    windows = F.array_intersect(windows_with(F.col("_date"), starts), needed)
-    window_rows = keyed.select("txn", F.explode(windows).alias("window"))
+    lies_in = F.array_intersect(windows_with(F.col("_date"), starts), needed)
+    window_rows = keyed.select("txn", F.explode(lies_in).alias("window"))
     fallback_rows = salted_join(
         window_rows, without_hits, ["window"], spread_by=spread
     ).select("question_id", (F.col("needle") != "").alias("used_fallback"), "txn")
@@ -200,7 +206,7 @@ def transactions_for(
     )
     inside = txns
     if window != ALL_TIME:
-        inside = txns.filter(in_window(F.col("date"), window, first_days(txns)))
+        inside = within(txns, [window], first_days(txns))
     if not found:
         return inside.withColumn("used_fallback", F.lit(False))
 

@@ -41,3 +41,8 @@ def parse_questions(
 def distinct_asks(parsed: DataFrame) -> DataFrame:
     """(needle, window, keywords, merchant_keywords), each ask once."""
     return parsed.select("needle", "window", "keywords", "merchant_keywords").distinct()
+
+
+def windows_asked(asks: DataFrame) -> list[str]:
+    """Names of the windows in use, nine at most."""
+    return [window for (window,) in asks.select("window").distinct().collect()]

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.keywords import KNOWN_MERCHANTS
 from tallymill.functions.money import spent_sentence
-from tallymill.functions.windows import Starts, first_days
+from tallymill.functions.windows import Starts, first_days, within
 from tallymill.operators.grounding import ground_asks
 from tallymill.operators.matching import ASK, ask_cells, window_cells
-from tallymill.operators.questions import clean_questions, distinct_asks, parse_questions
+from tallymill.operators.questions import (
+    clean_questions,
+    distinct_asks,
+    parse_questions,
+    windows_asked,
+)
 from tallymill.operators.skew import salted_join
 from tallymill.operators.summary import TOP_MERCHANTS, category_breakdown
 from tallymill.operators.summary import top_merchants, totals
@@ -27,8 +32,9 @@ TOTALS = ("total_spend", "total_income", "net", "transaction_count")
 class AnswerBook:
     """Everything the summaries of a question table are read from.
 
-    ``asked`` holds each distinct ask once, ``cells`` is the transactions table reduced
-    to window, category and merchant, and ``kept`` are the cells each ask keeps. All
+    ``txns`` are the transactions that lie in any window asked for. ``asked`` holds each
+    distinct ask once, ``cells`` is the transactions table reduced to window, category
+    and merchant, and ``kept`` are the cells each ask keeps. The last
     three are written to the shared folder: the big table is read once however many
     summaries are asked for, and later joins know the sizes of their sides.
     """
@@ -50,9 +56,10 @@ class AnswerBook:
         parsed = parse_questions(questions, known)
         starts = first_days(txns)
         asked = materialize(distinct_asks(parsed), "asks")
-        cells = materialize(window_cells(txns, starts), "cells")
+        windows = windows_asked(asked)
+        cells = materialize(window_cells(txns, starts, windows), "cells")
         kept = materialize(ask_cells(asked, cells), "kept")
-        return cls(txns, starts, parsed, asked, cells, kept)
+        return cls(within(txns, windows, starts), starts, parsed, asked, cells, kept)
 
     def asks(self) -> DataFrame:
         """Distinct (needle, window) with totals and whether any row was matched."""

@@ -145,6 +145,21 @@ def test_a_question_without_rows_is_answered_with_zeros(spark):
     assert book.top_merchants().isEmpty()
 
 
+def test_only_asked_windows_are_read(spark, tmp_path):
+    path = str(tmp_path / "txns")
+    frame(spark, make_rows(6)).write.parquet(path)
+    stored = spark.read.parquet(path)
+    recent = asked(spark, ["groceries this month", "dining this week", "zzz this month"])
+    book = AnswerBook.open(recent, stored)
+    assert {r.window for r in book.cells.select("window").collect()} == {"this month", "this week"}
+    for plan in (plan_of(book.txns), plan_of(matching_transactions(recent, stored))):
+        assert "GreaterThanOrEqual(date,2024-03-01)" in plan
+    for row in book.summaries().collect():
+        query = ["groceries this month", "dining this week", "zzz this month"][row.question_id]
+        matched, fallback = brute.matching(query, make_rows(6), set(KNOWN_MERCHANTS))
+        assert row.net == brute.summary(matched)["net"] and row.used_fallback == fallback
+
+
 def test_long_and_repeated_questions(spark):
     rows = make_rows(3, 60)
     filler = " ".join(f"{a}{b}q" for a in "bcdfgh" for b in "bcdfghjklm")

@@ -12,6 +12,7 @@ from tallymill.functions.windows import (
     window_of,
     windows_of_stretches,
     windows_with,
+    within,
 )
 
 DAY = dt.date
@@ -60,6 +61,8 @@ def test_a_table_without_dates_has_empty_windows(spark):
     kept = {w: txns.filter(in_window(F.col("date"), w, starts)).count() for w in WINDOWS}
     assert kept == {w: int(w == "all") for w in WINDOWS}
     assert windows_of_stretches(starts) == [["all"]]
+    assert within(txns, ["today"], starts).isEmpty()
+    assert within(txns, ["today", "all"], starts).count() == 1
 
 
 def test_first_phrase_in_order_wins(spark):
@@ -86,6 +89,7 @@ def test_stretches_and_window_lists_agree_with_single_windows(spark):
         number = [window in names for names in windows_of_stretches(starts)].index(True)
         by_stretch = stretch_of(date, starts) >= number
         by_list = F.array_contains(windows_with(date, starts), window)
+        assert within(txns, [window], starts).count() == txns.filter(inside).count()
         start = start_of(F.lit(window), starts)
         by_start = F.coalesce(date >= start, F.lit(window == "all"))
         wrong = txns.filter((inside != by_stretch) | (inside != by_list) | (inside != by_start))
