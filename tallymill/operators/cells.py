@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymill.operators.nearest import best_of_tile, ranked, tiles
+from tallymill.operators.nearest import best_of_tile, ranked, tiles, unit_rows
 from tallymill.session import materialize
 
 PIVOTS = 64
@@ -25,25 +25,33 @@ BLOCK = 1024  # rows of one packed block
 SLACK = 1e-9
 
 
-def _choose_pivots(units: DataFrame, pivots: int) -> np.ndarray:
+def _choose_pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
     """A fixed number of index vectors, picked by the hash of their id."""
-    rows = units.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
-    return np.stack(rows["unit"].to_numpy())
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
+    return unit_rows(rows["embedding"])
 
 
-def _with_cell(units: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the angle to it."""
+def _with_cell(vectors: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
+    """(key, unit, cell, angle): scaled vectors, nearest pivot and the angle to it."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                cosines = np.stack(batch["unit"].to_numpy()) @ pivots.T
+                units = unit_rows(batch["embedding"])
+                cosines = units @ pivots.T
                 cell = cosines.argmax(axis=1)
                 nearest = np.clip(cosines[np.arange(len(batch)), cell], -1.0, 1.0)
-                yield batch.assign(cell=cell, angle=np.arccos(nearest))
+                yield pd.DataFrame(
+                    {
+                        key: batch[key],
+                        "unit": list(units),
+                        "cell": cell,
+                        "angle": np.arccos(nearest),
+                    }
+                )
 
-    schema = T.StructType([*units.schema.fields]).add("cell", "long").add("angle", "double")
-    return units.mapInPandas(assign, schema)
+    schema = T.StructType([vectors.schema[key]]).add("unit", T.ArrayType(T.DoubleType()))
+    return vectors.mapInPandas(assign, schema.add("cell", "long").add("angle", "double"))
 
 
 def _blocks(placed: DataFrame, rows: int) -> DataFrame:
@@ -104,23 +112,23 @@ def _search(
 
 
 def cell_candidates(
-    query_units: DataFrame,
-    units: DataFrame,
+    queries: DataFrame,
+    vectors: DataFrame,
     k: int,
     schema: T.StructType,
     pivots: int = PIVOTS,
 ) -> DataFrame:
-    if units.isEmpty():
-        return units.sparkSession.createDataFrame([], schema)
-    centers = _choose_pivots(units, pivots)
-    placed = materialize(_with_cell(units, centers), "placed")
+    if vectors.isEmpty():
+        return vectors.sparkSession.createDataFrame([], schema)
+    centers = _choose_pivots(vectors, pivots)
+    placed = materialize(_with_cell(vectors, "id", centers), "placed")
     radius = np.full(len(centers), -np.inf)
     for cell, widest in placed.groupBy("cell").agg(F.max("angle")).collect():  # one per pivot
         radius[cell] = widest
     blocks = _blocks(placed, BLOCK)
     index_blocks = materialize(_packed(placed, "id", blocks), "index-blocks")
 
-    at_home = materialize(_with_cell(query_units, centers), "at-home")
+    at_home = materialize(_with_cell(queries, "query_id", centers), "at-home")
     home = materialize(_search(at_home, index_blocks, blocks, k, schema), "home")
     worst_kept = ranked(home, k).filter(F.col("rank") == k)
     to_beat = worst_kept.select("query_id", F.col("similarity").alias("to_beat"))
@@ -137,7 +145,7 @@ def cell_candidates(
                 row, cell = np.nonzero(useful)
                 yield batch.iloc[row][["query_id", "unit"]].assign(cell=cell)
 
-    schema_of_visits = T.StructType([*query_units.schema.fields]).add("cell", "long")
+    schema_of_visits = at_home.select("query_id", "unit", "cell").schema
     visits = at_home.join(to_beat, "query_id", "left").mapInPandas(reachable, schema_of_visits)
     away = _search(materialize(visits, "visits"), index_blocks, blocks, k, schema)
     return home.unionByName(away)
