@@ -31,7 +31,7 @@ from tallymill.functions.windows import (
     within,
 )
 from tallymill.operators.questions import distinct_asks, parse_questions, windows_asked
-from tallymill.operators.skew import salted_join
+from tallymill.operators.skew import crowded_join, crowded_keys, salted_join
 from tallymill.session import materialize
 
 LONGEST_GRAM = 6
@@ -169,10 +169,11 @@ def matching_transactions(
         _filled("category").alias("category"),
         _filled("merchant").alias("merchant"),
     )
-    spread = [F.col("txn")]
     start = start_of(F.col("window"), starts)
+    pair_sizes = cells.groupBy(*CELL).agg(F.max("rows").alias("rows"))
+    window_sizes = cells.groupBy("window").agg(F.sum("rows").alias("rows"))
     hit_rows = (
-        salted_join(keyed, with_hits, CELL, spread_by=spread)
+        crowded_join(keyed, with_hits, CELL, crowded_keys(pair_sizes, CELL))
         .filter((F.col("window") == ALL_TIME) | (F.col("_date") >= start))
         .select("question_id", F.lit(False).alias("used_fallback"), "txn")
     )
@@ -180,8 +181,8 @@ def matching_transactions(
     needed = without_hits.agg(F.collect_set("window")).scalar()
     lies_in = F.array_intersect(windows_with(F.col("_date"), starts), needed)
     window_rows = keyed.select("txn", F.explode(lies_in).alias("window"))
-    fallback_rows = salted_join(
-        window_rows, without_hits, ["window"], spread_by=spread
+    fallback_rows = crowded_join(
+        window_rows, without_hits, ["window"], crowded_keys(window_sizes, ["window"])
     ).select("question_id", (F.col("needle") != "").alias("used_fallback"), "txn")
 
     return hit_rows.unionByName(fallback_rows).select(

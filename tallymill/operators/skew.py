@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+CROWDED_KEYS = 10_000
+ROWS_PER_SALT = 1_000_000
 
 
 def salted_join(
@@ -28,3 +30,34 @@ def salted_join(
     every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     repeated = small.withColumn("_salt", every_salt)
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def crowded_keys(sizes: DataFrame, on: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """(*on, salts): keys of sizes(*on, rows) with more rows than one task should take.
+
+    A salt stands for at least a ``CROWDED_KEYS``-th part of all rows, so there are never
+    more than that many crowded keys.
+    """
+    (total,) = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()
+    share = max(rows_per_salt, int(total) // CROWDED_KEYS)
+    salts = F.ceil(F.col("rows") / F.lit(share)).cast("long").alias("_salts")
+    return sizes.filter(F.col("rows") > share).select(*on, salts)
+
+
+def crowded_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], crowded: DataFrame
+) -> DataFrame:
+    """Inner equi-join that spreads the rows of each crowded key by the key's size.
+
+    Rows of other keys are neither salted nor repeated. The salt includes the input
+    partition, which stays the same when a task is repeated: copies of one row are
+    spread as well.
+    """
+    # At most CROWDED_KEYS rows.
+    keys = F.broadcast(crowded)
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
+    row = F.xxhash64(*big.columns, F.spark_partition_id())
+    spread = big.join(keys, list(on), "left").withColumn("_salt", F.pmod(row, salts))
+    repeated = small.join(keys, list(on), "left").withColumn("_salt", every_salt)
+    return spread.drop("_salts").join(repeated.drop("_salts"), [*on, "_salt"]).drop("_salt")

@@ -34,9 +34,9 @@ class AnswerBook:
 
     ``txns`` are the transactions that lie in any window asked for. ``asked`` holds each
     distinct ask once, ``cells`` is the transactions table reduced to window, category
-    and merchant, and ``kept`` are the cells each ask keeps. The last
-    three are written to the shared folder: the big table is read once however many
-    summaries are asked for, and later joins know the sizes of their sides.
+    and merchant, and ``kept`` are the cells each ask keeps. These three are written to
+    the shared folder: the big table is read once however many summaries are asked for,
+    and later joins know the sizes of their sides.
     """
 
     txns: DataFrame

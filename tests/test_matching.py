@@ -9,6 +9,7 @@ import brute
 from conftest import plan_of
 from tallymill.functions.keywords import KNOWN_MERCHANTS
 from tallymill.operators.matching import matching_transactions, newest_first, transactions_for
+from tallymill.operators.skew import crowded_keys
 from tallymill.operators.summary import category_breakdown, top_merchants, totals
 from tallymill.plans.answers import AnswerBook
 
@@ -82,6 +83,16 @@ def test_rows_of_many_questions(spark, case):
         assert {r.used_fallback for r in mine} <= {fallback}, query
 
 
+def test_rows_when_every_key_is_crowded(spark, case, monkeypatch):
+    rows, txns, known = case
+    monkeypatch.setattr(crowded_keys, "__defaults__", (3,))
+    found = matching_transactions(asked(spark), txns.repartition(4), known).collect()
+    for number, query in enumerate(QUESTIONS):
+        expected, _ = brute.matching(query, rows, set(known))
+        mine = [r.note for r in found if r.question_id == number]
+        assert sorted(mine) == sorted(r["note"] for r in expected), query
+
+
 def test_rows_of_one_question(spark, case):
     rows, txns, known = case
     for query in QUESTIONS[:8]:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators.skew import SALTS, salted_join
+from tallymill.operators.skew import SALTS, crowded_join, crowded_keys, salted_join
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -21,3 +21,32 @@ def test_one_key_is_spread_over_all_salts(spark):
     counts = [row["count"] for row in salts.collect()]
     assert len(counts) == SALTS
     assert max(counts) < 2 * 5000 / SALTS
+
+
+def test_crowded_join_equals_plain_join(spark):
+    big = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20).alias("k"),
+        (F.col("id") % 2).alias("v"),
+    ).repartition(3)
+    small = spark.createDataFrame([(0, "a"), (0, "b"), (5, "c"), (99, "d")], "k long, w string")
+    sizes = big.groupBy("k").agg(F.count("*").alias("rows"))
+    crowded = crowded_keys(sizes, ["k"], rows_per_salt=50)
+    assert {r.k: r["_salts"] for r in crowded.collect()} == {0: 7}
+    joined = crowded_join(big, small, ["k"], crowded)
+    plain = big.join(small, ["k"])
+    assert sorted(map(str, joined.select("k", "v", "w").collect())) == sorted(
+        map(str, plain.select("k", "v", "w").collect())
+    )
+
+
+def test_there_is_a_bound_on_crowded_keys(spark, monkeypatch):
+    monkeypatch.setattr("tallymill.operators.skew.CROWDED_KEYS", 3)
+    sizes = spark.createDataFrame([(n, 10) for n in range(9)] + [(9, 60)], "k long, rows long")
+    crowded = crowded_keys(sizes, ["k"], rows_per_salt=1)
+    assert [tuple(r) for r in crowded.collect()] == [(9, 2)]
+
+
+def test_copies_of_one_row_are_spread(spark):
+    copies = spark.range(0, 4000, 1, 40).select(F.lit(1).alias("k"))
+    salts = copies.select(F.pmod(F.xxhash64("k", F.spark_partition_id()), F.lit(4)).alias("s"))
+    assert salts.distinct().count() == 4
