@@ -5,14 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import decontaminate, jaccard_join, mixing, quality_rules, token_files
+from tallymill.llm import (
+    decontaminate,
+    jaccard_join,
+    language_id,
+    mixing,
+    pairwise_quality,
+    quality_rules,
+    secrets,
+    suffix_index,
+    token_counts,
+    token_files,
+)
 from tallymill.llm.common import table
+from tallymill.llm.oracle import OP1, OP4, OP9
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def _fold(key: str, folds: int) -> Column:
+    """The fold of a key, null for a null key."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +47,23 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_index.without_repeats(table(spark, folder, "documents"), carry=["doc_id"])
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.found_secrets(table(spark, folder, "documents"), carry=["doc_id"])
+    return found.select(
+        "row.doc_id",
+        secrets.n_of("assign").alias("n_assign"),
+        secrets.n_of("access").alias("n_access"),
+        secrets.n_of("hex").alias("n_hex"),
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     found = decontaminate.hits(docs, items, carry=["doc_id"])
@@ -55,6 +90,24 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    ranker = pairwise_quality.learn(docs, labels, _fold("doc_id", 5) != 0)
+    return pairwise_quality.scored(docs, ranker, carry=["doc_id"]).select(
+        "row.doc_id",
+        F.coalesce(_fold("row.doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        "predicted",
+    )
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return token_counts.token_counts(docs, PIECES, carry=["doc_id"]).select(
+        "row.doc_id", "n_words", "n_tokens"
+    )
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_table(table(spark, folder, "documents"), WORD_BPE)
 
@@ -66,15 +119,32 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.identify(docs, _fold("doc_id", 3) != 1, carry=["doc_id"])
+    return found.select(
+        "row.doc_id",
+        F.coalesce(_fold("row.doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+        "rejected",
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_secret_scan": op3_secret_scan,
         "op4_decontaminate": op4_decontaminate,
         "op5_mix_sources": op5_mix_sources,
+        "op6_pairwise_quality": op6_pairwise_quality,
+        "op7_token_counts": op7_token_counts,
         "op8_token_files": op8_token_files,
         "op9_jaccard_join": op9_jaccard_join,
+        "op10_language_id": op10_language_id,
     }
 
 
 def llm_oracle() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": OP1, "op4_decontaminate": OP4, "op9_jaccard_join": OP9}

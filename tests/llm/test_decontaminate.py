@@ -1,0 +1,102 @@
+import random
+import re
+
+import pytest
+
+from tallymill.llm import decontaminate
+from tests.llm.conftest import SCHEMA, odd_rows
+
+ITEMS = "item_id long, text string"
+
+
+def words_of(text):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def brute(text, items):
+    words, hit, names = words_of(text), set(), set()
+    for item, value in items:
+        own = words_of(value)
+        size = min(10, len(own))
+        windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if own else set()
+        for i in range(len(words) - size + 1):
+            if tuple(words[i : i + size]) in windows:
+                names.add("null" if item is None else str(item))
+                hit |= set(range(i, i + size))
+    return len(words), len(hit), sorted(names)
+
+
+def found_in(docs, items, **more):
+    rows = decontaminate.hits(docs, items, **more).collect()
+    return [
+        (row["row"].text, row.n_words, sum(b - a for a, b in row.runs), row["items"])
+        for row in rows
+    ]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    chance = random.Random(5)
+    letters = ["a", "b", "C", "dé"]
+    items = [(i, " ".join(chance.choice(letters) for _ in range(n))) for i, n in enumerate((25, 14, 10, 30))]
+    items += [(4, "b, c; a"), (5, "Zz"), (None, "a a a a b"), (6, ""), (7, None), (1, "c c c c c c")]
+    docs = []
+    for i in range(40):
+        words = [chance.choice([*letters, "zz", "other"]) for _ in range(chance.randrange(80))]
+        at = chance.randrange(len(words) + 1)
+        words[at:at] = items[chance.randrange(4)][1].upper().split()[: chance.randrange(16)]
+        docs.append((i, chance.choice([" ", ", ", "\n"]).join(words), "en", "s", 1))
+    return items, docs
+
+
+def test_hits_equal_brute_force(spark, texts):
+    items, docs = texts
+    found = found_in(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS))
+    assert len(found) == len(docs)
+    for text, *rest in found:
+        assert tuple(rest) == brute(text, items)
+    assert any(row[2] for row in found)
+
+
+def test_blocks_and_pieces_change_nothing(spark, texts, monkeypatch):
+    items, docs = texts
+    docs, benchmark = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS)
+    whole = found_in(docs, benchmark)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    assert len(decontaminate.matchers(spark, benchmark)) > 2
+    assert sorted(found_in(docs, benchmark)) == sorted(whole)
+
+
+def test_long_items_are_cut_into_pieces_with_all_windows(monkeypatch):
+    words = [f"w{i}".encode() for i in range(57)]
+    pieces = [("i", False, words[at : at + 20]) for at in range(0, 48, 11)]
+    matcher = decontaminate.Matcher(pieces, 10)
+    assert matcher.find(words) == ([(0, 57)], {"i"})
+    assert matcher.find(words[3:12]) == ([], set())
+
+
+def test_contaminated_spans_go_and_full_documents_too(spark):
+    item = " ".join(f"t{i}" for i in range(12))
+    clean = " ".join(f"c{i}" for i in range(30))
+    docs = spark.createDataFrame(
+        [(1, f"{clean}. {item.upper()}! {clean}", "en", "s", 1), (2, item, "en", "s", 1), (3, clean, "en", "s", 1)],
+        SCHEMA,
+    )
+    found = decontaminate.hits(docs, spark.createDataFrame([(1, item)], ITEMS))
+    left = {row["row"].doc_id: row.text for row in decontaminate.removed(found).collect()}
+    assert left == {1: f"{clean}. ! {clean}", 3: clean}
+    strict = decontaminate.removed(found, most_run=11)
+    assert [row["row"].doc_id for row in strict.collect()] == [3]
+
+
+def test_odd_documents(spark, odd, nothing):
+    items = [(1, "short"), (2, "héllo 世界")]
+    benchmark = spark.createDataFrame(items, ITEMS)
+    found = found_in(odd, benchmark)
+    assert len(found) == len(odd_rows())
+    for text, *rest in found:
+        assert tuple(rest) == brute(text, items)
+    assert found_in(nothing, benchmark) == []
+    empty = spark.createDataFrame([], ITEMS)
+    assert all(row[2] == 0 for row in found_in(odd, empty))
