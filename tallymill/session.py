@@ -56,3 +56,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that :func:`materialize` wrote, once nobody reads it."""
+    spark = df.sparkSession
+    own = f"{shared_folder(spark)}/tallymill/"
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if _plain(own) not in _plain(folder):
+            raise ValueError(f"{folder} is not a table of materialize()")
+        _delete(spark, folder)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every intermediate table below the shared folder, of all sessions."""
+    _delete(spark, f"{shared_folder(spark)}/tallymill")
+
+
+def _plain(path: str) -> str:
+    return path.replace("file://", "file:").replace("file:", "")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
