@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.text import find_all
 
+# How the log writes a round trip and a step.
+ROUND_TRIP_FORMAT = "round_trip=%.3fs"
+STEP_FORMAT = "%s: %.3fs"
 STEP = r"([^|:]+): (\d+\.\d{3})s"
 
 
@@ -17,11 +20,11 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def step_text(step: Column, seconds: Column) -> Column:
-    return F.format_string("%s: %.3fs", step, seconds)
+    return F.format_string(STEP_FORMAT, step, seconds)
 
 
 def round_trip_text(seconds: Column) -> Column:
-    return F.format_string("round_trip=%.3fs", seconds)
+    return F.format_string(ROUND_TRIP_FORMAT, seconds)
 
 
 def round_trip_of(line: Column) -> Column:

@@ -10,7 +10,8 @@ from tallymill.schemas import MONEY
 
 def parse_date(text: Column) -> Column:
     """ISO date; anything else, the empty text included, is unknown."""
-    return F.try_to_date(text, "yyyy-MM-dd")
+    # An empty text is no date either, but costs no failed parse.
+    return F.try_to_date(F.nullif(text, F.lit("")), "yyyy-MM-dd")
 
 
 def parse_amount(text: Column) -> Column:
@@ -18,23 +19,19 @@ def parse_amount(text: Column) -> Column:
     return text.try_cast(MONEY)
 
 
-def amount_from_double(value: Column) -> Column:
-    return F.when(~F.isnan(value), value).try_cast(MONEY)
-
-
 def is_income(category: Column) -> Column:
     return F.lower(F.coalesce(category, F.lit(""))) == "income"
 
 
+# The answer sentence, around total and count.
+SENTENCE = ("You spent $", " across ", " transactions.")
+
+
 def spent_sentence(total_spend: Column, transaction_count: Column) -> Column:
     """The answer sentence, from exact amounts: format patterns take no decimals."""
-    return F.concat(
-        F.lit("You spent $"),
-        total_spend.cast("decimal(38,2)").cast("string"),
-        F.lit(" across "),
-        transaction_count.cast("string"),
-        F.lit(" transactions."),
-    )
+    before, between, after = map(F.lit, SENTENCE)
+    total = total_spend.cast("decimal(38,2)").cast("string")
+    return F.concat(before, total, between, transaction_count.cast("string"), after)
 
 
 def amount_text(amount: Column) -> Column:

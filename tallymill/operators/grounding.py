@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from tallymill.functions.money import amount_text
 from tallymill.functions.text import number_tokens
 from tallymill.functions.windows import ALL_TIME, Starts, start_of
-from tallymill.operators.matching import ASK, CELL
-from tallymill.operators.skew import salted_join
+from tallymill.operators.matching import CELL, SET
+from tallymill.operators.skew import balanced_join
 from tallymill.session import materialize
 
-BROADCAST_TOKENS = 500_000
-
 # Fixed value: the reason given for an unsupported number.
 NOT_FOUND = "Answer contains numbers not found in retrieved data."
 FOUND = "Every number in the answer occurs in the retrieved data."
@@ -48,27 +46,26 @@ def _verdict(answers: DataFrame, missing: DataFrame, by: list[str]) -> DataFrame
 def grounding(answers: DataFrame, evidence: DataFrame, mode: str = "exact") -> DataFrame:
     """Check answers(question_id, answer) against evidence(question_id, evidence).
 
-    Evidence may hold any number of texts per question. Its tokens are made distinct
-    map-side and shuffled by (question, token), so a question with very much evidence
-    is spread by token.
+    Evidence may hold any number of texts per question. Of each text only the tokens that
+    the answer wants go on; the answers are computed once and stored.
     """
     by = ["question_id"]
-    wanted = answers.select(*by, F.explode(number_tokens(F.col("answer"), mode)).alias("token"))
-    given = evidence.select(
-        *by, F.explode(number_tokens(F.col("evidence"), mode)).alias("token")
-    ).distinct()
+    stored = materialize(answers, "answers")
+    wanted = stored.select(*by, F.explode(number_tokens(F.col("answer"), mode)).alias("token"))
+    lists = wanted.groupBy(*by).agg(F.collect_set("token").alias("wanted"))
+    texts = evidence.select(*by, number_tokens(F.col("evidence"), mode).alias("tokens"))
+    shared = F.explode(F.array_intersect("tokens", "wanted")).alias("token")
+    given = texts.join(lists, by).select(*by, shared).distinct()
     missing = wanted.join(given, [*by, "token"], "left_anti")
-    return _verdict(answers, missing, by)
+    return _verdict(stored, missing, by)
 
 
 def token_cells(txns: DataFrame, mode: str, wanted: DataFrame) -> DataFrame:
     """Wanted tokens of all transactions per (category, merchant), with the newest date.
 
     Every window ends on the newest date of the table, so a token occurs in a window
-    exactly if its newest date is not before the window's first day.
-
-    A short list of wanted tokens goes to the tasks that read the transactions, which
-    then hand on next to nothing. A long list is joined after the map-side grouping.
+    exactly if its newest date is not before the window's first day. ``wanted`` (token) is
+    a stored table, so Spark knows its size and how to join it.
     """
     tokens = txns.select(
         F.coalesce("category", F.lit("")).alias("category"),
@@ -76,47 +73,40 @@ def token_cells(txns: DataFrame, mode: str, wanted: DataFrame) -> DataFrame:
         "date",
         F.explode(number_tokens(evidence_text(txns), mode)).alias("token"),
     )
-    short = wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
-    if short:
-        tokens = tokens.join(F.broadcast(wanted), "token", "left_semi")
-    cells = tokens.groupBy("token", *CELL).agg(F.max("date").alias("newest"))
-    return cells if short else cells.join(wanted, "token", "left_semi")
+    present = tokens.join(wanted, "token", "left_semi")
+    return present.groupBy("token", *CELL).agg(F.max("date").alias("newest"))
 
 
-def ground_asks(
-    asks: DataFrame,
+def ground_sets(
+    sets: DataFrame,
     kept: DataFrame,
     txns: DataFrame,
     starts: Starts,
     mode: str = "exact",
 ) -> DataFrame:
-    """Check asks(needle, window, matched, answer) against the rows that answer them.
+    """Check sets(hits, window, matched, answer) against the rows that answer them.
 
     Same result as ``grounding`` over the rows of ``matching_transactions``, without
-    producing those rows: a token is supported if it occurs in one of the cells the ask
-    keeps or, for an ask that falls back to its window, in any cell.
+    producing those rows: a token is supported if it occurs in one of the cells the set
+    keeps or, for a set that falls back to its window, in any cell.
     """
     in_time = (F.col("window") == ALL_TIME) | (
         F.col("newest") >= start_of(F.col("window"), starts)
     )
-    wanted = asks.select(
-        *ASK, "matched", F.explode(number_tokens(F.col("answer"), mode)).alias("token")
+    wanted = sets.select(
+        *SET, "matched", F.explode(number_tokens(F.col("answer"), mode)).alias("token")
     )
-
-    found = token_cells(txns, mode, wanted.select("token").distinct())
-    tokens = materialize(found, "tokens")
+    listed = materialize(wanted.select("token").distinct(), "wanted-tokens")
+    tokens = materialize(token_cells(txns, mode, listed), "tokens")
     anywhere = tokens.groupBy("token").agg(F.max("newest").alias("newest"))
     # Most sums occur in no transaction at all; only the rest are looked for in cells.
-    present = wanted.join(anywhere, "token")
-    from_hits = salted_join(
-        kept.select(*ASK, *CELL),
-        present.filter("matched").select(*ASK, "token"),
-        ASK,
-        spread_by=[F.col(name) for name in CELL],
-    ).join(tokens, ["token", *CELL])
+    present = materialize(wanted.join(anywhere, "token"), "present")
+    of_matched = present.filter("matched").select(*SET, "token")
+    from_cells = balanced_join(kept.select(*SET, *CELL), of_matched, SET)
+    from_hits = from_cells.join(tokens, ["token", *CELL])
     from_window = present.filter("not matched")
 
-    key = [*ASK, "token"]
+    key = [*SET, "token"]
     supported = (
         from_hits.filter(in_time)
         .select(*key)
@@ -124,4 +114,4 @@ def ground_asks(
         .distinct()
     )
     missing = wanted.select(*key).join(supported, key, "left_anti")
-    return _verdict(asks, missing, ASK)
+    return _verdict(sets, missing, SET)

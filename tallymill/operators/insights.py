@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.money import is_income
-from tallymill.functions.windows import first_days, in_window
+from tallymill.functions.windows import first_days
 
 # Text in a merchant name or description and the category it implies.
 MERCHANT_RULES = {
@@ -52,19 +52,25 @@ def _sum(amount: Column) -> Column:
 
 
 def compare_periods(txns: DataFrame) -> DataFrame:
-    """Spend per category this month and in the last rolling month, and the change."""
+    """Spend per category this month and last month up to the same day, and the change.
+
+    The newest date of the table is today. If last month is too short to have that day, it
+    counts as a whole.
+    """
     starts = first_days(txns)
+    today, first, same_day = starts["today"], starts["this month"], starts["last month"]
+    day = F.lit(first).cast("date")
+    last = F.col("date").between(F.add_months(day, -1), F.lit(same_day).cast("date"))
+    this = F.col("date").between(day, F.lit(today).cast("date"))
 
-    def spend(window: str) -> Column:
-        return _sum(F.when(in_window(F.col("date"), window, starts), F.col("amount")))
+    def spend(within: Column) -> Column:
+        return _sum(F.when(within, F.col("amount")))
 
-    this_month, last_month = spend("this month"), spend("last month")
-    # The rolling month reaches back at least as far as the first of this month.
-    recent = _expenses(txns).filter(in_window(F.col("date"), "last month", starts))
+    recent = _expenses(txns).filter(this | last)
     return recent.groupBy(_text("category").alias("category")).agg(
-        this_month.alias("this_month"),
-        last_month.alias("last_month"),
-        (this_month - last_month).alias("change"),
+        spend(this).alias("this_month"),
+        spend(last).alias("last_month"),
+        (spend(this) - spend(last)).alias("change"),
     )
 
 
@@ -147,11 +153,15 @@ def spend_spikes(txns: DataFrame) -> DataFrame:
 
 
 def rule_category(text: Column, rules: Mapping[str, str] = MERCHANT_RULES) -> Column:
-    """Category of the first rule whose text occurs, ignoring case; null without any."""
+    """Category of the first rule whose text occurs as whole words, ignoring case.
+
+    Null without any. A word ends where letters and digits do.
+    """
     lowered = F.lower(text)
     found = F.lit(None).cast("string")
     for needle, category in reversed(rules.items()):
-        found = F.when(lowered.contains(needle), category).otherwise(found)
+        word = rf"(?<![\p{{L}}\p{{N}}])\Q{needle.lower()}\E(?![\p{{L}}\p{{N}}])"
+        found = F.when(lowered.rlike(word), category).otherwise(found)
     return found
 
 

@@ -6,12 +6,16 @@ keywords. If no row is kept, it falls back to all rows in the window.
 Everything a question tests depends on (date, category, merchant) only. The fact table
 is therefore reduced once to one cell per (category, merchant) and window; questions
 meet cells, never rows, and the number of cells does not grow with the number of rows.
-Rows are produced only by ``matching_transactions``.
+
+Most words of most questions occur in no category or merchant. Each distinct word meets the
+values once; questions with the same words that do occur, and the same window, have the same
+answer: they share a set. Whatever follows is computed once per set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +35,12 @@ from tallymill.functions.windows import (
     within,
 )
 from tallymill.operators.questions import distinct_asks, parse_questions, windows_asked
-from tallymill.operators.skew import crowded_join, crowded_keys, salted_join
+from tallymill.operators.skew import balanced_join
 from tallymill.session import materialize
 
 LONGEST_GRAM = 6
 ASK = ["needle", "window"]
+SET = ["hits", "window"]
 CELL = ["category", "merchant"]
 
 
@@ -74,16 +79,8 @@ def window_cells(
     )
 
 
-def _needles(asks: DataFrame, words: str) -> DataFrame:
-    """One row per needle and keyword, with the start of the keyword as its gram."""
-    sets = asks.filter(F.size("keywords") > 0).select("needle", words).distinct()
-    return sets.select("needle", F.explode(words).alias("keyword")).withColumn(
-        "gram", F.substring("keyword", 1, LONGEST_GRAM)
-    )
-
-
 def _with_grams(values: DataFrame) -> DataFrame:
-    """(value, text, gram): every letter sequence of a value that a gram can equal.
+    """(side, value, text, gram): every letter sequence of a value that a gram can equal.
 
     The gram of a keyword is its first ``LONGEST_GRAM`` letters, or the whole keyword if
     it is shorter. It occurs in a text exactly if it is the head of one of its tails.
@@ -93,101 +90,150 @@ def _with_grams(values: DataFrame) -> DataFrame:
     tail = F.substr("text", F.col("at"), F.lit(LONGEST_GRAM))
     heads = [F.left(tail, F.lit(size)) for size in range(MIN_LENGTH, LONGEST_GRAM + 1)]
     grams = texts.withColumn("at", at).select(
+        "side",
         "value",
         "text",
         F.length(tail).alias("longest"),
         F.posexplode(F.array(*heads)).alias("number", "gram"),
     )
     return grams.filter(F.col("number") + MIN_LENGTH <= F.col("longest")).select(
-        "value", "text", "gram"
+        "side", "value", "text", "gram"
     )
 
 
-def _found(asks: DataFrame, cells: DataFrame, side: str, words: str) -> DataFrame:
-    """(needle, value): values of one side, each once, that contain one of the words.
+def _sided(side: str, words: str) -> Column:
+    """A list of words as (side, word)."""
+    return F.transform(words, lambda word: F.struct(F.lit(side).alias("side"), word.alias("word")))
+
+
+def _sides() -> Column:
+    """Category and merchant of a cell as (side, value)."""
+    pairs = [F.struct(F.lit(side).alias("side"), F.col(side).alias("value")) for side in CELL]
+    return F.array(*pairs)
 
-    An equi-join on grams finds the candidates and ``contains`` confirms keywords that
-    are longer than a gram. The values of one gram, say a very common word, are spread
-    over several tasks.
+
+@dataclass(frozen=True)
+class WordHits:
+    """Which words occur in which values, and the sets that asks come down to.
+
+    ``found`` (side, word, value): side is ``category`` or ``merchant``. ``asks`` are the
+    distinct asks with ``words``, their (side, word) that occur somewhere, and ``hits``,
+    these as one text; it is empty if there are none.
     """
-    values = cells.select(F.col(side).alias("value")).distinct()
-    candidates = salted_join(
-        _with_grams(values),
-        _needles(asks, words),
-        ["gram"],
-        spread_by=[F.col("value")],
-    )
-    confirmed = candidates.filter(F.contains("text", F.col("keyword")))
-    return confirmed.select("needle", F.col("value").alias(side)).distinct()
 
+    found: DataFrame
+    asks: DataFrame
 
-def ask_cells(asks: DataFrame, cells: DataFrame) -> DataFrame:
-    """(needle, window, category, merchant, amount, rows): cells kept by their keywords.
 
-    ``asks`` and ``cells`` should be stored tables: their sizes are then known, and
-    Spark sends the asks to the cells as long as they are small enough for that. Cells found through their merchant leave out those found through their category, so
-    each cell appears once.
+def word_hits(asks: DataFrame, cells: DataFrame) -> WordHits:
+    """Each distinct word meets each distinct value once.
+
+    An equi-join on grams finds the candidates and ``contains`` confirms words that are
+    longer than a gram.
     """
-    asked = asks.select(*ASK)
-    categories = _found(asks, cells, "category", "keywords")
-    merchants = _found(asks, cells, "merchant", "merchant_keywords")
-    by_merchant = [F.col("merchant")]
-    through_category = salted_join(
-        cells, categories.join(asked, "needle"), ["window", "category"], by_merchant
-    )
-    # A merchant has at most one cell per category, so this key cannot be crowded.
-    through_merchant = cells.join(merchants.join(asked, "needle"), ["window", "merchant"])
-    others = salted_join(
-        through_merchant, categories, ["needle", "category"], by_merchant, "left_anti"
+    sided = F.concat(_sided("category", "keywords"), _sided("merchant", "merchant_keywords"))
+    words = asks.select("needle", F.explode(sided).alias("of")).select("needle", "of.*").distinct()
+    values = cells.select(F.explode(_sides()).alias("of")).select("of.*").distinct()
+    gram = F.substring("word", 1, LONGEST_GRAM).alias("gram")
+    wanted = words.select("side", "word", gram).distinct()
+    candidates = _with_grams(values).join(wanted, ["side", "gram"])
+    confirmed = candidates.filter(F.contains("text", F.col("word")))
+    found = materialize(confirmed.select("side", "word", "value").distinct(), "word-hits")
+
+    key = ["side", "word"]
+    hitting = words.join(found.select(*key).distinct(), key, "left_semi")
+    lists = hitting.groupBy("needle").agg(
+        F.array_sort(F.collect_list(F.struct(*key))).alias("words")
     )
-    columns = [*ASK, *CELL, "amount", "rows"]
-    return through_category.select(*columns).unionByName(others.select(*columns))
+    text = F.transform("words", lambda of: F.concat_ws(":", of["side"], of["word"]))
+    resolved = asks.select(*ASK).join(lists, "needle", "left")
+    hits = F.coalesce(F.array_join(text, " "), F.lit("")).alias("hits")
+    return WordHits(found, materialize(resolved.select(*ASK, hits, "words"), "resolved"))
+
+
+def set_cells(hits: WordHits, cells: DataFrame) -> DataFrame:
+    """(hits, window, category, merchant, amount, rows): the cells each set keeps.
+
+    A cell is looked up by its category and by its merchant; found twice it counts once.
+    """
+    sets = hits.asks.filter("hits != ''").select(*SET, "words").distinct()
+    words = sets.select(*SET, F.explode("words").alias("of")).select(*SET, "of.*")
+    kept = words.join(hits.found, ["side", "word"]).select(*SET, "side", "value").distinct()
+    values = materialize(kept, "set-values")
+    by_side = cells.select("*", F.explode(_sides()).alias("of")).select(*cells.columns, "of.*")
+    found = balanced_join(by_side, values, ["window", "side", "value"])
+    return found.dropDuplicates([*SET, *CELL]).select(*SET, *CELL, "amount", "rows")
+
+
+@dataclass(frozen=True)
+class Matches:
+    """Rows that answer questions, each set of equal answers once.
+
+    ``members``: (question_id, used_fallback, hits, window), a row for each question.
+    ``rows``: hits, window and the columns of the transactions. A set without hits is its
+    whole window. ``sizes``: (hits, window, rows), how many rows there are of each.
+    """
+
+    members: DataFrame
+    rows: DataFrame
+    sizes: DataFrame
+
+    def of_questions(self, wanted: DataFrame | None = None) -> DataFrame:
+        """The rows of each question, or of those in ``wanted`` (question_id).
+
+        Every question gets all of its rows, so the result is as large as it says.
+        """
+        members = self.members
+        if wanted is not None:
+            members = members.join(wanted.select("question_id").distinct(), "question_id", "left_semi")
+        joined = balanced_join(self.rows, members, SET, left_sizes=self.sizes)
+        return joined.select(
+            "question_id", "used_fallback", *[c for c in self.rows.columns if c not in SET]
+        )
 
 
 def matching_transactions(
     questions: DataFrame, txns: DataFrame, known: Sequence[str] = KNOWN_MERCHANTS
-) -> DataFrame:
-    """All rows that answer each question, with the question's id and ``used_fallback``."""
+) -> Matches:
+    """The rows that answer each question; ``used_fallback`` if no keyword was found."""
     parsed = parse_questions(questions, known)
     starts = first_days(txns)
     asks = materialize(distinct_asks(parsed), "asks")
     windows = windows_asked(asks)
     cells = materialize(window_cells(txns, starts, windows), "cells")
-    kept = materialize(ask_cells(asks, cells).select(*ASK, *CELL), "kept")
-
-    asked = parsed.select("question_id", *ASK)
-    by_question = [F.col("question_id")]
-    with_hits = salted_join(asked, kept, ASK, spread_by=by_question)
-    without_hits = salted_join(
-        asked, kept.select(*ASK).distinct(), ASK, spread_by=by_question, how="left_anti"
+    hits = word_hits(asks, cells)
+    kept = materialize(set_cells(hits, cells).select(*SET, *CELL, "rows"), "kept")
+
+    matched = kept.select(*SET).distinct().withColumn("matched", F.lit(True))
+    answered = hits.asks.join(matched, SET, "left").select(
+        *ASK,
+        F.when(F.col("matched"), F.col("hits")).otherwise("").alias("hits"),
+        (F.col("matched").isNull() & (F.col("needle") != "")).alias("used_fallback"),
     )
+    members = parsed.select("question_id", *ASK).join(answered, ASK)
 
-    row = [F.col(name) for name in txns.columns]
-    keyed = within(txns, windows, starts).select(
-        F.struct(*row).alias("txn"),
+    row = F.struct(*[F.col(name) for name in txns.columns]).alias("txn")
+    dated = within(txns, windows, starts)
+    keyed = dated.select(
+        row,
         F.col("date").alias("_date"),
         _filled("category").alias("category"),
         _filled("merchant").alias("merchant"),
     )
     start = start_of(F.col("window"), starts)
     pair_sizes = cells.groupBy(*CELL).agg(F.max("rows").alias("rows"))
-    window_sizes = cells.groupBy("window").agg(F.sum("rows").alias("rows"))
-    hit_rows = (
-        crowded_join(keyed, with_hits, CELL, crowded_keys(pair_sizes, CELL))
-        .filter((F.col("window") == ALL_TIME) | (F.col("_date") >= start))
-        .select("question_id", F.lit(False).alias("used_fallback"), "txn")
-    )
-
-    needed = without_hits.agg(F.collect_set("window")).scalar()
-    lies_in = F.array_intersect(windows_with(F.col("_date"), starts), needed)
-    window_rows = keyed.select("txn", F.explode(lies_in).alias("window"))
-    fallback_rows = crowded_join(
-        window_rows, without_hits, ["window"], crowded_keys(window_sizes, ["window"])
-    ).select("question_id", (F.col("needle") != "").alias("used_fallback"), "txn")
-
-    return hit_rows.unionByName(fallback_rows).select(
-        "question_id", "used_fallback", "txn.*"
+    of_sets = kept.select(*SET, *CELL)
+    hit_rows = balanced_join(keyed, of_sets, CELL, left_sizes=pair_sizes).filter(
+        (F.col("window") == ALL_TIME) | (F.col("_date") >= start)
     )
+    needed = answered.filter("hits = ''").agg(F.collect_set("window")).scalar()
+    lies_in = F.array_intersect(windows_with(F.col("date"), starts), needed)
+    window_rows = dated.select(F.lit("").alias("hits"), F.explode(lies_in).alias("window"), row)
+    rows = hit_rows.select(*SET, "txn").unionByName(window_rows).select(*SET, "txn.*")
+    whole = cells.groupBy(F.lit("").alias("hits"), "window").agg(F.sum("rows").alias("rows"))
+    sizes = kept.groupBy(*SET).agg(F.sum("rows").alias("rows")).unionByName(whole)
+    members = members.select("question_id", "used_fallback", *SET)
+    return Matches(members, rows, materialize(sizes, "set-sizes"))
 
 
 def transactions_for(

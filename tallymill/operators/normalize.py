@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.functions.money import amount_from_double, parse_date
+from tallymill.functions.money import parse_amount, parse_date
+from tallymill.schemas import MONEY
 
 # Feed category code and the category it is filed under.
 CATEGORY_OF_CODE = {
@@ -28,17 +29,20 @@ UNKNOWN_MERCHANT = "Unknown"
 def _category(code: Column, amount: Column) -> Column:
     pairs = [F.lit(text) for pair in CATEGORY_OF_CODE.items() for text in pair]
     label = F.coalesce(F.create_map(*pairs)[code], F.lit(OTHER))
-    return F.when((code == "INCOME") | (amount < 0), INCOME).otherwise(label)
+    return F.when((code == "INCOME") | F.coalesce(amount < 0, F.lit(False)), INCOME).otherwise(label)
 
 
 def normalize(feed: DataFrame) -> DataFrame:
-    """One flat transaction per record. Row-local, so it also takes a streaming frame."""
-    amount = F.coalesce(F.col("amount"), F.lit(0.0))
+    """One flat transaction per record. Row-local, so it also takes a streaming frame.
+
+    A record without an amount counts 0; an amount that is no number stays unknown.
+    """
+    amount = F.when(F.col("amount").isNull(), F.lit(0)).otherwise(parse_amount(F.col("amount")))
     code = F.col("personal_finance_category.primary")
     merchant = F.nullif(F.col("merchant_name"), F.lit(""))
     return feed.select(
         parse_date(F.col("date")).alias("date"),
         F.coalesce(merchant, F.lit(UNKNOWN_MERCHANT)).alias("merchant"),
         _category(code, amount).alias("category"),
-        amount_from_double(F.abs(amount)).alias("amount"),
+        F.abs(amount).cast(MONEY).alias("amount"),
     )

@@ -25,13 +25,15 @@ def parse_questions(
 
     Questions with equal needle and window have equal answers, so everything after
     this step works per (needle, window) and is joined back to questions at the end.
-    The needle is empty when a question has no keywords.
+    The needle is empty when a question has no keywords. A null question asks for nothing
+    in particular, like an empty one: it has no keywords and covers all time.
     """
+    text = F.coalesce("query", F.lit(""))
     parsed = questions.select(
         "question_id",
         "query",
-        window_of(F.col("query")).alias("window"),
-        keywords(F.col("query")).alias("keywords"),
+        window_of(text).alias("window"),
+        keywords(text).alias("keywords"),
     )
     return parsed.withColumn(
         "merchant_keywords", merchant_keywords(F.col("keywords"), known)

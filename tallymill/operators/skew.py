@@ -1,4 +1,9 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Joins that stay even when one key holds a large share of the rows.
+
+Where each key occurs once on one side, Spark's adaptive execution splits a crowded key by
+itself. Where a key may occur often on both sides, splitting one side is not enough: here
+both are cut, by the number of rows times the number of their partners.
+"""
 
 from __future__ import annotations
 
@@ -7,57 +12,75 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-CROWDED_KEYS = 10_000
-ROWS_PER_SALT = 1_000_000
+from tallymill.session import materialize
 
+#: A task joins about the square of this many pairs of rows of one key.
+ROWS_PER_SIDE = 1_000
 
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[Column],
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join in which the rows of one key of ``big`` are spread over several tasks.
 
-    Each row of ``big`` gets one salt and each row of ``small`` is repeated for every
-    salt, so a row of ``big`` still meets every row of its key exactly once. That holds
-    for inner, left, left_semi and left_anti joins.
-    """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    repeated = small.withColumn("_salt", every_salt)
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+def key_sizes(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """(*on, rows)"""
+    return df.groupBy(*on).agg(F.count("*").alias("rows"))
 
 
-def crowded_keys(sizes: DataFrame, on: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """(*on, salts): keys of sizes(*on, rows) with more rows than one task should take.
+def key_cuts(
+    left_sizes: DataFrame, right_sizes: DataFrame, on: Sequence[str], rows_per_side: int | None = None
+) -> DataFrame:
+    """(*on, left_cuts, right_cuts) of keys with more pairs than one task should join.
 
-    A salt stands for at least a ``CROWDED_KEYS``-th part of all rows, so there are never
-    more than that many crowded keys.
+    A side with few rows is not cut; the other is then cut by the number of pairs. So the
+    cuts of a key, and the copies they cost, grow no faster than its result.
     """
-    (total,) = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()
-    share = max(rows_per_salt, int(total) // CROWDED_KEYS)
-    salts = F.ceil(F.col("rows") / F.lit(share)).cast("long").alias("_salts")
-    return sizes.filter(F.col("rows") > share).select(*on, salts)
+    side = rows_per_side or ROWS_PER_SIDE
+    both = left_sizes.select(*on, F.col("rows").alias("n_left")).join(
+        right_sizes.select(*on, F.col("rows").alias("n_right")), list(on)
+    )
+
+    def cuts(own: str, other: str) -> Column:
+        rows = F.greatest(F.lit(float(side)), F.lit(side * side) / F.col(other))
+        return F.ceil(F.col(own) / rows).cast("long")
 
+    found = both.select(
+        *on,
+        cuts("n_left", "n_right").alias("left_cuts"),
+        cuts("n_right", "n_left").alias("right_cuts"),
+    )
+    return found.filter("left_cuts > 1 OR right_cuts > 1")
 
-def crowded_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], crowded: DataFrame
+
+def balanced_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    left_sizes: DataFrame | None = None,
+    right_sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Inner equi-join that spreads the rows of each crowded key by the key's size.
+    """Inner equi-join that deals the pairs of a crowded key to several tasks.
+
+    Each row gets a number on its own side and is repeated for each number of the other
+    side, so two rows of a key meet exactly once. The number includes the input partition,
+    which stays the same when a task is repeated: copies of one row are spread as well.
 
-    Rows of other keys are neither salted nor repeated. The salt includes the input
-    partition, which stays the same when a task is repeated: copies of one row are
-    spread as well.
+    Sizes (*on, rows) may be given where they are known; they may be too large. Else both
+    sides are counted first, so they should be stored tables. The cuts are stored: Spark
+    knows their size when it joins them.
     """
-    # At most CROWDED_KEYS rows.
-    keys = F.broadcast(crowded)
-    salts = F.coalesce("_salts", F.lit(1).cast("long"))
-    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
-    row = F.xxhash64(*big.columns, F.spark_partition_id())
-    spread = big.join(keys, list(on), "left").withColumn("_salt", F.pmod(row, salts))
-    repeated = small.join(keys, list(on), "left").withColumn("_salt", every_salt)
-    return spread.drop("_salts").join(repeated.drop("_salts"), [*on, "_salt"]).drop("_salt")
+    of_left = key_sizes(left, on) if left_sizes is None else left_sizes
+    of_right = key_sizes(right, on) if right_sizes is None else right_sizes
+    cut = materialize(key_cuts(of_left, of_right, on), "cuts")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        row = F.xxhash64(*df.columns, F.spark_partition_id())
+        numbered = df.withColumn("_row", row).join(cut, list(on), "left")
+        mine = F.pmod("_row", F.coalesce(f"{own}_cuts", F.lit(1).cast("long")))
+        theirs = F.coalesce(f"{other}_cuts", F.lit(1).cast("long")) - 1
+        return (
+            numbered.withColumn(f"_{own}", mine)
+            .withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("long"), theirs)))
+            .drop("_row", "left_cuts", "right_cuts")
+        )
+
+    joined = dealt(left, "left", "right").join(
+        dealt(right, "right", "left"), [*on, "_left", "_right"]
+    )
+    return joined.drop("_left", "_right")

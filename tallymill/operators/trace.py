@@ -1,41 +1,54 @@
 """Step durations of ordered traces.
 
 A trace may be very long, so no step is computed over a whole trace at once. Steps are
-looked at per (trace, bucket), where buckets cut a trace into stretches of time, and one
-row per bucket carries position and time over to the next bucket.
+looked at per (trace, stretch of time): an hour, or a second within hours that hold more
+than ``STEPS_PER_HOUR`` steps. One row per stretch carries position and time over.
+
+Steps without a time have no place in a trace. They are left out, of all counts as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.latency import round_trip_text, seconds_between, step_text
 
-STEPS_PER_LINE = 1000
+STEPS_PER_HOUR = 10_000
+#: Steps whose texts are put together in one task before the whole line is.
+STEPS_PER_PIECE = 1_000
+
+
+def _timed(trace: DataFrame) -> DataFrame:
+    return trace.filter(F.col("ts").isNotNull())
 
 
-def _bucketed(trace: DataFrame, bucket: str) -> DataFrame:
-    return trace.withColumn("bucket", F.date_trunc(bucket, F.col("ts")))
+def _in_stretches(trace: DataFrame, steps_per_hour: int) -> DataFrame:
+    """Steps with the start of their stretch; stretches of a trace do not overlap."""
+    timed = _timed(trace).withColumn("_hour", F.date_trunc("hour", "ts"))
+    busy = (
+        timed.groupBy("trace_id", "_hour")
+        .agg(F.count("*").alias("_steps"))
+        .filter(F.col("_steps") > steps_per_hour)
+    )
+    fine = F.when(F.col("_steps").isNotNull(), F.date_trunc("second", "ts"))
+    marked = timed.join(busy, ["trace_id", "_hour"], "left")
+    return marked.withColumn("stretch", F.coalesce(fine, "_hour")).drop("_hour", "_steps")
 
 
-def step_durations(
-    trace: DataFrame, order: Sequence[str] = ("ts", "seq"), bucket: str = "hour"
-) -> DataFrame:
+def step_durations(trace: DataFrame, steps_per_hour: int = STEPS_PER_HOUR) -> DataFrame:
     """Add position (from 1) and seconds since the previous step.
 
-    trace(trace_id, seq, step, ts) is ordered by time and then ``seq``; the first step
-    of a trace has no duration. ``bucket`` is a ``date_trunc`` unit.
+    trace(trace_id, seq, step, ts) is ordered by time and then ``seq``; the first step of a
+    trace has no duration.
     """
-    steps = _bucketed(trace, bucket)
-    key = ["trace_id", "bucket"]
-    inside = Window.partitionBy(*key).orderBy(*order)
+    steps = _in_stretches(trace, steps_per_hour)
+    key = ["trace_id", "stretch"]
+    inside = Window.partitionBy(*key).orderBy("ts", "seq")
     numbered = steps.withColumn("at", F.row_number().over(inside)).withColumn(
         "previous", F.lag("ts").over(inside)
     )
-    earlier = Window.partitionBy("trace_id").orderBy("bucket")
+    earlier = Window.partitionBy("trace_id").orderBy("stretch")
     carried = (
         steps.groupBy(*key)
         .agg(F.count("*").alias("steps"), F.max("ts").alias("last"))
@@ -58,7 +71,8 @@ def step_durations(
 def round_trips(trace: DataFrame) -> DataFrame:
     """(trace_id, steps, seconds) from first to last step; single steps are left out."""
     return (
-        trace.groupBy("trace_id")
+        _timed(trace)
+        .groupBy("trace_id")
         .agg(
             F.count("*").alias("steps"),
             seconds_between(F.min("ts"), F.max("ts")).alias("seconds"),
@@ -67,28 +81,29 @@ def round_trips(trace: DataFrame) -> DataFrame:
     )
 
 
-def latency_lines(
-    trace: DataFrame,
-    order: Sequence[str] = ("ts", "seq"),
-    bucket: str = "hour",
-    steps_per_line: int = STEPS_PER_LINE,
-) -> DataFrame:
-    """(trace_id, line, latency): the steps of a trace as text.
+def _joined(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(*by, text): the texts of a group in order."""
+    parts = F.array_sort(F.collect_list(F.struct(order, "text")))
+    texts: Column = F.transform("parts", lambda part: part["text"])
+    return rows.groupBy(*by).agg(parts.alias("parts")).select(
+        *by, F.array_join(texts, " | ").alias("text")
+    )
+
+
+def latency_lines(trace: DataFrame, steps_per_piece: int = STEPS_PER_PIECE) -> DataFrame:
+    """(trace_id, latency): the round trip and all steps of a trace as one text.
 
-    Line 0 starts with the round trip. Up to ``steps_per_line`` steps share a line; a
-    longer trace continues on further lines instead of growing one text without bound.
+    Texts are joined in pieces first, so a task sorts pieces, not steps, of a long trace.
     """
-    timed = step_durations(trace, order, bucket).filter(F.col("seconds").isNotNull())
-    line = F.floor((F.col("position") - 2) / F.lit(steps_per_line))
-    part = F.struct("position", step_text(F.col("step"), F.col("seconds")).alias("text"))
-    lines = (
-        timed.withColumn("line", line)
-        .groupBy("trace_id", "line")
-        .agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    timed = step_durations(trace).filter(F.col("seconds").isNotNull())
+    pieces = timed.select(
+        "trace_id",
+        F.floor(F.col("position") / F.lit(steps_per_piece)).alias("piece"),
+        "position",
+        step_text(F.col("step"), F.col("seconds")).alias("text"),
     )
-    head = F.when(F.col("line") == 0, F.array(round_trip_text(F.col("seconds"))))
-    texts: Column = F.transform("parts", lambda p: p["text"])
-    every = F.concat(F.coalesce(head, F.array().cast("array<string>")), texts)
-    return lines.join(round_trips(trace).select("trace_id", "seconds"), "trace_id").select(
-        "trace_id", "line", F.array_join(every, " | ").alias("latency")
+    lines = _joined(_joined(pieces, ["trace_id", "piece"], "position"), ["trace_id"], "piece")
+    return lines.join(round_trips(trace), "trace_id").select(
+        "trace_id",
+        F.concat_ws(" | ", round_trip_text(F.col("seconds")), "text").alias("latency"),
     )

@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 from tallymill.functions.keywords import KNOWN_MERCHANTS
 from tallymill.functions.money import spent_sentence
 from tallymill.functions.windows import Starts, first_days, within
-from tallymill.operators.grounding import ground_asks
-from tallymill.operators.matching import ASK, ask_cells, window_cells
+from tallymill.operators.grounding import ground_sets
+from tallymill.operators.matching import ASK, SET, set_cells, window_cells, word_hits
 from tallymill.operators.questions import (
     clean_questions,
     distinct_asks,
     parse_questions,
     windows_asked,
 )
-from tallymill.operators.skew import salted_join
+from tallymill.operators.skew import balanced_join
 from tallymill.operators.summary import TOP_MERCHANTS, category_breakdown
 from tallymill.operators.summary import top_merchants, totals
-from tallymill.session import materialize
+from tallymill.operators.trace import latency_lines
+from tallymill.session import discard, materialize
 from tallymill.sources.evaluations import append_evaluations
 
 TOTALS = ("total_spend", "total_income", "net", "transaction_count")
@@ -33,10 +34,10 @@ class AnswerBook:
     """Everything the summaries of a question table are read from.
 
     ``txns`` are the transactions that lie in any window asked for. ``asked`` holds each
-    distinct ask once, ``cells`` is the transactions table reduced to window, category
-    and merchant, and ``kept`` are the cells each ask keeps. These three are written to
-    the shared folder: the big table is read once however many summaries are asked for,
-    and later joins know the sizes of their sides.
+    distinct ask once with its set, ``cells`` is the transactions table reduced to window,
+    category and merchant, and ``kept`` are the cells each set keeps. These three are
+    written to the shared folder: the big table is read once however many summaries are
+    asked for, and later joins know the sizes of their sides.
     """
 
     txns: DataFrame
@@ -55,15 +56,21 @@ class AnswerBook:
     ) -> AnswerBook:
         parsed = parse_questions(questions, known)
         starts = first_days(txns)
-        asked = materialize(distinct_asks(parsed), "asks")
-        windows = windows_asked(asked)
+        asks = materialize(distinct_asks(parsed), "asks")
+        windows = windows_asked(asks)
         cells = materialize(window_cells(txns, starts, windows), "cells")
-        kept = materialize(ask_cells(asked, cells), "kept")
-        return cls(within(txns, windows, starts), starts, parsed, asked, cells, kept)
-
-    def asks(self) -> DataFrame:
-        """Distinct (needle, window) with totals and whether any row was matched."""
-        matched = totals(self.kept, ASK).withColumn("matched", F.lit(True))
+        hits = word_hits(asks, cells)
+        kept = materialize(set_cells(hits, cells), "kept")
+        return cls(within(txns, windows, starts), starts, parsed, hits.asks, cells, kept)
+
+    def close(self) -> None:
+        """Delete the stored tables, once no result is read from them any more."""
+        for table in (self.asked, self.cells, self.kept):
+            discard(table)
+
+    def sets(self) -> DataFrame:
+        """Distinct (hits, window) with totals, answer and whether any row was matched."""
+        matched = totals(self.kept, SET).withColumn("matched", F.lit(True))
         # At most one row per window name, nine in all.
         whole = totals(self.cells, ["window"]).withColumnsRenamed(
             {name: f"window_{name}" for name in TOTALS}
@@ -75,58 +82,63 @@ class AnswerBook:
             for name in TOTALS
         ]
         return (
-            self.asked.select(*ASK)
-            .join(matched, ASK, "left")
+            self.asked.select(*SET)
+            .distinct()
+            .join(matched, SET, "left")
             .withColumn("matched", F.coalesce("matched", F.lit(False)))
             .join(F.broadcast(whole), "window", "left")
-            .select(*ASK, "matched", *chosen)
-            .withColumn("used_fallback", ~F.col("matched") & (F.col("needle") != ""))
+            .select(*SET, "matched", *chosen)
             .withColumn("answer", spent_sentence(F.col("total_spend"), F.col("transaction_count")))
         )
 
-    def _to_questions(self, by_ask: DataFrame) -> DataFrame:
-        """Back from asks to questions; an ask may be the most popular question of all."""
+    def _to_questions(self, by_set: DataFrame) -> DataFrame:
+        """Back from sets to questions; a set may be that of most questions."""
         asked = self.parsed.select("question_id", "query", *ASK)
-        joined = salted_join(asked, by_ask, ASK, spread_by=[F.col("question_id")])
-        return joined.drop(*ASK)
+        of_set = asked.join(self.asked.drop("words"), ASK)
+        return of_set.join(by_set, SET).drop("hits", "window")
 
     def _unmatched(self) -> DataFrame:
-        """Asks that stand for their whole window: no keywords, or none matched."""
-        return self.asked.select(*ASK).join(self.kept.select(*ASK).distinct(), ASK, "left_anti")
+        """Sets that stand for their whole window: no keywords, or none matched."""
+        sets = self.asked.select(*SET).distinct()
+        return sets.join(self.kept.select(*SET).distinct(), SET, "left_anti")
 
     def _per_question(self, of_kept: DataFrame, of_window: DataFrame) -> DataFrame:
-        by_window_ask = salted_join(
-            self._unmatched(), of_window, ["window"], spread_by=[F.col("needle")]
-        )
-        return self._to_questions(of_kept.unionByName(by_window_ask)).drop("query")
+        by_window_set = self._unmatched().join(of_window, "window")
+        by_set = materialize(of_kept.unionByName(by_window_set), "by-set")
+        asked = self.parsed.select("question_id", *ASK).join(self.asked.drop("words"), ASK)
+        return balanced_join(asked, by_set, SET).drop("hits", *ASK)
+
+    def _with_fallback(self, by_question: DataFrame) -> DataFrame:
+        fallback = ~F.col("matched") & (F.col("needle") != "")
+        return by_question.withColumn("used_fallback", fallback).drop("matched", "needle")
 
     def summaries(self) -> DataFrame:
-        """One row per question, also for questions without any row."""
-        return self._to_questions(self.asks().drop("answer", "matched"))
+        """One row per question, also for questions without any row or text."""
+        return self._with_fallback(self._to_questions(self.sets().drop("answer")))
 
     def category_breakdown(self) -> DataFrame:
         """(question_id, category, spend, rank)."""
         return self._per_question(
-            category_breakdown(self.kept, ASK),
+            category_breakdown(self.kept, SET),
             category_breakdown(self.cells, ["window"]),
         )
 
     def top_merchants(self, k: int = TOP_MERCHANTS) -> DataFrame:
         """(question_id, merchant, spend, rank) with rank up to k."""
         return self._per_question(
-            top_merchants(self.kept, ASK, k),
+            top_merchants(self.kept, SET, k),
             top_merchants(self.cells, ["window"], k),
         )
 
     def answers(self) -> DataFrame:
         """(question_id, query, answer)."""
-        return self._to_questions(self.asks().select(*ASK, "answer"))
+        return self._to_questions(self.sets().select(*SET, "answer")).drop("needle")
 
     def evaluated(self, mode: str = "exact") -> DataFrame:
         """Answers with their totals and the verdict of the grounding check."""
-        asks = materialize(self.asks(), "answered")
-        checked = ground_asks(asks, self.kept, self.txns, self.starts, mode)
-        return self._to_questions(checked.drop("matched"))
+        sets = materialize(self.sets(), "answered")
+        checked = ground_sets(sets, self.kept, self.txns, self.starts, mode)
+        return self._with_fallback(self._to_questions(checked))
 
 
 def evaluation_records(evaluated: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -136,10 +148,8 @@ def evaluation_records(evaluated: DataFrame, lines: DataFrame | None = None) ->
     """
     if lines is None:
         return evaluated.select("query", "answer", "passed", "reason")
-    first = lines.filter(F.col("line") == 0).select(
-        F.col("trace_id").alias("question_id"), "latency"
-    )
-    timed = evaluated.join(first, "question_id", "left")
+    named = lines.select(F.col("trace_id").alias("question_id"), "latency")
+    timed = evaluated.join(named, "question_id", "left")
     return timed.select("query", "answer", "latency", "passed", "reason")
 
 
@@ -149,11 +159,18 @@ def answer_and_log(
     log_path: str,
     known: Sequence[str] = KNOWN_MERCHANTS,
     mode: str = "exact",
+    trace: DataFrame | None = None,
 ) -> DataFrame:
-    """Answer all questions, append their evaluations to the log, return the answers."""
+    """Answer all questions, append their evaluations to the log, return the answers.
+
+    ``trace`` holds the steps of answering, named after the questions; its latency lines
+    go to the log.
+    """
     book = AnswerBook.open(clean_questions(questions), txns, known)
     evaluated = materialize(book.evaluated(mode), "evaluated")
-    append_evaluations(evaluation_records(evaluated), log_path)
+    lines = None if trace is None else latency_lines(trace)
+    append_evaluations(evaluation_records(evaluated, lines), log_path)
+    book.close()
     return evaluated
 
 

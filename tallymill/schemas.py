@@ -28,7 +28,7 @@ SYNCED = T.StructType(
 
 FEED = T.StructType(
     [
-        T.StructField("amount", T.DoubleType()),
+        T.StructField("amount", T.StringType()),  # a number, or one written as text
         T.StructField("date", T.StringType()),
         T.StructField("merchant_name", T.StringType()),
         T.StructField(

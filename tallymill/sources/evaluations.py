@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.schemas import EVALUATION
+from tallymill.sources.feed import parsed_json, texts
 
 
 def append_evaluations(records: DataFrame, path: str) -> None:
@@ -18,6 +19,18 @@ def append_evaluations(records: DataFrame, path: str) -> None:
     records.select(*columns).write.mode("append").json(path)
 
 
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    lines = texts(spark, path, multi_line=False)
+    return lines.withColumn("record", parsed_json(F.col("body"), EVALUATION)).withColumn(
+        "ok", F.col("body").rlike(r"^\s*\{") & F.col("record._broken").isNull()
+    )
+
+
 def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
-    """All records; blank lines are skipped and older records may lack fields."""
-    return spark.read.schema(EVALUATION).json(path)
+    """All whole records; blank lines are skipped and older records may lack fields."""
+    return _parsed(spark, path).filter("ok").select(*[f"record.{n}" for n in EVALUATION.names])
+
+
+def broken_evaluations(spark: SparkSession, path: str) -> DataFrame:
+    """(body): lines of the log that are no record."""
+    return _parsed(spark, path).filter("NOT ok").select("body")

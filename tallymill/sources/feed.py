@@ -1,25 +1,84 @@
-"""Raw bank feed: nested records under the key ``transactions``."""
+"""Raw bank feed: nested records under the key ``transactions``.
+
+Whatever cannot be read is reported, never turned into a transaction: a text that is not a
+JSON object of the expected shape is rejected as a whole, and a record whose amount is no
+number is reported beside its transaction of unknown amount.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallymill.functions.money import parse_amount
 from tallymill.schemas import FEED, FEED_PAYLOAD
 
+BROKEN = "not a JSON object of the expected shape"
+NO_NUMBER = "the amount is not a number"
+
+
+def parsed_json(body: Column, schema: T.StructType) -> Column:
+    """Struct of a JSON text with ``_broken``: the text itself unless it was read in full."""
+    with_broken = T.StructType([*schema.fields]).add("_broken", T.StringType())
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    return F.from_json(body, with_broken, options)
+
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Feed records from JSON lines, one record per line."""
-    return spark.read.schema(FEED).json(path)
+def texts(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """(body): the lines that are not blank, or whole files with ``multi_line``."""
+    found = spark.read.text(path, wholetext=multi_line).select(F.col("value").alias("body"))
+    return found.filter(F.length(F.trim("body")) > 0)
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Feed records from JSON lines, one response payload per line."""
-    payloads = spark.read.schema(FEED_PAYLOAD).json(path)
-    return payloads.select(F.inline("transactions"))
+def _read(df: DataFrame, body: Column, schema: T.StructType) -> DataFrame:
+    """(body, parsed, ok); a text without content is no record."""
+    found = df.select(body.alias("body")).filter(F.length(F.trim("body")) > 0)
+    read = found.withColumn("parsed", parsed_json(F.col("body"), schema))
+    shaped = F.col("body").rlike(r"^\s*\{")
+    return read.withColumn("ok", shaped & F.col("parsed._broken").isNull())
 
 
 def records_of(df: DataFrame, payload: Column) -> DataFrame:
     """Feed records from a text column of response payloads; none if the key is absent."""
-    parsed = df.select(F.from_json(payload, FEED_PAYLOAD).alias("payload"))
-    return parsed.select(F.inline("payload.transactions"))
+    whole = _read(df, payload, FEED_PAYLOAD).filter("ok")
+    record = F.explode("parsed.transactions").alias("record")
+    return whole.select(record).filter("record IS NOT NULL").select("record.*")
+
+
+def rejects_of(df: DataFrame, payload: Column) -> DataFrame:
+    """(text, reason): broken payloads, and records whose amount is no number."""
+    read = _read(df, payload, FEED_PAYLOAD)
+    broken = read.filter("NOT ok").select(F.col("body").alias("text"), F.lit(BROKEN).alias("reason"))
+    return broken.unionByName(without_number(records_of(df, payload)))
+
+
+def without_number(records: DataFrame) -> DataFrame:
+    """(text, reason) of the records whose amount is given and no number."""
+    wrong = records.filter(F.col("amount").isNotNull() & parse_amount(F.col("amount")).isNull())
+    return wrong.select(
+        F.to_json(F.struct(*FEED.names)).alias("text"), F.lit(NO_NUMBER).alias("reason")
+    )
+
+
+def read_feed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Feed records from JSON, one record per line, or per file with ``multi_line``."""
+    read = _read(texts(spark, path, multi_line), F.col("body"), FEED)
+    return read.filter("ok").select(*[f"parsed.{name}" for name in FEED.names])
+
+
+def feed_rejects(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(text, reason): what :func:`read_feed` could not read."""
+    read = _read(texts(spark, path, multi_line), F.col("body"), FEED)
+    broken = read.filter("NOT ok").select(F.col("body").alias("text"), F.lit(BROKEN).alias("reason"))
+    return broken.unionByName(without_number(read_feed(spark, path, multi_line)))
+
+
+def read_payloads(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Feed records from response payloads, one per line, or per file with ``multi_line``."""
+    return records_of(texts(spark, path, multi_line), F.col("body"))
+
+
+def payload_rejects(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(text, reason): what :func:`read_payloads` could not read."""
+    return rejects_of(texts(spark, path, multi_line), F.col("body"))

@@ -3,12 +3,21 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tallymill.operators.normalize import normalize
+from tallymill.operators.normalize import CATEGORY_OF_CODE, normalize
 from tallymill.plans.feed import sync
 from tallymill.schemas import FEED
-from tallymill.sources.feed import read_feed, read_payloads, records_of
+from tallymill.sources.feed import (
+    BROKEN,
+    NO_NUMBER,
+    feed_rejects,
+    payload_rejects,
+    read_feed,
+    read_payloads,
+    records_of,
+)
 from tallymill.streaming.feed import stream_feed, sync_stream
 
+# The first two records and what becomes of them.
 RECORDS = [
     (12.34, "2024-06-15", "Starbucks", ("FOOD_AND_DRINK",)),
     (-1200.0, "2024-06-20", "Payroll", ("INCOME",)),
@@ -33,21 +42,50 @@ def test_normalize(spark):
 
 
 def test_all_codes(spark):
-    expected = {
-        "FOOD_AND_DRINK": "Dining",
-        "TRAVEL": "Travel",
-        "TRANSPORTATION": "Transportation",
-        "ENTERTAINMENT": "Entertainment",
-        "INCOME": "Income",
-        "HOME_IMPROVEMENT": "Housing",
-        "RENT_AND_UTILITIES": "Utilities",
-        "SHOPPING": "Shopping",
-        "HEALTH_AND_WELLNESS": "Health",
-        "SUBSCRIPTIONS": "Subscriptions",
-        "GENERAL_SERVICES": "Other",
-    }
-    feed = spark.createDataFrame([(1.0, "", code, (code,)) for code in expected], FEED)
-    assert {row.merchant: row.category for row in normalize(feed).collect()} == expected
+    codes = [*CATEGORY_OF_CODE, "GENERAL_SERVICES", "travel", None]
+    feed = spark.createDataFrame([(1.0, "", str(code), (code,)) for code in codes], FEED)
+    found = {row.merchant: row.category for row in normalize(feed).collect()}
+    assert found == {str(code): CATEGORY_OF_CODE.get(code, "Other") for code in codes}
+    assert len(CATEGORY_OF_CODE) == 10
+
+
+def test_amounts_as_text(spark):
+    amounts = ["13.75", " -2 ", "1e2", "twelve", "", None, "NaN"]
+    feed = spark.createDataFrame([(a, "", str(n), None) for n, a in enumerate(amounts)], FEED)
+    found = {row.merchant: (row.amount, row.category) for row in normalize(feed).collect()}
+    known = {n: v for n, (v, _) in found.items() if v is not None}
+    assert known == {"0": Decimal("13.75"), "1": Decimal(2), "2": Decimal(100), "5": Decimal(0)}
+    assert found["1"][1] == "Income"
+
+
+GOOD = '{"amount": "13.75", "date": "2024-01-02", "merchant_name": "A"}'
+BAD_AMOUNT = '{"amount": "twelve", "merchant_name": "B"}'
+BROKEN_TEXTS = ['{"transactions": [', "no json", "[1]", "7", "null", '{"transactions": 5}']
+
+
+def test_what_cannot_be_read_is_reported(spark, tmp_path):
+    lines = ['{"transactions": [%s, %s]}' % (GOOD, BAD_AMOUNT), "{}", "  ", *BROKEN_TEXTS]
+    (tmp_path / "payloads.json").write_text("\n".join(lines))
+    path = str(tmp_path / "payloads.json")
+    rows = normalize(read_payloads(spark, path)).collect()
+    assert [(r.merchant, r.amount) for r in rows] == [("A", Decimal("13.75")), ("B", None)]
+    rejects = payload_rejects(spark, path).collect()
+    assert sorted(r.text for r in rejects if r.reason == BROKEN) == sorted(BROKEN_TEXTS)
+    assert [("twelve" in r.text) for r in rejects if r.reason == NO_NUMBER] == [True]
+
+    (tmp_path / "records.json").write_text("\n".join([GOOD, '{"amount": 1', BAD_AMOUNT, "[]"]))
+    path = str(tmp_path / "records.json")
+    assert read_feed(spark, path).count() == 2
+    assert sorted(r.reason for r in feed_rejects(spark, path).collect()) == sorted([BROKEN, BROKEN, NO_NUMBER])
+
+
+def test_a_payload_over_many_lines(spark, tmp_path):
+    text = '{\n "transactions": [\n  %s,\n  %s\n ]\n}\n' % (GOOD, GOOD)
+    (tmp_path / "response.json").write_text(text)
+    path = str(tmp_path / "response.json")
+    assert read_payloads(spark, path, multi_line=True).count() == 2
+    assert payload_rejects(spark, path, multi_line=True).isEmpty()
+    assert read_payloads(spark, path).isEmpty()
 
 
 def test_sync_replaces_the_table(spark, tmp_path):

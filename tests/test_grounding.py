@@ -3,7 +3,6 @@ import pytest
 from conftest import plan_of
 from test_matching import QUESTIONS, asked, frame, make_rows
 from tallymill.functions.keywords import KNOWN_MERCHANTS
-from tallymill.operators import grounding as module
 from tallymill.operators.grounding import evidence_text, grounding
 from tallymill.operators.matching import matching_transactions
 from tallymill.plans.answers import (
@@ -67,10 +66,7 @@ def test_evidence_text_has_iso_dates_and_short_amounts(spark):
 
 
 @pytest.mark.parametrize("mode", ["exact", "normalized"])
-@pytest.mark.parametrize("short_list", [True, False])
-def test_answers_are_checked_as_if_all_rows_were_listed(spark, mode, short_list, monkeypatch):
-    if not short_list:
-        monkeypatch.setattr(module, "BROADCAST_TOKENS", 0)
+def test_answers_are_checked_as_if_all_rows_were_listed(spark, mode):
     rows = make_rows(7, 40)
     for number, row in enumerate(rows):
         row["note"] = f"{number % 9} of $0.00"
@@ -78,7 +74,7 @@ def test_answers_are_checked_as_if_all_rows_were_listed(spark, mode, short_list,
     book = AnswerBook.open(asked(spark), txns, KNOWN_MERCHANTS)
     evaluated = book.evaluated(mode)
     got = {r.question_id: (r.passed, r.unsupported) for r in evaluated.collect()}
-    matched = matching_transactions(asked(spark), txns, KNOWN_MERCHANTS)
+    matched = matching_transactions(asked(spark), txns, KNOWN_MERCHANTS).of_questions()
     evidence = matched.select("question_id", evidence_text(matched.select(*txns.columns)).alias("evidence"))
     listed = grounding(book.answers().drop("query"), evidence, mode)
     want = {r.question_id: (r.passed, r.unsupported) for r in listed.collect()}

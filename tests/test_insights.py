@@ -21,13 +21,21 @@ def test_compare_periods(spark):
             (DAY(2024, 3, 15), 10, "A", "m"),
             (DAY(2024, 3, 1), 5, "A", "m"),
             (DAY(2024, 2, 15), 7, "A", "m"),
-            (DAY(2024, 2, 14), 100, "A", "m"),
+            (DAY(2024, 2, 16), 1000, "A", "m"),
+            (DAY(2024, 2, 1), 2, "A", "m"),
+            (DAY(2024, 1, 31), 1000, "A", "m"),
             (DAY(2024, 3, 2), 9, "Income", "m"),
-            (DAY(2024, 2, 20), 3, None, "m"),
+            (DAY(2024, 2, 10), 3, None, "m"),
+            (DAY(2024, 2, 20), 3, "B", "m"),
         ],
     )
     rows = {r.category: tuple(r)[1:] for r in insights.compare_periods(df).collect()}
-    assert rows == {"A": (15, 22, -7), "": (0, 3, -3)}
+    assert rows == {"A": (15, 9, 6), "": (0, 3, -3)}
+
+
+def test_a_short_last_month_counts_whole(spark):
+    df = txns(spark, [(DAY(2024, 3, 31), 10, "A", "m"), (DAY(2024, 2, 29), 4, "A", "m")])
+    assert [tuple(r)[1:] for r in insights.compare_periods(df).collect()] == [(10, 4, 6)]
 
 
 def test_trend_and_spikes(spark):

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 import brute
 from conftest import plan_of
 from tallymill.functions.keywords import KNOWN_MERCHANTS
+from tallymill.operators import skew
 from tallymill.operators.matching import matching_transactions, newest_first, transactions_for
-from tallymill.operators.skew import crowded_keys
 from tallymill.operators.summary import category_breakdown, top_merchants, totals
 from tallymill.plans.answers import AnswerBook
 
@@ -75,7 +75,7 @@ def case(spark, request):
 
 def test_rows_of_many_questions(spark, case):
     rows, txns, known = case
-    found = matching_transactions(asked(spark), txns, known).collect()
+    found = matching_transactions(asked(spark), txns, known).of_questions().collect()
     for number, query in enumerate(QUESTIONS):
         expected, fallback = brute.matching(query, rows, set(known))
         mine = [r for r in found if r.question_id == number]
@@ -85,8 +85,8 @@ def test_rows_of_many_questions(spark, case):
 
 def test_rows_when_every_key_is_crowded(spark, case, monkeypatch):
     rows, txns, known = case
-    monkeypatch.setattr(crowded_keys, "__defaults__", (3,))
-    found = matching_transactions(asked(spark), txns.repartition(4), known).collect()
+    monkeypatch.setattr(skew, "ROWS_PER_SIDE", 3)
+    found = matching_transactions(asked(spark), txns.repartition(4), known).of_questions().collect()
     for number, query in enumerate(QUESTIONS):
         expected, _ = brute.matching(query, rows, set(known))
         mine = [r.note for r in found if r.question_id == number]
@@ -130,7 +130,7 @@ def test_summaries_breakdowns_and_top_merchants(spark, case):
 def test_summaries_of_rows_equal_summaries_of_cells(spark, case):
     _, txns, known = case
     by = ["question_id"]
-    matched = matching_transactions(asked(spark), txns, known)
+    matched = matching_transactions(asked(spark), txns, known).of_questions()
     book = AnswerBook.open(asked(spark), txns, known)
 
     def rows_of(df, *columns):
@@ -163,7 +163,7 @@ def test_only_asked_windows_are_read(spark, tmp_path):
     recent = asked(spark, ["groceries this month", "dining this week", "zzz this month"])
     book = AnswerBook.open(recent, stored)
     assert {r.window for r in book.cells.select("window").collect()} == {"this month", "this week"}
-    for plan in (plan_of(book.txns), plan_of(matching_transactions(recent, stored))):
+    for plan in (plan_of(book.txns), plan_of(matching_transactions(recent, stored).rows)):
         assert "GreaterThanOrEqual(date,2024-03-01)" in plan
     for row in book.summaries().collect():
         query = ["groceries this month", "dining this week", "zzz this month"][row.question_id]
@@ -182,6 +182,34 @@ def test_long_and_repeated_questions(spark):
     assert len(found) == 51
 
 
+def test_questions_that_share_their_hits_share_a_set(spark):
+    rows = make_rows(7, 80)
+    questions = [f"amazing{chr(97 + i % 26)}{chr(97 + i // 26)} dining this year" for i in range(400)]
+    questions += ["zzz this year", "yyy this year"]
+    txns = frame(spark, rows)
+    book = AnswerBook.open(asked(spark, questions), txns)
+    one = AnswerBook.open(asked(spark, questions[:1]), txns)
+    assert book.asked.count() == 402
+    assert book.kept.count() == one.kept.count() > 0
+    found = matching_transactions(asked(spark, questions), txns)
+    assert found.members.count() == 402
+    assert found.members.select("hits", "window").distinct().count() == 2
+    expected, _ = brute.matching(questions[3], rows, set(KNOWN_MERCHANTS))
+    assert found.rows.filter("hits != ''").count() == len(expected)
+    some = found.of_questions(asked(spark, questions).filter("question_id = 5"))
+    assert sorted(r.note for r in some.collect()) == sorted(r["note"] for r in expected)
+
+
+def test_a_null_question_is_one_without_keywords(spark):
+    rows = make_rows(8, 40)
+    txns, questions = frame(spark, rows), asked(spark, [None, "dining"])
+    summaries = {r.question_id: r for r in AnswerBook.open(questions, txns).summaries().collect()}
+    assert set(summaries) == {0, 1}
+    assert summaries[0].net == brute.summary(rows)["net"] and not summaries[0].used_fallback
+    mine = matching_transactions(questions, txns).of_questions().filter("question_id = 0").collect()
+    assert len(mine) == len(rows) and {r.used_fallback for r in mine} == {False}
+
+
 def test_newest_first(spark):
     rows = make_rows(4, 40)
     dates = [r.date for r in newest_first(frame(spark, rows)).collect()]
@@ -202,7 +230,7 @@ def test_plans_have_no_cross_join_and_no_python(spark, case):
     _, txns, known = case
     book = AnswerBook.open(asked(spark), txns, known)
     plans = {
-        "rows": plan_of(matching_transactions(asked(spark), txns, known)),
+        "rows": plan_of(matching_transactions(asked(spark), txns, known).rows),
         "one": plan_of(transactions_for(QUESTIONS[0], txns, known)),
         "summaries": plan_of(book.summaries()),
         "merchants": plan_of(book.top_merchants()),
@@ -211,7 +239,7 @@ def test_plans_have_no_cross_join_and_no_python(spark, case):
     for name, plan in plans.items():
         for bad in ("Cartesian", "NestedLoop", "Python", "ArrowEval"):
             assert bad not in plan, (name, bad)
-    assert "WindowGroupLimit" in plans["merchants"]
+    assert "WindowGroupLimit" in plan_of(top_merchants(book.cells, ["window"]))
     assert "Join" not in plans["one"]
 
 

@@ -2,9 +2,8 @@ import numpy as np
 import pytest
 
 from conftest import plan_of
-from tallymill.functions.vectors import cosine
-from tallymill.operators import cells
-from tallymill.operators.retrieval import context, top_k
+from tallymill.functions.vectors import has_length
+from tallymill.operators.retrieval import context, contexts_for, embed, top_k
 from pyspark.sql import functions as F
 
 INDEX = "id long, embedding array<float>"
@@ -19,8 +18,11 @@ def brute_force(queries, index, k):
         scored = []
         for doc_id, vector in index:
             d = np.asarray(vector, dtype=np.float32).astype(float)
-            length = np.linalg.norm(q) * np.linalg.norm(d)
-            similarity = round(float(q @ d / length), 12) if length else None
+            usable = all(np.isfinite(x).all() and np.abs(x).max() > 0 for x in (q, d))
+            similarity = None
+            if usable:
+                q1, d1 = q / np.abs(q).max(), d / np.abs(d).max()
+                similarity = round(float(q1 @ d1 / np.linalg.norm(q1) / np.linalg.norm(d1)), 12)
             scored.append((similarity is None, -(similarity or 0.0), doc_id))
         result[query_id] = [doc_id for _, _, doc_id in sorted(scored)[:k]]
     return result
@@ -45,10 +47,9 @@ def make(seed, n, m, dims=8, clusters=5, copies=0):
     return [(i, v.astype(np.float32).tolist()) for i, v in enumerate(wanted)], index
 
 
-@pytest.mark.parametrize("large", [False, True])
+@pytest.mark.parametrize("block", [60, 10**6])
 @pytest.mark.parametrize("seed, n, m, k, copies", [(1, 400, 30, 3, 0), (2, 300, 20, 5, 150)])
-def test_top_k_equals_brute_force(spark, monkeypatch, large, seed, n, m, k, copies):
-    monkeypatch.setattr(cells, "BLOCK", 40)
+def test_top_k_equals_brute_force(spark, block, seed, n, m, k, copies):
     queries, index = make(seed, n, m, copies=copies)
     if copies:
         queries.append((m, index[0][1]))
@@ -56,22 +57,39 @@ def test_top_k_equals_brute_force(spark, monkeypatch, large, seed, n, m, k, copi
         spark.createDataFrame(queries, QUERY),
         spark.createDataFrame(index, INDEX).repartition(3),
         k,
-        broadcast_values=0 if large else 10**6,
+        block_values=block,
     )
     assert found(result) == brute_force(queries, index, k)
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_vectors_without_length_rank_last(spark, large):
-    queries = [(1, [1.0, 0.0]), (2, [0.0, 0.0])]
-    index = [(5, [0.0, 0.0]), (6, [1.0, 0.0]), (7, [0.0, 1.0]), (4, [0.0, 0.0])]
+NAN, TINY, INF = float("nan"), 1e-45, float("inf")
+
+
+@pytest.mark.parametrize("block", [2, 100])
+def test_vectors_without_direction_rank_last(spark, block):
+    odd = [[0.0, 0.0], [NAN, 1.0], [INF, 1.0], [None, 1.0], [], None]
+    queries = [(1, [1.0, 0.0]), (2, [TINY, 0.0]), (3, [0.5, 0.5]), *[(10 + i, v) for i, v in enumerate(odd)]]
+    index = [(5, [0.0, 0.0]), (6, [1.0, 0.0]), (7, [0.0, TINY]), (4, [NAN, 0.0]), (3, [None, 2.0]), (9, None)]
     result = top_k(
         spark.createDataFrame(queries, QUERY),
         spark.createDataFrame(index, INDEX),
         3,
-        broadcast_values=0 if large else 100,
+        block_values=block,
+    )
+    want = {1: [6, 7, 3], 2: [6, 7, 3], 3: [6, 7, 3]} | {10 + i: [3, 4, 5] for i in range(len(odd))}
+    assert found(result) == want
+
+
+def test_many_queries_with_odd_vectors_equal_brute_force(spark):
+    queries, index = make(4, 200, 60)
+    for at in range(0, 60, 7):
+        queries[at][1][0] = [0.0, NAN, INF][at % 3]
+    for at in range(0, 200, 9):
+        index[at] = (at, [[0.0] * 8, [NAN] * 8, [TINY] * 8][at % 3])
+    result = top_k(
+        spark.createDataFrame(queries, QUERY), spark.createDataFrame(index, INDEX), 4, block_values=100
     )
-    assert found(result) == {1: [6, 7, 4], 2: [4, 5, 6]}
+    assert found(result) == brute_force(queries, index, 4)
 
 
 def test_empty_sides(spark):
@@ -80,7 +98,6 @@ def test_empty_sides(spark):
     no_queries = spark.createDataFrame([], QUERY)
     queries, index = spark.createDataFrame(some, QUERY), spark.createDataFrame(some, INDEX)
     assert top_k(queries, no_index).isEmpty()
-    assert top_k(queries, no_index, broadcast_values=0).isEmpty()
     assert top_k(no_queries, index).isEmpty()
 
 
@@ -90,8 +107,7 @@ def test_text_ids(spark):
         [("b", [1.0, 1.0]), ("a", [2.0, 2.0]), ("c", [1.0, 0.0])],
         "id string, embedding array<float>",
     )
-    for limit in (0, 100):
-        assert found(top_k(queries, index, 2, broadcast_values=limit)) == {"q": ["a", "b"]}
+    assert found(top_k(queries, index, 2)) == {"q": ["a", "b"]}
 
 
 def test_plan_limits_before_the_shuffle(spark):
@@ -101,10 +117,23 @@ def test_plan_limits_before_the_shuffle(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_cosine_column(spark):
-    df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0], [1.0])], "a array<float>, b array<float>")
-    one, none = [v for (v,) in df.select(cosine(F.col("a"), F.col("b"))).collect()]
-    assert one == pytest.approx(0.96) and none is None
+def test_has_length(spark):
+    rows = [([3.0, 4.0], True), ([0.0], False), ([], False), (None, False), ([1.0, None], False), ([NAN], False)]
+    df = spark.createDataFrame(rows, "v array<float>, want boolean")
+    assert all(a == b for a, b in df.select(has_length(F.col("v")), "want").collect())
+
+
+def test_question_text_to_context(spark):
+    def count_letters():
+        return lambda texts: np.array([[t.count("a"), t.count("b")] for t in texts])
+
+    docs = spark.createDataFrame(
+        [("x", "x.md", "aaab"), ("y", "y.md", "abbb"), ("z", "z.md", "")], "id string, source string, text string"
+    )
+    index = embed(docs, count_letters)
+    questions = spark.createDataFrame([(1, "bb"), (2, "aa"), (3, None)], "query_id long, text string")
+    got = {r.query_id: r.context for r in contexts_for(questions, index, count_letters, 1).collect()}
+    assert got == {1: "- y.md: abbb", 2: "- x.md: aaab", 3: "- x.md: aaab"}
 
 
 def test_context_joins_chunks_best_first(spark):

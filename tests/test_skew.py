@@ -1,52 +1,57 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators.skew import SALTS, crowded_join, crowded_keys, salted_join
+from tallymill.operators import skew
+from tallymill.operators.skew import balanced_join, key_cuts, key_sizes
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
-    big = spark.range(500).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20).alias("k"), "id"
+def sides(spark, n, m):
+    """Key 0 holds a third of both sides."""
+    left = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20).alias("k"),
+        (F.col("id") % 7).alias("v"),
+    )
+    right = spark.range(m).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 25).alias("k"),
+        (F.col("id") % 5).alias("w"),
     )
-    small = spark.createDataFrame([(0, "a"), (0, "b"), (5, "c"), (99, "d")], "k long, v string")
-    plain = big.join(small, ["k"], how)
-    salted = salted_join(big, small, ["k"], [F.col("id")], how)
-    assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+    return left.repartition(3), right.repartition(2)
 
 
-def test_one_key_is_spread_over_all_salts(spark):
-    big = spark.range(5000).withColumn("k", F.lit(1))
-    salts = big.select(F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("s")).groupBy("s").count()
-    counts = [row["count"] for row in salts.collect()]
-    assert len(counts) == SALTS
-    assert max(counts) < 2 * 5000 / SALTS
+@pytest.mark.parametrize("n, m", [(600, 4), (4, 600), (300, 300), (0, 5), (5, 0)])
+def test_balanced_join_equals_plain_join(spark, n, m, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SIDE", 10)
+    left, right = sides(spark, n, m)
+    joined = balanced_join(left, right, ["k"])
+    plain = left.join(right, ["k"])
+    assert joined.columns == plain.columns
+    assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
 
 
-def test_crowded_join_equals_plain_join(spark):
-    big = spark.range(900).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20).alias("k"),
-        (F.col("id") % 2).alias("v"),
-    ).repartition(3)
-    small = spark.createDataFrame([(0, "a"), (0, "b"), (5, "c"), (99, "d")], "k long, w string")
-    sizes = big.groupBy("k").agg(F.count("*").alias("rows"))
-    crowded = crowded_keys(sizes, ["k"], rows_per_salt=50)
-    assert {r.k: r["_salts"] for r in crowded.collect()} == {0: 7}
-    joined = crowded_join(big, small, ["k"], crowded)
-    plain = big.join(small, ["k"])
-    assert sorted(map(str, joined.select("k", "v", "w").collect())) == sorted(
-        map(str, plain.select("k", "v", "w").collect())
-    )
+def test_cuts_follow_rows_times_partners(spark):
+    def cuts(n, m):
+        one = F.lit(1).alias("k")
+        sizes = [key_sizes(spark.range(rows).select(one), ["k"]) for rows in (n, m)]
+        found = key_cuts(*sizes, ["k"], 10)
+        return [(r.left_cuts, r.right_cuts) for r in found.collect()]
+
+    assert cuts(10, 10) == [] and cuts(100, 1) == []
+    assert cuts(1000, 1) == [(10, 1)] and cuts(1, 1000) == [(1, 10)]
+    assert cuts(1000, 5) == [(50, 1)]
+    assert cuts(200, 300) == [(20, 30)]
 
 
-def test_there_is_a_bound_on_crowded_keys(spark, monkeypatch):
-    monkeypatch.setattr("tallymill.operators.skew.CROWDED_KEYS", 3)
-    sizes = spark.createDataFrame([(n, 10) for n in range(9)] + [(9, 60)], "k long, rows long")
-    crowded = crowded_keys(sizes, ["k"], rows_per_salt=1)
-    assert [tuple(r) for r in crowded.collect()] == [(9, 2)]
+def test_a_key_crowded_on_both_sides_is_cut_on_both(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SIDE", 20)
+    left, right = sides(spark, 900, 600)
+    cuts = key_cuts(key_sizes(left, ["k"]), key_sizes(right, ["k"]), ["k"])
+    cut = {r.k: (r.left_cuts, r.right_cuts) for r in cuts.collect()}
+    assert cut[0][0] >= 15 and cut[0][1] >= 10
+    parts = balanced_join(left.withColumn("k", F.lit(0)), right.withColumn("k", F.lit(0)), ["k"])
+    assert parts.count() == 900 * 600
 
 
 def test_copies_of_one_row_are_spread(spark):
     copies = spark.range(0, 4000, 1, 40).select(F.lit(1).alias("k"))
-    salts = copies.select(F.pmod(F.xxhash64("k", F.spark_partition_id()), F.lit(4)).alias("s"))
-    assert salts.distinct().count() == 4
+    parts = copies.select(F.pmod(F.xxhash64("k", F.spark_partition_id()), F.lit(4)).alias("s"))
+    assert parts.distinct().count() == 4

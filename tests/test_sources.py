@@ -1,14 +1,16 @@
 import csv
 import datetime as dt
 from decimal import Decimal
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from tallymill.operators.retrieval import index_corpus
 from tallymill.schemas import EVALUATION, SYNCED, TRANSACTION
-from tallymill.session import fresh_path, materialize, shared_folder
+from tallymill.session import discard, fresh_path, materialize, shared_folder
 from tallymill.sources.corpus import read_corpus, read_index, write_index
-from tallymill.sources.evaluations import append_evaluations, read_evaluations
+from tallymill.sources.evaluations import append_evaluations, broken_evaluations, read_evaluations
 from tallymill.sources.transactions import (
     load_transactions,
     read_csv,
@@ -112,13 +114,27 @@ def test_corpus_and_index(spark, tmp_path):
     assert index == {"01-a.b": [16.0, 2.0], "02-c": [1.0, 1.0]}
 
 
+def test_corpus_takes_every_file(spark, tmp_path):
+    docs = tmp_path / "kb"
+    docs.mkdir()
+    texts = {"a b.md": "1", "_x.md": "2\r\n", ".y.md": "3", "c+d%20.md": "4", "empty.md": "", "_none.md": ""}
+    for name, text in texts.items():
+        (docs / name).write_bytes(text.encode())
+    (docs / "_skip.txt").write_text("no")
+    found = {r.source: (r.id, r.text) for r in read_corpus(spark, str(docs)).collect()}
+    assert found == {n: (n.removesuffix(".md"), t.replace("\r\n", "\n")) for n, t in texts.items()}
+
+
 def test_evaluation_log(spark, tmp_path):
     path = tmp_path / "log"
     record = ("q", "a", "round_trip=1.000s", True, "r")
     append_evaluations(spark.createDataFrame([record], EVALUATION), str(path))
     older = spark.createDataFrame([("q2", "a2", False, "r2")], "query string, answer string, passed boolean, reason string")
     append_evaluations(older, str(path))
-    (path / "extra.json").write_text('\n{"query": "q3", "answer": "a3", "passed": false}\n\n')
+    broken = ['{"query": "q4", "ans', "[]", '{"passed": "perhaps"}']
+    whole = '{"query": "q3", "answer": "a3", "passed": false}'
+    (path / "extra.json").write_text("\n".join(["", whole, *broken, ""]))
+    assert sorted(r.body for r in broken_evaluations(spark, str(path)).collect()) == sorted(broken)
     rows = sorted((tuple(r) for r in read_evaluations(spark, str(path)).collect()), key=str)
     assert rows == [
         record,
@@ -132,3 +148,18 @@ def test_intermediate_tables_live_in_the_shared_folder(spark):
     kept = materialize(spark.range(5), "x")
     assert shared_folder(spark).removeprefix("file:") in kept.inputFiles()[0]
     assert kept.count() == 5
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    one, other = materialize(spark.range(5), "x"), materialize(spark.range(6), "x")
+    folders = [Path(df.inputFiles()[0].removeprefix("file:")).parent for df in (one, other)]
+    discard(one)
+    assert [folder.exists() for folder in folders] == [False, True]
+    assert other.count() == 6
+
+
+def test_only_intermediate_tables_are_deleted(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    with pytest.raises(ValueError):
+        discard(spark.read.parquet(str(tmp_path / "own")))
+    assert (tmp_path / "own").exists()

@@ -16,18 +16,17 @@ def trace(spark, rows):
 
 
 def test_one_trace_as_a_line(spark):
-    steps = [("start", 0.0), ("research", 0.004), ("finance", 0.005), ("editor", 4.419), ("eval", 4.79)]
+    steps = [("begin", 0.0), ("read", 0.25), ("add up", 0.375), ("write", 2.5), ("check", 4.0)]
     df = trace(spark, [("q", n, s, at) for n, (s, at) in enumerate(steps)])
     (line,) = latency_lines(df).collect()
-    assert line.line == 0
     assert line.latency == (
-        "round_trip=4.790s | research: 0.004s | finance: 0.001s | editor: 4.414s | eval: 0.371s"
+        "round_trip=4.000s | read: 0.250s | add up: 0.125s | write: 2.125s | check: 1.500s"
     )
     text = spark.createDataFrame([(line.latency,), ("",), (None,)], "t string")
     parsed = text.select(round_trip_of(F.col("t")), steps_of(F.col("t"))).collect()
-    assert parsed[0][0] == 4.79
+    assert parsed[0][0] == 4.0
     assert [tuple(s) for s in parsed[0][1]] == [
-        ("research", 0.004), ("finance", 0.001), ("editor", 4.414), ("eval", 0.371),
+        ("read", 0.25), ("add up", 0.125), ("write", 2.125), ("check", 1.5),
     ]
     assert parsed[1][0] is None and parsed[1][1] == []
 
@@ -49,8 +48,8 @@ def test_traces_across_buckets_equal_a_plain_walk(spark):
             at += rng.choice([0.0, 0.0005, 0.25, 1800.0, 9000.0])
             rows.append((name, number, f"s{rng.randrange(4)}", at))
     df = trace(spark, rows)
-    for bucket in ("minute", "hour", "day", "year"):
-        got = {(r.trace_id, r.seq): r for r in step_durations(df, bucket=bucket).collect()}
+    for steps_per_hour in (0, 3, 10_000):
+        got = {(r.trace_id, r.seq): r for r in step_durations(df, steps_per_hour).collect()}
         last = {}
         for name, number, _, at in rows:
             row = got[name, number]
@@ -63,11 +62,19 @@ def test_traces_across_buckets_equal_a_plain_walk(spark):
             last[name] = at
 
 
-def test_long_traces_continue_on_further_lines(spark):
-    df = trace(spark, [("t", n, f"s{n}", float(n)) for n in range(8)])
-    lines = [r.latency for r in latency_lines(df, steps_per_line=3).orderBy("line").collect()]
-    assert lines == [
-        "round_trip=7.000s | s1: 1.000s | s2: 1.000s | s3: 1.000s",
-        "s4: 1.000s | s5: 1.000s | s6: 1.000s",
-        "s7: 1.000s",
-    ]
+def test_a_long_trace_is_one_whole_line(spark):
+    df = trace(spark, [("t", n, f"s{n}", float(n)) for n in range(50)])
+    (line,) = latency_lines(df, steps_per_piece=7).collect()
+    assert line.latency == " | ".join(
+        ["round_trip=49.000s", *[f"s{n}: 1.000s" for n in range(1, 50)]]
+    )
+
+
+def test_steps_without_a_time_count_nowhere(spark):
+    known = trace(spark, [("t", 1, "a", 0.0), ("t", 3, "c", 2.0)])
+    lost = spark.createDataFrame([("t", 2, "b", None), ("u", 1, "x", None)], known.schema)
+    both = known.unionByName(lost)
+    got = sorted((r.seq, r.position, r.seconds) for r in step_durations(both).collect())
+    assert got == [(1, 1, None), (3, 2, 2.0)]
+    assert [(r.trace_id, r.steps, r.seconds) for r in round_trips(both).collect()] == [("t", 2, 2.0)]
+    assert [r.latency for r in latency_lines(both).collect()] == ["round_trip=2.000s | c: 2.000s"]

@@ -6,8 +6,8 @@ from tallymill.functions.keywords import KNOWN_MERCHANTS, STOP_WORDS
 from tallymill.functions.windows import PHRASES, WINDOWS
 from tallymill.operators.grounding import FOUND, NOT_FOUND
 from tallymill.operators.normalize import CATEGORY_OF_CODE
-from workload.queries import LETTERS, RULES, STEPS_PER_LINE
-from workload.tables import KNOWN, PHRASE_OF
+from workload.queries import LETTERS, RULES
+from workload.tables import KNOWN, ODD_NAMES, PHRASE_OF, RULE_MERCHANTS
 
 
 def _texts(values) -> str:
@@ -38,7 +38,7 @@ first_days AS (
 
 PART_QUESTIONS = """
 questions AS (
-  SELECT p_partkey AS question_id, CASE p_partkey % 12
+  SELECT p_partkey AS question_id, CASE WHEN p_partkey % 53 <> 0 THEN CASE p_partkey % 12
     WHEN 0 THEN 'How much did I spend on ' || split_part(p_name, ' ', 2) || ' last month'
     WHEN 1 THEN 'Spending on ' || lower(p_type) || ' this month'
     WHEN 2 THEN 'Top merchant for the last year'
@@ -50,29 +50,29 @@ questions AS (
     WHEN 8 THEN split_part(p_name, ' ', 2) || ' yesterday'
     WHEN 9 THEN 'List transactions today'
     WHEN 10 THEN 'Recent transactions at ' || p_brand
-    ELSE 'Spending on ' || p_type || ' or ' || p_name END AS query
+    ELSE 'Spending on ' || p_type || ' or ' || p_name END END AS query
   FROM part
 )"""
 
 
-def supplier_questions(what: str) -> str:
+def window_questions(what: str) -> str:
     return f"""
 questions AS (
-  SELECT s_suppkey AS question_id,
-         {what} || ' ' || {_texts(PHRASE_OF)}[CAST(s_suppkey % {len(PHRASE_OF)} + 1 AS INTEGER)]
+  SELECT p_partkey AS question_id,
+         {what} || ' ' || {_texts(PHRASE_OF)}[CAST(p_partkey % {len(PHRASE_OF)} + 1 AS INTEGER)]
            AS query
-  FROM supplier
+  FROM part
 )"""
 
 
 def parsed(known) -> str:
     windows = " ".join(
-        f"WHEN contains(lower(query), '{phrase}') THEN '{phrase}'" for phrase in PHRASES
+        f"WHEN contains(lower(coalesce(query, '')), '{phrase}') THEN '{phrase}'" for phrase in PHRASES
     )
     return f"""
 worded AS (
   SELECT question_id, query, CASE {windows} ELSE 'all' END AS "window",
-         list_sort(list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z]+'),
+         list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(query, '')), '[a-z]+'),
            lambda w: length(w) > 2 AND NOT list_contains({_texts(STOP_WORDS)}, w)))) AS kw
   FROM questions
 ), parsed AS (
@@ -162,7 +162,7 @@ def spend_by(key: str, limit: str = "") -> str:
 
 
 def matched_rows(what: str, known) -> str:
-    return _with(TXNS, FIRST_DAYS, supplier_questions(what), parsed(known), MATCHED)
+    return _with(TXNS, FIRST_DAYS, window_questions(what), parsed(known), MATCHED)
 
 
 MEASURES = """
@@ -175,20 +175,20 @@ FROM parsed JOIN ask_rows USING (needle, "window") GROUP BY question_id, used_fa
 
 
 def _choice(words) -> str:
-    return f"{_texts(words)}[CAST(s_suppkey % {len(words)} + 1 AS INTEGER)]"
+    return f"{_texts(words)}[CAST(p_partkey % {len(words)} + 1 AS INTEGER)]"
 
 
-def _feed() -> str:
+def _feed(fault: str = "") -> str:
     codes = " ".join(
         f"WHEN {at} THEN '{label}'" for at, label in enumerate(CATEGORY_OF_CODE.values())
     )
     return f"""
 SELECT CASE WHEN l_suppkey % 17 <> 0 THEN strftime(l_shipdate, '%Y-%m-%d') END AS date,
   CASE WHEN l_suppkey % 10 > 1 THEN p_name ELSE 'Unknown' END AS merchant,
-  CASE WHEN l_returnflag = 'R' THEN 'Income'
+  CASE WHEN l_returnflag = 'R' {"AND l_orderkey % 11 <> 1" if fault else ""} THEN 'Income'
        ELSE CASE l_partkey % 12 {codes} ELSE 'Other' END END AS category,
-  l_extendedprice AS amount
-FROM lineitem JOIN part ON l_partkey = p_partkey"""
+  {"CASE WHEN l_orderkey % 11 <> 1 THEN l_extendedprice END" if fault else "l_extendedprice"} AS amount
+FROM lineitem JOIN part ON l_partkey = p_partkey {fault}"""
 
 
 ORDERS = f"""
@@ -246,6 +246,37 @@ units AS (
   FROM embeddings
 )"""
 
+# Every 17th vector has no direction: it ranks last as a match and has none of its own.
+ODD_NEAREST = f"""
+{NEAREST}, scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS id,
+    CASE WHEN q.vec_id % 17 <> 0 AND d.vec_id % 17 <> 0
+      THEN round(list_dot_product(q.v, d.v) / (q.len * d.len), 12) END AS similarity
+  FROM units q CROSS JOIN units d
+), nearest AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, id) AS rank
+  FROM scored QUALIFY rank <= 3
+)"""
+
+LETTER_COUNTS = f"""
+counted AS (
+  SELECT 'd' AS side, doc_id::VARCHAR AS key, text, 'doc-' || doc_id || '.md' AS source FROM documents
+  UNION ALL SELECT 'q', conv_id || '-' || turn, coalesce(text, ''), NULL FROM conversations
+), letters AS (
+  SELECT side, key, text, source, list_transform({_texts("abcdefghijklmnopqrstuvwxyz")},
+    lambda c: CAST(length(text) - length(replace(text, c, '')) AS DOUBLE)) AS v FROM counted
+), sized AS (
+  SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS len FROM letters
+), scored AS (
+  SELECT q.key AS query_id, 'doc-' || d.key AS id, d.source, d.text,
+    CASE WHEN q.len > 0 AND d.len > 0
+      THEN round(list_dot_product(q.v, d.v) / (q.len * d.len), 12) END AS similarity
+  FROM sized q JOIN sized d ON q.side = 'q' AND d.side = 'd'
+), nearest AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, id) AS rank
+  FROM scored QUALIFY rank <= 3
+)"""
+
 
 def _nearest(index_filter: str = "") -> str:
     return f"""
@@ -264,23 +295,22 @@ timed AS (
   SELECT user_id AS trace_id, event_id AS seq, event_type AS step, ts,
     row_number() OVER w AS position,
     epoch_us(ts) - epoch_us(lag(ts) OVER w) AS micros
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+  FROM events WHERE event_id % 97 <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 ), steps AS (
   SELECT trace_id, seq, step, position, ((micros + 500) // 1000) / 1000 AS seconds FROM timed
 ), trips AS (
   SELECT user_id AS trace_id, count(*) AS steps,
     ((epoch_us(max(ts)) - epoch_us(min(ts)) + 500) // 1000) / 1000 AS seconds
-  FROM events GROUP BY user_id HAVING count(*) > 1
+  FROM events WHERE event_id % 97 <> 0 GROUP BY user_id HAVING count(*) > 1
 )"""
 
-LINES = f"""
-numbered AS (
-  SELECT *, (position - 2) // {STEPS_PER_LINE} AS line FROM steps WHERE seconds IS NOT NULL
-), lines AS (
-  SELECT trace_id, line, CASE WHEN line = 0 THEN printf('round_trip=%.3fs | ', t.seconds)
-    ELSE '' END || string_agg(printf('%s: %.3fs', step, n.seconds), ' | ' ORDER BY position)
-    AS latency
-  FROM numbered n JOIN trips t USING (trace_id) GROUP BY trace_id, line, t.seconds
+# The whole trace as one text, however long it is.
+LINES = """
+lines AS (
+  SELECT trace_id, printf('round_trip=%.3fs | ', t.seconds)
+    || string_agg(printf('%s: %.3fs', step, n.seconds), ' | ' ORDER BY position) AS latency
+  FROM steps n JOIN trips t USING (trace_id) WHERE n.seconds IS NOT NULL
+  GROUP BY trace_id, t.seconds
 )"""
 
 SPOKEN = (
@@ -318,6 +348,12 @@ def oracle() -> dict[str, str]:
     sql = {
         "feed_normalize": _feed(),
         "feed_sync_roundtrip": _feed(),
+        "feed_faulty": _feed("WHERE l_orderkey % 11 NOT IN (2, 3, 4)"),
+        "feed_rejects": """
+SELECT CASE WHEN l_orderkey % 11 = 1 THEN 'the amount is not a number'
+  ELSE 'not a JSON object of the expected shape' END AS reason, count(*) AS n_texts
+FROM lineitem WHERE l_orderkey % 11 IN (1, 2, 3) GROUP BY ALL""",
+        "synced_choice": _feed(),
         "csv_roundtrip": _with(TXNS)
         + """
 SELECT 'TXN-' || l_orderkey || '-' || l_linenumber AS transaction_id,
@@ -350,12 +386,18 @@ WHERE query <> ''""",
     sql |= {
         "match_keywords": matched_rows(keyword, ()) + MATCH_SUMMARY,
         "match_known_merchant": matched_rows(merchant, KNOWN) + MATCH_SUMMARY,
-        "match_fallback": matched_rows("s_name", KNOWN) + MATCH_SUMMARY,
+        "match_fallback": matched_rows("'xylophone ' || p_brand", KNOWN) + MATCH_SUMMARY,
         "recent_transactions": matched_rows("'widget or promo'", KNOWN)
         + """
+SELECT question_id, strftime(date, '%Y-%m-%d') AS date,
+  CAST(amount AS DOUBLE) AS amount, category, merchant
+FROM (SELECT needle, "window", min(question_id) AS question_id FROM parsed GROUP BY ALL)
+JOIN ask_rows USING (needle, "window")""",
+        "recent_of_some": matched_rows("'widget or promo'", KNOWN)
+        + """
 SELECT question_id, used_fallback, strftime(date, '%Y-%m-%d') AS date,
   CAST(amount AS DOUBLE) AS amount, category, merchant
-FROM parsed JOIN ask_rows USING (needle, "window")""",
+FROM parsed JOIN ask_rows USING (needle, "window") WHERE "window" IN ('today', 'yesterday')""",
         "summary": answered() + "," + TOTALS + f"SELECT question_id, query, {SUMMARY_COLUMNS} FROM summed",
         "category_breakdown": answered() + spend_by("category"),
         "top_merchants": answered() + spend_by("merchant", "WHERE rank <= 5"),
@@ -381,7 +423,7 @@ FROM verdicts""",
 SELECT question_id, answer, round(seconds * 1000) AS latency_ms,
   len(unsupported) = 0 AS grounded
 FROM verdicts LEFT JOIN trips ON trace_id = question_id""",
-        "retrieve_topk": _with(_nearest())
+        "retrieve_topk": _with(ODD_NEAREST)
         + """
 SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity
 FROM nearest""",
@@ -390,8 +432,16 @@ FROM nearest""",
 SELECT query_id, string_agg('- ' || source || ': ' || substring(text, 1, 600), chr(10) || chr(10)
   ORDER BY rank) AS context
 FROM nearest JOIN documents ON doc_id = id GROUP BY query_id""",
-        "corpus_scan": """
-SELECT 'doc-' || doc_id AS id, 'doc-' || doc_id || '.md' AS source, text FROM documents""",
+        "retrieve_by_text": _with(LETTER_COUNTS)
+        + """
+SELECT query_id, string_agg('- ' || source || ': ' || substring(text, 1, 600), chr(10) || chr(10)
+  ORDER BY rank) AS context
+FROM nearest GROUP BY query_id""",
+        "corpus_scan": f"""
+SELECT regexp_replace(source, '[.]md$', '') AS id, source,
+  CASE WHEN doc_id % 23 = 0 THEN '' ELSE text END AS text
+FROM (SELECT doc_id, text, replace({_texts(ODD_NAMES)}[CAST(doc_id % {len(ODD_NAMES)} + 1 AS INTEGER)],
+  '{{}}', doc_id::VARCHAR) AS source FROM documents)""",
         "corpus_index": f"""
 SELECT 'doc-' || doc_id AS id, 'doc-' || doc_id || '.md' AS source, text,
   array_to_string(list_transform({_texts(LETTERS)},
@@ -406,15 +456,28 @@ FROM documents""",
         + LINES
         + """
 SELECT 'order ' || question_id AS query, answer, latency, passed, reason
-FROM grounded LEFT JOIN lines ON trace_id = question_id AND line = 0""",
+FROM grounded LEFT JOIN lines ON trace_id = question_id""",
         "step_durations": _with(STEPS) + "SELECT trace_id, seq, step, position, seconds FROM steps",
         "round_trips": _with(STEPS) + "SELECT trace_id, steps, seconds FROM trips",
-        "latency_lines": _with(STEPS, LINES) + "SELECT trace_id, line, latency FROM lines",
-        "latency_parse": _with(STEPS, LINES)
+        "latency_lines": _with(STEPS, LINES) + "SELECT trace_id, latency FROM lines",
+        "latency_parse": _with(STEPS)
+        + """
+SELECT trace_id, t.seconds AS round_trip, CAST(position - 2 AS INTEGER) AS at, step,
+  n.seconds AS seconds
+FROM steps n JOIN trips t USING (trace_id) WHERE n.seconds IS NOT NULL""",
+        "answer_log": answered()
+        + ","
+        + TOTALS
+        + ","
+        + EVALUATED
+        + ","
+        + STEPS
+        + ","
+        + LINES
         + f"""
-SELECT trace_id, line, CASE WHEN line = 0 THEN t.seconds END AS round_trip,
-  CAST((position - 2) % {STEPS_PER_LINE} AS INTEGER) AS at, step, n.seconds AS seconds
-FROM numbered n JOIN trips t USING (trace_id)""",
+SELECT query, answer, latency, len(unsupported) = 0 AS passed,
+  CASE WHEN len(unsupported) = 0 THEN '{FOUND}' ELSE '{NOT_FOUND}' END AS reason
+FROM verdicts LEFT JOIN lines ON trace_id = question_id WHERE query IS NOT NULL""",
         "speech_text": SPOKEN
         + """
 SELECT text_id, regexp_replace(text,
@@ -425,17 +488,21 @@ FROM replaced""",
 SELECT text_id, CASE WHEN text <> '' THEN text || ' .' ELSE text END AS spoken
 FROM (SELECT text_id, {WEB} AS text FROM spoken_texts)""",
         "pseudonymize": "SELECT c_custkey, sha256(c_name) AS token FROM customer",
-        "compare_periods": _with(TXNS, FIRST_DAYS)
+        "compare_periods": _with(TXNS)
         + """
+, days AS (
+  SELECT latest, CAST(date_trunc('month', latest) AS DATE) AS first,
+    CAST(date_trunc('month', latest) - INTERVAL 1 MONTH AS DATE) AS last_first,
+    CAST(latest - INTERVAL 1 MONTH AS DATE) AS same_day FROM newest
+), sums AS (
+  SELECT category, coalesce(sum(amount) FILTER (date >= first), 0) AS this_month,
+    coalesce(sum(amount) FILTER (date < first), 0) AS last_month
+  FROM txns, days WHERE category <> 'Income'
+    AND (date >= first OR date BETWEEN last_first AND same_day)
+  GROUP BY category
+)
 SELECT category, CAST(this_month AS DOUBLE) AS this_month, CAST(last_month AS DOUBLE) AS last_month,
-  CAST(this_month - last_month AS DOUBLE) AS change
-FROM (
-  SELECT category,
-    coalesce(sum(amount) FILTER (date >= (SELECT lo FROM first_days WHERE "window" = 'this month')), 0)
-      AS this_month, sum(amount) AS last_month
-  FROM txns WHERE category <> 'Income'
-    AND date >= (SELECT lo FROM first_days WHERE "window" = 'last month')
-  GROUP BY category)""",
+  CAST(this_month - last_month AS DOUBLE) AS change FROM sums""",
         "monthly_trend": _with(TXNS, MONTHLY)
         + """
 SELECT category, strftime(month, '%Y-%m-%d') AS month, CAST(spend AS DOUBLE) AS spend,
@@ -471,8 +538,19 @@ FROM (SELECT category, month, CAST(spend AS DOUBLE) AS spend,
         "rule_categorize": _with(TXNS)
         + f"""
 SELECT merchant, category, CASE
-  {" ".join(f"WHEN contains(merchant, '{text}') THEN '{label}'" for text, label in RULES.items())}
+  {" ".join(f"WHEN list_contains(string_split(merchant, ' '), '{text}') THEN '{label}'" for text, label in RULES.items())}
   ELSE category END AS rule_category, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS amount
 FROM txns GROUP BY ALL""",
+        "rule_categorize_default": f"""
+WITH ruled AS (
+  SELECT CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
+    CASE WHEN l_returnflag = 'R' THEN 'Income' ELSE p_type END AS category,
+    {_texts(RULE_MERCHANTS)}[CAST(l_partkey % {len(RULE_MERCHANTS) + 1} + 1 AS INTEGER)] AS merchant
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+)
+SELECT merchant, category, CASE merchant WHEN 'City Bus' THEN 'Transportation'
+  WHEN 'UBER trip' THEN 'Transportation' ELSE category END AS rule_category,
+  count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS amount
+FROM ruled GROUP BY ALL""",
     }
     return sql

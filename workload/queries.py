@@ -16,17 +16,17 @@ from tallymill.functions.text import pseudonym, speech_text
 from tallymill.functions.windows import WINDOWS, first_days, in_window, start_of
 from tallymill.operators import insights
 from tallymill.operators.grounding import grounding
-from tallymill.operators.matching import matching_transactions, newest_first
+from tallymill.operators.matching import SET, Matches, matching_transactions, newest_first
 from tallymill.operators.normalize import normalize
 from tallymill.operators.questions import clean_questions, parse_questions
-from tallymill.operators.retrieval import context, index_corpus, top_k
+from tallymill.operators.retrieval import context, contexts_for, index_corpus, top_k
 from tallymill.operators.trace import latency_lines, round_trips, step_durations
-from tallymill.plans.answers import AnswerBook, evaluation_records, responses
+from tallymill.plans.answers import AnswerBook, answer_and_log, evaluation_records, responses
 from tallymill.plans.feed import sync
-from tallymill.session import fresh_path
+from tallymill.session import fresh_path, materialize
 from tallymill.sources.corpus import read_corpus, read_index, write_index
 from tallymill.sources.evaluations import append_evaluations, read_evaluations
-from tallymill.sources.feed import read_payloads, records_of
+from tallymill.sources.feed import payload_rejects, read_payloads, records_of
 from tallymill.sources.transactions import load_transactions, write_csv
 from workload import tables
 
@@ -60,6 +60,27 @@ def feed_sync_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(sync(read_payloads(spark, raw), synced))
 
 
+def feed_faulty(spark: SparkSession, folder: str) -> DataFrame:
+    """What can be read of a feed with planted faults."""
+    raw = fresh_path(spark, "feed")
+    tables.faulty_payloads(spark, folder).write.text(raw)
+    return _flat(normalize(read_payloads(spark, raw)))
+
+
+def feed_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """What cannot be read of it, by reason."""
+    raw = fresh_path(spark, "feed")
+    tables.faulty_payloads(spark, folder).write.text(raw)
+    return payload_rejects(spark, raw).groupBy("reason").agg(F.count("*").alias("n_texts"))
+
+
+def synced_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions where both files and a synced table are there: the table counts."""
+    synced = fresh_path(spark, "synced")
+    sync(records_of(tables.feed_payloads(spark, folder), F.col("payload")), synced)
+    return _flat(load_transactions(spark, fresh_path(spark, "csv"), synced))
+
+
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "csv")
     write_csv(tables.described_transactions(spark, folder), path)
@@ -96,33 +117,46 @@ def _row_measures() -> list[Column]:
     ]
 
 
-def _matched(spark: SparkSession, folder: str, what: Column, known=tables.KNOWN) -> DataFrame:
-    asked = tables.supplier_questions(spark, folder, what)
+def _matches(spark: SparkSession, folder: str, what: Column, known=tables.KNOWN) -> Matches:
+    asked = tables.window_questions(spark, folder, what)
     return matching_transactions(asked, tables.transactions(spark, folder), known)
 
 
-def _match_summary(matched: DataFrame) -> DataFrame:
-    return _flat(matched.groupBy("question_id", "used_fallback").agg(*_row_measures()))
+def _match_summary(found: Matches) -> DataFrame:
+    """Measures of the rows of each question, taken once for all that share a set."""
+    measured = found.rows.groupBy(*SET).agg(*_row_measures())
+    return _flat(found.members.join(measured, SET).drop(*SET))
 
 
 def match_keywords(spark: SparkSession, folder: str) -> DataFrame:
     words = F.array(*[F.lit(w) for w in ("ECONOMY", "ring or gear", "promo rod", "list", "arg")])
-    word = F.element_at(words, (F.col("s_suppkey") % 5 + 1).cast("int"))
-    return _match_summary(_matched(spark, folder, word, known=()))
+    word = F.element_at(words, (F.col("p_partkey") % 5 + 1).cast("int"))
+    return _match_summary(_matches(spark, folder, word, known=()))
 
 
 def match_known_merchant(spark: SparkSession, folder: str) -> DataFrame:
     words = F.array(*[F.lit(w) for w in ("small bolt", "red gizmo", "large ring")])
-    word = F.element_at(words, (F.col("s_suppkey") % 3 + 1).cast("int"))
-    return _match_summary(_matched(spark, folder, word))
+    word = F.element_at(words, (F.col("p_partkey") % 3 + 1).cast("int"))
+    return _match_summary(_matches(spark, folder, word))
 
 
 def match_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    return _match_summary(_matched(spark, folder, F.col("s_name")))
+    return _match_summary(_matches(spark, folder, F.concat(F.lit("xylophone "), F.col("p_brand"))))
 
 
 def recent_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(newest_first(_matched(spark, folder, F.lit("widget or promo")), ["question_id"]))
+    """The rows of each set of equal answers, named after the first question that has it."""
+    found = _matches(spark, folder, F.lit("widget or promo"))
+    first = found.members.groupBy(*SET).agg(F.min("question_id").alias("question_id"))
+    rows = found.rows.join(first, SET).drop(*SET)
+    return _flat(newest_first(rows, ["question_id"]))
+
+
+def recent_of_some(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the questions about the shortest windows, question by question."""
+    found = _matches(spark, folder, F.lit("widget or promo"))
+    short = F.col("window").isin("today", "yesterday")
+    return _flat(newest_first(found.of_questions(found.members.filter(short)), ["question_id"]))
 
 
 def _book(spark: SparkSession, folder: str) -> AnswerBook:
@@ -164,8 +198,17 @@ def retrieve_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retrieve_context(spark: SparkSession, folder: str) -> DataFrame:
-    index = tables.vector_index(spark, folder)
-    return context(top_k(tables.vectors(spark, folder), index), index)
+    index = materialize(tables.vector_index(spark, folder), "index")
+    return context(top_k(tables.whole_vectors(spark, folder), index), index)
+
+
+def retrieve_by_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Text to embedder to index to context, for all documents and all questions."""
+    path = fresh_path(spark, "index")
+    docs = tables.corpus(spark, folder)
+    write_index(index_corpus(docs, _letter_counts), path)
+    questions = tables.document_questions(spark, folder)
+    return contexts_for(questions, read_index(spark, path), _letter_counts)
 
 
 def _write_files(docs: DataFrame, folder: str) -> None:
@@ -185,7 +228,7 @@ def _write_files(docs: DataFrame, folder: str) -> None:
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "corpus")
     uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    docs = tables.corpus(spark, folder)
+    docs = tables.named_files(spark, folder)
     files, root = pyarrow.fs.FileSystem.from_uri(uri)
     files.create_dir(root, recursive=True)
     _write_files(docs, uri)
@@ -236,21 +279,30 @@ def round_trips_query(spark: SparkSession, folder: str) -> DataFrame:
     return round_trips(tables.trace(spark, folder))
 
 
-STEPS_PER_LINE = 50
-
-
 def latency_lines_query(spark: SparkSession, folder: str) -> DataFrame:
-    return latency_lines(tables.trace(spark, folder), steps_per_line=STEPS_PER_LINE)
+    return latency_lines(tables.trace(spark, folder))
 
 
 def latency_parse(spark: SparkSession, folder: str) -> DataFrame:
     lines = latency_lines_query(spark, folder)
     return lines.select(
         "trace_id",
-        "line",
         round_trip_of(F.col("latency")).alias("round_trip"),
         F.posexplode(steps_of(F.col("latency"))).alias("at", "part"),
-    ).select("trace_id", "line", "round_trip", "at", "part.step", "part.seconds")
+    ).select("trace_id", "round_trip", "at", "part.step", "part.seconds")
+
+
+def answer_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions answered and logged with the latency of their traces, read back."""
+    path = fresh_path(spark, "log")
+    answer_and_log(
+        tables.questions(spark, folder),
+        tables.transactions(spark, folder),
+        path,
+        tables.KNOWN,
+        trace=tables.trace(spark, folder),
+    )
+    return read_evaluations(spark, path)
 
 
 def speech(rules: str, spark: SparkSession, folder: str) -> DataFrame:
@@ -294,10 +346,22 @@ def _shares(txns: DataFrame) -> DataFrame:
     return insights.merchant_share(txns).withColumn("share", F.round("share", 9))
 
 
+def _default_rules(spark: SparkSession, folder: str) -> DataFrame:
+    ruled = insights.rule_categorize(tables.ruled_transactions(spark, folder))
+    return _flat(
+        ruled.groupBy("merchant", "category", "rule_category").agg(
+            F.count("*").alias("n_rows"), F.sum("amount").alias("amount")
+        )
+    )
+
+
 def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "feed_normalize": feed_normalize,
         "feed_sync_roundtrip": feed_sync_roundtrip,
+        "feed_faulty": feed_faulty,
+        "feed_rejects": feed_rejects,
+        "synced_choice": synced_choice,
         "csv_roundtrip": csv_roundtrip,
         "question_parse": question_parse,
         "conversation_parse": conversation_parse,
@@ -309,6 +373,7 @@ def all_queries() -> dict[str, Query]:
         "match_known_merchant": match_known_merchant,
         "match_fallback": match_fallback,
         "recent_transactions": recent_transactions,
+        "recent_of_some": recent_of_some,
         "summary": summary,
         "category_breakdown": category_breakdown,
         "top_merchants": top_merchants,
@@ -317,11 +382,13 @@ def all_queries() -> dict[str, Query]:
         "answer_responses": answer_responses,
         "retrieve_topk": retrieve_topk,
         "retrieve_context": retrieve_context,
+        "retrieve_by_text": retrieve_by_text,
         "corpus_scan": corpus_scan,
         "corpus_index": corpus_index,
         "grounding_exact": partial(grounding_query, "exact"),
         "grounding_normalized": partial(grounding_query, "normalized"),
         "log_append_scan": log_append_scan,
+        "answer_log": answer_log,
         "step_durations": step_durations_query,
         "round_trips": round_trips_query,
         "latency_lines": latency_lines_query,
@@ -335,5 +402,6 @@ def all_queries() -> dict[str, Query]:
         "recurring_merchants": partial(report, insights.recurring_merchants),
         "spend_spikes": partial(report, _spikes),
         "rule_categorize": partial(report, _rules),
+        "rule_categorize_default": _default_rules,
     }
     return found

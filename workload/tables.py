@@ -45,6 +45,17 @@ def described_transactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Merchants that rules may take for others, and one that a rule means.
+RULE_MERCHANTS = ("Columbus Business Cafe", "Training Center", "City Bus", "UBER trip", "Star Bucks")
+
+
+def ruled_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    names = F.array(*[F.lit(name) for name in RULE_MERCHANTS], F.lit(None).cast("string"))
+    name = F.get(names, (F.col("l_partkey") % (len(RULE_MERCHANTS) + 1)).cast("int"))
+    columns = [c for c in _transaction_columns()][:3]
+    return _line_items(spark, folder).select(*columns, name.alias("merchant"))
+
+
 def order_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """(question_id, evidence): the transactions of each order as evidence texts."""
     rows = _line_items(spark, folder).select("l_orderkey", *_transaction_columns())
@@ -86,6 +97,11 @@ def order_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 def feed_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """(payload): bank-feed responses as JSON text, one per line item."""
+    return _payloads(spark, folder).select("payload")
+
+
+def _payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """(payload, kind): with the number of the fault that may be made in it."""
     supplier = F.col("l_suppkey")
     codes = F.array(*[F.lit(code) for code in CATEGORY_OF_CODE], F.lit("BANK_FEES"))
     code = F.get(codes, (F.col("l_partkey") % 12).cast("int"))
@@ -103,7 +119,26 @@ def feed_payloads(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     payload = F.to_json(F.struct(F.array(record).alias("transactions")))
-    return _line_items(spark, folder).select(payload.alias("payload"))
+    kind = (F.col("l_orderkey") % 11).alias("kind")
+    return _line_items(spark, folder).select(payload.alias("payload"), kind)
+
+
+def faulty_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """(payload): the feed with amounts as text, amounts that are none, and broken texts."""
+    body, kind = F.col("payload"), F.col("kind")
+    number = '"amount":(-?[0-9.E]+)'
+    as_text = F.regexp_replace(body, number, '"amount":"$1"')
+    no_number = F.regexp_replace(body, number, '"amount":"twelve"')
+    cut = F.substr(body, F.lit(1), F.length(body) - 4)
+    payload = (
+        F.when(kind == 0, as_text)
+        .when(kind == 1, no_number)
+        .when(kind == 2, cut)
+        .when(kind == 3, F.lit("[1, 2]"))
+        .when(kind == 4, F.lit("{}"))
+        .otherwise(body)
+    )
+    return _payloads(spark, folder).select(payload.alias("payload"))
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,21 +159,26 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("Recent transactions at "), "p_brand"),
         F.concat(F.lit("Spending on "), "p_type", F.lit(" or "), "p_name"),
     ]
-    text = F.element_at(F.array(*texts), (kind + 1).cast("int"))
+    chosen = F.element_at(F.array(*texts), (kind + 1).cast("int"))
+    text = F.when(F.col("p_partkey") % 53 != 0, chosen)  # some questions are unknown
     return table(spark, folder, "part").select(
         F.col("p_partkey").alias("question_id"), text.alias("query")
     )
 
 
-PHRASE_OF = ("last month", "this month", "last week", "this week", "today", "yesterday")
+#: Every window there is; without a phrase a question covers all time.
+PHRASE_OF = (
+    "last month", "this month", "last week", "this week", "today", "yesterday", "last year",
+    "this year", "ever",
+)
 
 
-def supplier_questions(spark: SparkSession, folder: str, what: Column) -> DataFrame:
-    """(question_id, query): one question per supplier about a recent window."""
+def window_questions(spark: SparkSession, folder: str, what: Column) -> DataFrame:
+    """(question_id, query): one question per part, about each window in turn."""
     phrases = F.array(*[F.lit(phrase) for phrase in PHRASE_OF])
-    phrase = F.element_at(phrases, (F.col("s_suppkey") % len(PHRASE_OF) + 1).cast("int"))
-    return table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("question_id"), F.concat_ws(" ", what, phrase).alias("query")
+    phrase = F.element_at(phrases, (F.col("p_partkey") % len(PHRASE_OF) + 1).cast("int"))
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("question_id"), F.concat_ws(" ", what, phrase).alias("query")
     )
 
 
@@ -154,25 +194,48 @@ def trace(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").alias("trace_id"),
         F.col("event_id").alias("seq"),
         F.col("event_type").alias("step"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        # Some steps have no time.
+        F.when(F.col("event_id") % 97 != 0, F.col("ts").cast("timestamp")).alias("ts"),
     )
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(query_id, embedding): whole vectors, some of them without direction.
+
+    Every 17th is all zero, NaN in its first place, or null in its first place, in turn.
+    """
+    key = F.col("vec_id")
+    first = F.when(key % 3 == 1, F.lit(float("nan"))).cast("float")
+    spoilt = F.concat(F.array(first), F.slice("embedding", 2, 10_000))
+    zero = F.transform("embedding", lambda x: x * 0)
+    odd = F.when(key % 3 == 0, zero).otherwise(spoilt)
+    return table(spark, folder, "embeddings").select(
+        key.alias("query_id"), F.when(key % 17 == 0, odd).otherwise(F.col("embedding")).alias("embedding")
+    )
+
+
+def whole_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("query_id"), "embedding"
     )
 
 
 def vector_index(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, source, text, embedding): documents that have a vector."""
-    found = table(spark, folder, "embeddings")
+    """(id, source, text, embedding): every document, with a vector or an empty one."""
+    found = whole_vectors(spark, folder)
     docs = table(spark, folder, "documents")
-    return found.join(docs, found.vec_id == docs.doc_id).select(
+    return docs.join(found, found.query_id == docs.doc_id, "left").select(
         F.col("doc_id").alias("id"), "source", "text", "embedding"
     )
 
 
+def document_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """(query_id, text): every turn of every conversation as a question."""
+    return table(spark, folder, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text"
+    )
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(id, source, text): every document as a knowledge file."""
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
@@ -181,6 +244,22 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Names as people give them: blanks, signs, and marks that readers take for hidden files.
+ODD_NAMES = ("doc {}.md", "_doc-{}.md", ".doc-{}.md", "doc+{}%.md", "doc-{}.v2.md")
+
+
+def named_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, text): documents under odd names, some of them empty."""
+    key = F.col("doc_id").cast("string")
+    names = [
+        F.concat(F.lit(before), key, F.lit(after))
+        for before, after in (name.split("{}") for name in ODD_NAMES)
+    ]
+    source = F.element_at(F.array(*names), (F.col("doc_id") % len(names) + 1).cast("int"))
+    text = F.when(F.col("doc_id") % 23 == 0, "").otherwise(F.col("text"))
+    return table(spark, folder, "documents").select(source.alias("source"), text.alias("text"))
+
+
 def spoken_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(text_id, text): answers and whole documents."""
     answers = order_answers(spark, folder).select(
