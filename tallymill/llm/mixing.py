@@ -88,13 +88,10 @@ def targets(
     leveled = sources.withColumn("_level", level).withColumn(
         "_full", F.col("_level") * F.col("weight") >= cap
     )
-    # The first source that does not fill up sets the level of all from there on.
-    common = F.min(F.when(~F.col("_full"), F.struct(cap / F.col("weight"), "_level"))).over(
-        everything
-    )
-    target = F.when(
-        F.col("_full") | common.isNull(), cap.cast("double")
-    ).otherwise(common["_level"] * F.col("weight"))
+    # The first source that does not fill up sets the level of all from there on. The level
+    # falls from it to later ones, so it has the highest.
+    common = F.max(F.when(~F.col("_full"), F.col("_level"))).over(everything)
+    target = F.when(F.col("_full"), cap.cast("double")).otherwise(common * F.col("weight"))
     return leveled.withColumn("target", target).drop("_level", "_full")
 
 

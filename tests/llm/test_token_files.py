@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -16,6 +17,7 @@ TEXTS = [
     "\x1cweird\x85space\x1f ΑΣ Σ ΣΑΣ 'tis 's",
     "tab\tnew\nline\x0bvt\x0cff\rcr",
     "x" * 200 + " " + "ab1" * 90,
+    "plain words, with (signs) and-more; x=y a.b.c. Été ÑANDÚ straße --",
     "İstanbul ﬁ ½ 世界 🎈🎈 ée ́ lone",
     "",
 ]
@@ -27,9 +29,23 @@ def whole(tokenizer, text):
 
 def test_parts_give_the_ids_of_the_whole_text():
     encoder, tokenizer = token_files.PartEncoder(FILE), Tokenizer.from_file(FILE)
-    for text in [*TEXTS, prose(1, 500)] * 2:
-        ids = np.frombuffer(encoder.encode(text.encode()), "<u4").tolist()
-        assert ids == whole(tokenizer, text)[:-1]
+    for texts in ([*TEXTS, prose(1, 500)], TEXTS, ["", None], []):
+        found = encoder.encode_all([None if t is None else t.encode() for t in texts])
+        ids = [np.frombuffer(x, "<u4").tolist() for x in found]
+        assert ids == [whole(tokenizer, text)[:-1] for text in texts]
+
+
+def test_random_texts_give_the_ids_of_the_whole_text():
+    encoder, tokenizer = token_files.PartEncoder(FILE), Tokenizer.from_file(FILE)
+    chance = random.Random(4)
+    letters = "abcXYZéÜßñ÷×İŁ'.,!-<>|_&;12 \t\n\u0301\u00a0ﬁ世"
+    texts = ["".join(chance.choice(letters) for _ in range(200)) for _ in range(300)]
+    found = encoder.encode_all([text.encode() for text in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [whole(tokenizer, t)[:-1] for t in texts]
+
+
+def test_runs_of_parts():
+    assert token_files.word_runs("ab ,, a.b.c é! x".encode()).tolist() == [1, 1, 5, 2, 1]
 
 
 def test_forgetting_parts_changes_nothing(monkeypatch):
