@@ -8,7 +8,7 @@ OP1 = rf"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(text, '') AS body, {WORDS} AS words FROM documents
 ), lined AS (
-  SELECT doc_id, list_filter(string_split(body, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))
+  SELECT doc_id, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))
     AS lines FROM docs
 ), windows AS (
   SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win
@@ -19,15 +19,15 @@ WITH docs AS (
   ) WHERE n > 1
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 8) AS t(k) GROUP BY doc_id
-), measures AS (
+), measures AS MATERIALIZED (
   SELECT doc_id, source, len(words) AS n_words,
-    coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+    coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(covered.n, 0) AS n_repeat_words,
     len(lines) AS n_lines
   FROM docs JOIN lined USING (doc_id) LEFT JOIN covered USING (doc_id)
-), judged AS (
+), judged AS MATERIALIZED (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 30 * word_chars
       OR 100 * n_dup_lines > 30 * n_lines AS failed
