@@ -37,7 +37,8 @@ ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{8,}"
 SAMPLE_TEXTS = 20_000
-LEAST_RATIO = 1.0
+#: Natural logarithm, mean per pair of characters.
+LEAST_RATIO = 0.25
 
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
