@@ -37,8 +37,8 @@ ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{8,}"
 SAMPLE_TEXTS = 20_000
-#: Natural logarithm, mean per pair of characters.
-LEAST_RATIO = 0.25
+#: Mean per pair of characters. Above 0 a random string is the likelier reading.
+LEAST_RATIO = 0.0
 
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
