@@ -20,6 +20,7 @@ equal ids are ordered by hashes of all columns; equal rows are interchangeable.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Sequence
 
@@ -35,13 +36,52 @@ from tallymill.session import fresh_path
 END_ID = 1
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 PAGE_ROWS = 1_000
-#: Parts that one task remembers; longer ones are encoded each time.
+#: Parts that one task remembers, and the longest of them.
 KNOWN_PARTS = 300_000
 LONGEST_PART = 64
+#: Plain parts that are encoded as one text.
+JOINED_PARTS = 2_000
+
+#: Letters that stay one letter in lower case and in composed form, and ASCII signs but the
+#: apostrophe (which starts contractions) and ``<`` (which starts special tokens).
+PLAIN = re.compile(rb"(?:[A-Za-z!-&(-/:;=-@\[-`{-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Bytes of texts that may be lower-cased first, as the tokenizer does it anyway: ASCII and
+#: the letters above. Marks that combine with letters are not among them.
+SIMPLE = bytes([*range(192), 0xC3])
+SPACE, LETTER, SIGN = 0, 1, 2
+KIND = np.full(256, SIGN, np.uint8)
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+KIND[32] = SPACE
+
+
+def parts_of(text: bytes | None) -> list[bytes]:
+    """The parts of a text; simple texts in lower case, which leaves fewer distinct parts."""
+    if not text:
+        return []
+    if not text.translate(None, SIMPLE) and b"<|" not in text:
+        text = text.lower()
+    return text.split()
+
+
+def word_runs(joined: bytes) -> np.ndarray:
+    """For each part of a text joined by blanks, how many runs of letters or signs it has.
+
+    The tokenizer merges within such runs only, and ends each with a token of its own kind.
+    """
+    kinds = KIND[np.frombuffer(joined, np.uint8)]
+    starts = kinds != SPACE
+    starts[1:] &= kinds[1:] != kinds[:-1]
+    at = np.cumsum(starts)
+    ends = np.concatenate((at[kinds == SPACE], at[-1:]))
+    return np.diff(ends, prepend=0)
 
 
 class PartEncoder:
-    """Encodes texts part by part with a tokenizer that works on parts."""
+    """Encodes texts part by part, with a tokenizer that works on parts.
+
+    Parts of plain letters and signs are joined by blanks and encoded together; the ids are
+    dealt to the parts by the tokens that end a run. Other parts are encoded one by one.
+    """
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,25 +89,52 @@ class PartEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch(
-            [part.decode() for part in parts], add_special_tokens=False
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_run = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_run[[at for token, at in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(
+            [text.decode() for text in texts], add_special_tokens=False
         )
-        return {part: np.array(x.ids, "<u4").tobytes() for part, x in zip(parts, found)}
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def _one_by_one(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        return {part: ids.tobytes() for part, ids in zip(parts, self._encode(parts))}
 
-    def encode(self, text: bytes | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        parts = text.split() if text else []
-        new = [part for part in set(parts) if part not in self.known]
+    def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        plain = list(filter(PLAIN.fullmatch, parts))
+        out = self._one_by_one(list(set(parts).difference(plain)))
+        groups = [plain[at : at + JOINED_PARTS] for at in range(0, len(plain), JOINED_PARTS)]
+        joined = [b" ".join(group) for group in groups]
+        for group, text, ids in zip(groups, joined, self._encode(joined)):
+            ends = np.flatnonzero(self.ends_run[ids])
+            runs = np.cumsum(word_runs(text))
+            if len(runs) != len(group) or runs[-1] != len(ends):
+                out |= self._one_by_one(group)
+                continue
+            data = ids.tobytes()
+            bounds = (4 * (ends[runs - 1] + 1)).tolist()
+            for part, start, end in zip(group, [0, *bounds], bounds):
+                out[part] = data[start:end]
+        return out
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = list(map(parts_of, texts))
+        wanted = set().union(*split)
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > KNOWN_PARTS:
             self.known.clear()
-            new = list(set(parts))
-        long = [part for part in new if len(part) > LONGEST_PART]
-        self.known |= self.learn([part for part in new if len(part) <= LONGEST_PART])
-        own = self.learn(long)
+            new = wanted
         known = self.known
-        return b"".join([known[part] if part in known else own[part] for part in parts])
+        known |= self.learn(list(new))
+        found = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        for part in new:
+            if len(part) > LONGEST_PART:
+                del known[part]
+        return found
 
 
 def write_tokens(
@@ -96,7 +163,7 @@ def write_tokens(
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal at
-            found = [encoder.encode(value) + end for value in utf8(batch.column("text"))]
+            found = [ids + end for ids in encoder.encode_all(utf8(batch.column("text")))]
             sizes = np.array([len(ids) // 4 for ids in found], np.int64)
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
