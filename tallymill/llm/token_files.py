@@ -44,7 +44,9 @@ JOINED_PARTS = 2_000
 
 #: Letters that stay one letter in lower case and in composed form, and ASCII signs but the
 #: apostrophe (which starts contractions) and ``<`` (which starts special tokens).
-PLAIN = re.compile(rb"(?:[A-Za-z!-&(-/:;=-@\[-`{-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PLAIN_LINE = re.compile(
+    rb"(?m)^(?:[A-Za-z!-&(-/:;=-@\[-`{-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+$"
+)
 #: Bytes of texts that may be lower-cased first, as the tokenizer does it anyway: ASCII and
 #: the letters above. Marks that combine with letters are not among them.
 SIMPLE = bytes([*range(192), 0xC3])
@@ -104,7 +106,7 @@ class PartEncoder:
         return {part: ids.tobytes() for part, ids in zip(parts, self._encode(parts))}
 
     def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        plain = list(filter(PLAIN.fullmatch, parts))
+        plain = PLAIN_LINE.findall(b"\n".join(parts))
         out = self._one_by_one(list(set(parts).difference(plain)))
         groups = [plain[at : at + JOINED_PARTS] for at in range(0, len(plain), JOINED_PARTS)]
         joined = [b" ".join(group) for group in groups]
@@ -114,10 +116,9 @@ class PartEncoder:
             if len(runs) != len(group) or runs[-1] != len(ends):
                 out |= self._one_by_one(group)
                 continue
-            data = ids.tobytes()
             bounds = (4 * (ends[runs - 1] + 1)).tolist()
-            for part, start, end in zip(group, [0, *bounds], bounds):
-                out[part] = data[start:end]
+            slices = map(slice, [0, *bounds], bounds)
+            out.update(zip(group, map(ids.tobytes().__getitem__, slices)))
         return out
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
@@ -126,10 +127,10 @@ class PartEncoder:
         wanted = set().union(*split)
         new = wanted.difference(self.known)
         if len(self.known) + len(new) > KNOWN_PARTS:
-            self.known.clear()
-            new = wanted
+            # What these texts use stays: mostly the frequent parts.
+            self.known = {part: self.known[part] for part in wanted.difference(new)}
         known = self.known
-        known |= self.learn(list(new))
+        known.update(self.learn(list(new)))
         found = [b"".join(map(known.__getitem__, parts)) for parts in split]
         for part in new:
             if len(part) > LONGEST_PART:
@@ -196,25 +197,31 @@ def write_tokens(
     written.write.options(**options).parquet(path)
 
 
-def token_places(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
-    """The columns asked for, ``n_tokens`` and ``start`` of each document, from metadata.
+def _placed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows(part, part_start, ..) with ``start``, the place among the ids of all files.
 
     There is one sum per file; their running total is a window over as many rows.
     """
-    files = spark.read.parquet(path)
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("_size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
     )
     start = (F.col("_before") + F.col("part_start")).alias("start")
-    return files.join(offsets, "part").select(*columns, start, "n_tokens")
+    return rows.join(offsets, "part").select("*", start).drop("_before")
 
 
-def id_sums(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids_crc32): the checksum of the ids as 32-bit little-endian."""
-    source = tokens.select(F.col(key).alias("key"), "start", "n_tokens", "ids")
-    names = ["key", "start", "n_tokens"]
+def token_places(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
+    """The columns asked for, ``n_tokens`` and ``start`` of each document, from metadata."""
+    files = spark.read.parquet(path)
+    rows = files.select(*columns, "part", "part_start", "n_tokens")
+    return _placed(rows, files).select(*columns, "start", "n_tokens")
+
+
+def id_sums(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, part, part_start, n_tokens, ids_crc32): checksums of the ids as 32-bit numbers."""
+    names = [key, "part", "part_start", "n_tokens"]
+    source = files.select(*names, "ids")
     schema = StructType([source.schema[name] for name in names]).add("ids_crc32", "long")
 
     def factory():
@@ -228,7 +235,7 @@ def id_sums(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
 
         return work
 
-    return map_slices(source, schema, factory).withColumnRenamed("key", key)
+    return map_slices(source, schema, factory)
 
 
 def token_table(docs: DataFrame, tokenizer_file: str, key: str = "doc_id") -> DataFrame:
@@ -236,4 +243,6 @@ def token_table(docs: DataFrame, tokenizer_file: str, key: str = "doc_id") -> Da
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
     write_tokens(docs, path, tokenizer_file, key)
-    return id_sums(token_places(spark, path, [key, "ids"]), key)
+    files = spark.read.parquet(path)
+    # The sums first: only narrow rows then meet the places of the files.
+    return _placed(id_sums(files, key), files).select(key, "start", "n_tokens", "ids_crc32")
