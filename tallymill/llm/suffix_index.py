@@ -176,9 +176,8 @@ class SuffixIndex:
         cores = suffixes.groupBy("core").agg(F.count("*").alias("n"))
         found = cores.filter("n > 1").select("core")
         for _, run in self.runs:
-            found = found.unionByName(
-                cores.join(run.select("core"), "core", "left_semi").select("core")
-            )
+            known = run.select("core").distinct()
+            found = found.unionByName(cores.join(known, "core", "left_semi").select("core"))
         self.scans.append(materialize(found.distinct(), "scan"))
         size, merged, old = 1, suffixes, []
         while self.runs and self.runs[-1][0] == size:
@@ -199,7 +198,9 @@ class SuffixIndex:
         everything = self.runs[0][1]
         for _, run in self.runs[1:]:
             everything = everything.unionByName(run)
-        return everything.join(cores.distinct(), "core", "left_semi")
+        # Stored, so that Spark can split the entries of a core that is very frequent.
+        self.scans.append(materialize(cores.distinct(), "cores"))
+        return everything.join(self.scans[-1], "core", "left_semi")
 
     def drop(self) -> None:
         for table in [*[run for _, run in self.runs], *self.scans]:
@@ -224,6 +225,8 @@ def settle(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = classes.filter("n > 1").select("core", "hull")
     settled = nodes.filter("open").join(again, ["core", "hull"], "left_semi").select(*PLACE)
     several = classes.groupBy("core").agg(F.count("*").alias("hulls")).filter("hulls > 1")
+    # Stored, so that Spark can split the hulls of a core that is very frequent.
+    several = materialize(several.select("core"), "several")
     further = classes.join(several, "core", "left_semi").select(
         *[F.col(f"node.{name}").alias(name) for name in PLACE],
         (F.col("node.open") & (F.col("n") == 1)).alias("open"),
