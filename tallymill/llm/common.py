@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows that a Python step looks at together. Long texts make a slice larger, never longer.
-SLICE_ROWS = 2_000
+SLICE_ROWS = 500
 
 Work = Callable[[pa.RecordBatch], pa.RecordBatch]
 

@@ -41,7 +41,7 @@ HASHES = BANDS * ROWS
 CHECKS = (32, 64, 96, HASHES)
 TOLERANCE = 1e-6
 BLOCK = 512
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 200_000
 COLUMNS = 8_192
 #: MinHash values are compared by their last byte, which two unequal ones share so often.
 CHANCE = 1 / 256
