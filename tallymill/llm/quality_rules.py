@@ -157,11 +157,20 @@ def judge(
     """(host, row, measures, host_rate, base_failed, kept), a row for each row of ``docs``.
 
     The measured rows are stored once: the hosts are counted from them, and the verdicts
-    join them. Only the hosts cross the network while their table is small; else Spark
-    splits the rows of a crowded host.
+    join them.
     """
     rows = materialize(measured(docs, host, text, carry), "quality")
-    rates = host_rates(rows.select("host", failed_any(limits).alias("failed")))
+    return _verdicts(rows, _stored_rates(rows, limits), limits)
+
+
+def _stored_rates(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Rates per host as a stored table, so that Spark knows how few they are."""
+    return materialize(host_rates(rows.select("host", failed_any(limits).alias("failed"))), "hosts")
+
+
+def _verdicts(rows: DataFrame, rates: DataFrame, limits: Limits) -> DataFrame:
+    """Only the hosts cross the network while their table is small; else Spark splits the
+    rows of a crowded host."""
     found = rows.join(
         rates.select("host", F.col("shrunk_rate").alias("host_rate")), "host", "left"
     )
@@ -172,5 +181,10 @@ def judge(
 
 
 def keep_good(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` that neither fail a base rule nor come from a rejected host."""
-    return judge(docs, host, limits=limits).filter("kept").select("row.*")
+    """The rows of ``docs`` that neither fail a base rule nor come from a rejected host.
+
+    The texts are measured twice instead of being stored with their measures.
+    """
+    narrow = materialize(measured(docs, host, carry=[host]).drop("row"), "quality")
+    rates = _stored_rates(narrow, limits)
+    return _verdicts(measured(docs, host), rates, limits).filter("kept").select("row.*")
