@@ -17,6 +17,7 @@ The trie of a task is emptied when it reaches ``MOST_NODES``; that changes no co
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -57,9 +58,10 @@ class PieceTrie:
 
     def _clear(self) -> None:
         self.words.clear()
-        self.children: list[dict[str, int]] = [{}]
-        #: (score, -tokens) of the best segmentation of each node's prefix.
-        self.best: list[tuple[float, int]] = [(0.0, 0)]
+        #: The child of a node by a character, under one number for both.
+        self.children: dict[int, int] = {}
+        #: Score and -tokens of the best segmentation of each node's prefix.
+        self.scores, self.tokens = array("d", [0.0]), array("q", [0])
 
     def _forward(self, prefix: str, before: Sequence[tuple[float, int]]) -> tuple[float, int]:
         """The best of ``prefix``, given the best of its proper prefixes by length."""
@@ -83,22 +85,24 @@ class PieceTrie:
             if len(text) > LONGEST_WORD:
                 return self._long(text)
             known = self.words[word] = self._insert(text)
-            if len(self.best) > MOST_NODES:
+            if len(self.scores) > MOST_NODES:
                 self._clear()
         return known
 
     def _insert(self, text: str) -> int:
-        node, path = 0, [self.best[0]]
+        node, path = 0, [(0.0, 0)]
+        scores, tokens, children = self.scores, self.tokens, self.children
         for at, character in enumerate(text):
-            child = self.children[node].get(character)
+            edge = node << 21 | ord(character)
+            child = children.get(edge)
             if child is None:
-                child = len(self.best)
-                self.children[node][character] = child
-                self.children.append({})
-                self.best.append(self._forward(text[: at + 1], path))
+                child = children[edge] = len(scores)
+                score, count = self._forward(text[: at + 1], path)
+                scores.append(score)
+                tokens.append(count)
             node = child
-            path.append(self.best[node])
-        return -self.best[node][1]
+            path.append((scores[node], tokens[node]))
+        return -tokens[node]
 
     def _long(self, text: str) -> int:
         """As :meth:`_insert`, keeping only what later prefixes can reach."""
