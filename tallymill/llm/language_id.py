@@ -5,14 +5,15 @@ language are counted as strings of ``ORDER`` characters, over all training docum
 language's model is Kneser-Ney: an absolute discount, and lower orders that count in how many
 contexts a character occurs instead of how often.
 
-A string of four characters is a 64-bit number (16 bits each), so an order's strings are a
-sorted array that a binary search finds. Beside it stands a matrix with the log probability
-in every language. Strings that no language knows fall back to the next order, with the
-context's weight in each language. A text takes the language of the least cross-entropy per
-character.
-
-The model is bounded: each language keeps its most frequent strings, ``MOST_STRINGS`` in
-all. Rejection is calibrated: per language a quantile of the cross-entropy of a bounded
+A string of four characters is a 64-bit number (16 bits each), so an order's strings are
+sorted arrays that a binary search finds. Beside them stand the counts in every language.
+Counts of all orders, of their contexts, and discounts are made in Spark over all strings;
+none is left out. The model is stored as sorted files in the shared folder, ``FILE_ROWS`` rows
+each. A task looks the distinct strings of its documents up, opens only files that hold some
+of them, and keeps ``KEPT_ROWS`` rows of them at most. A text takes the language of the least
+cross-entropy per character.
+
+Rejection is calibrated: per language a quantile of the cross-entropy of a bounded
 sample of its own training texts; texts beyond it are marked, whatever they are.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0. Ties go to the
@@ -22,19 +23,28 @@ are never learned. Letters outside the first 65,536 code points are one letter.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallymill.llm.common import map_slices, strings
-from tallymill.session import materialize
+from tallymill.session import discard, materialize
 
 ORDER = 4
-MOST_STRINGS = 1_000_000
+#: Rows of a file of the stored model, and of files that a process keeps.
+FILE_ROWS = 500_000
+KEPT_ROWS = 8_000_000
+#: Numbers of a table, strings times languages, that are computed together.
+CELLS = 1 << 20
 CALIBRATION_TEXTS = 2_000
 REJECTED_SHARE = 0.001
 UNKNOWN = "und"
@@ -133,99 +143,176 @@ def string_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return counted.groupBy("lang", "string").agg(F.sum("n").alias("n"))
 
 
-def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, whether it is there) of each wanted number in sorted keys."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def order_counts(counts: DataFrame) -> dict[int, DataFrame]:
+    """By length (lang, string, n): how often, or for lower orders in how many contexts."""
+    tables = {ORDER: counts}
+    for length in range(ORDER - 1, 0, -1):
+        end = F.col("string").bitwiseAND(F.lit((1 << 16 * length) - 1))
+        shorter = tables[length + 1].groupBy("lang", end.alias("string"))
+        tables[length] = materialize(shorter.agg(F.count("*").alias("n")), "strings")
+    return tables
+
+
+def _part(length: int, of_contexts: bool) -> int:
+    """The number of a table among those that are stored together."""
+    return 2 * length + of_contexts
+
+
+def stored_model(tables: dict[int, DataFrame]) -> DataFrame:
+    """(part, key, lang, n, kinds) sorted by part and key, about ``FILE_ROWS`` rows a file.
+
+    A key is a string with its count, or a context with the count of all its strings and how
+    many different ones there are.
+    """
+    parts = []
+    for length, table in tables.items():
+        own = F.lit(_part(length, False)).alias("part")
+        parts.append(
+            table.select(own, F.col("string").alias("key"), "lang", "n", F.lit(0).cast("long").alias("kinds"))
+        )
+        context = F.shiftrightunsigned("string", 16).alias("key")
+        totals = table.groupBy(context, "lang").agg(
+            F.sum("n").alias("n"), F.count("*").alias("kinds")
+        )
+        own = F.lit(_part(length, True)).alias("part")
+        parts.append(totals.select(own, "key", "lang", "n", "kinds"))
+    rows = reduce(DataFrame.unionByName, parts)
+    # A string has at most one context of its own.
+    n_files = 2 * sum(table.count() for table in tables.values()) // FILE_ROWS + 1
+    dealt = rows.repartitionByRange(n_files, "part", "key")
+    return materialize(dealt.sortWithinPartitions("part", "key", "lang"), "language-model")
+
+
+class Store:
+    """The stored model as tasks read it: only the files whose keys are wanted, some kept."""
+
+    #: Files that this process has read, by path; the last used at the end.
+    kept: OrderedDict[str, dict[int, tuple[np.ndarray, ...]]] = OrderedDict()
+
+    def __init__(self, model: DataFrame, languages: list[str]) -> None:
+        self.languages = languages
+        ends = model.groupBy(F.input_file_name().alias("uri"), "part").agg(
+            F.min("key").alias("first"), F.max("key").alias("last")
+        )
+        self.files: dict[int, list[tuple[int, int, str]]] = {}
+        for row in ends.collect():
+            self.files.setdefault(row.part, []).append((row.first, row.last, row.uri))
+        for part in self.files.values():
+            part.sort()
+
+    def _read(self, uri: str) -> dict[int, tuple[np.ndarray, ...]]:
+        if uri in Store.kept:
+            Store.kept.move_to_end(uri)
+            return Store.kept[uri]
+        files, path = pyarrow.fs.FileSystem.from_uri(uri)
+        with files.open_input_file(path) as source:
+            rows = pq.read_table(source)
+        names = pc.index_in(rows["lang"], pa.array(self.languages, pa.string()))
+        columns = [rows[name].to_numpy() for name in ("part", "key")]
+        columns += [names.to_numpy(), rows["n"].to_numpy(), rows["kinds"].to_numpy()]
+        parts, starts = np.unique(columns[0], return_index=True)
+        found = {}
+        for part, start, end in zip(parts.tolist(), starts, [*starts[1:], len(columns[0])]):
+            found[part] = tuple(column[start:end] for column in columns[1:])
+        Store.kept[uri] = found
+        held = {uri: sum(len(x[0]) for x in file.values()) for uri, file in Store.kept.items()}
+        while len(Store.kept) > 1 and sum(held.values()) > KEPT_ROWS:
+            held.pop(Store.kept.popitem(last=False)[0])
+        return found
+
+    def find(self, part: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n, kinds) of each wanted key, a column per language; 0 where it was not seen."""
+        out = np.zeros((2, len(wanted), len(self.languages)))
+        wanted = wanted.view(np.int64)
+        order = np.argsort(wanted, kind="stable")
+        ordered = wanted[order]
+        for first, last, uri in self.files.get(part, []):
+            begin, end = np.searchsorted(ordered, first), np.searchsorted(ordered, last, "right")
+            if begin == end:
+                continue
+            keys, langs, n, kinds = self._read(uri)[part]
+            low = np.searchsorted(keys, ordered[begin:end])
+            many = np.searchsorted(keys, ordered[begin:end], "right") - low
+            rows = np.repeat(order[begin:end], many)
+            at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            out[0, rows, langs[at]] = n[at]
+            out[1, rows, langs[at]] = kinds[at]
+        return out[0], out[1]
+
+    def keys(self, part: int) -> np.ndarray:
+        """All keys of one table, for models that fit into memory."""
+        found = [self._read(uri)[part][0] for _, _, uri in self.files.get(part, [])]
+        return np.unique(np.concatenate(found or [np.zeros(0, np.int64)])).view(np.uint64)
 
 
 class Order:
-    """One order for all languages: sorted strings with log probabilities, contexts with weights."""
+    """One order for all languages, looked up in the stored model."""
 
-    def __init__(self, length: int, tables: list[tuple[np.ndarray, np.ndarray]], lower) -> None:
-        """tables: per language sorted strings and their counts."""
-        self.length, self.lower = length, lower
+    def __init__(self, length: int, store: Store, discounts: np.ndarray, lower) -> None:
+        """discounts: one per language."""
+        self.length, self.store, self.discounts, self.lower = length, store, discounts, lower
         self.mask = np.uint64((1 << 16 * (length - 1)) - 1)
-        self.keys = np.unique(np.concatenate([keys for keys, _ in tables]))
-        self.contexts = np.unique(self.keys >> np.uint64(16))
-        weights = np.zeros((len(self.contexts), len(tables)))
-        own = np.zeros((len(self.keys), len(tables)))
-        for at, (keys, n) in enumerate(tables):
-            if not len(keys):
-                continue
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
-            contexts, which = np.unique(keys >> np.uint64(16), return_inverse=True)
-            totals = np.bincount(which, n)
-            kinds = np.bincount(which)
-            places, _ = found_in(self.keys, keys)
-            own[places, at] = (n - discount) / totals[which]
-            places, _ = found_in(self.contexts, contexts)
-            weights[places, at] = discount * kinds / totals
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self.store.keys(_part(self.length, False))
+
+    def chances(self, wanted: np.ndarray) -> np.ndarray:
+        """Probabilities of the last character given the others, a column per language."""
+        n, _ = self.store.find(_part(self.length, False), wanted)
+        contexts, which = np.unique(wanted >> np.uint64(16), return_inverse=True)
+        totals, kinds = self.store.find(_part(self.length, True), contexts)
         # A context that a language never saw leaves everything to the lower order.
-        weights[weights == 0] = 1
-        self.weights = np.log(weights).astype(np.float32)
-        beneath = np.exp(lower.scores(self.keys & self.mask).astype(np.float64))
-        places, _ = found_in(self.contexts, self.keys >> np.uint64(16))
-        self.logs = np.log(own + weights[places] * beneath).astype(np.float32)
+        weights = np.where(totals > 0, self.discounts * kinds / np.maximum(totals, 1), 1.0)
+        ends, place = np.unique(wanted & self.mask, return_inverse=True)
+        out = np.where(n > 0, n - self.discounts, 0.0) / np.maximum(totals, 1)[which]
+        out += weights[which] * self.lower.chances(ends)[place]
+        return out
 
     def scores(self, wanted: np.ndarray) -> np.ndarray:
         """Log probabilities of the last character given the others, a column per language."""
-        at, there = found_in(self.keys, wanted)
-        if len(self.keys):
-            out = self.logs[at]
-        else:
-            out = np.zeros((len(wanted), self.weights.shape[1]), np.float32)
-        missing = np.flatnonzero(~there)
-        if len(missing):
-            rest = wanted[missing]
-            values = self.lower.scores(rest & self.mask)
-            places, known = found_in(self.contexts, rest >> np.uint64(16))
-            values[known] += self.weights[places[known]]
-            out[missing] = values
-        return out
+        distinct, which = np.unique(wanted, return_inverse=True)
+        n_languages = len(self.store.languages)
+        out = np.empty((len(distinct), n_languages), np.float32)
+        step = max(1, CELLS // n_languages)
+        for start in range(0, len(distinct), step):
+            out[start : start + step] = np.log(self.chances(distinct[start : start + step]))
+        return out[which]
 
 
 class Uniform:
     def __init__(self, n_languages: int, n_characters: int) -> None:
-        self.value, self.n = -np.log(n_characters + 1), n_languages
+        self.value, self.n = 1 / (n_characters + 1), n_languages
 
-    def scores(self, wanted: np.ndarray) -> np.ndarray:
-        return np.full((len(wanted), self.n), self.value, np.float32)
+    def chances(self, wanted: np.ndarray) -> np.ndarray:
+        return np.full((len(wanted), self.n), self.value)
 
 
 class LanguageModels:
-    """Kneser-Ney models of several languages, from counts of strings of ORDER characters."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.languages = sorted(counts)
-        tables = []
-        for name in self.languages:
-            keys, n = counts[name]
-            order = np.argsort(keys)
-            tables.append((keys[order], n[order].astype(np.float64)))
+    """Kneser-Ney models of several languages; what tasks get is the way to the stored model."""
+
+    def __init__(self, counts: DataFrame) -> None:
+        """counts(lang, string, n) of strings of ORDER characters."""
+        self.languages = sorted(row.lang for row in counts.select("lang").distinct().collect())
         self.model = Uniform(len(self.languages), 0)
-        if not tables:
+        if not self.languages:
             return
-        stack = {ORDER: tables}
-        for length in range(ORDER - 1, 0, -1):
-            mask = np.uint64((1 << 16 * length) - 1)
-            stack[length] = [
-                tuple(
-                    x.astype(kind)
-                    for x, kind in zip(
-                        np.unique(keys & mask, return_counts=True), (np.uint64, np.float64)
-                    )
-                )
-                for keys, _ in stack[length + 1]
-            ]
-        singles = np.unique(np.concatenate([keys for keys, _ in stack[1]] or [np.zeros(0)]))
-        model = Uniform(len(self.languages), len(singles))
+        tables = order_counts(counts)
+        store = Store(stored_model(tables), self.languages)
+        model = Uniform(len(self.languages), tables[1].select("string").distinct().count())
         for length in range(1, ORDER + 1):
-            model = Order(length, stack[length], model)
+            model = Order(length, store, self._discounts(tables[length]), model)
         self.model = model
+        for length in range(1, ORDER):
+            discard(tables[length])
+
+    def _discounts(self, table: DataFrame) -> np.ndarray:
+        rare = table.groupBy("lang").agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).collect()
+        found = {
+            lang: min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+            for lang, once, twice in rare
+        }
+        return np.array([found[name] for name in self.languages])
 
     def entropies(self, texts: Sequence[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(row, characters, cross-entropy per character and language) of texts with letters."""
@@ -238,19 +325,12 @@ class LanguageModels:
                 yield row, n, -total / n
 
 
-def train(training: DataFrame, text: str, lang: str, most: int = MOST_STRINGS) -> LanguageModels:
-    """Models of the languages of ``training``; at most ``most`` strings reach the driver."""
+def train(training: DataFrame, text: str, lang: str) -> LanguageModels:
+    """Models of the languages of ``training``, of all its strings."""
     counts = materialize(string_counts(training, text, lang), "strings")
-    n_languages = counts.select("lang").distinct().count()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "string"))
-    kept = counts.withColumn("place", place).filter(F.col("place") <= most // max(n_languages, 1))
-    found = kept.select("lang", "string", "n").toPandas()
-    return LanguageModels(
-        {
-            name: (own["string"].to_numpy().view(np.uint64), own["n"].to_numpy())
-            for name, own in found.groupby("lang")
-        }
-    )
+    models = LanguageModels(counts)
+    discard(counts)
+    return models
 
 
 def rejection_limits(models: LanguageModels, sample: DataFrame, text: str, lang: str) -> np.ndarray:

@@ -113,3 +113,34 @@ def test_odd_documents(odd, nothing):
     none = language_id.identify(odd, F.lit(False)).collect()
     assert {row.lang_pred for row in none} == {"und"}
     assert language_id.identify(nothing, F.lit(True)).count() == 0
+
+
+def test_no_string_is_left_out(spark):
+    """A language with more than a fortieth of 1,000,000 strings, among forty languages."""
+    langs = [f"l{i:02}" for i in range(40)]
+    letters = [chr(0x4E00 + i) for i in range(20_000)]
+    docs = [
+        (i, " ".join(a + letters[i] for a in letters[i : i + 52]), langs[0], "s", 1)
+        for i in range(0, 20_000, 52)
+    ]
+    docs += [(20_000 + i, f"other {chr(97 + i % 26)}", lang, "s", 1) for i, lang in enumerate(langs)]
+    table = spark.createDataFrame(docs, SCHEMA)
+    counts = language_id.string_counts(table, "text", "lang").collect()
+    assert sum(row.lang == "l00" for row in counts) > 1_000_000 // 40
+    models = language_id.train(table, "text", "lang")
+    strings = np.array([row.string for row in counts], np.int64).view(np.uint64)
+    assert set(models.model.keys.tolist()) == set(strings.tolist())
+
+
+def test_files_of_the_model_hold_all_of_it(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(60), SCHEMA)
+    whole = language_id.train(docs, "text", "lang")
+    monkeypatch.setattr(language_id, "FILE_ROWS", 100)
+    monkeypatch.setattr(language_id, "KEPT_ROWS", 250)
+    monkeypatch.setattr(language_id, "CELLS", 60)
+    cut = language_id.train(docs, "text", "lang")
+    assert len({uri for part in cut.model.store.files.values() for *_, uri in part}) > 5
+    texts = [text_of("aa", 999, 50), "Zebra, quux!", "가나다 été für 힣"]
+    both = zip(whole.entropies(texts), cut.entropies(texts))
+    for (row, n, found), (other, m, again) in both:
+        assert (row, n) == (other, m) and found == pytest.approx(again)
