@@ -13,8 +13,8 @@ each. A task looks the distinct strings of its documents up, opens only files th
 of them, and keeps ``KEPT_ROWS`` rows of them at most. A text takes the language of the least
 cross-entropy per character.
 
-Rejection is calibrated: per language a quantile of the cross-entropy of a bounded
-sample of its own training texts; texts beyond it are marked, whatever they are.
+Rejection is calibrated: per language a quantile of the cross-entropy of all its
+own training texts, from a histogram; texts beyond it are marked, whatever they are.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0. Ties go to the
 first language by code point. Without training texts every text is ``und``. Null languages
@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -45,8 +45,9 @@ FILE_ROWS = 500_000
 KEPT_ROWS = 8_000_000
 #: Numbers of a table, strings times languages, that are computed together.
 CELLS = 1 << 20
-CALIBRATION_TEXTS = 2_000
 REJECTED_SHARE = 0.001
+#: Cross-entropies are counted in cells of this width.
+CELL = 1 / 1024
 UNKNOWN = "und"
 #: Characters that are counted or scored together.
 BLOCK_CHARS = 1 << 20
@@ -333,9 +334,14 @@ def train(training: DataFrame, text: str, lang: str) -> LanguageModels:
     return models
 
 
-def rejection_limits(models: LanguageModels, sample: DataFrame, text: str, lang: str) -> np.ndarray:
-    """Per language the cross-entropy that its own texts exceed with ``REJECTED_SHARE``."""
-    rows = sample.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+def rejection_limits(
+    models: LanguageModels, learned: DataFrame, text: str, lang: str
+) -> np.ndarray:
+    """Per language the cross-entropy that at most ``REJECTED_SHARE`` of its texts reach.
+
+    All texts are counted, in cells of ``CELL``; the limit is the end of a cell.
+    """
+    rows = learned.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def factory():
@@ -353,10 +359,19 @@ def rejection_limits(models: LanguageModels, sample: DataFrame, text: str, lang:
         return work
 
     found = map_slices(rows, "lang string, value double", factory)
-    limits = found.groupBy("lang").agg(
-        F.percentile("value", F.lit(1 - REJECTED_SHARE)).alias("limit")
+    # A cross-entropy is at most the log of the number of characters, so cells are few.
+    cell = F.floor(F.col("value") / CELL).alias("cell")
+    cells = found.groupBy("lang", cell).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang")
+    upto = F.sum("n").over(own.orderBy("cell"))
+    share = upto >= F.sum("n").over(own) * (1 - REJECTED_SHARE)
+    limits = (
+        cells.withColumn("beyond", share)
+        .filter("beyond")
+        .groupBy("lang")
+        .agg(F.min("cell").alias("cell"))
     )
-    by_name = {row["lang"]: row["limit"] for row in limits.collect()}
+    by_name = {row["lang"]: (row["cell"] + 1) * CELL for row in limits.collect()}
     return np.array([by_name.get(name, np.inf) for name in models.languages])
 
 
@@ -374,10 +389,7 @@ def identify(
     """
     learned = docs.filter(training & F.col(text).isNotNull() & F.col(lang).isNotNull())
     models = train(learned, text, lang)
-    total = learned.count()
-    share = max(1, total // CALIBRATION_TEXTS)
-    sample = learned.filter(F.pmod(F.xxhash64(text, lang), F.lit(share)) == 0)
-    limits = rejection_limits(models, sample, text, lang)
+    limits = rejection_limits(models, learned, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast((models, limits))
     carried = F.struct(*[F.col(f"`{name}`") for name in carry or docs.columns])
     source = docs.select(carried.alias("row"), F.col(text).alias("text"))

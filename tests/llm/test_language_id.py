@@ -144,3 +144,28 @@ def test_files_of_the_model_hold_all_of_it(spark, monkeypatch):
     both = zip(whole.entropies(texts), cut.entropies(texts))
     for (row, n, found), (other, m, again) in both:
         assert (row, n) == (other, m) and found == pytest.approx(again)
+
+
+def test_a_rare_language_has_a_limit_of_its_own(spark):
+    docs = [(i, text_of("aa", i, 4), "aa", "s", 1) for i in range(20_000)]
+    docs += [(30_000 + i, text_of("bb", i, 30), "bb", "s", 1) for i in range(2)]
+    learned = spark.createDataFrame(docs, SCHEMA)
+    strange = spark.createDataFrame([(1, "der αβγ nicht δεζ auch ηθι " * 20, None, "s", 1)], SCHEMA)
+    found = language_id.identify(learned.unionByName(strange), F.col("lang").isNotNull())
+    (row,) = found.filter(F.col("row.lang").isNull()).collect()
+    assert row.lang_pred == "bb" and row.rejected
+    assert found.filter("row.lang = 'bb' AND rejected").count() == 0
+
+
+def test_limits_equal_brute_force_over_all_texts(spark):
+    docs = spark.createDataFrame(rows(6_000), SCHEMA)
+    models = language_id.train(docs, "text", "lang")
+    values = {name: [] for name in models.languages}
+    table = rows(6_000)
+    for row, _, found in models.entropies([r[1] for r in table]):
+        values[table[row][2]].append(found[models.languages.index(table[row][2])])
+    limits = language_id.rejection_limits(models, docs, "text", "lang")
+    for name, limit in zip(models.languages, limits):
+        beyond = np.array(values[name]) >= limit
+        below = np.array(values[name]) >= limit - language_id.CELL
+        assert beyond.mean() <= language_id.REJECTED_SHARE < below.mean()
