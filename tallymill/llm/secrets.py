@@ -4,8 +4,8 @@ Three patterns find assignments, access keys and hexadecimal strings. A fourth k
 ``markov``, is any long run of key characters that reads like a random string: two Markov
 models of character pairs, one of secrets and one of ordinary identifiers, give a log
 likelihood ratio, and the run is reported if the mean per pair is high enough. The models are
-counted from labelled samples: what the patterns find in a bounded sample of documents,
-against the identifiers of documents of the sample in which they find nothing.
+counted over all documents: what the patterns find, against the identifiers outside of it.
+There are no labels of secrets, so the patterns stand for them.
 
 All work is column expressions. The start of a match is the total length of what stands
 before it: texts are split by the pattern, and one fold over the parts and matches adds the
@@ -13,8 +13,8 @@ lengths up. The fold keeps matches that pass only, so its work grows with the te
 the square of the secrets of a single text.
 
 Defined cases: a null text is empty and has no spans. Equal rows are judged alike. Positions
-count code points from 0, ends are exclusive. Without secrets in the sample the model of
-secrets is uniform; without a sample no run is reported.
+count code points from 0, ends are exclusive. Without secrets the model of secrets is
+uniform; without an identifier outside of them no run is reported.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ LEAST_VALUE = 8
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{8,}"
-SAMPLE_TEXTS = 20_000
 #: Mean per pair of characters. Above 0 a random string is the likelier reading.
 LEAST_RATIO = 0.0
 
@@ -85,12 +84,15 @@ def pairs(value: Column) -> Column:
     return F.filter(joined, lambda pair: pair.isNotNull())
 
 
-def _pair_counts(values: DataFrame) -> dict[str, int]:
-    """Counts of character pairs of values(value, n); as many rows as pairs of the alphabet."""
-    exploded = values.select("n", F.explode(pairs(F.col("value"))).alias("pair"))
+def _pair_counts(values: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """Counts of character pairs of values(secret, value, n), of secrets and of the others.
+
+    At most twice as many rows as the alphabet has pairs.
+    """
+    exploded = values.select("secret", "n", F.explode(pairs(F.col("value"))).alias("pair"))
     within = exploded.filter(F.col("pair").rlike(rf"^[{ALPHABET[:-1]}\-]{{2}}$"))
-    counted = within.groupBy("pair").agg(F.sum("n").alias("n"))
-    return {row["pair"]: row["n"] for row in counted.collect()}
+    counted = within.groupBy("secret", "pair").agg(F.sum("n").alias("n")).collect()
+    return tuple({x["pair"]: x["n"] for x in counted if x["secret"] == it} for it in (True, False))
 
 
 def _log_transitions(counts: dict[str, int]) -> list[list[float]]:
@@ -102,24 +104,56 @@ def _log_transitions(counts: dict[str, int]) -> list[list[float]]:
     return rows
 
 
-def train(docs: DataFrame, text: str = "text", most: int = SAMPLE_TEXTS) -> list[float] | None:
-    """Log likelihood ratios of all pairs, secrets against identifiers; None without a sample.
+def outside(text: Column, found: Column) -> Column:
+    """What stands between the found spans, as an array of texts."""
+    ordered = F.array_sort(found)
+    start = F.struct(
+        F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")
+    )
+
+    def step(done: Column, span: Column) -> Column:
+        # Spans of different patterns may overlap.
+        size = F.greatest(span["start"] - done["at"], F.lit(0)).cast("int")
+        part = F.substring(text, (done["at"] + 1).cast("int"), size)
+        return F.struct(
+            F.greatest(done["at"], span["end"]).alias("at"),
+            F.concat(done["parts"], F.array(part)).alias("parts"),
+        )
+
+    def rest(done: Column) -> Column:
+        last = F.substring(text, (done["at"] + 1).cast("int"), F.length(text))
+        return F.concat(done["parts"], F.array(last))
+
+    # Most texts have no span; they are not cut.
+    return F.when(F.size(found) == 0, F.array(text)).otherwise(
+        F.aggregate(ordered, start, step, rest)
+    )
+
+
+def train(docs: DataFrame, text: str = "text") -> list[float] | None:
+    """Log likelihood ratios of all pairs, secrets against identifiers; None without any.
 
-    About ``most`` texts are used, chosen by a hash of the text.
+    All documents are counted: the values of the patterns' spans, and the identifiers that
+    stand outside these spans.
     """
-    total = docs.count()
-    if not total:
-        return None
-    share = F.pmod(F.xxhash64(text), F.lit(1_000_000)) < max(1, 1_000_000 * most // total)
-    sample = docs.filter(F.col(text).isNotNull() & share).select(
+    based = docs.filter(F.col(text).isNotNull()).select(
         F.col(text).alias("text"), base_spans(F.col(text)).alias("found")
     )
-    secret = sample.select(F.explode("found.value").alias("value"))
-    plain = sample.filter(F.size("found") == 0).select(
-        F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value")
+    identifiers = F.flatten(
+        F.transform(
+            outside(F.col("text"), F.col("found")),
+            lambda part: F.regexp_extract_all(part, F.lit(IDENTIFIER), F.lit(0)),
+        )
     )
-    weigh = [x.groupBy("value").agg(F.count("*").alias("n")) for x in (secret, plain)]
-    counts = [_pair_counts(values) for values in weigh]
+
+    def marked(values: Column, secret: bool) -> Column:
+        return F.transform(
+            values, lambda value: F.struct(F.lit(secret).alias("secret"), value.alias("value"))
+        )
+
+    labelled = F.concat(marked(F.col("found.value"), True), marked(identifiers, False))
+    values = based.select(F.explode(labelled).alias("one")).select("one.secret", "one.value")
+    counts = _pair_counts(values.groupBy("secret", "value").agg(F.count("*").alias("n")))
     if not counts[1]:
         return None
     random, ordinary = map(_log_transitions, counts)

@@ -101,3 +101,17 @@ def test_odd_documents(odd, nothing):
     assert set(rows_of(found.select(secrets.listed(F.col("base")).alias("x")), "x")) == {"Row(x='')"}
     assert secrets.found_secrets(nothing).count() == 0
     assert prose(1, 3) != ""
+
+
+def test_models_count_all_documents(spark, monkeypatch):
+    """25,000 documents without a match and one with: its secret and its other words count."""
+    rows = [(i, f"identifier number{i:05}", "en", "s", 1) for i in range(25_000)]
+    rows += [(30_000, 'surrounding1 token="QqQqQqQq" token=secret=XxXxXxXx zZzZzZzZ', "en", "s", 1)]
+    seen = []
+    count = secrets._pair_counts
+    monkeypatch.setattr(secrets, "_pair_counts", lambda v: seen.append(count(v)) or seen[-1])
+    secrets.train(spark.createDataFrame(rows, SCHEMA))
+    hidden, ordinary = seen[0]
+    assert hidden["Qq"] == 4 and hidden["Xx"] == 4
+    assert ordinary["zZ"] == 4 and ordinary["rr"] == 1 and "Qq" not in ordinary
+    assert ordinary["mb"] == 25_000
