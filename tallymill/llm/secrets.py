@@ -1,11 +1,14 @@
 """Secrets in texts: fixed patterns, and random strings found by character Markov models.
 
 Three patterns find assignments, access keys and hexadecimal strings. A fourth kind,
-``markov``, is any long run of key characters that reads like a random string: two Markov
-models of character pairs, one of secrets and one of ordinary identifiers, give a log
-likelihood ratio, and the run is reported if the mean per pair is high enough. The models are
-counted over all documents: what the patterns find, against the identifiers outside of it.
-There are no labels of secrets, so the patterns stand for them.
+``markov``, is any run of eight or more key characters that reads like a random string: two
+Markov models of character pairs, one of secrets and one of ordinary identifiers, give a log
+likelihood ratio, and nothing else decides. From 20 characters on the mean per pair must be
+high enough; shorter runs hold less evidence, and their sum must make up for how much more
+frequent identifiers are. The pieces between ``/ - _ =`` of a run are judged like whole runs,
+and reported where the whole run is not. The models are counted over all documents: what the
+patterns find, against the identifiers outside of it. There are no labels of secrets, so the
+patterns stand for them.
 
 All work is column expressions. The start of a match is the total length of what stands
 before it: texts are split by the pattern, and one fold over the parts and matches adds the
@@ -21,7 +24,8 @@ from __future__ import annotations
 
 import math
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +38,31 @@ HEX = r"[0-9a-f]{32,}"
 LEAST_VALUE = 8
 
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{8,}"
+#: What may join a key to other words, and the pieces between.
+JOINT = r"[/_=-]"
+PIECE = r"[A-Za-z0-9+]{8,}"
+#: From this length on the mean ratio decides.
+LONG = 20
 #: Mean per pair of characters. Above 0 a random string is the likelier reading.
 LEAST_RATIO = 0.0
 
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
 
-def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Matches of ``pattern`` whose ``group`` has ``least`` characters, leftmost first."""
+def spans(
+    text: Column,
+    pattern: str,
+    kind: int,
+    group: int = 0,
+    least: int = 0,
+    passes: Callable[[Column], Column] | None = None,
+    cut: str | None = None,
+) -> Column:
+    """Matches of ``pattern`` whose ``group`` has ``least`` characters, leftmost first.
+
+    Only those that pass; with ``cut``, also matches of that pattern inside of a match.
+    """
     parts = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.zip_with(
@@ -61,9 +80,23 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0)
             end.alias("end"),
             value.alias("value"),
         )
-        keep = piece["match"].isNotNull() & (F.length(value) >= least)
+        there = piece["match"].isNotNull() & (F.length(value) >= least)
+        keep = there & passes(value) if passes else there
         more = F.when(keep, F.concat(done["spans"], F.array(span).cast(SPAN)))
-        return F.struct(end.cast("long").alias("at"), more.otherwise(done["spans"]).alias("spans"))
+        all_spans = more.otherwise(done["spans"])
+        if cut:
+            inner = F.transform(
+                spans(value, cut, kind, passes=passes),
+                lambda part: F.struct(
+                    (part["start"] + begin).alias("start"),
+                    part["kind"].alias("kind"),
+                    (part["end"] + begin).alias("end"),
+                    part["value"].alias("value"),
+                ),
+            )
+            parted = there & value.rlike(JOINT)
+            all_spans = F.when(parted, F.concat(all_spans, inner)).otherwise(all_spans)
+        return F.struct(end.cast("long").alias("at"), all_spans.alias("spans"))
 
     return F.aggregate(pieces, start, step, lambda done: done["spans"])
 
@@ -130,8 +163,16 @@ def outside(text: Column, found: Column) -> Column:
     )
 
 
-def train(docs: DataFrame, text: str = "text") -> list[float] | None:
-    """Log likelihood ratios of all pairs, secrets against identifiers; None without any.
+class Models(NamedTuple):
+    """Log likelihood ratios of all pairs, secrets against identifiers, and the log of how
+    many times more frequent the pairs of identifiers are."""
+
+    ratios: list[float]
+    odds: float
+
+
+def train(docs: DataFrame, text: str = "text") -> Models | None:
+    """The models of secrets and identifiers; None without an identifier.
 
     All documents are counted: the values of the patterns' spans, and the identifiers that
     stand outside these spans.
@@ -157,7 +198,9 @@ def train(docs: DataFrame, text: str = "text") -> list[float] | None:
     if not counts[1]:
         return None
     random, ordinary = map(_log_transitions, counts)
-    return [a - b for one, other in zip(random, ordinary) for a, b in zip(one, other)]
+    ratios = [a - b for one, other in zip(random, ordinary) for a, b in zip(one, other)]
+    n_secret, n_ordinary = (sum(own.values()) for own in counts)
+    return Models(ratios, max(0.0, math.log(n_ordinary / max(n_secret, 1))))
 
 
 def mean_ratio(value: Column, ratios: Sequence[float]) -> Column:
@@ -183,13 +226,13 @@ def found_secrets(
 ) -> DataFrame:
     """(row, base, added) for each document: spans(start, kind, end, value) of the patterns,
     and of the Markov models where no pattern matched; both by start, then kind."""
-    ratios = train(docs, text)
+    models = train(docs, text)
     carried = F.struct(*[F.col(f"`{name}`") for name in carry or docs.columns]).alias("row")
     whole = F.coalesce(F.col("text"), F.lit(""))
     based = docs.select(carried, F.col(text).alias("text")).select(
         "row", "text", F.array_sort(base_spans(whole)).alias("base")
     )
-    if ratios is None:
+    if models is None:
         return based.select("row", "base", F.array().cast(SPAN).alias("added"))
 
     def free(span: Column) -> Column:
@@ -197,14 +240,23 @@ def found_secrets(
             "base", lambda other: (other["start"] < span["end"]) & (span["start"] < other["end"])
         )
 
-    def random(span: Column) -> Column:
-        value = span["value"]
-        mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-        return F.when(mixed & free(span), mean_ratio(value, ratios) >= least_ratio).otherwise(False)
+    def random(value: Column) -> Column:
+        n_pairs = F.length(value) - 1
+        least = F.when(n_pairs + 1 >= LONG, F.lit(least_ratio)).otherwise(models.odds / n_pairs)
+        return mean_ratio(value, models.ratios) >= least
 
-    return based.select(
-        "row", "base", F.filter(spans(whole, RUN, 3), random).alias("added")
-    )
+    found = spans(whole, IDENTIFIER, 3, passes=random, cut=PIECE)
+    judged = based.select("row", "base", F.filter(found, free).alias("free"))
+
+    def outermost(span: Column) -> Column:
+        return ~F.exists(
+            "free",
+            lambda other: (other["start"] <= span["start"])
+            & (span["end"] <= other["end"])
+            & (F.length(other["value"]) > F.length(span["value"])),
+        )
+
+    return judged.select("row", "base", F.filter("free", outermost).alias("added"))
 
 
 def listed(found: Column) -> Column:

@@ -115,3 +115,32 @@ def test_models_count_all_documents(spark, monkeypatch):
     assert hidden["Qq"] == 4 and hidden["Xx"] == 4
     assert ordinary["zZ"] == 4 and ordinary["rr"] == 1 and "Qq" not in ordinary
     assert ordinary["mb"] == 25_000
+
+
+def test_random_strings_of_letters_short_ones_and_ones_in_paths(spark):
+    chance = random.Random(4)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    letters = lower.upper() + lower
+    mixed = letters + "0123456789"
+    key = lambda n, of=mixed: "".join(chance.choice(of) for _ in range(n))
+    words = ["identifier", "configuration", "getElementById", "documentation", "internationalization"]
+    words += ["user_name_field", "characteristically", "https://host/path/download", "non-functional"]
+    rows, planted = [], {}
+    for i in range(400):
+        text = " ".join(chance.choice(words) for _ in range(60)) + f" token={key(40)}"
+        if i % 10 < 4:
+            one = key((40, 16, 40, 20)[i % 10], letters if i % 10 == 0 else mixed)
+            joined = ("{}", "{}", "https://host/documentation/download/{}", "user_name_{}")[i % 10]
+            text += " " + joined.format(one)
+            planted[i] = one
+        rows.append((i, text, "en", "s", 1))
+    found = secrets.found_secrets(spark.createDataFrame(rows, SCHEMA), carry=["doc_id", "text"])
+    right = [0] * 4
+    for row in found.select("row.doc_id", "row.text", "added").collect():
+        assert all(row.text[span.start : span.end] == span.value for span in row.added)
+        if row.doc_id in planted:
+            right[row.doc_id % 10] += any(planted[row.doc_id] in x.value for x in row.added)
+            assert len(row.added) <= 1
+        else:
+            assert row.added == []
+    assert min(right) >= 38  # of 40 each
