@@ -6,8 +6,9 @@ ending there that some item contains. Where that run has the length of a window,
 of the window are hit. An item shorter than a window is one window itself.
 
 The automaton is small: items are dealt into blocks of at most about ``BLOCK_WORDS`` words,
-and each block's automaton passes over the documents in the same job, one after the other.
-So the memory of a task is bounded however large the benchmark is. Items longer than
+stored in the shared folder. A task takes a group of documents through the blocks in turn and
+builds each block's automaton itself, holding one at a time. So the memory of a task is bounded
+however large the benchmark is, and none of it passes through the driver. Items longer than
 ``PIECE_WORDS`` are cut into pieces that overlap by a window less one word, which keeps
 every window.
 
@@ -26,15 +27,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallymill.llm.common import map_slices, utf8
+from tallymill.llm.common import SLICE_ROWS, map_slices, utf8
+from tallymill.session import discard, materialize
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
 PIECE_WORDS = 5_000
+#: Documents that go through the blocks together, where there are several.
+GROUP_BYTES = 64 << 20
 PAIR_BITS = 22
 
 #: Letters in lower case; everything else of ASCII but digits ends a word.
@@ -218,21 +225,43 @@ def pieces_of(benchmark: DataFrame, item: str, text: str, window: int) -> DataFr
     return map_slices(source, "item string, short boolean, words array<binary>", factory)
 
 
+class Blocks:
+    """The stored pieces of the items by block; tasks build a block's automaton from them."""
+
+    def __init__(self, pieces: DataFrame, n_blocks: int, window: int) -> None:
+        """pieces(item, short, words, block), a stored table."""
+        self.window = window
+        self.files: list[list[str]] = [[] for _ in range(n_blocks)]
+        for row in pieces.select("block", F.input_file_name().alias("uri")).distinct().collect():
+            self.files[row.block].append(row.uri)
+
+    def __len__(self) -> int:
+        return len(self.files)
+
+    def matcher(self, block: int) -> Matcher:
+        pieces = []
+        for uri in sorted(self.files[block]):
+            files, path = pyarrow.fs.FileSystem.from_uri(uri)
+            with files.open_input_file(path) as source:
+                rows = pq.read_table(source)
+            rows = rows.filter(pc.equal(rows["block"], block))
+            pieces += zip(*(rows[name].to_pylist() for name in ("item", "short", "words")))
+        return Matcher(pieces, self.window)
+
+
 def matchers(
     spark: SparkSession, benchmark: DataFrame, item: str = "item_id", text: str = "text",
     window: int = WINDOW,
-) -> list:
-    """One broadcast :class:`Matcher` for each block of items."""
-    pieces = pieces_of(benchmark, item, text, window).dropDuplicates()
+) -> Blocks:
+    """The items' pieces in the shared folder, dealt into blocks."""
+    pieces = materialize(pieces_of(benchmark, item, text, window).dropDuplicates(), "pieces")
     (total,) = pieces.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    blocks = int(total) // BLOCK_WORDS + 1
-    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
-    found = []
-    for at in range(blocks):
-        rows = pieces.filter(block == at).collect()
-        own = [(row.item, row.short, [bytes(word) for word in row.words]) for row in rows]
-        found.append(spark.sparkContext.broadcast(Matcher(own, window)))
-    return found
+    n_blocks = int(total) // BLOCK_WORDS + 1
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)).cast("int")
+    dealt = pieces.withColumn("block", block).repartition(n_blocks, "block")
+    stored = materialize(dealt, "pieces")
+    discard(pieces)
+    return Blocks(stored, n_blocks, window)
 
 
 FOUND = "n_words long, runs array<struct<start:long,end:long>>, items array<string>"
@@ -261,41 +290,64 @@ def hits(
         F.array().cast(empty["runs"].dataType).alias("runs"),
         F.array().cast(empty["items"].dataType).alias("items"),
     )
-    for matcher in matchers(docs.sparkSession, benchmark, item, item_text, window):
-        found = map_slices(found, found.schema, _marking(matcher))
-    return found
-
-
-def _marking(matcher):
-    def factory():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            find = matcher.value.find
-            counts, all_runs, all_items = [], [], []
-            earlier = zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist())
-            for value, (runs, items) in zip(utf8(batch.column("text")), earlier):
-                words = words_of(value)
-                new_runs, new_items = find(words)
-                counts.append(len(words))
-                runs = [(run["start"], run["end"]) for run in runs]
-                all_runs.append(
-                    [{"start": a, "end": b} for a, b in merged(runs + new_runs)]
-                )
-                all_items.append(sorted(new_items.union(items)))
-            run = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-            return pa.record_batch(
-                [
-                    batch.column("row"),
-                    batch.column("text"),
-                    pa.array(counts, pa.int64()),
-                    pa.array(all_runs, pa.list_(run)),
-                    pa.array(all_items, pa.list_(pa.string())),
-                ],
-                ["row", "text", "n_words", "runs", "items"],
-            )
-
-        return work
-
-    return factory
+    blocks = matchers(docs.sparkSession, benchmark, item, item_text, window)
+    return found.select("row", "text").mapInArrow(_marking(blocks), found.schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of the batches in groups of about ``n_bytes`` bytes."""
+    group, size = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            group.append(part)
+            size += part.nbytes
+            if size >= n_bytes:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _marking(blocks: Blocks):
+    """Each group of documents goes through the blocks in turn; one automaton is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = list(range(len(blocks)))
+        # With a single block there is nothing to wait for.
+        n_bytes = GROUP_BYTES if len(order) > 1 else 0
+        held, matcher = None, None
+        for group in _groups(batches, n_bytes):
+            found = [[([], set(), 0)] * part.num_rows for part in group]
+            for block in order:
+                if block != held:
+                    matcher = None  # the one before goes first
+                    held, matcher = block, blocks.matcher(block)
+                for part, own in zip(group, found):
+                    for at, value in enumerate(utf8(part.column("text"))):
+                        words = words_of(value)
+                        runs, items = matcher.find(words)
+                        own[at] = (own[at][0] + runs, own[at][1] | items, len(words))
+            order.reverse()  # so the last automaton is the next one's first
+            for part, own in zip(group, found):
+                yield _marked(part, own)
+
+    return run
+
+
+def _marked(part: pa.RecordBatch, found: list[tuple[list, set[str], int]]) -> pa.RecordBatch:
+    run = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    runs = [[{"start": a, "end": b} for a, b in merged(own)] for own, _, _ in found]
+    return pa.record_batch(
+        [
+            part.column("row"),
+            part.column("text"),
+            pa.array([n for _, _, n in found], pa.int64()),
+            pa.array(runs, pa.list_(run)),
+            pa.array([sorted(items) for _, items, _ in found], pa.list_(pa.string())),
+        ],
+        ["row", "text", "n_words", "runs", "items"],
+    )
 
 
 def n_hit(runs: str = "runs") -> Column:

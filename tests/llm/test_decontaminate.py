@@ -1,6 +1,9 @@
+import os
 import random
 import re
+import weakref
 
+import pyarrow as pa
 import pytest
 
 from tallymill.llm import decontaminate
@@ -100,3 +103,43 @@ def test_odd_documents(spark, odd, nothing):
     assert found_in(nothing, benchmark) == []
     empty = spark.createDataFrame([], ITEMS)
     assert all(row[2] == 0 for row in found_in(odd, empty))
+
+
+def test_the_driver_builds_no_automaton(spark, texts, monkeypatch):
+    items, docs = texts
+    driver, matcher = os.getpid(), decontaminate.Matcher
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return matcher(*args)
+
+    monkeypatch.setattr(decontaminate, "Matcher", elsewhere)
+    benchmark = spark.createDataFrame(items, ITEMS)
+    found = found_in(spark.createDataFrame(docs, SCHEMA), benchmark)
+    assert any(row[2] for row in found)
+
+
+def test_a_task_holds_one_automaton_at_a_time(spark, texts, monkeypatch):
+    items, docs = texts
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    blocks = decontaminate.matchers(spark, spark.createDataFrame(items, ITEMS))
+    alive, most = weakref.WeakSet(), []
+
+    class Watched(decontaminate.Matcher):
+        def __init__(self, *args):
+            alive.add(self)
+            most.append(len(alive))
+            super().__init__(*args)
+
+    monkeypatch.setattr(decontaminate, "Matcher", Watched)
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 1_000)
+    monkeypatch.setattr(decontaminate, "SLICE_ROWS", 3)
+    rows = pa.array([{"doc_id": doc[0]} for doc in docs])
+    batch = pa.record_batch([rows, pa.array([doc[1] for doc in docs])], ["row", "text"])
+    out = list(decontaminate._marking(blocks)(iter([batch])))
+    assert len(out) > 3 and len(most) > len(blocks) and max(most) == 1
+    found = [row for part in out for row in part.to_pylist()]
+    assert len(found) == len(docs)
+    for row in found:
+        n_hit = sum(run["end"] - run["start"] for run in row["runs"])
+        assert (row["n_words"], n_hit, row["items"]) == brute(row["text"], items)
