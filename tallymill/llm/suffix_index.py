@@ -1,15 +1,15 @@
-"""Remove byte strings that occur twice, with a logarithmic family of suffix arrays.
+"""Remove byte strings that occur twice, by fingerprints of sampled suffixes.
 
-The index is a family of sorted runs of suffixes. A new batch of documents gets its own
-sorted run; it is merge-scanned against the runs there are, and runs of equal size merge,
-so n batches leave about log2(n) runs and each suffix is rewritten that often.
+The documents come in ``BATCHES`` batches. The suffixes of each are stored as a run; runs of
+equal size merge. This is not a family of suffix arrays with a merge scan: equal fingerprints
+are grouped and joined, within a batch and with the runs there are, and no step reads the
+runs' order or compares neighbouring suffixes.
 
 A run holds sampled suffixes. With all of them it would be eight times as large as the text.
 The sample is chosen by content: of the 64-byte strings inside every window of 400 bytes,
 the one with the least hash starts a sampled suffix. Equal windows sample the same place,
-so no match of 400 bytes is lost, and about one suffix in 170 is stored. Suffixes are ordered
-by fingerprints of their heads (64 bytes, the ``core``) and of their surroundings. Those
-with long common parts are neighbours in that order as in a lexicographic one.
+so no match of 400 bytes is lost, and about one suffix in 170 is stored. Suffixes are named
+by fingerprints of their heads (64 bytes, the ``core``) and of their surroundings.
 
 A sampled suffix stands for the windows that chose it, a range of offsets. Windows are
 settled from coarse to fine, each time by counting equal fingerprints:
@@ -165,14 +165,14 @@ def with_suffixes(docs: DataFrame, text: str, carry: Sequence[str]) -> DataFrame
 
 
 class SuffixIndex:
-    """A logarithmic family of sorted runs of suffixes(core, hull, at, low, high, ..)."""
+    """Stored runs of suffixes(core, hull, at, low, high, ..), of sizes that double."""
 
     def __init__(self) -> None:
         self.runs: list[tuple[int, DataFrame]] = []
         self.scans: list[DataFrame] = []
 
     def add(self, suffixes: DataFrame) -> None:
-        """Scan a batch against itself and all runs, then merge runs of equal size."""
+        """Group a batch and join it with all runs by core, then merge runs of equal size."""
         cores = suffixes.groupBy("core").agg(F.count("*").alias("n"))
         found = cores.filter("n > 1").select("core")
         for _, run in self.runs:
