@@ -3,6 +3,7 @@ import pytest
 
 from conftest import plan_of
 from tallymill.functions.vectors import has_length
+from tallymill.operators import retrieval
 from tallymill.operators.retrieval import context, contexts_for, embed, top_k
 from pyspark.sql import functions as F
 
@@ -143,3 +144,19 @@ def test_context_joins_chunks_best_first(spark):
     ranked = spark.createDataFrame([(1, "b", 1), (1, "a", 2)], "query_id long, id string, rank int")
     (row,) = context(ranked, index).collect()
     assert row.context == "- b.md: short\n\n- a.md: " + "x" * 600
+
+
+def test_queries_stay_out_of_the_driver(spark, monkeypatch):
+    """One scan of the index however many blocks, and no table of queries on the driver."""
+
+    def refused(self):
+        raise AssertionError("a table reached the driver")
+
+    queries, index = make(3, 200, 40)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", refused)
+    monkeypatch.setattr(retrieval, "GROUP_VALUES", 100)
+    result = top_k(
+        spark.createDataFrame(queries, QUERY), spark.createDataFrame(index, INDEX), 3, block_values=20
+    )
+    assert plan_of(result).count("MapInPandas") <= 1
+    assert found(result) == brute_force(queries, index, 3)
