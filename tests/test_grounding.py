@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import plan_of
+from plan import plan_of
 from test_matching import QUESTIONS, asked, frame, make_rows
 from tallymill.functions.keywords import KNOWN_MERCHANTS
 from tallymill.operators.grounding import evidence_text, grounding

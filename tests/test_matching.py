@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import plan_of
+from plan import plan_of
 from tallymill.functions.keywords import KNOWN_MERCHANTS
 from tallymill.operators import skew
 from tallymill.operators.matching import matching_transactions, newest_first, transactions_for

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from conftest import plan_of
+from plan import plan_of
 from tallymill.functions.vectors import has_length
 from tallymill.operators import retrieval
 from tallymill.operators.retrieval import context, contexts_for, embed, top_k
