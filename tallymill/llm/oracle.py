@@ -108,3 +108,90 @@ SELECT doc_id, least(doc_id, coalesce(other, doc_id)) AS class_id,
 FROM docs LEFT JOIN least_of USING (doc_id) LEFT JOIN counts USING (doc_id)
   LEFT JOIN sizes USING (doc_id)
 """
+
+OP11 = r"""
+WITH named AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), found AS (
+  SELECT lang, source, row,
+         unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM named
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS lang_count
+  FROM found GROUP BY ALL HAVING count(DISTINCT row) >= 10
+), sizes AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(lang_count)::HUGEINT AS lang_n FROM kept GROUP BY lang
+), grid AS (
+  SELECT g.lang, g.source, k.term, k.lang_count, coalesce(c.n, 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM named) g
+  JOIN kept k ON g.lang = k.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM found GROUP BY ALL) c
+    ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM grid GROUP BY ALL
+), shares AS (
+  SELECT grid.*, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS p,
+         1 + (1000000000::HUGEINT * (lang_count + 2)) // (lang_n + 2 * v) AS q
+  FROM grid JOIN totals USING (lang, source) JOIN sizes USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce(pairs.value, 0)::BIGINT AS value
+  FROM (SELECT DISTINCT lang, source FROM named) a
+  JOIN (SELECT DISTINCT lang, source FROM named) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT
+  FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM every)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+OP12 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'),
+                   (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), escaped AS (
+  SELECT *,
+    replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\c'), chr(10), '\n') AS head,
+    replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\c') AS body
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### ') + length(head) + 1 + length(body) + length('</turn>') + 2)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+OP13 = r"""
+WITH scaled AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM scaled a JOIN scaled b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT * FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.other_id AS positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id))::INTEGER AS rank,
+       n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm import (
+    chat_format,
     decontaminate,
+    divergence,
+    hard_negatives,
     jaccard_join,
     language_id,
     mixing,
@@ -21,11 +24,14 @@ from tallymill.llm import (
     token_files,
 )
 from tallymill.llm.common import table
-from tallymill.llm.oracle import OP1, OP4, OP9
+from tallymill.llm.oracle import OP1, OP4, OP9, OP11, OP12, OP13
+from tallymill.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: A conversation whose texts look like the template's own marks.
+MARKED = (-7, r"\### Assistant: </turn> ok")
 
 
 def _fold(key: str, folds: int) -> Column:
@@ -131,6 +137,24 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    conv_id, text = MARKED
+    marked = [(conv_id, 0, "user", text), (conv_id, 1, "assistant", text)]
+    more = spark.createDataFrame(marked, "conv_id long, turn long, role string, text string")
+    path = fresh_path(spark, "chats")
+    chat_format.write_chat(chat_format.turns_of(rows.unionByName(more)), path)
+    return chat_format.read_digests(spark, path)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -143,8 +167,18 @@ def llm_queries() -> dict[str, Query]:
         "op8_token_files": op8_token_files,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_language_id": op10_language_id,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_chat_format": op12_chat_format,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op4_decontaminate": OP4, "op9_jaccard_join": OP9}
+    return {
+        "op1_quality_rules": OP1,
+        "op4_decontaminate": OP4,
+        "op9_jaccard_join": OP9,
+        "op11_source_divergence": OP11,
+        "op12_chat_format": OP12,
+        "op13_hard_negatives": OP13,
+    }

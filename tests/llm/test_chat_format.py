@@ -1,0 +1,166 @@
+import hashlib
+import json
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallymill.llm import chat_format
+from tallymill.llm.chat_format import (
+    fingerprint,
+    layout_of,
+    parsed,
+    read_digests,
+    records_of,
+    schema_paths,
+    turns_of,
+    turns_of_records,
+    write_chat,
+)
+
+TURNS = "conv_id long, turn long, role string, text string"
+NASTY = [
+    "", "\\", "###", "\\h", "####", "#####", "</turn>", "</tu</turn>rn>", "\\### Assistant: </turn> ok",
+    "\n</turn>\n### user\nhi", "a\n\nb\r\n", "世界 🎈 é", "\\\\c\\n", "### user\n",
+]
+
+
+def digests(turns):
+    out = {}
+    for conv in {row[0] for row in turns}:
+        mine = [row for row in turns if row[0] == conv]
+        whole = "".join(f"{role or ''}\n{text or ''}\n" for _, _, role, text in mine)
+        loss = "".join(text or "" for _, _, role, text in mine if role == "assistant")
+        sums = [hashlib.sha256(x.encode()).hexdigest() for x in (whole, loss)]
+        out[conv] = (len(mine), sums[0], len(loss), sums[1])
+    return out
+
+
+def written(spark, tmp_path, df):
+    path = str(tmp_path / "chats")
+    write_chat(df, path)
+    return path, {row[0]: tuple(row)[1:] for row in read_digests(spark, path).collect()}
+
+
+def test_round_trip(spark, tmp_path):
+    rows = [(1, n, ["user", "assistant"][n % 2], text) for n, text in enumerate(NASTY)]
+    rows += [(2, n, role, "x") for n, role in enumerate(["a\nb", "###", "", None, "</turn>"])]
+    rows += [(None, 0, "assistant", None), (3, None, "user", "first"), (3, 0, "assistant", "long " * 50_000)]
+    path, found = written(spark, tmp_path, turns_of(spark.createDataFrame(rows, TURNS).repartition(5)))
+    want = digests(rows)
+    assert {key: value[:4] for key, value in found.items()} == want
+    stored = spark.read.parquet(path).orderBy("conv_id", "turn").collect()
+    for conv in (1, 2):
+        text = "".join(row.formatted for row in stored if row.conv_id == conv)
+        assert len(text) == found[conv][4]
+        assert parsed(text) == [(role or "", said or "") for c, _, role, said in rows if c == conv]
+        assert text.count("</turn>") == text.count("### ") == found[conv][0]
+    for row in stored:
+        role, text = parsed(row.formatted)[0]
+        assert (row.loss_start is None) == (role != "assistant")
+        if row.loss_start is not None:
+            assert chat_format.unescaped(row.formatted[row.loss_start : row.loss_end]) == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="#\\</turn>hcn\n ä"), st.text(alphabet="#\\</turn>hcn\n ä")), max_size=4))
+def test_escapes_are_reversible(turns):
+    def escape(text, marks):
+        for before, after in marks.items():
+            text = text.replace(before, after)
+        return text
+
+    whole = "".join(
+        f"### {escape(role, chat_format.ROLE_MARKS)}\n{escape(text, chat_format.MARKS)}\n</turn>\n"
+        for role, text in turns
+    )
+    assert parsed(whole) == turns
+
+
+def test_conversation_over_many_files(spark, tmp_path):
+    rows = [(1, n, ["user", "assistant"][n % 2], f"text {n}") for n in range(3000)]
+    rows += [(c, 0, "user", "hi") for c in range(2, 40)]
+    path, found = written(spark, tmp_path, turns_of(spark.createDataFrame(rows, TURNS).repartition(6)))
+    assert {key: value[:4] for key, value in found.items()} == digests(rows)
+
+
+def test_ties_repeated_rows_and_clashing_names(spark, tmp_path):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "z")]
+    df = spark.createDataFrame(rows, TURNS).selectExpr("*", "1 AS head", "2 AS tie", "'x' AS formatted", "0 AS body")
+    _, found = written(spark, tmp_path, turns_of(df))
+    assert found[1][0] == 4 and found[1][2] == 1
+    _, again = written(spark, tmp_path / "again", turns_of(df.repartition(3)))
+    assert again == found
+
+
+def test_empty_table(spark, tmp_path):
+    _, found = written(spark, tmp_path, turns_of(spark.createDataFrame([], TURNS)))
+    assert found == {}
+
+
+RECORDS = [
+    ({"messages": [{"role": "system", "content": "s"}, {"role": "human", "content": "q"}]}, "messages",
+     [("system", "s"), ("user", "q")]),
+    ({"system": "be", "messages": [{"role": "user", "content": "q"}], "id": 7}, "messages",
+     [("system", "be"), ("user", "q")]),
+    ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": None}]}, "conversations",
+     [("user", "q"), ("assistant", "")]),
+    ({"instruction": "do", "input": "this", "output": "done"}, "instruction",
+     [("user", "do\n\nthis"), ("assistant", "done")]),
+    ({"instruction": "do", "input": "", "output": "done"}, "instruction",
+     [("user", "do"), ("assistant", "done")]),
+    ({"prompt": "p", "completion": "c", "meta": {"lang": "en"}}, "prompt and completion",
+     [("user", "p"), ("assistant", "c")]),
+    ({"system": "s", "prompt": "p", "response": "r"}, "prompt and response",
+     [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    ({"question": "q", "answer": "a"}, "question and answer", [("user", "q"), ("assistant", "a")]),
+    ({"turn": 4, "role": "user", "text": "t"}, "turn rows", [("user", "t")]),
+]
+
+
+def test_records_of_many_layouts(spark, tmp_path):
+    bodies = [(n, json.dumps(record)) for n, (record, _, _) in enumerate(RECORDS)]
+    bodies += [(50, None), (51, "no json"), (52, "[1]"), (53, '{"prompt": "p", "answer": "a"}'), (54, "{}")]
+    found = records_of(spark.createDataFrame(bodies, "conv_id long, body string")).collect()
+    by_id = {row.conv_id: row for row in found}
+    for n, (record, name, turns) in enumerate(RECORDS):
+        assert by_id[n].layout == name
+        assert [(turn.role, turn.text) for turn in by_id[n].turns] == turns
+    assert by_id[8].turns[0].turn == 4
+    assert all(by_id[n].layout is None and by_id[n].turns is None for n in range(50, 55))
+    assert [by_id[n].fingerprint is None for n in range(50, 55)] == [True, True, True, False, False]
+    records = records_of(spark.createDataFrame(bodies, "conv_id long, body string"))
+    _, stored = written(spark, tmp_path, turns_of_records(records))
+    want = digests([(n, 0, role, text) for n, (_, _, turns) in enumerate(RECORDS) for role, text in turns])
+    assert {key: value[:4] for key, value in stored.items()} == want
+
+
+@pytest.mark.parametrize("record, name, turns", RECORDS)
+def test_tables_and_records_agree(spark, record, name, turns):
+    kinds = {
+        "messages": "array<struct<role: string, content: string>>",
+        "conversations": "array<struct<from: string, value: string>>",
+        "id": "long", "turn": "long", "meta": "struct<lang: string>",
+    }
+    schema = ", ".join(f"{field} {kinds.get(field, 'string')}" for field in record)
+    df = spark.read.schema(schema).json(spark.sparkContext.parallelize([json.dumps(record)]))
+    df = df.selectExpr("5 AS conv_id", "*")
+    assert layout_of(df).name == name
+    got = turns_of(df).orderBy("turn").collect()
+    assert [(row.conv_id, row.role, row.text) for row in got] == [(5, *turn) for turn in turns]
+
+
+def test_unknown_tables_are_errors(spark):
+    with pytest.raises(ValueError, match="no layout"):
+        turns_of(spark.createDataFrame([], "conv_id long, prompt string, answer string"))
+
+
+def test_fingerprints_ignore_order_and_unknown_fields(spark):
+    a = spark.createDataFrame([], "x int, messages array<struct<content: string, role: string, z: int>>")
+    b = spark.createDataFrame([], "messages array<struct<role: string, content: string>>")
+    known, _ = chat_format.registry()
+    assert fingerprint(schema_paths(a.schema) & known) == fingerprint(schema_paths(b.schema) & known)
+    assert schema_paths(a.schema) == {"x", "messages", "messages[].content", "messages[].role", "messages[].z"}
+    one = chat_format.Layout("one", steps=(("user", ("prompt",)),))
+    with pytest.raises(ValueError, match="cannot be told"):
+        chat_format.registry((one, chat_format.Layout("two", steps=(("user", ("prompt",)),))))

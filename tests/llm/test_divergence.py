@@ -1,0 +1,111 @@
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallymill.llm import divergence
+from tests.llm.conftest import SCHEMA, prose
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+LOWER = str.maketrans({chr(n): chr(n + 32) for n in range(65, 91)})
+
+
+def brute(rows):
+    """rows of (text, lang, source) to the result's rows, with Python's whole numbers."""
+    counts, docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        found = TERM.findall((text or "").translate(LOWER))
+        counts[lang, source].update(found)
+        docs[lang].update(set(found))
+        groups[lang].add(source)
+    out = set()
+    for lang, sources in groups.items():
+        kept = [term for term, n in docs[lang].items() if n >= 10]
+        every = sum((counts[lang, source] for source in sources), Counter())
+
+        def shares(some):
+            below = sum(some[t] for t in kept) + 2 * len(kept)
+            return {t: 1 + 10**9 * (some[t] + 2) // below for t in kept}
+
+        def far(p, q):
+            return (p - q) ** 2 // (p + q)
+
+        of = {source: shares(counts[lang, source]) for source in sources}
+        whole = shares(every)
+        for source in sources:
+            p = of[source]
+            pairs = [(sum(far(p[t], of[b][t]) for t in kept), b) for b in sources if b != source]
+            terms = [
+                (far(p[t], whole[t]), t) for t in kept if counts[lang, source][t] and p[t] > whole[t]
+            ]
+            for part, found, most in (("pair", pairs, None), ("term", terms, 10)):
+                ordered = sorted(found, key=lambda x: (-x[0], x[1].encode()))[:most]
+                out |= {(lang, source, part, x, v, n) for n, (v, x) in enumerate(ordered, 1)}
+    return out
+
+
+def rows_for(n, sources, seed=3):
+    chance = np.random.default_rng(seed)
+    made = []
+    for i in range(n):
+        source = int(chance.integers(sources))
+        words = [f"{'Ab' if k % 3 else 'ü'}{chr(97 + k)}{chr(97 + (k * source) % 5)}" for k in chance.integers(0, 25, 12)]
+        made.append((i, " 7-".join(words), ["en", "de"][i % 3 == 0], f"s{source}", 1))
+    return made
+
+
+def found(docs):
+    return [tuple(row) for row in divergence.audit(docs).collect()]
+
+
+@pytest.mark.parametrize("tile, cells, held", [(64, 1_000_000, 200_000), (2, 40, 5)])
+def test_equals_brute_force(spark, monkeypatch, tile, cells, held):
+    monkeypatch.setattr(divergence, "TILE_SOURCES", tile)
+    monkeypatch.setattr(divergence, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(divergence, "HELD_TERMS", held)
+    rows = rows_for(400, 7)
+    rows += [(900, None, None, "s1", 1), (901, "", "en", None, 1), (902, "12 34", "en", "empty", 1)]
+    rows += [(903, "alone", "xx", "a", 1), (904, None, "xx", "b", 1)] + [rows[0]] * 30
+    got = found(spark.createDataFrame(rows, SCHEMA))
+    assert len(got) == len(set(got))
+    assert set(got) == brute([row[1:4] for row in rows])
+
+
+def test_terms_that_no_source_of_two_tiles_has(spark, monkeypatch):
+    """One source alone has the words, so other tiles meet none of them."""
+    monkeypatch.setattr(divergence, "TILE_SOURCES", 1)
+    rows = [(i, "common words here", "en", "s0", 1) for i in range(12)]
+    rows += [(100 + i, "", "en", f"s{i}", 1) for i in range(1, 9)]
+    assert set(found(spark.createDataFrame(rows, SCHEMA))) == brute([row[1:4] for row in rows])
+
+
+def test_runs_stand_for_all_terms():
+    cells = np.array([[0, 3, 0, 3, 1, 0], [5, 5, 5, 2, 2, 5], [0, 0, 0, 0, 0, 0]])
+    columns = divergence.RunColumns(cells)
+    assert [len(values) for values in columns.values][0] <= 4 and len(columns.values[2]) == 1
+    for x in range(3):
+        for y in range(3):
+            a, b, lengths = columns.merged(x, y)
+            pairs = Counter()
+            for i, j, n in zip(columns.values[x][a], columns.values[y][b], lengths):
+                pairs[int(i), int(j)] += int(n)
+            assert pairs == Counter(zip(cells[x].tolist(), cells[y].tolist()))
+
+
+def test_large_counts_stay_exact(spark):
+    below = 8 * 10**15 + 7
+    counts = np.array([0, 1, 10**9, 5 * 10**15, below - 2])
+    want = [1 + 10**9 * (int(n) + 2) // below for n in counts]
+    assert divergence.shares(counts, below).tolist() == want
+    rows = spark.createDataFrame([(int(n), below - 20, 10) for n in counts], "n long, total long, kept long")
+    got = rows.select("n", divergence.share(F.col("n"), F.col("total"), F.col("kept")).alias("p")).collect()
+    assert {row.n: row.p for row in got} == dict(zip(counts.tolist(), want))
+
+
+def test_odd_documents(odd, nothing):
+    rows = [(row.text, row.lang, row["source"]) for row in odd.select("text", "lang", "source").collect()]
+    assert set(found(odd)) == brute(rows)
+    assert divergence.audit(nothing).count() == 0

@@ -1,0 +1,117 @@
+import math
+
+import numpy as np
+import pytest
+
+from tallymill.llm import hard_negatives
+from tallymill.llm.hard_negatives import Mine, hard_negatives as mined
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+NAMES = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+
+
+def brute(rows):
+    used = []
+    for vec_id, vector, label in rows:
+        if label is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        label = (label + 1) % 10 if vec_id is not None and vec_id % 7 == 0 else label
+        used.append((vec_id, [math.floor(256 * float(np.float32(x))) for x in vector], label))
+    out = []
+    for at, (anchor, v, label) in enumerate(used):
+        if anchor is None or anchor % 100:
+            continue
+        scored = [
+            (-sum(x * y for x, y in zip(v, w)), math.inf if i is None else i, i, other == label)
+            for n, (i, w, other) in enumerate(used)
+            if n != at
+        ]
+        scored.sort(key=lambda x: x[:2])
+        for p, _, positive, _ in [x for x in scored if x[3]][:5]:
+            inside = [x for x in scored if not x[3] and 80 * -p <= 100 * -x[0] <= 100 * -p]
+            for rank, (s, _, negative, _) in enumerate(inside[:5], 1):
+                out.append((anchor, positive, rank, negative, -p, -s))
+    return sorted(map(str, out))
+
+
+def rows_of(df):
+    return sorted(str(tuple(row)) for row in df.select(*NAMES).collect())
+
+
+def clustered(n, width=6, seed=1):
+    chance = np.random.default_rng(seed)
+    centres = chance.normal(size=(8, width))
+    vectors = centres[chance.integers(0, 8, n)] + 0.1 * chance.normal(size=(n, width))
+    labels = chance.integers(0, 10, n)
+    return [(i, [float(x) for x in v], int(label)) for i, (v, label) in enumerate(zip(vectors, labels))]
+
+
+@pytest.fixture
+def small(monkeypatch):
+    for name, value in {
+        "SAMPLE_ROWS": 200, "WAYS": 4, "LEAF_SAMPLE": 10, "PIECE_ROWS": 30, "BLOCK_ANCHORS": 2,
+        "TILE_SCORES": 100,
+    }.items():
+        monkeypatch.setattr(hard_negatives, name, value)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_brute_force(spark, small, seed):
+    rows = clustered(900, seed=seed)
+    assert rows_of(mined(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_production_sizes_equal_brute_force(spark):
+    rows = clustered(400)
+    assert rows_of(mined(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_copies_of_one_vector_and_ties(spark, small):
+    rows = clustered(300)
+    rows += [(1000 + i, rows[5][1], i % 3) for i in range(250)]
+    rows += [(2000 + 100 * i, rows[5][1], 1) for i in range(3)]
+    assert rows_of(mined(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_odd_rows(spark, small):
+    some = clustered(150)
+    rows = [(0, some[0][1], None), (100, None, 3), *some[1:100], *some[101:]]
+    rows += [(200, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0], 1), (300, [float("inf")] * 6, 1), (400, [None] * 6, 1)]
+    rows += [(500, [], 1), (600, [0.0] * 6, 2), (700, [0.5, -0.5], 2), (None, some[3][1], 2)]
+    rows += [(800, some[7][1], some[7][2])] * 2 + [some[7]] * 3 + [(-100, some[9][1], -3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("row", "id", "v", "leaf", "norm", "anchor", "score"):
+        docs = docs.selectExpr("*", f"'extra' AS {name}")
+    assert rows_of(mined(docs)) == brute(rows)
+
+
+def test_tables_without_results(spark):
+    assert mined(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert mined(spark.createDataFrame([(100, [1.0], 1)], SCHEMA)).count() == 0
+    assert mined(spark.createDataFrame([(101, [1.0], 1), (102, [1.0], 2)], SCHEMA)).count() == 0
+
+
+def test_large_components_stay_exact_or_stop(spark):
+    rows = [(i, [float(2**15 + i), float(-(2**14) * (i % 3))], i % 2) for i in range(90, 130)]
+    assert rows_of(mined(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    far = spark.createDataFrame([(100, [3e30], 1), (101, [3e30], 1)], SCHEMA)
+    with pytest.raises(ValueError, match="64 bits"):
+        mined(far)
+
+
+def test_ranges_rule_out_leaves(spark, small):
+    """On clustered vectors most leaves are ruled out, and none that holds a row in the window."""
+    rows = clustered(1500)
+    mine = Mine(spark.createDataFrame(rows, SCHEMA))
+    placed = mine.placed.toPandas()
+    anchors = mine.anchors().toPandas()
+    vectors = mine.space.read_all(placed["v"])
+    wanted = mine.space.read_all(anchors["v"])
+    scores = wanted @ vectors.T
+    low = np.partition(scores, -20, axis=1)[:, -20:-19].astype(float)
+    high = scores.max(1, keepdims=True).astype(float)
+    reached = mine.tree.reached(wanted, anchors["norm"].to_numpy(), low, high)
+    assert mine.tree.n_leaves > 10 and reached.mean() < 0.5
+    for at in range(len(anchors)):
+        inside = (scores[at] >= low[at]) & (scores[at] <= high[at])
+        assert reached[at, placed["leaf"].to_numpy()[inside]].all()
