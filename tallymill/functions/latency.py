@@ -13,10 +13,14 @@ STEP_FORMAT = "%s: %.3fs"
 STEP = r"([^|:]+): (\d+\.\d{3})s"
 
 
+def micros_to_seconds(micros: Column) -> Column:
+    """Seconds to the millisecond."""
+    return F.round(micros.cast("decimal(20,0)") / F.lit(1000000), 3).cast("double")
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     """Elapsed seconds between two timestamps, to the millisecond."""
-    micros = F.unix_micros(end) - F.unix_micros(start)
-    return F.round(micros.cast("decimal(20,0)") / F.lit(1000000), 3).cast("double")
+    return micros_to_seconds(F.unix_micros(end) - F.unix_micros(start))
 
 
 def step_text(step: Column, seconds: Column) -> Column:

@@ -35,6 +35,12 @@ YEARLY = (351, 380)
 REGULAR_SHARE = 0.8
 FEWEST_CHARGES = 3
 
+#: Charges of a merchant count as usual up to this share of those of the months before.
+HISTORY_MONTHS = 12
+USUAL_SHARE = 0.99
+FEWEST_BEFORE = 20
+SKETCH_K = 200
+
 SPIKE_MONTHS = 3
 SPIKE_DEVIATIONS = 2.0
 
@@ -152,6 +158,63 @@ def spend_spikes(txns: DataFrame) -> DataFrame:
     return measured.withColumn("is_spike", F.coalesce(spend > limit, F.lit(False)))
 
 
+def charge_sketches(txns: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """(merchant, month, charges, sketch): quantile sketches of a merchant's charges by month.
+
+    Sketches can be merged: those of new transactions join stored ones of the same month.
+    """
+    charges = _expenses(txns).filter("date IS NOT NULL AND amount IS NOT NULL")
+    return charges.groupBy(
+        _text("merchant").alias("merchant"), F.trunc("date", "MM").alias("month")
+    ).agg(
+        F.count("*").alias("charges"),
+        F.kll_sketch_agg_double(F.col("amount").cast("double"), F.lit(k)).alias("sketch"),
+    )
+
+
+def usual_limits(
+    sketches: DataFrame,
+    months: int = HISTORY_MONTHS,
+    share: float = USUAL_SHARE,
+    k: int = SKETCH_K,
+) -> DataFrame:
+    """(merchant, month, history, usual_limit): what ``share`` of earlier charges stay below.
+
+    The history of a month is the ``months`` before it. Each sketch goes to the months that it
+    is history of and is merged there, so no step sees the charges of a merchant as one group.
+    """
+    later = F.explode(F.sequence(F.add_months("month", 1), F.add_months("month", months), F.expr("INTERVAL 1 MONTH")))
+    merged = (
+        sketches.select("merchant", later.alias("month"), "charges", "sketch")
+        .groupBy("merchant", "month")
+        .agg(F.sum("charges").alias("history"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    )
+    limit = F.kll_sketch_get_quantile_double("sketch", F.lit(share))
+    return merged.select("merchant", "month", "history", limit.alias("usual_limit"))
+
+
+def unusual_charges(
+    txns: DataFrame,
+    months: int = HISTORY_MONTHS,
+    share: float = USUAL_SHARE,
+    fewest: int = FEWEST_BEFORE,
+    k: int = SKETCH_K,
+) -> DataFrame:
+    """Charges above what ``share`` of the merchant's charges of the months before stay below.
+
+    Adds history and usual_limit. Months with a history of fewer than ``fewest`` charges have no
+    usual. The limit is a quantile up to the sketch's error in rank, under 2 % with the default;
+    sketches draw at random, so limits of two runs may differ by as much.
+    """
+    limits = usual_limits(charge_sketches(txns, k), months, share, k).filter(F.col("history") >= fewest)
+    keyed = _expenses(txns).select(
+        "*", _text("merchant").alias("_merchant"), F.trunc("date", "MM").alias("_month")
+    )
+    named = limits.withColumnsRenamed({"merchant": "_merchant", "month": "_month"})
+    found = keyed.join(named, ["_merchant", "_month"]).drop("_merchant", "_month")
+    return found.filter(F.col("amount").cast("double") > F.col("usual_limit"))
+
+
 def rule_category(text: Column, rules: Mapping[str, str] = MERCHANT_RULES) -> Column:
     """Category of the first rule whose text occurs as whole words, ignoring case.
 

@@ -49,10 +49,12 @@ def _filled(column: str) -> Column:
 
 
 def window_cells(
-    txns: DataFrame, starts: Starts, windows: Sequence[str] = WINDOWS
+    txns: DataFrame, starts: Starts, windows: Sequence[str] = WINDOWS, weight: str | None = None
 ) -> DataFrame:
     """(window, category, merchant, amount, rows) of those windows a pair has rows in.
 
+    ``weight`` names a column that says how many transactions a row stands for.
+
     One pass over date, category, merchant and amount. Rows are first summed per stretch
     of time, map-side too, so a pair that holds most of the rows is a few rows per task
     before the shuffle. Windows are then put together from stretches.
@@ -61,7 +63,10 @@ def window_cells(
         _filled("category").alias("category"),
         _filled("merchant").alias("merchant"),
         stretch_of(F.col("date"), starts).alias("stretch"),
-    ).agg(F.sum("amount").alias("amount"), F.count("*").alias("rows"))
+    ).agg(
+        F.sum("amount").alias("amount"),
+        (F.sum(weight) if weight else F.count("*")).alias("rows"),
+    )
     names = F.array(
         *[
             F.array(*[F.lit(w) for w in some]).cast("array<string>")
@@ -135,8 +140,9 @@ def word_hits(asks: DataFrame, cells: DataFrame) -> WordHits:
     words = asks.select("needle", F.explode(sided).alias("of")).select("needle", "of.*").distinct()
     values = cells.select(F.explode(_sides()).alias("of")).select("of.*").distinct()
     gram = F.substring("word", 1, LONGEST_GRAM).alias("gram")
-    wanted = words.select("side", "word", gram).distinct()
-    candidates = _with_grams(values).join(wanted, ["side", "gram"])
+    wanted = materialize(words.select("side", "word", gram).distinct(), "wanted")
+    # A gram may begin very many words and occur in very many values.
+    candidates = balanced_join(materialize(_with_grams(values), "grams"), wanted, ["side", "gram"])
     confirmed = candidates.filter(F.contains("text", F.col("word")))
     found = materialize(confirmed.select("side", "word", "value").distinct(), "word-hits")
 
@@ -151,15 +157,29 @@ def word_hits(asks: DataFrame, cells: DataFrame) -> WordHits:
     return WordHits(found, materialize(resolved.select(*ASK, hits, "words"), "resolved"))
 
 
+def _set_values(hits: WordHits, by: Sequence[str]) -> DataFrame:
+    """(*by, side, value): what the words of the sets occur in."""
+    sets = hits.asks.filter("hits != ''").select(*by, "words").distinct()
+    words = sets.select(*by, F.explode("words").alias("of")).select(*by, "of.*")
+    # A word may be that of very many sets and occur in very many values.
+    met = balanced_join(materialize(words, "set-words"), hits.found, ["side", "word"])
+    return materialize(met.select(*by, "side", "value").distinct(), "set-values")
+
+
+def pairs_of_hits(hits: WordHits, cells: DataFrame) -> DataFrame:
+    """(hits, category, merchant): the pairs that each list of hits keeps, in any window."""
+    values = _set_values(hits, ["hits"])
+    pairs = cells.select(*CELL).distinct()
+    by_side = materialize(pairs.select(*CELL, F.explode(_sides()).alias("of")).select(*CELL, "of.*"), "pairs")
+    return balanced_join(by_side, values, ["side", "value"]).select("hits", *CELL).distinct()
+
+
 def set_cells(hits: WordHits, cells: DataFrame) -> DataFrame:
     """(hits, window, category, merchant, amount, rows): the cells each set keeps.
 
     A cell is looked up by its category and by its merchant; found twice it counts once.
     """
-    sets = hits.asks.filter("hits != ''").select(*SET, "words").distinct()
-    words = sets.select(*SET, F.explode("words").alias("of")).select(*SET, "of.*")
-    kept = words.join(hits.found, ["side", "word"]).select(*SET, "side", "value").distinct()
-    values = materialize(kept, "set-values")
+    values = _set_values(hits, SET)
     by_side = cells.select("*", F.explode(_sides()).alias("of")).select(*cells.columns, "of.*")
     found = balanced_join(by_side, values, ["window", "side", "value"])
     return found.dropDuplicates([*SET, *CELL]).select(*SET, *CELL, "amount", "rows")

@@ -1,8 +1,8 @@
 """Step durations of ordered traces.
 
 A trace may be very long, so no step is computed over a whole trace at once. Steps are
-looked at per (trace, stretch of time): an hour, or a second within hours that hold more
-than ``STEPS_PER_HOUR`` steps. One row per stretch carries position and time over.
+dealt out by ranges of trace and time and looked at per (trace, range); one row for each
+carries position and time over.
 
 Steps without a time have no place in a trace. They are left out, of all counts as well.
 """
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.latency import round_trip_text, seconds_between, step_text
+from tallymill.session import materialize
 
-STEPS_PER_HOUR = 10_000
 #: Steps whose texts are put together in one task before the whole line is.
 STEPS_PER_PIECE = 1_000
 
@@ -23,28 +23,27 @@ def _timed(trace: DataFrame) -> DataFrame:
     return trace.filter(F.col("ts").isNotNull())
 
 
-def _in_stretches(trace: DataFrame, steps_per_hour: int) -> DataFrame:
-    """Steps with the start of their stretch; stretches of a trace do not overlap."""
-    timed = _timed(trace).withColumn("_hour", F.date_trunc("hour", "ts"))
-    busy = (
-        timed.groupBy("trace_id", "_hour")
-        .agg(F.count("*").alias("_steps"))
-        .filter(F.col("_steps") > steps_per_hour)
-    )
-    fine = F.when(F.col("_steps").isNotNull(), F.date_trunc("second", "ts"))
-    marked = timed.join(busy, ["trace_id", "_hour"], "left")
-    return marked.withColumn("stretch", F.coalesce(fine, "_hour")).drop("_hour", "_steps")
+def _in_stretches(trace: DataFrame) -> DataFrame:
+    """Steps with the number of their stretch.
+
+    The steps of all traces are dealt out by ranges of trace and time. A stretch is what one
+    range holds of a trace, so the steps of one second, or of one moment, may be several.
+    """
+    order = ["trace_id", "ts", "seq", F.xxhash64(*trace.columns)]
+    dealt = _timed(trace).repartitionByRange(*order).withColumn("stretch", F.spark_partition_id())
+    return materialize(dealt, "stretches")
 
 
-def step_durations(trace: DataFrame, steps_per_hour: int = STEPS_PER_HOUR) -> DataFrame:
+def step_durations(trace: DataFrame) -> DataFrame:
     """Add position (from 1) and seconds since the previous step.
 
     trace(trace_id, seq, step, ts) is ordered by time and then ``seq``; the first step of a
     trace has no duration.
     """
-    steps = _in_stretches(trace, steps_per_hour)
+    steps = _in_stretches(trace)
     key = ["trace_id", "stretch"]
-    inside = Window.partitionBy(*key).orderBy("ts", "seq")
+    # Steps that are equal in time and number are ordered as they were dealt out.
+    inside = Window.partitionBy(*key).orderBy("ts", "seq", F.xxhash64(*trace.columns))
     numbered = steps.withColumn("at", F.row_number().over(inside)).withColumn(
         "previous", F.lag("ts").over(inside)
     )

@@ -53,12 +53,14 @@ class AnswerBook:
         questions: DataFrame,
         txns: DataFrame,
         known: Sequence[str] = KNOWN_MERCHANTS,
+        weight: str | None = None,
     ) -> AnswerBook:
+        """``weight`` names a column that says how many transactions a row stands for."""
         parsed = parse_questions(questions, known)
         starts = first_days(txns)
         asks = materialize(distinct_asks(parsed), "asks")
         windows = windows_asked(asks)
-        cells = materialize(window_cells(txns, starts, windows), "cells")
+        cells = materialize(window_cells(txns, starts, windows, weight), "cells")
         hits = word_hits(asks, cells)
         kept = materialize(set_cells(hits, cells), "kept")
         return cls(within(txns, windows, starts), starts, parsed, hits.asks, cells, kept)
@@ -71,10 +73,11 @@ class AnswerBook:
     def sets(self) -> DataFrame:
         """Distinct (hits, window) with totals, answer and whether any row was matched."""
         matched = totals(self.kept, SET).withColumn("matched", F.lit(True))
-        # At most one row per window name, nine in all.
         whole = totals(self.cells, ["window"]).withColumnsRenamed(
             {name: f"window_{name}" for name in TOTALS}
         )
+        if self.starts:  # at most one row per window name, nine in all
+            whole = F.broadcast(whole)
         chosen = [
             F.when(F.col("matched"), F.col(name))
             .otherwise(F.coalesce(F.col(f"window_{name}"), F.lit(0)))
@@ -86,7 +89,7 @@ class AnswerBook:
             .distinct()
             .join(matched, SET, "left")
             .withColumn("matched", F.coalesce("matched", F.lit(False)))
-            .join(F.broadcast(whole), "window", "left")
+            .join(whole, "window", "left")
             .select(*SET, "matched", *chosen)
             .withColumn("answer", spent_sentence(F.col("total_spend"), F.col("transaction_count")))
         )
@@ -135,7 +138,12 @@ class AnswerBook:
         return self._to_questions(self.sets().select(*SET, "answer")).drop("needle")
 
     def evaluated(self, mode: str = "exact") -> DataFrame:
-        """Answers with their totals and the verdict of the grounding check."""
+        """Answers with their totals and the verdict of the grounding check.
+
+        For the named windows only: the check relies on all of them ending on the newest date.
+        """
+        if not self.starts:
+            raise ValueError("answers about other stretches of days are not checked")
         sets = materialize(self.sets(), "answered")
         checked = ground_sets(sets, self.kept, self.txns, self.starts, mode)
         return self._with_fallback(self._to_questions(checked))
@@ -160,16 +168,20 @@ def answer_and_log(
     known: Sequence[str] = KNOWN_MERCHANTS,
     mode: str = "exact",
     trace: DataFrame | None = None,
+    run: str | None = None,
 ) -> DataFrame:
     """Answer all questions, append their evaluations to the log, return the answers.
 
+    ``run`` names the questions: if they are answered again under that name, as after a
+    failure, the log keeps the records it has.
+
     ``trace`` holds the steps of answering, named after the questions; its latency lines
     go to the log.
     """
     book = AnswerBook.open(clean_questions(questions), txns, known)
     evaluated = materialize(book.evaluated(mode), "evaluated")
     lines = None if trace is None else latency_lines(trace)
-    append_evaluations(evaluation_records(evaluated, lines), log_path)
+    append_evaluations(evaluation_records(evaluated, lines), log_path, run)
     book.close()
     return evaluated
 

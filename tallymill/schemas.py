@@ -49,6 +49,23 @@ INDEX = T.StructType(
     ]
 )
 
+#: The index as it is stored: ``digest`` tells whether a document is the one that was embedded.
+STORED_INDEX = T.StructType([*INDEX.fields, T.StructField("digest", T.StringType())])
+
+DAY_CELL = T.StructType(
+    [
+        T.StructField("date", T.DateType()),
+        T.StructField("category", T.StringType()),
+        T.StructField("merchant", T.StringType()),
+        T.StructField("amount", T.DecimalType(38, 2)),
+        T.StructField("rows", T.LongType()),
+    ]
+)
+
+REJECT = T.StructType(
+    [T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())]
+)
+
 EVALUATION = T.StructType(
     [
         T.StructField("query", T.StringType()),

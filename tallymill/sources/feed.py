@@ -25,7 +25,7 @@ def parsed_json(body: Column, schema: T.StructType) -> Column:
     return F.from_json(body, with_broken, options)
 
 
-def texts(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+def texts(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
     """(body): the lines that are not blank, or whole files with ``multi_line``."""
     found = spark.read.text(path, wholetext=multi_line).select(F.col("value").alias("body"))
     return found.filter(F.length(F.trim("body")) > 0)
@@ -39,39 +39,58 @@ def _read(df: DataFrame, body: Column, schema: T.StructType) -> DataFrame:
     return read.withColumn("ok", shaped & F.col("parsed._broken").isNull())
 
 
-def records_of(df: DataFrame, payload: Column) -> DataFrame:
-    """Feed records from a text column of response payloads; none if the key is absent."""
-    whole = _read(df, payload, FEED_PAYLOAD).filter("ok")
-    record = F.explode("parsed.transactions").alias("record")
-    return whole.select(record).filter("record IS NOT NULL").select("record.*")
+def _exploded(read: DataFrame, records: Column) -> DataFrame:
+    """(body, ok, record): a row for each record, and one with null where there is none.
 
+    The outer form keeps the optimiser from testing the list below the explosion, where it
+    would parse each text a second time.
+    """
+    listed = F.when(F.col("ok"), records)
+    return read.select("body", "ok", F.explode_outer(listed).alias("record"))
 
-def rejects_of(df: DataFrame, payload: Column) -> DataFrame:
-    """(text, reason): broken payloads, and records whose amount is no number."""
-    read = _read(df, payload, FEED_PAYLOAD)
-    broken = read.filter("NOT ok").select(F.col("body").alias("text"), F.lit(BROKEN).alias("reason"))
-    return broken.unionByName(without_number(records_of(df, payload)))
+
+def payload_parts(df: DataFrame, payload: Column) -> DataFrame:
+    """(body, ok, record) of response payloads: records, and texts that could not be read."""
+    return _exploded(_read(df, payload, FEED_PAYLOAD), F.col("parsed.transactions"))
+
+
+def record_parts(df: DataFrame, body: Column) -> DataFrame:
+    """As :func:`payload_parts`, of texts that are one record each."""
+    record = F.struct(*[F.col(f"parsed.{name}") for name in FEED.names])
+    return _exploded(_read(df, body, FEED), F.array(record))
+
+
+def records_in(parts: DataFrame) -> DataFrame:
+    return parts.filter("record IS NOT NULL").select("record.*")
 
 
-def without_number(records: DataFrame) -> DataFrame:
-    """(text, reason) of the records whose amount is given and no number."""
-    wrong = records.filter(F.col("amount").isNotNull() & parse_amount(F.col("amount")).isNull())
-    return wrong.select(
-        F.to_json(F.struct(*FEED.names)).alias("text"), F.lit(NO_NUMBER).alias("reason")
+def rejects_in(parts: DataFrame) -> DataFrame:
+    """(text, reason): broken texts, and records whose amount is no number."""
+    wrong = F.col("record.amount").isNotNull() & parse_amount(F.col("record.amount")).isNull()
+    return parts.filter(~F.col("ok") | wrong).select(
+        F.when(F.col("ok"), F.to_json("record")).otherwise(F.col("body")).alias("text"),
+        F.when(F.col("ok"), NO_NUMBER).otherwise(BROKEN).alias("reason"),
     )
 
 
+def records_of(df: DataFrame, payload: Column) -> DataFrame:
+    """Feed records from a text column of response payloads; none if the key is absent."""
+    return records_in(payload_parts(df, payload))
+
+
+def rejects_of(df: DataFrame, payload: Column) -> DataFrame:
+    """(text, reason): what :func:`records_of` could not read."""
+    return rejects_in(payload_parts(df, payload))
+
+
 def read_feed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Feed records from JSON, one record per line, or per file with ``multi_line``."""
-    read = _read(texts(spark, path, multi_line), F.col("body"), FEED)
-    return read.filter("ok").select(*[f"parsed.{name}" for name in FEED.names])
+    return records_in(record_parts(texts(spark, path, multi_line), F.col("body")))
 
 
 def feed_rejects(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """(text, reason): what :func:`read_feed` could not read."""
-    read = _read(texts(spark, path, multi_line), F.col("body"), FEED)
-    broken = read.filter("NOT ok").select(F.col("body").alias("text"), F.lit(BROKEN).alias("reason"))
-    return broken.unionByName(without_number(read_feed(spark, path, multi_line)))
+    return rejects_in(record_parts(texts(spark, path, multi_line), F.col("body")))
 
 
 def read_payloads(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

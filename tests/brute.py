@@ -47,6 +47,21 @@ def matching(query: str, rows: list[dict], known: set[str]) -> tuple[list[dict],
         return [], False
     start = first_day(query, max(dates))
     inside = [r for r in rows if start is None or (r["date"] and r["date"] >= start)]
+    return among(query, inside, known)
+
+
+def between(query: str, rows: list[dict], known: set[str], first, last) -> tuple[list[dict], bool]:
+    """As matching, for rows from ``first`` to ``last``; None is an open bound."""
+    inside = [
+        r
+        for r in rows
+        if (first is None and last is None)
+        or (r["date"] and (first is None or r["date"] >= first) and (last is None or r["date"] <= last))
+    ]
+    return among(query, inside, known)
+
+
+def among(query: str, inside: list[dict], known: set[str]) -> tuple[list[dict], bool]:
     found = words(query)
     if not found:
         return inside, False

@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymill.operators.normalize import CATEGORY_OF_CODE, normalize
@@ -14,8 +15,11 @@ from tallymill.sources.feed import (
     read_feed,
     read_payloads,
     records_of,
+    rejects_of,
 )
-from tallymill.streaming.feed import stream_feed, sync_stream
+from tallymill.sources.snapshots import Snapshots
+from tallymill.sources.transactions import read_synced, synced_store
+from tallymill.streaming.feed import batch_sync, rejects_store, stream_texts, sync_stream
 
 # The first two records and what becomes of them.
 RECORDS = [
@@ -108,13 +112,63 @@ def test_feed_files_and_payloads(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(dt.date(2024, 1, 2), "A", "Other", Decimal("1.50"))] * 2
 
 
-def test_feed_as_a_stream(spark, tmp_path):
-    source, target = tmp_path / "in", str(tmp_path / "out")
+def stored(spark, path):
+    return sorted(map(str, read_synced(spark, path).collect()))
+
+
+def test_the_stream_keeps_the_rules_of_the_batch_feed(spark, tmp_path):
+    source, target, rejects = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "rejects")
     source.mkdir()
-    line = '{"amount": -3.0, "date": "2024-01-02", "merchant_name": "B"}\n'
-    for name in ("a", "b"):
-        (source / f"{name}.json").write_text(line)
-        run = sync_stream(stream_feed(spark, str(source)), target, str(tmp_path / "state"))
-        run.awaitTermination(120)
-    rows = spark.read.parquet(target).collect()
-    assert [(r.merchant, r.category, r.amount) for r in rows] == [("B", "Income", Decimal(3))] * 2
+    lines = ['{"transactions": [%s, %s]}' % (GOOD, BAD_AMOUNT), "{}", "  ", *BROKEN_TEXTS]
+    for at, line in enumerate(lines):
+        (source / f"{at}.json").write_text(f"{line}\n{lines[0]}\n")
+    for _ in range(2):  # the second run finds nothing new
+        texts = stream_texts(spark, str(source), files_per_batch=2)
+        sync_stream(texts, target, rejects, str(tmp_path / "state")).awaitTermination(300)
+        want = normalize(read_payloads(spark, str(source)))
+        assert stored(spark, target) == sorted(map(str, want.collect()))
+        wrong = sorted(map(str, payload_rejects(spark, str(source)).collect()))
+        assert sorted(map(str, rejects_store(spark, rejects).read().collect())) == wrong
+    assert len(synced_store(spark, target).current().parts) == (len(lines) + 1) // 2
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path, monkeypatch):
+    target, rejects = str(tmp_path / "out"), str(tmp_path / "rejects")
+    run = batch_sync(target, rejects, "source", payloads=False)
+    texts = spark.createDataFrame([(GOOD,), (BAD_AMOUNT,), ("[1]",)], "body string")
+    run(texts, 0)
+    before = stored(spark, target)
+    run(texts, 0)
+    assert stored(spark, target) == before and len(before) == 2
+    # The run ends after the rejects are written; the batch comes again.
+    append = Snapshots.append
+
+    def fails(self, df, *more):
+        if self.folder == target:
+            raise OSError("lost")
+        return append(self, df, *more)
+
+    monkeypatch.setattr(Snapshots, "append", fails)
+    with pytest.raises(OSError):
+        run(texts, 1)
+    monkeypatch.setattr(Snapshots, "append", append)
+    assert stored(spark, target) == before
+    run(texts, 1)
+    assert len(stored(spark, target)) == 4
+    assert rejects_store(spark, rejects).current().n_rows == 4
+
+
+def test_a_replacing_stream_holds_the_last_batch(spark, tmp_path):
+    target = str(tmp_path / "out")
+    run = batch_sync(target, str(tmp_path / "rejects"), "source", payloads=False, replace=True)
+    for batch, line in enumerate((GOOD, BAD_AMOUNT)):
+        run(spark.createDataFrame([(line,)], "body string"), batch)
+    assert [row.merchant for row in read_synced(spark, target).collect()] == ["B"]
+
+
+def test_texts_are_parsed_once(spark):
+    texts = spark.createDataFrame([('{"transactions": [%s]}' % GOOD,)], "body string")
+    for rows in (normalize(records_of(texts, F.col("body"))), rejects_of(texts, F.col("body"))):
+        # The formatted plan names each step's expressions once.
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") == 1, plan

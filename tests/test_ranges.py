@@ -1,0 +1,90 @@
+import datetime as dt
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from plan import plan_of
+from test_matching import QUESTIONS, frame, make_rows
+from tallymill.functions.keywords import KNOWN_MERCHANTS
+from tallymill.operators import skew
+from tallymill.operators.ranges import nodes_above, nodes_between, rows_in_ranges
+from tallymill.plans.ranges import open_ranges
+
+ASKED = "question_id long, query string, first_day date, last_day date"
+
+
+def asked(spark, seed=1, n=60):
+    chance, newest = random.Random(seed), dt.date(2024, 3, 31)
+    rows = []
+    for number in range(n):
+        days = sorted(newest - dt.timedelta(chance.choice([0, 1, 3, 7, 21, 90, 366, 900])) for _ in "ab")
+        first, last = days if chance.random() < 0.9 else days[::-1]
+        first = None if chance.random() < 0.15 else first
+        last = None if chance.random() < 0.15 else last
+        rows.append((number, chance.choice([*QUESTIONS, None, ""]), first, last))
+    return rows, spark.createDataFrame(rows, ASKED)
+
+
+def test_nodes_cover_a_stretch_once(spark):
+    days = list(range(-20, 21))
+    bounds = [(a, b) for a, b in itertools.product(days, days)]
+    rows = spark.createDataFrame(bounds, "a long, b long").select(
+        "a", "b", nodes_between(F.col("a"), F.col("b"), 6).alias("nodes")
+    )
+    for a, b, nodes in rows.collect():
+        covered = [day for level, n in nodes for day in range(n << level, (n + 1) << level)]
+        assert sorted(covered) == list(range(a, b + 1))
+        assert len(nodes) <= 2 * 6
+    above = spark.createDataFrame([(d,) for d in days], "d long").select("d", nodes_above(F.col("d"), 3))
+    for day, nodes in above.collect():
+        assert {tuple(node) for node in nodes} == {(-1, 0), *((level, day >> level) for level in range(4))}
+
+
+@pytest.mark.parametrize("seed, side", [(1, 1_000), (2, 3)])
+def test_ranges_equal_brute_force(spark, monkeypatch, seed, side):
+    monkeypatch.setattr(skew, "ROWS_PER_SIDE", side)
+    rows = make_rows(seed)
+    known = KNOWN_MERCHANTS if seed == 1 else ("net",)
+    questions, table = asked(spark, seed)
+    book = open_ranges(table, frame(spark, rows), known)
+    summaries = {r.question_id: r for r in book.summaries().collect()}
+    categories = book.category_breakdown().orderBy("question_id", "rank").collect()
+    merchants = book.top_merchants().orderBy("question_id", "rank").collect()
+    answers = {r.question_id: r.answer for r in book.answers().collect()}
+    assert len(summaries) == len(questions)
+    for number, query, first, last in questions:
+        matched, fallback = brute.between(query or "", rows, set(known), first, last)
+        want, mine = brute.summary(matched), summaries[number]
+        case = (query, first, last)
+        assert mine.used_fallback == fallback, case
+        for name in ("total_spend", "total_income", "net", "transaction_count"):
+            assert mine[name] == want[name], (case, name)
+        assert [(r.category, r.spend) for r in categories if r.question_id == number] == want["categories"]
+        assert [(r.merchant, r.spend) for r in merchants if r.question_id == number] == want["merchants"]
+        assert str(want["transaction_count"]) in answers[number]
+
+
+def test_rows_in_ranges(spark):
+    rows = make_rows(3)
+    questions, table = asked(spark, 3, 25)
+    ranges = table.select(F.col("question_id").alias("window"), "first_day", "last_day")
+    found = rows_in_ranges(frame(spark, rows), ranges)
+    assert "BroadcastNestedLoopJoin" not in plan_of(found) and "Cartesian" not in plan_of(found)
+    got = found.collect()
+    for number, _, first, last in questions:
+        want, _ = brute.between("", rows, set(), first, last)
+        assert sorted(r.note for r in got if r.window == number) == sorted(r["note"] for r in want)
+
+
+def test_no_dates_no_rows_no_questions(spark):
+    _, table = asked(spark, 4, 6)
+    undated = [{**row, "date": None} for row in make_rows(5, 4)]
+    for rows in ([], undated):
+        book = open_ranges(table, frame(spark, rows))
+        assert book.summaries().count() == 6
+    assert open_ranges(table.limit(0), frame(spark, make_rows(1))).summaries().count() == 0
+    with pytest.raises(ValueError):
+        open_ranges(table, frame(spark, [])).evaluated()

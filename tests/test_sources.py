@@ -1,16 +1,29 @@
 import csv
 import datetime as dt
+import uuid
 from decimal import Decimal
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallymill.operators.retrieval import index_corpus
 from tallymill.schemas import EVALUATION, SYNCED, TRANSACTION
 from tallymill.session import discard, fresh_path, materialize, shared_folder
-from tallymill.sources.corpus import read_corpus, read_index, write_index
-from tallymill.sources.evaluations import append_evaluations, broken_evaluations, read_evaluations
+from tallymill.sources.corpus import (
+    CorpusReader,
+    read_corpus,
+    read_index,
+    update_index,
+    write_index,
+)
+from tallymill.sources.evaluations import (
+    append_evaluations,
+    broken_evaluations,
+    evaluation_log,
+    read_evaluations,
+)
 from tallymill.sources.transactions import (
     load_transactions,
     read_csv,
@@ -114,6 +127,58 @@ def test_corpus_and_index(spark, tmp_path):
     assert index == {"01-a.b": [16.0, 2.0], "02-c": [1.0, 1.0]}
 
 
+def test_an_index_is_kept_up_to_date(spark, tmp_path):
+    path, calls = str(tmp_path / "index"), tmp_path / "calls"
+    calls.mkdir()
+
+    def model():
+        def encode(texts):
+            for text in texts:
+                (calls / uuid.uuid4().hex).write_text(text)
+            return np.array([[len(t), t.count("e")] for t in texts])
+
+        return encode
+
+    def update(*docs):
+        for call in calls.iterdir():
+            call.unlink()
+        rows = spark.createDataFrame([(d, f"{d}.md", text) for d, text in docs], "id string, source string, text string")
+        version = update_index(rows.repartition(3), path, lambda df: index_corpus(df, model))
+        index = {r.id: (r.text, r.embedding) for r in read_index(spark, path).collect()}
+        assert index == {d: (t, [float(len(t or "")), float((t or "").count("e"))]) for d, t in docs}
+        return version.number, sorted(call.read_text() for call in calls.iterdir())
+
+    assert update(("a", "one"), ("b", "two"), ("c", None)) == (1, ["", "one", "two"])
+    pinned = read_index(spark, path)
+    assert update(("a", "one"), ("b", "two"), ("c", None)) == (1, [])
+    assert update(("a", "one"), ("b", "two"), ("c", None), ("d", "")) == (2, [""])
+    assert update(("a", "one"), ("b", "three"), ("d", "")) == (3, ["three"])
+    assert update(("b", "three"), ("d", "")) == (4, [])
+    assert update() == (5, [])
+    assert {r.id for r in pinned.collect()} == {"a", "b", "c"}
+
+
+def test_equal_documents_are_indexed_once(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([("a", "a.md", "x")] * 3, "id string, source string, text string")
+    update_index(rows, path, lambda df: index_corpus(df, lambda: lambda texts: np.ones((len(texts), 2))))
+    assert read_index(spark, path).count() == 1
+
+
+def test_no_file_name_passes_the_driver(spark, tmp_path):
+    docs = tmp_path / "many files"
+    docs.mkdir()
+    for n in range(50):
+        (docs / f"doc {n}.md").write_text(str(n))
+    partitions = CorpusReader({"folder": "no such folder", "pattern": "*", "partitions": "7"}).partitions()
+    assert [part.value for part in partitions] == list(range(7))
+    corpus = read_corpus(spark, str(docs), partitions=7)
+    assert corpus.rdd.getNumPartitions() == 7
+    assert sorted(int(r.text) for r in corpus.collect()) == list(range(50))
+    parts = corpus.select(F.spark_partition_id().alias("at")).distinct().count()
+    assert parts > 1
+
+
 def test_corpus_takes_every_file(spark, tmp_path):
     docs = tmp_path / "kb"
     docs.mkdir()
@@ -143,6 +208,27 @@ def test_evaluation_log(spark, tmp_path):
     ]
 
 
+def test_a_log_has_each_append_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    records = spark.createDataFrame([("q", "a", None, True, "r")], EVALUATION)
+    for run, batch in (("monday", 0), ("monday", 0), ("monday", 1), ("tuesday", 0), (None, 0), (None, 0)):
+        append_evaluations(records, path, run, batch)
+    assert read_evaluations(spark, path).count() == 5
+
+    def fails(df, part):
+        df.write.json(part)
+        raise OSError("lost")
+
+    log = evaluation_log(spark, path)
+    monkeypatch.setattr(log, "_write", fails)
+    with pytest.raises(OSError):
+        log.append(records, "wednesday", 0)
+    assert read_evaluations(spark, path).count() == 5
+    append_evaluations(records, path, "wednesday", 0, most_parts=2)
+    assert read_evaluations(spark, path).count() == 6 and broken_evaluations(spark, path).isEmpty()
+    assert len(evaluation_log(spark, path).current().parts) == 1
+
+
 def test_intermediate_tables_live_in_the_shared_folder(spark):
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
     kept = materialize(spark.range(5), "x")

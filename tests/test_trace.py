@@ -1,10 +1,11 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymill.functions.latency import round_trip_of, steps_of
-from tallymill.operators.trace import latency_lines, round_trips, step_durations
+from tallymill.operators.trace import _in_stretches, latency_lines, round_trips, step_durations
 
 START = dt.datetime(2024, 1, 1, 10, 59, 59)
 
@@ -47,9 +48,11 @@ def test_traces_across_buckets_equal_a_plain_walk(spark):
         for number in range(n):
             at += rng.choice([0.0, 0.0005, 0.25, 1800.0, 9000.0])
             rows.append((name, number, f"s{rng.randrange(4)}", at))
-    df = trace(spark, rows)
-    for steps_per_hour in (0, 3, 10_000):
-        got = {(r.trace_id, r.seq): r for r in step_durations(df, steps_per_hour).collect()}
+    df = trace(spark, rows).repartition(5)
+    for coalesced in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        got = {(r.trace_id, r.seq): r for r in step_durations(df).collect()}
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         last = {}
         for name, number, _, at in rows:
             row = got[name, number]
@@ -62,6 +65,26 @@ def test_traces_across_buckets_equal_a_plain_walk(spark):
             last[name] = at
 
 
+def test_very_many_steps_of_one_second_are_dealt_out(spark):
+    """No task gets all steps of a second, or of a moment."""
+    moment = F.lit(START).cast("timestamp")
+    later = F.make_dt_interval(secs=F.col("id") % 3 * F.lit(0.1))
+    rows = spark.range(100_000).select(
+        F.lit("t").alias("trace_id"), F.col("id").alias("seq"), F.lit("s").alias("step"), (moment + later).alias("ts")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stretches = _in_stretches(rows)
+        largest = stretches.groupBy("stretch").count().agg(F.max("count")).first()[0]
+        found = step_durations(rows).agg(
+            F.count("*"), F.max("position"), F.count_distinct("position"), F.sum("seconds"), F.count("seconds")
+        )
+        assert largest < 45_000
+        assert tuple(found.first()) == (100_000, 100_000, 100_000, pytest.approx(0.2), 99_999)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_a_long_trace_is_one_whole_line(spark):
     df = trace(spark, [("t", n, f"s{n}", float(n)) for n in range(50)])
     (line,) = latency_lines(df, steps_per_piece=7).collect()

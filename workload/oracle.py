@@ -7,7 +7,7 @@ from tallymill.functions.windows import PHRASES, WINDOWS
 from tallymill.operators.grounding import FOUND, NOT_FOUND
 from tallymill.operators.normalize import CATEGORY_OF_CODE
 from workload.queries import LETTERS, RULES
-from workload.tables import KNOWN, ODD_NAMES, PHRASE_OF, RULE_MERCHANTS
+from workload.tables import KNOWN, ODD_NAMES, PHRASE_OF, RANGE_WORDS, RULE_MERCHANTS
 
 
 def _texts(values) -> str:
@@ -337,6 +337,39 @@ WEB = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   '(\\d+)\\.(\\d+)', '\\1 point \\2', 'g'), '\\n+', '. ', 'g'),
   '([.!?])\\s+', '\\1 ', 'g'), '^\\s+|\\s+$', '', 'g')"""
 
+#: Sums of the days of each list of keywords, then of the days of each range.
+RANGED = f"""
+questions AS (
+  SELECT o_orderkey AS question_id,
+    {_texts(RANGE_WORDS)}[CAST(o_orderkey % {len(RANGE_WORDS)} + 1 AS INTEGER)] AS query,
+    CASE WHEN o_orderkey % 19 <> 0 THEN CAST(o_orderdate AS DATE) END AS first_day,
+    CASE WHEN o_orderkey % 23 <> 0 THEN CAST(o_orderdate AS DATE)
+      + CAST(CASE WHEN o_orderkey % 29 = 0 THEN -3 ELSE o_orderkey % 400 END AS INTEGER) END AS last_day
+  FROM orders
+), {parsed(KNOWN)}, ranged AS (
+  SELECT p.*, coalesce(first_day, DATE '0001-01-01') AS lo, coalesce(last_day, DATE '9999-12-31') AS hi
+  FROM parsed p JOIN questions q USING (question_id)
+), pairs AS (SELECT DISTINCT category, merchant FROM txns),
+hits AS (
+  SELECT needle, category, merchant FROM (SELECT DISTINCT needle, kw, mkw FROM parsed) CROSS JOIN pairs
+  WHERE len(list_filter(kw, lambda w: contains(lower(category), w))) > 0
+     OR len(list_filter(mkw, lambda w: contains(lower(merchant), w))) > 0
+), hit_days AS (
+  SELECT needle, date, category, sum(amount) AS amount, count(*) AS n
+  FROM hits JOIN txns USING (category, merchant) GROUP BY ALL
+), all_days AS (SELECT date, category, sum(amount) AS amount, count(*) AS n FROM txns GROUP BY ALL),
+asks AS (SELECT DISTINCT needle, lo, hi FROM ranged),
+kept AS (
+  SELECT needle, lo, hi, category, sum(amount) AS amount, sum(n) AS n, false AS used_fallback
+  FROM asks JOIN hit_days USING (needle) WHERE date BETWEEN lo AND hi GROUP BY ALL
+), matched AS (SELECT DISTINCT needle, lo, hi FROM kept),
+sums AS (
+  SELECT * FROM kept UNION ALL
+  SELECT needle, lo, hi, category, sum(amount), sum(n), needle <> ''
+  FROM (SELECT * FROM asks ANTI JOIN matched USING (needle, lo, hi)) a
+  JOIN all_days ON date BETWEEN lo AND hi GROUP BY ALL
+)"""
+
 MONTHLY = """
 monthly AS (
   SELECT category, CAST(date_trunc('month', date) AS DATE) AS month, sum(amount) AS spend
@@ -354,6 +387,17 @@ SELECT CASE WHEN l_orderkey % 11 = 1 THEN 'the amount is not a number'
   ELSE 'not a JSON object of the expected shape' END AS reason, count(*) AS n_texts
 FROM lineitem WHERE l_orderkey % 11 IN (1, 2, 3) GROUP BY ALL""",
         "synced_choice": _feed(),
+        "feed_stream": _feed("WHERE l_orderkey % 11 NOT IN (2, 3, 4)"),
+        "feed_stream_rejects": """
+SELECT CASE WHEN l_orderkey % 11 = 1 THEN 'the amount is not a number'
+  ELSE 'not a JSON object of the expected shape' END AS reason, count(*) AS n_texts
+FROM lineitem WHERE l_orderkey % 11 IN (1, 2, 3) GROUP BY ALL""",
+        "synced_versions": f"""
+SELECT 1 AS version, category, count(*) AS n_rows,
+  CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM ({_feed()}) GROUP BY category
+UNION ALL
+SELECT 2, category, count(*), CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)
+FROM ({_feed("WHERE l_orderkey % 11 NOT IN (2, 3, 4)")}) GROUP BY category""",
         "csv_roundtrip": _with(TXNS)
         + """
 SELECT 'TXN-' || l_orderkey || '-' || l_linenumber AS transaction_id,
@@ -394,10 +438,35 @@ SELECT question_id, strftime(date, '%Y-%m-%d') AS date,
 FROM (SELECT needle, "window", min(question_id) AS question_id FROM parsed GROUP BY ALL)
 JOIN ask_rows USING (needle, "window")""",
         "recent_of_some": matched_rows("'widget or promo'", KNOWN)
+        + MATCH_SUMMARY,
+        "range_summary": _with(TXNS, RANGED)
         + """
-SELECT question_id, used_fallback, strftime(date, '%Y-%m-%d') AS date,
-  CAST(amount AS DOUBLE) AS amount, category, merchant
-FROM parsed JOIN ask_rows USING (needle, "window") WHERE "window" IN ('today', 'yesterday')""",
+, totals AS (
+  SELECT needle, lo, hi, bool_or(used_fallback) AS used_fallback,
+    coalesce(sum(amount) FILTER (category <> 'Income'), 0) AS spend,
+    coalesce(sum(amount) FILTER (category = 'Income'), 0) AS income,
+    coalesce(sum(n) FILTER (category <> 'Income'), 0) AS n FROM sums GROUP BY ALL
+)
+SELECT question_id, query, CAST(coalesce(spend, 0) AS DOUBLE) AS total_spend,
+  CAST(coalesce(income, 0) AS DOUBLE) AS total_income,
+  CAST(coalesce(income, 0) - coalesce(spend, 0) AS DOUBLE) AS net,
+  CAST(coalesce(n, 0) AS BIGINT) AS transaction_count, coalesce(used_fallback, needle <> '') AS used_fallback
+FROM ranged LEFT JOIN totals USING (needle, lo, hi)""",
+        "range_breakdown": _with(TXNS, RANGED)
+        + """
+SELECT question_id, category, CAST(amount AS DOUBLE) AS spend, CAST(row_number() OVER (
+  PARTITION BY question_id ORDER BY amount DESC, category) AS INTEGER) AS rank
+FROM ranged JOIN sums USING (needle, lo, hi) WHERE category <> 'Income'""",
+        "unusual_charges": _with(TXNS)
+        + """
+, charges AS (
+  SELECT merchant, CAST(date_trunc('month', date) AS DATE) AS charged FROM txns WHERE category <> 'Income'
+), history AS (
+  SELECT merchant, CAST(charged + to_months(CAST(n AS INTEGER)) AS DATE) AS month
+  FROM charges, range(1, 13) AS r(n)
+)
+SELECT merchant, strftime(month, '%Y-%m-%d') AS month, count(*) AS history, true AS within_error
+FROM history GROUP BY ALL""",
         "summary": answered() + "," + TOTALS + f"SELECT question_id, query, {SUMMARY_COLUMNS} FROM summed",
         "category_breakdown": answered() + spend_by("category"),
         "top_merchants": answered() + spend_by("merchant", "WHERE rank <= 5"),
@@ -427,6 +496,7 @@ FROM verdicts LEFT JOIN trips ON trace_id = question_id""",
         + """
 SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity
 FROM nearest""",
+        "retrieve_lists_recall": "SELECT count(*) AS n_queries, true AS reached FROM embeddings",
         "retrieve_context": _with(_nearest("JOIN documents ON doc_id = d.vec_id"))
         + """
 SELECT query_id, string_agg('- ' || source || ': ' || substring(text, 1, 600), chr(10) || chr(10)
@@ -553,4 +623,10 @@ SELECT merchant, category, CASE merchant WHEN 'City Bus' THEN 'Transportation'
   count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS amount
 FROM ruled GROUP BY ALL""",
     }
+    # Other ways to the same results.
+    sql["ledger_summary"] = sql["summary"]
+    sql["retrieve_lists"] = sql["retrieve_topk"]
+    sql["trace_stream"] = sql["step_durations"]
+    sql["index_update"] = sql["corpus_index"]
+    sql["answer_log_repeated"] = sql["answer_log"]
     return sql

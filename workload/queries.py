@@ -16,6 +16,7 @@ from tallymill.functions.text import pseudonym, speech_text
 from tallymill.functions.windows import WINDOWS, first_days, in_window, start_of
 from tallymill.operators import insights
 from tallymill.operators.grounding import grounding
+from tallymill.operators.inverted import fit_lists, probes_for, recall_of, search
 from tallymill.operators.matching import SET, Matches, matching_transactions, newest_first
 from tallymill.operators.normalize import normalize
 from tallymill.operators.questions import clean_questions, parse_questions
@@ -23,11 +24,15 @@ from tallymill.operators.retrieval import context, contexts_for, index_corpus, t
 from tallymill.operators.trace import latency_lines, round_trips, step_durations
 from tallymill.plans.answers import AnswerBook, answer_and_log, evaluation_records, responses
 from tallymill.plans.feed import sync
+from tallymill.plans.ledger import Ledger
+from tallymill.plans.ranges import open_ranges
 from tallymill.session import fresh_path, materialize
-from tallymill.sources.corpus import read_corpus, read_index, write_index
+from tallymill.sources.corpus import read_corpus, read_index, update_index, write_index
 from tallymill.sources.evaluations import append_evaluations, read_evaluations
 from tallymill.sources.feed import payload_rejects, read_payloads, records_of
-from tallymill.sources.transactions import load_transactions, write_csv
+from tallymill.sources.transactions import load_transactions, read_synced, write_csv
+from tallymill.streaming.feed import batch_sync, rejects_store, stream_texts, sync_stream
+from tallymill.streaming.trace import duration_store, durations, write_durations
 from workload import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +93,46 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(load_transactions(spark, path, never_synced))
 
 
+def synced_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two syncs: what a reader has who came between, and what one has who comes after."""
+    path = fresh_path(spark, "synced")
+    payloads = tables.feed_payloads(spark, folder)
+    sync(records_of(payloads, F.col("payload")), path)
+    between = load_transactions(spark, fresh_path(spark, "csv"), path)
+    later = records_of(tables.faulty_payloads(spark, folder), F.col("payload"))
+    after = sync(later, path)
+
+    def told(version: int, rows: DataFrame) -> DataFrame:
+        counted = rows.groupBy("category").agg(F.count("*").alias("n_rows"), F.sum("amount").alias("amount"))
+        return counted.withColumn("version", F.lit(version))
+
+    return _flat(told(1, between).unionByName(told(2, after)))
+
+
+def _streamed(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """Stores of the faulty feed that arrives in three files, the first of them twice."""
+    raw = fresh_path(spark, "feed")
+    synced, rejects = fresh_path(spark, "synced"), fresh_path(spark, "rejects")
+    state = fresh_path(spark, "state")
+    tables.faulty_payloads(spark, folder).repartition(3).write.text(raw)
+    texts = stream_texts(spark, raw, files_per_batch=1)
+    sync_stream(texts, synced, rejects, state).awaitTermination()
+    again = spark.read.text(raw).select(F.col("value").alias("body"))
+    batch_sync(synced, rejects, state)(again, 0)
+    return synced, rejects
+
+
+def feed_stream(spark: SparkSession, folder: str) -> DataFrame:
+    synced, _ = _streamed(spark, folder)
+    return _flat(read_synced(spark, synced))
+
+
+def feed_stream_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    _, rejects = _streamed(spark, folder)
+    found = rejects_store(spark, rejects).read()
+    return found.groupBy("reason").agg(F.count("*").alias("n_texts"))
+
+
 def question_parse(spark: SparkSession, folder: str) -> DataFrame:
     starts = first_days(tables.transactions(spark, folder))
     parsed = parse_questions(tables.questions(spark, folder), tables.KNOWN)
@@ -153,10 +198,9 @@ def recent_transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recent_of_some(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of the questions about the shortest windows, question by question."""
-    found = _matches(spark, folder, F.lit("widget or promo"))
-    short = F.col("window").isin("today", "yesterday")
-    return _flat(newest_first(found.of_questions(found.members.filter(short)), ["question_id"]))
+    """Measures of the rows of all questions, about all windows, listed question by question."""
+    found = _matches(spark, folder, F.lit("widget or promo")).of_questions()
+    return _flat(found.groupBy("question_id", "used_fallback").agg(*_row_measures()))
 
 
 def _book(spark: SparkSession, folder: str) -> AnswerBook:
@@ -191,6 +235,47 @@ def answer_responses(spark: SparkSession, folder: str) -> DataFrame:
     return answered.withColumn("latency_ms", F.col("latency_ms").cast("double"))
 
 
+def _range_book(spark: SparkSession, folder: str) -> AnswerBook:
+    asked = tables.range_questions(spark, folder)
+    return open_ranges(asked, tables.transactions(spark, folder), tables.KNOWN)
+
+
+def range_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat(_range_book(spark, folder).summaries())
+
+
+def range_breakdown(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat(_range_book(spark, folder).category_breakdown())
+
+
+def ledger_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary from sums that were kept up to date over batches, one of them repeated."""
+    ledger = Ledger(spark, fresh_path(spark, "ledger"))
+    batches = tables.transaction_batches(spark, folder, 4)
+    for at, batch in enumerate(batches):
+        ledger.add(batch, "bank", at, most_parts=2)
+    ledger.add(batches[1], "bank", 1)
+    return _flat(ledger.book(tables.questions(spark, folder), tables.KNOWN).summaries())
+
+
+def retrieve_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact search again, in inverted lists with distance bounds."""
+    vectors = tables.vectors(spark, folder)
+    lists = fit_lists(vectors.withColumnRenamed("query_id", "id"))
+    found = search(vectors, lists, probes=max(1, len(lists.centroids) // 8), exact=True)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def retrieve_lists_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the nearest lists alone hold nine of ten of the exact rows."""
+    vectors = materialize(tables.whole_vectors(spark, folder), "vectors")
+    index = vectors.withColumnRenamed("query_id", "id")
+    lists = fit_lists(index)
+    found = search(vectors, lists, probes=probes_for(vectors, lists))
+    recall = recall_of(found, top_k(vectors, index))
+    return vectors.agg(F.count("*").alias("n_queries")).withColumn("reached", F.lit(recall >= 0.9))
+
+
 def retrieve_topk(spark: SparkSession, folder: str) -> DataFrame:
     index = tables.vectors(spark, folder).withColumnRenamed("query_id", "id")
     found = top_k(tables.vectors(spark, folder), index)
@@ -252,6 +337,23 @@ def corpus_index(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def index_update(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of other and fewer documents, brought up to date."""
+    path = fresh_path(spark, "index")
+    docs = tables.corpus(spark, folder)
+    number = F.split_part("id", F.lit("-"), F.lit(-1)).cast("long")
+    older = docs.filter(number % 3 != 0).withColumn(
+        "text", F.when(number % 5 == 0, F.reverse("text")).otherwise(F.col("text"))
+    )
+    gone = docs.withColumn("id", F.concat(F.lit("old-"), "id")).filter(number % 7 == 0)
+    for version in (older.unionByName(gone), docs):
+        update_index(version, path, lambda some: index_corpus(some, _letter_counts))
+    counts = F.transform("embedding", lambda x: x.cast("long").cast("string"))
+    return read_index(spark, path).select(
+        "id", "source", "text", F.array_join(counts, " ").alias("embedding")
+    )
+
+
 def _grounded(mode: str, spark: SparkSession, folder: str) -> DataFrame:
     answers = tables.order_answers(spark, folder)
     return grounding(answers, tables.order_evidence(spark, folder), mode)
@@ -275,6 +377,34 @@ def step_durations_query(spark: SparkSession, folder: str) -> DataFrame:
     return step_durations(tables.trace(spark, folder)).drop("ts")
 
 
+def trace_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Step durations of events that arrive out of order, a file at a time.
+
+    They come up to six days late, and the watermark waits eight. Two steps of a trace of its
+    own come last, so that the watermark passes all others.
+    """
+    raw, out = fresh_path(spark, "trace"), fresh_path(spark, "durations")
+    steps = tables.trace(spark, folder).filter("ts IS NOT NULL")
+    day = F.unix_date(F.col("ts").cast("date"))
+    arrival = materialize(
+        steps.withColumn("file", F.floor((day + F.pmod(F.xxhash64("seq"), F.lit(7))) / 6)), "arrival"
+    )
+    first, last = arrival.agg(F.min("file"), F.max("file")).first()
+    for file in range(first, last + 1):
+        arrival.filter(F.col("file") == file).drop("file").coalesce(1).write.parquet(f"{raw}/{file}")
+    for more in (60, 61):
+        end = steps.agg(F.max("ts").alias("ts")).select(
+            F.lit(-1).cast("long").alias("trace_id"), F.lit(more).cast("long").alias("seq"),
+            F.lit("end").alias("step"), F.date_add("ts", more).cast("timestamp").alias("ts"),
+        )
+        end.coalesce(1).write.parquet(f"{raw}/{last + more}")
+    schema = arrival.drop("file").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{raw}/*")
+    write_durations(durations(stream, "8 days"), out, fresh_path(spark, "state")).awaitTermination()
+    found = duration_store(spark, out).read().filter("step <> 'end'")
+    return found.select(F.col("trace_id").cast("long").alias("trace_id"), "seq", "step", "position", "seconds")
+
+
 def round_trips_query(spark: SparkSession, folder: str) -> DataFrame:
     return round_trips(tables.trace(spark, folder))
 
@@ -305,6 +435,15 @@ def answer_log(spark: SparkSession, folder: str) -> DataFrame:
     return read_evaluations(spark, path)
 
 
+def answer_log_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """The same questions answered and logged twice under one name."""
+    path = fresh_path(spark, "log")
+    asked, txns = tables.questions(spark, folder), tables.transactions(spark, folder)
+    for _ in range(2):
+        answer_and_log(asked, txns, path, tables.KNOWN, trace=tables.trace(spark, folder), run="all")
+    return read_evaluations(spark, path)
+
+
 def speech(rules: str, spark: SparkSession, folder: str) -> DataFrame:
     spoken = speech_text(F.col("text"), rules).alias("spoken")
     return tables.spoken_texts(spark, folder).select("text_id", spoken)
@@ -342,6 +481,26 @@ def _spikes(txns: DataFrame) -> DataFrame:
     )
 
 
+def _unusual(txns: DataFrame) -> DataFrame:
+    """Limits of merchants and months, and whether exactly so many earlier charges lie below.
+
+    The exact shares are counted from all charges, beside the sketches.
+    """
+    limits = materialize(insights.usual_limits(insights.charge_sketches(txns)), "limits")
+    charges = txns.filter("category <> 'Income'").select(
+        "merchant", F.trunc("date", "MM").alias("charged"), F.col("amount").cast("double").alias("amount")
+    )
+    later = F.explode(F.sequence(F.add_months("charged", 1), F.add_months("charged", 12), F.expr("INTERVAL 1 MONTH")))
+    history = charges.select("merchant", later.alias("month"), "amount")
+    limit = F.col("usual_limit")
+    counted = history.join(limits, ["merchant", "month"]).groupBy("merchant", "month", "history").agg(
+        F.avg((F.col("amount") < limit).cast("int")).alias("below"),
+        F.avg((F.col("amount") <= limit).cast("int")).alias("up_to"),
+    )
+    within = (F.col("below") <= 0.99 + 0.02) & (F.col("up_to") >= 0.99 - 0.02)
+    return counted.select("merchant", "month", "history", within.alias("within_error"))
+
+
 def _shares(txns: DataFrame) -> DataFrame:
     return insights.merchant_share(txns).withColumn("share", F.round("share", 9))
 
@@ -362,6 +521,9 @@ def all_queries() -> dict[str, Query]:
         "feed_faulty": feed_faulty,
         "feed_rejects": feed_rejects,
         "synced_choice": synced_choice,
+        "synced_versions": synced_versions,
+        "feed_stream": feed_stream,
+        "feed_stream_rejects": feed_stream_rejects,
         "csv_roundtrip": csv_roundtrip,
         "question_parse": question_parse,
         "conversation_parse": conversation_parse,
@@ -378,18 +540,26 @@ def all_queries() -> dict[str, Query]:
         "category_breakdown": category_breakdown,
         "top_merchants": top_merchants,
         "template_answer": template_answer,
+        "range_summary": range_summary,
+        "range_breakdown": range_breakdown,
+        "ledger_summary": ledger_summary,
         "answer_batch": answer_batch,
         "answer_responses": answer_responses,
         "retrieve_topk": retrieve_topk,
+        "retrieve_lists": retrieve_lists,
+        "retrieve_lists_recall": retrieve_lists_recall,
         "retrieve_context": retrieve_context,
         "retrieve_by_text": retrieve_by_text,
         "corpus_scan": corpus_scan,
         "corpus_index": corpus_index,
+        "index_update": index_update,
         "grounding_exact": partial(grounding_query, "exact"),
         "grounding_normalized": partial(grounding_query, "normalized"),
         "log_append_scan": log_append_scan,
         "answer_log": answer_log,
+        "answer_log_repeated": answer_log_repeated,
         "step_durations": step_durations_query,
+        "trace_stream": trace_stream,
         "round_trips": round_trips_query,
         "latency_lines": latency_lines_query,
         "latency_parse": latency_parse,
@@ -401,6 +571,7 @@ def all_queries() -> dict[str, Query]:
         "merchant_share": partial(report, _shares),
         "recurring_merchants": partial(report, insights.recurring_merchants),
         "spend_spikes": partial(report, _spikes),
+        "unusual_charges": partial(report, _unusual),
         "rule_categorize": partial(report, _rules),
         "rule_categorize_default": _default_rules,
     }

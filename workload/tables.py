@@ -182,6 +182,32 @@ def window_questions(spark: SparkSession, folder: str, what: Column) -> DataFram
     )
 
 
+RANGE_WORDS = ("widget or promo", "ECONOMY", "small bolt", "xylophone", "list")
+
+
+def range_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """(question_id, query, first_day, last_day): a question about some days from each order on.
+
+    Some have no first or no last day, or a last day before the first.
+    """
+    key = F.col("o_orderkey")
+    words = F.array(*[F.lit(word) for word in RANGE_WORDS])
+    first = F.col("o_orderdate").cast("date")
+    days = F.when(key % 29 == 0, -3).otherwise(key % 400).cast("int")
+    return table(spark, folder, "orders").select(
+        key.alias("question_id"),
+        F.element_at(words, (key % len(RANGE_WORDS) + 1).cast("int")).alias("query"),
+        F.when(key % 19 != 0, first).alias("first_day"),
+        F.when(key % 23 != 0, F.date_add(first, days)).alias("last_day"),
+    )
+
+
+def transaction_batches(spark: SparkSession, folder: str, n: int) -> list[DataFrame]:
+    """The transactions in batches by their order, whatever their dates."""
+    rows = _line_items(spark, folder)
+    return [rows.filter(F.col("l_orderkey") % n == at).select(*_transaction_columns()) for at in range(n)]
+
+
 def conversation_questions(spark: SparkSession, folder: str) -> DataFrame:
     turn = F.concat_ws("-", "conv_id", "turn")
     return table(spark, folder, "conversations").select(
