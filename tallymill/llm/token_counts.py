@@ -2,35 +2,41 @@
 
 A text is cut into words at ASCII white space; each is encoded with a mark before it. The
 best segmentation of a word is found by a forward pass: the best score of each prefix is the
-best over the pieces that end there. Words with a common prefix share the pass up to there:
-the distinct words of a task are inserted in a trie whose nodes hold the forward score of
-their prefix, so each prefix is scored once. The count of a word is stored where it ends.
+best over the pieces that end there. Words with a common prefix share the pass up to there.
+
+The distinct words that are new to a slice of documents make a trie, which is walked depth
+first: in the order of the words, from one word's path back to the prefix it shares with the
+next. Each node is scored once, from the pieces that begin at its ancestors and are still
+open, which a trie of the pieces tells. Only the path walked is held, however many words there
+are; the count of a word is stored where it ends.
 
 Scores come from a public vocabulary with ranks: the log probability of a piece is
 ``-log(rank + 1)``. A character that is no piece is as many tokens as it has UTF-8 bytes, at
 a score below all pieces. Of equal scores the one with fewer tokens is taken.
 
-Defined cases: null, empty and blank texts have no tokens. Equal rows are counted alike.
-The trie of a task is emptied when it reaches ``MOST_NODES``; that changes no count.
+Defined cases: null, empty and blank texts have no tokens. Equal rows are counted alike. A task
+remembers up to ``KNOWN_WORDS`` words; beyond that, those of the latest slice. That changes no
+count.
 """
 
 from __future__ import annotations
 
 import math
-from array import array
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallymill.llm.common import map_slices, utf8
+from tallymill.llm.common import map_parts, text_parts, utf8
 
 MARK = "▁"
-MOST_NODES = 400_000
-#: Longer words are scored without the trie, prefix by prefix.
+KNOWN_WORDS = 400_000
+#: Longer words are counted but not remembered.
 LONGEST_WORD = 64
+#: Documents, and about the bytes of text, whose new words make one trie.
+SLICE_DOCS, SLICE_BYTES = 2_000, 16_000_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -46,72 +52,95 @@ def read_pieces(model_file: str) -> dict[str, float]:
     return found
 
 
-class PieceTrie:
-    """Forward scores of all prefixes of the words seen so far."""
+class Scorer:
+    """Forward scores along paths of a trie of words."""
 
     def __init__(self, pieces: dict[str, float]) -> None:
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
-        self.words: dict[bytes, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words.clear()
-        #: The child of a node by a character, under one number for both.
-        self.children: dict[int, int] = {}
-        #: Score and -tokens of the best segmentation of each node's prefix.
-        self.scores, self.tokens = array("d", [0.0]), array("q", [0])
-
-    def _forward(self, prefix: str, before: Sequence[tuple[float, int]]) -> tuple[float, int]:
-        """The best of ``prefix``, given the best of its proper prefixes by length."""
-        end, found = len(prefix), (-math.inf, 0)
-        for start in range(max(0, end - self.longest), end):
-            score = self.pieces.get(prefix[start:])
-            if score is not None:
-                found = max(found, (before[start][0] + score, before[start][1] - 1))
-        last = prefix[-1]
-        if last not in self.pieces:
-            size = len(last.encode("utf-8", "surrogatepass"))
-            score, tokens = before[end - 1]
-            found = max(found, (score + self.unknown, tokens - size))
+        #: A node of the pieces' trie maps a character to (its node, the score of a piece or None).
+        self.root: dict[str, list] = {}
+        for piece, score in pieces.items():
+            node = self.root
+            for character in piece[:-1]:
+                node = node.setdefault(character, [{}, None])[0]
+            node.setdefault(piece[-1], [{}, None])[1] = score
+
+    def start(self) -> tuple[list, float, int]:
+        """The state of the empty prefix: open pieces, score, tokens."""
+        return [(self.root, 0.0, 0)], 0.0, 0
+
+    def step(self, state: tuple[list, float, int], character: str) -> tuple[list, float, int]:
+        """The state of a prefix with one more character."""
+        opened, before, n_before = state
+        best, tokens, still = -math.inf, 0, []
+        for node, score, count in opened:
+            edge = node.get(character)
+            if edge is not None:
+                child, piece = edge
+                if piece is not None:
+                    total = score + piece
+                    if total > best or (total == best and count < tokens):
+                        best, tokens = total, count + 1
+                if child:
+                    still.append((child, score, count))
+        edge = self.root.get(character)
+        if edge is None or edge[1] is None:
+            total = before + self.unknown
+            count = n_before + len(character.encode("utf-8", "surrogatepass"))
+            if total > best or (total == best and count < tokens):
+                best, tokens = total, count
+        still.append((self.root, best, tokens))
+        return still, best, tokens
+
+    def counts(self, words: Iterable[str]) -> list[int]:
+        """Tokens of words in order; equal beginnings of neighbours are scored once."""
+        path, last, found = [self._marked()], "", []
+        step = self.step
+        for word in words:
+            shared = 0
+            for a, b in zip(last, word):
+                if a != b:
+                    break
+                shared += 1
+            del path[shared + 1 :]
+            state = path[-1]
+            for character in word[shared:]:
+                state = step(state, character)
+                path.append(state)
+            found.append(state[2])
+            last = word
         return found
 
-    def count(self, word: bytes) -> int:
-        """Tokens of a word."""
-        known = self.words.get(word)
-        if known is None:
-            text = MARK + word.decode()
-            if len(text) > LONGEST_WORD:
-                return self._long(text)
-            known = self.words[word] = self._insert(text)
-            if len(self.scores) > MOST_NODES:
-                self._clear()
-        return known
-
-    def _insert(self, text: str) -> int:
-        node, path = 0, [(0.0, 0)]
-        scores, tokens, children = self.scores, self.tokens, self.children
-        for at, character in enumerate(text):
-            edge = node << 21 | ord(character)
-            child = children.get(edge)
-            if child is None:
-                child = children[edge] = len(scores)
-                score, count = self._forward(text[: at + 1], path)
-                scores.append(score)
-                tokens.append(count)
-            node = child
-            path.append((scores[node], tokens[node]))
-        return -tokens[node]
-
-    def _long(self, text: str) -> int:
-        """As :meth:`_insert`, keeping only what later prefixes can reach."""
-        window, start = [(0.0, 0)], 0
-        for end in range(1, len(text) + 1):
-            if len(window) > self.longest:
-                window, start = window[1:], start + 1
-            window.append(self._forward(text[start:end], window))
-        return -window[-1][1]
+    def _marked(self) -> tuple[list, float, int]:
+        state = self.start()
+        for character in MARK:
+            state = self.step(state, character)
+        return state
+
+
+class WordCounts:
+    """Tokens of the words of a task."""
+
+    def __init__(self, pieces: dict[str, float]) -> None:
+        self.scorer = Scorer(pieces)
+        self.known: dict[bytes, int] = {}
+
+    def add(self, wanted: set[bytes]) -> dict[bytes, int]:
+        """Tokens of all of ``wanted`` words, and of others."""
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            # What this slice uses stays: mostly the frequent words.
+            self.known = {word: self.known[word] for word in wanted.difference(new)}
+        texts = sorted(word.decode() for word in new)
+        found = self.known
+        for text, count in zip(texts, self.scorer.counts(texts)):
+            found[text.encode()] = count
+        if len(found) <= KNOWN_WORDS and all(len(word) <= LONGEST_WORD for word in new):
+            return found
+        self.known = {word: n for word, n in found.items() if len(word) <= LONGEST_WORD}
+        if len(self.known) > KNOWN_WORDS:
+            self.known = {}
+        return found
 
 
 def token_counts(
@@ -123,19 +152,18 @@ def token_counts(
     schema = StructType([source.schema["row"]]).add("n_words", "long").add("n_tokens", "long")
 
     def factory():
-        trie = PieceTrie(read_pieces(model_file))
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n_words, n_tokens = [], []
-            for value in utf8(batch.column("text")):
-                words = value.split() if value else []
-                n_words.append(len(words))
-                n_tokens.append(sum(map(trie.count, words)))
-            return pa.record_batch(
-                [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
-                schema.names,
-            )
+        counts = WordCounts(read_pieces(model_file))
+
+        def counted(part: pa.RecordBatch) -> pa.RecordBatch:
+            split = [value.split() if value else [] for value in utf8(part.column("text"))]
+            known = counts.add(set().union(*split))
+            n_words = pa.array(list(map(len, split)), pa.int64())
+            n_tokens = [sum(map(known.__getitem__, words)) for words in split]
+            return pa.record_batch([part.column("row"), n_words, pa.array(n_tokens, pa.int64())], schema.names)
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            return map(counted, text_parts(batch, SLICE_DOCS, SLICE_BYTES))
 
         return work
 
-    return map_slices(source, schema, factory)
+    return map_parts(source, schema, factory)

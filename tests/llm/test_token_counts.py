@@ -41,58 +41,64 @@ def pieces():
 WORDS = ["hello", "internationalization", "w12x", "naïve", "世界", "🎈", "aaaaaaaa", "don't", "<s>", "▁▁"]
 
 
+def counted(counts, words):
+    known = counts.add({word.encode() for word in words})
+    return [known[word.encode()] for word in words]
+
+
 def test_counts_equal_brute_force(pieces):
-    trie = token_counts.PieceTrie(pieces)
     chance = random.Random(1)
     words = WORDS + ["".join(chance.choice("etaoinshr") for _ in range(1 + i % 14)) for i in range(300)]
-    assert [trie.count(w.encode()) for w in words] == [brute(w, pieces) for w in words]
+    want = [brute(word, pieces) for word in words]
+    assert counted(token_counts.WordCounts(pieces), words) == want
+    # Any order gives the same counts; the sorted one shares most.
+    assert token_counts.Scorer(pieces).counts(words) == want
 
 
 def test_counts_equal_a_public_unigram_library(pieces):
     vocabulary = [("<unk>", -100.0), *pieces.items()]
     tokenizer = Tokenizer(models.Unigram(vocabulary, 0, False))
-    trie = token_counts.PieceTrie(pieces)
+    scorer = token_counts.Scorer(pieces)
     words = sorted({w for i in range(5) for w in prose(i, 200).split()})
     words += ["hello", "internationalization", "tokenizer", "understanding"]
     for word in words:
         ids = tokenizer.encode(token_counts.MARK + word).ids
-        score = sum(vocabulary[i][1] for i in ids)
-        text = token_counts.MARK + word
-        count, node = trie._insert(text), 0
-        for character in text:
-            node = trie.children[node << 21 | ord(character)]
-        assert trie.scores[node] == pytest.approx(score, abs=1e-6)
-        assert count <= len(ids)
+        state = scorer.start()
+        for character in token_counts.MARK + word:
+            state = scorer.step(state, character)
+        assert state[1] == pytest.approx(sum(vocabulary[i][1] for i in ids), abs=1e-6)
+        assert state[2] <= len(ids)
 
 
 def test_prefixes_are_scored_once(pieces, monkeypatch):
-    seen = []
-    forward = token_counts.PieceTrie._forward
-    monkeypatch.setattr(
-        token_counts.PieceTrie, "_forward", lambda *a: seen.append(a[1]) or forward(*a)
-    )
-    trie = token_counts.PieceTrie(pieces)
-    for word in ("token", "tokens", "tokenizer", "token"):
-        trie.count(word.encode())
-    assert len(seen) == len(set(seen)) == len("▁tokenizer") + 1
-
-
-def test_long_words_and_a_full_trie(pieces, monkeypatch):
+    scorer, seen = token_counts.Scorer(pieces), []
+    step = scorer.step
+    monkeypatch.setattr(scorer, "step", lambda state, c: seen.append(c) or step(state, c))
+    scorer.counts(["token", "tokenizer", "tokens"])
+    assert "".join(seen) == "▁tokenizers"
+
+
+def test_long_words_and_little_memory(pieces, monkeypatch):
     words = ["abc" * 40, "internationalization" * 9, "世" * 90]
-    trie = token_counts.PieceTrie(pieces)
-    assert [trie.count(w.encode()) for w in words] == [brute(w, pieces) for w in words]
-    monkeypatch.setattr(token_counts, "MOST_NODES", 3)
-    small = token_counts.PieceTrie(pieces)
-    assert [small.count(w.encode()) for w in WORDS * 2] == [brute(w, pieces) for w in WORDS * 2]
+    counts = token_counts.WordCounts(pieces)
+    assert counted(counts, words) == [brute(w, pieces) for w in words]
+    assert not counts.known
+    monkeypatch.setattr(token_counts, "KNOWN_WORDS", 3)
+    small = token_counts.WordCounts(pieces)
+    for some in (WORDS[:2], WORDS[1:4], WORDS, WORDS[3:]):
+        assert counted(small, some) == [brute(w, pieces) for w in some]
+        assert len(small.known) <= 3
 
 
-def test_documents(spark, odd, nothing, pieces):
-    trie = token_counts.PieceTrie(pieces)
+def test_documents(spark, odd, nothing, pieces, monkeypatch):
     rows = [(i, prose(i, i), "en", "s", 1) for i in range(50)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    found = token_counts.token_counts(docs, FILE, carry=["text"]).collect()
-    for row in found:
-        words = row["row"].text.split()
-        assert (row.n_words, row.n_tokens) == (len(words), sum(trie.count(w.encode()) for w in words))
+    for docs_of_slice, bytes_of_slice in ((2_000, 16_000_000), (3, 16_000_000), (2_000, 500)):
+        monkeypatch.setattr(token_counts, "SLICE_DOCS", docs_of_slice)
+        monkeypatch.setattr(token_counts, "SLICE_BYTES", bytes_of_slice)
+        found = token_counts.token_counts(docs, FILE, carry=["text"]).collect()
+        for row in found:
+            words = row["row"].text.split()
+            assert (row.n_words, row.n_tokens) == (len(words), sum(brute(w, pieces) for w in words))
     assert token_counts.token_counts(odd, FILE).count() == len(odd_rows())
     assert token_counts.token_counts(nothing, FILE).count() == 0
