@@ -9,8 +9,8 @@ the metadata alone, without the ids.
 A document's place among all ids is the place within its file, written with it, plus the
 sizes of the files before; these are summed from the metadata on reading.
 
-Texts are split at ASCII white space and each distinct part is encoded once per task. That
-gives the ids of the whole text for tokenizers that drop white space before they merge, as
+Texts are split at ASCII white space, and of a slice of documents each distinct part that the
+worker does not remember is encoded. That gives the ids of the whole text for tokenizers that drop white space before they merge, as
 this one does; the tests compare it with whole texts.
 
 Defined cases: a null or empty text has the end id only. Null ids come first. Rows with
@@ -22,31 +22,37 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from tallymill.llm.common import map_slices, row_key, utf8
+from tallymill.llm.common import map_parts, map_slices, row_key, text_parts, utf8
 from tallymill.session import fresh_path
 
 END_ID = 1
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 PAGE_ROWS = 1_000
-#: Parts that one task remembers, and the longest of them.
-KNOWN_PARTS = 300_000
+#: Parts that a worker remembers from before and since, and the longest of them.
+KNOWN_PARTS = 200_000
 LONGEST_PART = 64
 #: Plain parts that are encoded as one text.
 JOINED_PARTS = 2_000
+#: Documents, and about the bytes of text, that are encoded together.
+SLICE_DOCS, SLICE_BYTES = 2_000, 16_000_000
 
 #: Letters that stay one letter in lower case and in composed form, and ASCII signs but the
 #: apostrophe (which starts contractions) and ``<`` (which starts special tokens).
 PLAIN_LINE = re.compile(
-    rb"(?m)^(?:[A-Za-z!-&(-/:;=-@\[-`{-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+$"
+    rb"(?m)^(?:[A-Za-z!-&(-/:;=?-@\[-`{-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+$"
 )
+#: Such signs, and lines of such letters in lower case: one run for the tokenizer.
+SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+LOWER_LINE = re.compile(rb"(?m)^(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+$")
 #: Bytes of texts that may be lower-cased first, as the tokenizer does it anyway: ASCII and
 #: the letters above. Marks that combine with letters are not among them.
 SIMPLE = bytes([*range(192), 0xC3])
@@ -56,13 +62,13 @@ KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
 KIND[32] = SPACE
 
 
-def parts_of(text: bytes | None) -> list[bytes]:
-    """The parts of a text; simple texts in lower case, which leaves fewer distinct parts."""
+def lowered(text: bytes | None) -> bytes:
+    """The text to encode; simple texts in lower case, which leaves fewer distinct parts."""
     if not text:
-        return []
+        return b""
     if not text.translate(None, SIMPLE) and b"<|" not in text:
-        text = text.lower()
-    return text.split()
+        return text.decode().lower().encode()
+    return text
 
 
 def word_runs(joined: bytes) -> np.ndarray:
@@ -78,26 +84,45 @@ def word_runs(joined: bytes) -> np.ndarray:
     return np.diff(ends, prepend=0)
 
 
+#: Encoders of this process by tokenizer file: workers are used again, and parts come again.
+_ENCODERS: dict[str, PartEncoder] = {}
+
+
+def encoder_of(tokenizer_file: str) -> PartEncoder:
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer_file] = PartEncoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
+
+
 class PartEncoder:
     """Encodes texts part by part, with a tokenizer that works on parts.
 
-    Parts of plain letters and signs are joined by blanks and encoded together; the ids are
-    dealt to the parts by the tokens that end a run. Other parts are encoded one by one.
+    Most new parts are a run of letters, between signs. Runs are encoded together, joined by
+    blanks, by a copy of the tokenizer that only merges, as nothing else changes them; the ids
+    are dealt out by the tokens that end a run. Other plain parts are encoded together by the
+    tokenizer itself, and those that are not plain one by one.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        #: Ids of parts met lately, and of those met before; the empty part has none.
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         suffix = self.tokenizer.model.end_of_word_suffix
         vocabulary = self.tokenizer.get_vocab()
         self.ends_run = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_run[[at for token, at in vocabulary.items() if token.endswith(suffix)]] = True
 
-    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(
+    def _encode(self, texts: list[bytes], tokenizer=None) -> list[np.ndarray]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(
             [text.decode() for text in texts], add_special_tokens=False
         )
         return [np.array(x.ids, "<u4") for x in found]
@@ -105,14 +130,14 @@ class PartEncoder:
     def _one_by_one(self, parts: list[bytes]) -> dict[bytes, bytes]:
         return {part: ids.tobytes() for part, ids in zip(parts, self._encode(parts))}
 
-    def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        plain = PLAIN_LINE.findall(b"\n".join(parts))
-        out = self._one_by_one(list(set(parts).difference(plain)))
-        groups = [plain[at : at + JOINED_PARTS] for at in range(0, len(plain), JOINED_PARTS)]
-        joined = [b" ".join(group) for group in groups]
-        for group, text, ids in zip(groups, joined, self._encode(joined)):
+    def _joined(self, parts: list[bytes], tokenizer, runs_of) -> dict[bytes, bytes]:
+        """Ids of parts encoded together; ``runs_of`` says how many runs each of them has."""
+        out = {}
+        groups = [parts[at : at + JOINED_PARTS] for at in range(0, len(parts), JOINED_PARTS)]
+        texts = [b" ".join(group) for group in groups]
+        for group, text, ids in zip(groups, texts, self._encode(texts, tokenizer)):
             ends = np.flatnonzero(self.ends_run[ids])
-            runs = np.cumsum(word_runs(text))
+            runs = np.cumsum(runs_of(text, group))
             if len(runs) != len(group) or runs[-1] != len(ends):
                 out |= self._one_by_one(group)
                 continue
@@ -121,22 +146,65 @@ class PartEncoder:
             out.update(zip(group, map(ids.tobytes().__getitem__, slices)))
         return out
 
-    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = list(map(parts_of, texts))
-        wanted = set().union(*split)
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > KNOWN_PARTS:
-            # What these texts use stays: mostly the frequent parts.
-            self.known = {part: self.known[part] for part in wanted.difference(new)}
-        known = self.known
-        known.update(self.learn(list(new)))
-        found = [b"".join(map(known.__getitem__, parts)) for parts in split]
+    def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct parts, and of the runs of letters in them."""
+        letters = LOWER_LINE.findall(b"\n".join(parts))
+        others = list(set(parts).difference(letters))
+        cores = [part.strip(SIGNS) for part in others]
+        new = set(cores).difference(self.known, letters)
+        letters += LOWER_LINE.findall(b"\n".join(new))
+        out = self._joined(letters, self.merger, lambda _, group: np.ones(len(group), np.int64))
+        rest, signs, framed = [], set(), []
+        for part, core in zip(others, cores):
+            ids = out.get(core)
+            if ids is None and core in self.known and LOWER_LINE.fullmatch(core):
+                ids = self.known[core]
+            if ids is None:
+                rest.append(part)
+            else:
+                left, _, right = part.partition(core)
+                signs.update((left, right))
+                framed.append((part, left, ids, right))
+        plain = PLAIN_LINE.findall(b"\n".join(rest))
+        out |= self._joined(plain, self.tokenizer, lambda text, _: word_runs(text))
+        out |= self._one_by_one(list({*rest, *signs}.difference(plain)))
+        for part, left, ids, right in framed:
+            out[part] = out[left] + ids + out[right]
+        return out
+
+    def ids_of(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts as little-endian unsigned 32-bit integers."""
+        known, before = self.known, self.before
+        missing = [part for part in parts if part not in known]
+        known.update({part: before[part] for part in missing if part in before})
+        new = [part for part in missing if part not in known]
+        if new:
+            known.update(self.learn(new))
+        found = list(map(known.__getitem__, parts))
         for part in new:
             if len(part) > LONGEST_PART:
                 del known[part]
+        if len(known) > KNOWN_PARTS:
+            self.known, self.before = {}, known
         return found
 
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        joined = pa.array(list(map(lowered, texts)), pa.binary()).cast(pa.string())
+        split = pc.ascii_split_whitespace(joined)
+        parts = split.flatten().dictionary_encode()
+        found = self.ids_of(parts.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
+        ends = np.concatenate(([0], np.cumsum(sizes[parts.indices.to_numpy()])))
+        return ids.take(parts.indices).flatten().to_numpy(), np.diff(ends[split.offsets.to_numpy()])
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, sizes = self.encode(texts)
+        return [part.tobytes() for part in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
 
 def write_tokens(
     docs: DataFrame,
@@ -157,33 +225,33 @@ def write_tokens(
     )
     schema = StructType([ranged.schema["key"], ranged.schema["part"]])
     schema = schema.add("part_start", "long").add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
-    end = np.array([end_id], "<u4").tobytes()
 
     def factory():
-        encoder, at = PartEncoder(tokenizer_file), 0
+        encoder, at = encoder_of(tokenizer_file), 0
 
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def encoded(part: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal at
-            found = [ids + end for ids in encoder.encode_all(utf8(batch.column("text")))]
-            sizes = np.array([len(ids) // 4 for ids in found], np.int64)
+            ids, sizes = encoder.encode(utf8(part.column("text")))
+            values = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
-            values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            return pa.record_batch(
-                [
-                    batch.column("key"),
-                    batch.column("part"),
-                    pa.array(starts, pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(offsets, values),
-                ],
-                ["key", "part", "part_start", "n_tokens", "ids"],
-            )
+            made = [
+                part.column("key"),
+                part.column("part"),
+                pa.array(starts, pa.int64()),
+                pa.array(sizes, pa.int64()),
+                pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32())),
+            ]
+            return pa.record_batch(made, ["key", "part", "part_start", "n_tokens", "ids"])
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            return map(encoded, text_parts(batch, SLICE_DOCS, SLICE_BYTES))
 
         return work
 
-    written = map_slices(ranged, schema, factory).withColumnRenamed("key", key)
+    written = map_parts(ranged, schema, factory).withColumnRenamed("key", key)
     options = {
         "parquet.block.size": ROW_GROUP_BYTES,
         "parquet.page.row.count.limit": PAGE_ROWS,
