@@ -18,6 +18,7 @@ where the words due are met. Equal rows are interchangeable. Same input, same re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallymill.llm.common import map_slices, row_key, utf8
-from tallymill.session import materialize
+from tallymill.session import discard, materialize
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -39,14 +40,18 @@ ACCURACY = 1e-12
 
 
 def sized(docs: DataFrame, source: str, text: str, carry: Sequence[str]) -> DataFrame:
-    """(row, source, key_a, key_b, size): documents with their number of words."""
+    """(row, source, key_a, key_b, size): documents with their number of words.
+
+    Without columns to carry there is no ``row``.
+    """
+    carried = [F.struct(*[F.col(f"`{name}`") for name in carry]).alias("row")] if carry else []
     rows = docs.select(
-        F.struct(*[F.col(f"`{name}`") for name in carry]).alias("row"),
+        *carried,
         F.col(source).cast("string").alias("source"),
         *row_key(docs),
         F.col(text).alias("text"),
     )
-    names = ["row", "source", "key_a", "key_b"]
+    names = rows.columns[:-1]
     schema = StructType([*[rows.schema[name] for name in names]]).add("size", "long", False)
 
     def factory():
@@ -133,6 +138,47 @@ def copies_of(sizes: np.ndarray, rate: float) -> np.ndarray:
     return np.array(copies, np.int64)
 
 
+def copies_of_equal(sizes: np.ndarray, counts: np.ndarray, rate: float) -> np.ndarray:
+    """Copies of groups of equal documents: the sum of what :func:`copies_of` gives to each.
+
+    The words behind stay within half a document of the size at hand, once they are there, so
+    the number of higher neighbours in a group follows from where it begins.
+    """
+    low = int(np.floor(rate + 1e-9))
+    if rate - low < 1e-9:
+        return low * counts
+    copies, behind, part = [], 0.0, rate - low
+    for size, count in zip(sizes.tolist(), counts.tolist()):
+        if size:
+            more = min(count, max(0, math.ceil(behind / size + count * part - 0.5)))
+            behind += (count * part - more) * size
+        else:
+            more = count if behind > 0 else 0
+        copies.append(low * count + more)
+    return np.array(copies, np.int64)
+
+
+def _rates(rows: DataFrame, weights: Sequence[float], total_share: float, most: float) -> DataFrame:
+    """(source, source_size, source_rows, target, rate, ..) of rows(source, size), stored."""
+    sources = rows.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.count("*").alias("source_rows")
+    )
+    weighted = sources.withColumn("weight", cyclic_weights(weights))
+    return materialize(multipliers(materialize(targets(weighted, total_share, most), "targets"), most), "rates")
+
+
+def _in_cells(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """Rows with what is known of their source, and a cell of the source."""
+    placed = rows.join(
+        rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
+    ).drop("_source")
+    cells = (F.col("source_rows") / CELL_ROWS).cast("long") + 1
+    return placed.withColumn("cell", F.pmod(F.xxhash64("key_a", "key_b"), cells))
+
+
+CELL_ORDER = [("size", "descending"), ("key_a", "ascending"), ("key_b", "ascending")]
+
+
 def mixed(
     docs: DataFrame,
     source: str = "source",
@@ -148,22 +194,12 @@ def mixed(
     cells of about ``CELL_ROWS`` documents, so the largest source is rounded by many tasks.
     """
     rows = materialize(sized(docs, source, text, carry or docs.columns), "sizes")
-    sources = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count("*").alias("source_rows")
-    )
-    weighted = sources.withColumn("weight", cyclic_weights(weights))
-    rates = materialize(multipliers(materialize(targets(weighted, total_share, most), "targets"), most), "rates")
-    placed = rows.join(
-        rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
-    ).drop("_source")
-    cells = (F.col("source_rows") / CELL_ROWS).cast("long") + 1
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("key_a", "key_b"), cells))
+    placed = _in_cells(rows, _rates(rows, weights, total_share, most))
     names = ["row", "size", "source_size", "target", "rate"]
     schema = StructType([placed.schema[name] for name in names]).add("copies", "long")
 
     def rounded(cell: pa.Table) -> pa.Table:
-        order = [("size", "descending"), ("key_a", "ascending"), ("key_b", "ascending")]
-        cell = cell.sort_by(order)
+        cell = cell.sort_by(CELL_ORDER)
         copies = copies_of(cell["size"].to_numpy(), cell["rate"][0].as_py())
         return cell.select(names).append_column("copies", pa.array(copies, pa.int64()))
 
@@ -171,8 +207,37 @@ def mixed(
 
 
 def resampled(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say."""
-    found = mixed(docs, source, text)
-    return found.withColumn(
-        "_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    ).select("row.*")
+    """The rows of ``docs``, each as often as its copies say.
+
+    Copies are settled for the rows' keys alone; texts meet them once. Equal rows are one key
+    with a count, and come from one of them, so no group of copies is held by a task.
+    """
+    rows = materialize(sized(docs, source, text, ()), "sizes")
+    rates = _rates(rows, WEIGHTS, TOTAL_SHARE, MOST_COPIES)
+    groups = rows.groupBy("source", "key_a", "key_b").agg(
+        F.first("size").alias("size"), F.count("*").alias("rows")
+    )
+
+    def rounded(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by(CELL_ORDER)
+        copies = copies_of_equal(cell["size"].to_numpy(), cell["rows"].to_numpy(), cell["rate"][0].as_py())
+        found = cell.select(["key_a", "key_b", "rows"])
+        return found.append_column("copies", pa.array(copies, pa.int64()))
+
+    schema = "key_a long, key_b long, rows long, copies long"
+    placed = _in_cells(groups, rates).select("source", "cell", "key_a", "key_b", "size", "rows", "rate")
+    copies = materialize(placed.groupBy("source", "cell").applyInArrow(rounded, schema), "copies")
+    discard(rows)
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
+    taken = docs.select(whole, *row_key(docs)).join(copies.filter("copies > 0"), ["key_a", "key_b"])
+
+    def repeated(found: DataFrame, times: Column) -> DataFrame:
+        return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("row.*")
+
+    single = repeated(taken.filter("rows = 1").select("row", "copies"), F.col("copies"))
+    # A group may be any number of rows: it is cut before it is repeated.
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("copies") - 1, F.lit(CELL_ROWS))))
+    several = taken.filter("rows > 1").select("row", "copies").distinct().withColumn("_part", parts)
+    several = several.repartition(F.xxhash64("row"), "_part")
+    left = F.least(F.lit(CELL_ROWS).cast("long"), F.col("copies") - CELL_ROWS * F.col("_part"))
+    return single.unionByName(repeated(several, left))

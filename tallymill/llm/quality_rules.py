@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallymill.llm.common import map_slices, utf8
-from tallymill.session import materialize
+from tallymill.llm.common import map_slices, text_udf, utf8
+from tallymill.session import discard, materialize
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -183,8 +183,14 @@ def _verdicts(rows: DataFrame, rates: DataFrame, limits: Limits) -> DataFrame:
 def keep_good(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that neither fail a base rule nor come from a rejected host.
 
-    The texts are measured twice instead of being stored with their measures.
+    The texts are measured twice instead of being stored with their measures. Only they go to
+    Python, and only measures come back.
     """
-    narrow = materialize(measured(docs, host, carry=[host]).drop("row"), "quality")
+    measures = text_udf(lambda texts: list(map(measure, texts)), MEASURES)
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    found = docs.select(F.col(host).alias("host"), whole.alias("row"), measures(F.col("text")).alias("found"))
+    rows = found.select("host", "row", "found.*")
+    narrow = materialize(rows.drop("row"), "quality")
     rates = _stored_rates(narrow, limits)
-    return _verdicts(measured(docs, host), rates, limits).filter("kept").select("row.*")
+    discard(narrow)
+    return _verdicts(rows, rates, limits).filter("kept").select("row.*")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,32 @@ def test_copies_follow_the_rate():
         assert abs((copies * sizes).sum() - rate * sizes.sum()) <= 2
 
 
+def test_copies_of_equal_documents_are_those_of_each():
+    chance = np.random.default_rng(2)
+    for rate in (0.0, 0.25, 0.5, 1.0, 1.375, 2.0, 0.2, 1.31):
+        for _ in range(40):
+            sizes = np.sort(chance.integers(0, 60, 12))[::-1]
+            counts = chance.integers(1, 9, 12)
+            each = mixing.copies_of(np.repeat(sizes, counts), rate)
+            ends = np.cumsum(counts)
+            want = np.array([each[a:b].sum() for a, b in zip(ends - counts, ends)])
+            found = mixing.copies_of_equal(sizes, counts, rate)
+            if rate * 8 == int(rate * 8):
+                assert found.tolist() == want.tolist()
+            # Sums of other fractions are rounded, and may fall to either side of a half.
+            assert ((found >= counts * int(rate)) & (found <= counts * math.ceil(rate))).all()
+            assert abs(((found - rate * counts) * sizes).sum()) <= abs(((want - rate * counts) * sizes).sum()) + 60
+
+
+def test_resampling_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 7)
+    rows = [(1, prose(1, 9), "en", "a", 1)] * 100 + [(i, prose(i, 5 + i % 9), "en", "ab"[i % 2], 1) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = mixing.mixed(docs).groupBy("row.doc_id").agg(F.sum("copies").alias("n")).filter("n > 0")
+    got = mixing.resampled(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_sources_come_near_their_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CELL_ROWS", 50)
     rows = [(i, prose(i, 5 + i % 90), "en", "xyz"[i % 7 % 3], 1) for i in range(600)]
