@@ -1,7 +1,12 @@
 """A training-data pipeline: five stages from raw documents to token files.
 
 Each stage takes the documents its predecessor kept and returns a table that is written as
-Parquet and read again. All but the last return the columns of ``documents``.
+Parquet and read again; the one before is then deleted. All but the last return the columns of
+``documents``, and other columns that a table may have, whatever their names.
+
+Null, empty and blank texts have no words and go with the first stage. A null source is a source
+of its own there and in the mix, and a null id sorts first. Equal rows are near duplicates: one
+stays. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallymill.llm import decontaminate, jaccard_join, mixing, quality_rules, token_files
 from tallymill.llm.common import table
-from tallymill.session import materialize
+from tallymill.session import discard, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -72,7 +77,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
