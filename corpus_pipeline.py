@@ -19,18 +19,23 @@ from pyspark.sql import functions as F
 
 from tallymill.llm import decontaminate, jaccard_join, mixing, quality_rules, token_files
 from tallymill.llm.common import table
-from tallymill.session import discard, materialize
+from tallymill.session import bound_arrow_batches, discard, materialize
+
+#: Whole documents that go to Python at a time, or come back.
+BATCH_ROWS = 1_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose source is not rejected."""
+    bound_arrow_batches(spark, BATCH_ROWS)
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near duplicates."""
+    bound_arrow_batches(spark, BATCH_ROWS)
     return jaccard_join.one_of_each(docs)
 
 
@@ -39,6 +44,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     ``n_chars`` follows the text where it was cut.
     """
+    bound_arrow_batches(spark, BATCH_ROWS)
     rest = [name for name in docs.columns if name != "text"]
     found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"), carry=rest)
     clean = decontaminate.removed(found.withColumn("row", F.struct("row", "runs")))
@@ -56,11 +62,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    bound_arrow_batches(spark, BATCH_ROWS)
     return mixing.resampled(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and each document's place and checksum as read back from them."""
+    bound_arrow_batches(spark, BATCH_ROWS)
     return token_files.token_table(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

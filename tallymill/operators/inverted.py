@@ -34,6 +34,7 @@ from tallymill.operators.retrieval import (
     GROUP_VALUES,
     TOP_K,
     groups_of,
+    one_dimension,
     stored_blocks,
     top_k,
     without_similarity,
@@ -102,6 +103,7 @@ def fit_lists(index: DataFrame, lists: int | None = None, rounds: int = ROUNDS)
     stored = materialize(index.select("id", "embedding"), "index")
     vectors = materialize(stored.filter(has_length(F.col("embedding"))), "vectors")
     n = vectors.count()
+    one_dimension(vectors.withColumnRenamed("id", "query_id").limit(0), vectors)
     wanted = lists or round(LISTS_PER_ROOT * math.sqrt(n))
     if not n:
         empty = vectors.select("*", F.lit(0).alias("list"), F.lit(0.0).alias("apart"))
@@ -224,6 +226,7 @@ def search(
     flat = without_similarity(stored, lists.index, k)
     if not len(lists.centroids):
         return ranked(flat, k)
+    one_dimension(wanted, lists.rows)
     first = materialize(_scan(wanted, lists, k, probes, False), "candidates")
     if not exact:
         return ranked(first.unionByName(flat), k)

@@ -12,7 +12,7 @@ from tallymill.functions.keywords import KNOWN_MERCHANTS
 from tallymill.functions.money import spent_sentence
 from tallymill.functions.windows import Starts, first_days, within
 from tallymill.operators.grounding import ground_sets
-from tallymill.operators.matching import ASK, SET, set_cells, window_cells, word_hits
+from tallymill.operators.matching import ASK, CELL, SET, set_cells, window_cells, word_hits
 from tallymill.operators.questions import (
     clean_questions,
     distinct_asks,
@@ -70,10 +70,18 @@ class AnswerBook:
         for table in (self.asked, self.cells, self.kept):
             discard(table)
 
+    def of_sets(self, keys: Sequence[str]) -> DataFrame:
+        """Sums of what each set keeps, by ``keys`` at least."""
+        return self.kept
+
+    def of_windows(self, keys: Sequence[str]) -> DataFrame:
+        """Sums of whole windows, by ``keys`` at least."""
+        return self.cells
+
     def sets(self) -> DataFrame:
         """Distinct (hits, window) with totals, answer and whether any row was matched."""
-        matched = totals(self.kept, SET).withColumn("matched", F.lit(True))
-        whole = totals(self.cells, ["window"]).withColumnsRenamed(
+        matched = totals(self.of_sets(["category"]), SET).withColumn("matched", F.lit(True))
+        whole = totals(self.of_windows(["category"]), ["window"]).withColumnsRenamed(
             {name: f"window_{name}" for name in TOTALS}
         )
         if self.starts:  # at most one row per window name, nine in all
@@ -122,15 +130,15 @@ class AnswerBook:
     def category_breakdown(self) -> DataFrame:
         """(question_id, category, spend, rank)."""
         return self._per_question(
-            category_breakdown(self.kept, SET),
-            category_breakdown(self.cells, ["window"]),
+            category_breakdown(self.of_sets(["category"]), SET),
+            category_breakdown(self.of_windows(["category"]), ["window"]),
         )
 
     def top_merchants(self, k: int = TOP_MERCHANTS) -> DataFrame:
         """(question_id, merchant, spend, rank) with rank up to k."""
         return self._per_question(
-            top_merchants(self.kept, SET, k),
-            top_merchants(self.cells, ["window"], k),
+            top_merchants(self.of_sets(CELL), SET, k),
+            top_merchants(self.of_windows(CELL), ["window"], k),
         )
 
     def answers(self) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallymill.functions.keywords import KNOWN_MERCHANTS
 from tallymill.operators.ranges import day_cells
 from tallymill.plans.answers import AnswerBook
-from tallymill.plans.ranges import open_ranges
+from tallymill.plans.ranges import RangeBook, open_ranges
 from tallymill.schemas import DAY_CELL
 from tallymill.sources.snapshots import MOST_PARTS, Snapshots, Version
 
@@ -52,6 +52,6 @@ class Ledger:
         """Answers to questions about the usual windows."""
         return AnswerBook.open(questions, self.cells(), known, WEIGHT)
 
-    def range_book(self, questions: DataFrame, known: Sequence[str] = KNOWN_MERCHANTS) -> AnswerBook:
+    def range_book(self, questions: DataFrame, known: Sequence[str] = KNOWN_MERCHANTS) -> RangeBook:
         """Answers to questions about stretches of days of their own."""
         return open_ranges(questions, self.cells(), known, WEIGHT)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,44 @@ from tallymill.plans.answers import AnswerBook
 from tallymill.session import discard, materialize
 
 
+@dataclass(frozen=True)
+class RangeBook(AnswerBook):
+    """An :class:`AnswerBook` whose windows are ranges of days, named by their bounds.
+
+    ``nodes`` (window, level, node) are those of each range. ``cells`` holds the sums of each node,
+    ``by_hits`` those of the pairs that a list of hits keeps, and ``kept`` the sets that keep any.
+    Sums of a node are first brought down to what is asked for, and then added up per range.
+    """
+
+    nodes: DataFrame
+    by_hits: DataFrame
+
+    def close(self) -> None:
+        for table in (self.asked, self.nodes, self.cells, self.by_hits, self.kept):
+            discard(table)
+
+    def of_sets(self, keys: Sequence[str]) -> DataFrame:
+        sums = _summed(self.by_hits, ["hits", *NODE, *keys])
+        in_nodes = self.kept.join(self.nodes, "window").join(sums, ["hits", *NODE])
+        return _summed(in_nodes, [*SET, *keys])
+
+    def of_windows(self, keys: Sequence[str]) -> DataFrame:
+        """Of the ranges that some set needs as a whole."""
+        needed = self._unmatched().select("window").distinct()
+        in_nodes = self.nodes.join(needed, "window", "left_semi")
+        return _summed(in_nodes.join(_summed(self.cells, [*NODE, *keys]), NODE), ["window", *keys])
+
+
+def _summed(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    return cells.groupBy(*by).agg(F.sum("amount").alias("amount"), F.sum("rows").alias("rows"))
+
+
 def open_ranges(
     questions: DataFrame,
     txns: DataFrame,
     known: Sequence[str] = KNOWN_MERCHANTS,
     weight: str | None = None,
-) -> AnswerBook:
+) -> RangeBook:
     """The book of questions(question_id, query, first_day, last_day).
 
     Their days count, not the words of a window that a text may have. A bound that is null is
@@ -64,19 +97,9 @@ def open_ranges(
     met = materialize(pairs_of_hits(hits, daily), "hit-pairs")
     wanted = sets.join(nodes, "window").select("hits", *NODE).distinct()
     of_hits = balanced_join(summed, met, CELL).join(wanted, ["hits", *NODE])
-    by_node = materialize(of_hits, "hit-nodes")
-
-    def added(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-        return cells.groupBy(*by, *CELL).agg(
-            F.sum("amount").alias("amount"), F.sum("rows").alias("rows")
-        )
-
-    of_sets = sets.join(nodes, "window").join(by_node, ["hits", *NODE])
-    kept = materialize(added(of_sets, SET), "kept")
-    # Whole ranges are needed where nothing was matched.
-    unmatched = hits.asks.join(kept.select(*SET).distinct(), SET, "left_anti")
-    whole = nodes.join(unmatched.select("window").distinct(), "window", "left_semi")
-    cells = materialize(added(whole.join(summed, NODE), ["window"]), "cells")
-    for table in (asks, daily, nodes, summed, met, by_node):
+    by_hits = materialize(of_hits, "hit-nodes")
+    some = by_hits.select("hits", *NODE).distinct()
+    kept = materialize(sets.join(nodes, "window").join(some, ["hits", *NODE]).select(*SET).distinct(), "kept")
+    for table in (asks, daily, met):
         discard(table)
-    return AnswerBook(txns, {}, parsed, hits.asks, cells, kept)
+    return RangeBook(txns, {}, parsed, hits.asks, summed, kept, nodes, by_hits)

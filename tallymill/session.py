@@ -73,6 +73,17 @@ def discard_all(spark: SparkSession) -> None:
     _delete(spark, f"{shared_folder(spark)}/tallymill")
 
 
+def bound_arrow_batches(spark: SparkSession, rows: int) -> None:
+    """Let batches that go to Python hold at most so many rows, from now on in this session.
+
+    Where rows hold long texts, Spark's 10,000 of them take much memory on both sides.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def _plain(path: str) -> str:
     return path.replace("file://", "file:").replace("file:", "")
 

@@ -93,6 +93,23 @@ def test_rows_when_every_key_is_crowded(spark, case, monkeypatch):
         assert sorted(mine) == sorted(r["note"] for r in expected), query
 
 
+def test_words_and_values_that_share_their_first_letters(spark, monkeypatch):
+    """One gram, and one word, meets very many on both sides."""
+    monkeypatch.setattr(skew, "ROWS_PER_SIDE", 4)
+    ends = [a + b for a in "abcdefg" for b in "hijklmn"]
+    names = [f"Network{end}" for end in ends] + [f"Network{end} Networks" for end in ends]
+    rows = [
+        {"date": dt.date(2024, 3, 1), "amount": Decimal(n), "category": "c", "merchant": name, "note": f"row {n}"}
+        for n, name in enumerate(names)
+    ]
+    questions = [f"network{end} or networks this year" for end in ends] + [f"network{end}" for end in ends]
+    book = AnswerBook.open(asked(spark, questions), frame(spark, rows), ())
+    found = {r.question_id: (r.total_spend, r.transaction_count) for r in book.summaries().collect()}
+    for number, query in enumerate(questions):
+        want = brute.summary(brute.matching(query, rows, set())[0])
+        assert found[number] == (want["total_spend"], want["transaction_count"]), query
+
+
 def test_rows_of_one_question(spark, case):
     rows, txns, known = case
     for query in QUESTIONS[:8]:

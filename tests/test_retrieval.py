@@ -4,6 +4,7 @@ import pytest
 from plan import plan_of
 from tallymill.functions.vectors import has_length
 from tallymill.operators import retrieval
+from tallymill.operators.inverted import fit_lists
 from tallymill.operators.retrieval import context, contexts_for, embed, top_k
 from pyspark.sql import functions as F
 
@@ -160,3 +161,13 @@ def test_queries_stay_out_of_the_driver(spark, monkeypatch):
     )
     assert plan_of(result).count("MapInPandas") <= 1
     assert found(result) == brute_force(queries, index, 3)
+
+
+def test_vectors_of_several_dimensions_stop_the_search_early(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0, 0.0])], QUERY)
+    index = spark.createDataFrame([(7, [1.0, 0.0]), (8, [1.0, 0.0, 2.0]), (9, [])], INDEX)
+    for search in (lambda: top_k(queries, index), lambda: fit_lists(index)):
+        with pytest.raises(ValueError, match="such as 8"):
+            search()
+    # Vectors without a direction may have any length.
+    assert found(top_k(queries, index.filter("id != 8"), 2)) == {1: [7, 9], 2: [7, 9]}
