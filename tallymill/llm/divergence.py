@@ -43,7 +43,7 @@ TOP_TERMS = 10
 HELD_TERMS = 200_000
 #: Sources of a tile, and cells (terms times sources) of a block, about.
 TILE_SOURCES = 64
-BLOCK_CELLS = 1_000_000
+BLOCK_CELLS = 100_000
 
 #: Bytes of a term keep their value, A-Z become lower case, all others separate.
 TERM_BYTES = bytes(
