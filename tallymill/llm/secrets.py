@@ -6,9 +6,13 @@ Markov models of character pairs, one of secrets and one of ordinary identifiers
 likelihood ratio, and nothing else decides. From 20 characters on the mean per pair must be
 high enough; shorter runs hold less evidence, and their sum must make up for how much more
 frequent identifiers are. The pieces between ``/ - _ =`` of a run are judged like whole runs,
-and reported where the whole run is not. The models are counted over all documents: what the
-patterns find, against the identifiers outside of it. There are no labels of secrets, so the
-patterns stand for them.
+and reported where the whole run is not.
+
+The models are trained on labelled strings, each distinct one counted once. A table of them may be
+given. Else all documents give them: what the patterns find is labelled secret, the identifiers
+outside of it ordinary. Such labels are wrong where a secret fits no pattern. So what the models
+then call random is left out of the ordinary strings and they are counted again, up to
+``ROUNDS`` times or until the same strings are left.
 
 All work is column expressions. The start of a match is the total length of what stands
 before it: texts are split by the pattern, and one fold over the parts and matches adds the
@@ -30,6 +34,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.session import discard, materialize
+
 KINDS = ("assign", "access", "hex", "markov")
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,6 +52,8 @@ PIECE = r"[A-Za-z0-9+]{8,}"
 LONG = 20
 #: Mean per pair of characters. Above 0 a random string is the likelier reading.
 LEAST_RATIO = 0.0
+#: Times that ordinary strings are cleared of what looks random.
+ROUNDS = 3
 
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
@@ -118,13 +126,13 @@ def pairs(value: Column) -> Column:
 
 
 def _pair_counts(values: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """Counts of character pairs of values(secret, value, n), of secrets and of the others.
+    """Counts of character pairs of values(secret, value), of secrets and of the others.
 
     At most twice as many rows as the alphabet has pairs.
     """
-    exploded = values.select("secret", "n", F.explode(pairs(F.col("value"))).alias("pair"))
+    exploded = values.select("secret", F.explode(pairs(F.col("value"))).alias("pair"))
     within = exploded.filter(F.col("pair").rlike(rf"^[{ALPHABET[:-1]}\-]{{2}}$"))
-    counted = within.groupBy("secret", "pair").agg(F.sum("n").alias("n")).collect()
+    counted = within.groupBy("secret", "pair").agg(F.count("*").alias("n")).collect()
     return tuple({x["pair"]: x["n"] for x in counted if x["secret"] == it} for it in (True, False))
 
 
@@ -171,12 +179,9 @@ class Models(NamedTuple):
     odds: float
 
 
-def train(docs: DataFrame, text: str = "text") -> Models | None:
-    """The models of secrets and identifiers; None without an identifier.
-
-    All documents are counted: the values of the patterns' spans, and the identifiers that
-    stand outside these spans.
-    """
+def labelled_strings(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(value, secret): the values of the patterns' spans in all documents, and the identifiers
+    that stand outside these spans."""
     based = docs.filter(F.col(text).isNotNull()).select(
         F.col(text).alias("text"), base_spans(F.col(text)).alias("found")
     )
@@ -193,8 +198,11 @@ def train(docs: DataFrame, text: str = "text") -> Models | None:
         )
 
     labelled = F.concat(marked(F.col("found.value"), True), marked(identifiers, False))
-    values = based.select(F.explode(labelled).alias("one")).select("one.secret", "one.value")
-    counts = _pair_counts(values.groupBy("secret", "value").agg(F.count("*").alias("n")))
+    return based.select(F.explode(labelled).alias("one")).select("one.value", "one.secret")
+
+
+def _models(values: DataFrame) -> Models | None:
+    counts = _pair_counts(values)
     if not counts[1]:
         return None
     random, ordinary = map(_log_transitions, counts)
@@ -203,6 +211,35 @@ def train(docs: DataFrame, text: str = "text") -> Models | None:
     return Models(ratios, max(0.0, math.log(n_ordinary / max(n_secret, 1))))
 
 
+def looks_random(value: Column, models: Models, least_ratio: float = LEAST_RATIO) -> Column:
+    """Whether a string of key characters is likelier random than ordinary."""
+    n_pairs = F.length(value) - 1
+    least = F.when(n_pairs + 1 >= LONG, F.lit(least_ratio)).otherwise(models.odds / n_pairs)
+    return mean_ratio(value, models.ratios) >= least
+
+
+def train(labelled: DataFrame, rounds: int = ROUNDS, least_ratio: float = LEAST_RATIO) -> Models | None:
+    """The models of labelled strings(value, secret); None without an ordinary one.
+
+    With ``rounds``, ordinary strings that look random to the models are left out, and the models
+    counted again.
+    """
+    strings = labelled.filter("value IS NOT NULL AND secret IS NOT NULL").select("secret", "value")
+    stored = materialize(strings.distinct(), "strings")
+    models, left_out = _models(stored), 0
+    for _ in range(rounds):
+        if models is None:
+            break
+        apart = ~F.col("secret") & looks_random(F.col("value"), models, least_ratio)
+        n = stored.filter(apart).count()
+        if n == left_out:
+            break
+        cleared = _models(stored.filter(~apart))
+        models, left_out = cleared or models, n
+    discard(stored)
+    return models
+
+
 def mean_ratio(value: Column, ratios: Sequence[float]) -> Column:
     """Mean log likelihood ratio of the pairs of a string."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
@@ -223,10 +260,17 @@ def found_secrets(
     text: str = "text",
     carry: Sequence[str] | None = None,
     least_ratio: float = LEAST_RATIO,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
     """(row, base, added) for each document: spans(start, kind, end, value) of the patterns,
-    and of the Markov models where no pattern matched; both by start, then kind."""
-    models = train(docs, text)
+    and of the Markov models where no pattern matched; both by start, then kind.
+
+    ``labelled`` (value, secret) are strings to train on in place of those of the documents.
+    """
+    if labelled is None:
+        models = train(labelled_strings(docs, text), least_ratio=least_ratio)
+    else:
+        models = train(labelled, 0)
     carried = F.struct(*[F.col(f"`{name}`") for name in carry or docs.columns]).alias("row")
     whole = F.coalesce(F.col("text"), F.lit(""))
     based = docs.select(carried, F.col(text).alias("text")).select(
@@ -241,9 +285,7 @@ def found_secrets(
         )
 
     def random(value: Column) -> Column:
-        n_pairs = F.length(value) - 1
-        least = F.when(n_pairs + 1 >= LONG, F.lit(least_ratio)).otherwise(models.odds / n_pairs)
-        return mean_ratio(value, models.ratios) >= least
+        return looks_random(value, models, least_ratio)
 
     found = spans(whole, IDENTIFIER, 3, passes=random, cut=PIECE)
     judged = based.select("row", "base", F.filter(found, free).alias("free"))

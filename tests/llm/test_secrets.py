@@ -110,7 +110,7 @@ def test_models_count_all_documents(spark, monkeypatch):
     seen = []
     count = secrets._pair_counts
     monkeypatch.setattr(secrets, "_pair_counts", lambda v: seen.append(count(v)) or seen[-1])
-    secrets.train(spark.createDataFrame(rows, SCHEMA))
+    secrets.train(secrets.labelled_strings(spark.createDataFrame(rows, SCHEMA)))
     hidden, ordinary = seen[0]
     assert hidden["Qq"] == 4 and hidden["Xx"] == 4
     assert ordinary["zZ"] == 4 and ordinary["rr"] == 1 and "Qq" not in ordinary
@@ -144,3 +144,61 @@ def test_random_strings_of_letters_short_ones_and_ones_in_paths(spark):
         else:
             assert row.added == []
     assert min(right) >= 38  # of 40 each
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DIGITS = "0123456789"
+SHAPES = {"mixed": UPPER + UPPER.lower() + DIGITS, "lower": UPPER.lower(), "upper": UPPER + DIGITS, "letters": UPPER + UPPER.lower()}
+ORDINARY = (
+    "identifier configuration getElementById documentation internationalization user_name_field "
+    "characteristically non-functional responsibilities transformation administration HttpRequestHandler "
+    "MAXIMUM_BUFFER_SIZE measurements nevertheless understanding production_environment"
+).split()
+
+
+def planted_corpus(share, n_docs, per_doc):
+    """Documents of which a share holds ``per_doc`` keys that fit no pattern, of four shapes."""
+    chance = random.Random(8)
+    rows, keys = [], {}
+    for i in range(n_docs):
+        words = [chance.choice(ORDINARY) for _ in range(50)]
+        if i % 40 == 1:
+            words.append(f"token={''.join(chance.choice(SHAPES['mixed']) for _ in range(40))}")
+        if chance.random() < share:
+            for n in range(per_doc):
+                shape = sorted(SHAPES)[n % len(SHAPES)]
+                key = "".join(chance.choice(SHAPES[shape]) for _ in range((20, 24, 32, 40)[n // 4 % 4]))
+                keys.setdefault(i, []).append((shape, key))
+                words.insert(chance.randrange(len(words)), key)
+        rows.append((i, " ".join(words), "en", "s", 1))
+    return rows, keys
+
+
+@pytest.mark.parametrize("share, n_docs, per_doc", [(0.002, 4_000, 16), (0.01, 2_000, 16), (0.1, 1_000, 16), (0.02, 200, 800)])
+def test_unlabelled_secrets_do_not_hide_each_other(spark, share, n_docs, per_doc):
+    rows, keys = planted_corpus(share, n_docs, per_doc)
+    assert keys
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = secrets.found_secrets(docs, carry=["doc_id"]).select("row.doc_id", "added.value").collect()
+    values = {row.doc_id: set(row.value) for row in found}
+    planted, right = {}, {}
+    for i, own in keys.items():
+        for shape, key in own:
+            planted[shape] = planted.get(shape, 0) + 1
+            right[shape] = right.get(shape, 0) + (key in values[i])
+    assert all(right[shape] >= 0.9 * planted[shape] for shape in planted), (right, planted)
+    assert all(not (own - {key for _, key in keys.get(i, [])}) for i, own in values.items())
+
+
+def test_labelled_strings_alone_decide(spark):
+    chance = random.Random(3)
+    key = lambda: "".join(chance.choice(SHAPES["mixed"]) for _ in range(30))
+    labelled = [(key(), True) for _ in range(300)] + [(word, False) for word in ORDINARY]
+    labelled += [(None, True), ("x", None)]
+    table = spark.createDataFrame(labelled, "value string, secret boolean")
+    one = key()
+    docs = spark.createDataFrame([(1, f"measurements {one} nevertheless", "en", "s", 1)], SCHEMA)
+    (row,) = secrets.found_secrets(docs, labelled=table).collect()
+    assert [span.value for span in row.added] == [one]
+    (row,) = secrets.found_secrets(docs, labelled=table.limit(0)).collect()
+    assert row.added == []
