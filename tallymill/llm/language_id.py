@@ -13,8 +13,11 @@ each. A task looks the distinct strings of its documents up, opens only files th
 of them, and keeps ``KEPT_ROWS`` rows of them at most. A text takes the language of the least
 cross-entropy per character.
 
-Rejection is calibrated: per language a quantile of the cross-entropy of all its
-own training texts, from a histogram; texts beyond it are marked, whatever they are.
+Rejection is calibrated on texts that the model has not seen: the training texts are dealt by
+a hash into ``FOLDS`` folds, copies into the same one, and each is scored by models of the other
+folds. Per language the limit is a quantile of the cross-entropy of all its own texts, from a
+histogram; texts beyond it are marked, whatever they are. A language that only one fold holds
+takes the limit from the model of all.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0. Ties go to the
 first language by code point. Without training texts every text is ``und``. Null languages
@@ -46,6 +49,7 @@ KEPT_ROWS = 8_000_000
 #: Numbers of a table, strings times languages, that are computed together.
 CELLS = 1 << 20
 REJECTED_SHARE = 0.001
+FOLDS = 3
 #: Cross-entropies are counted in cells of this width.
 CELL = 1 / 1024
 UNKNOWN = "und"
@@ -112,36 +116,55 @@ def blocks(texts: Sequence[str | None]) -> Iterator[tuple[list[int], list[np.nda
         yield rows, found
 
 
-def string_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, string, n) over all rows of ``docs``; summed in the task before the shuffle."""
-    source = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+def _foldwise(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(fold, lang, text) of documents."""
+    fold = F.pmod(F.xxhash64(F.col(text)), F.lit(FOLDS)).cast("int").alias("fold")
+    return docs.select(fold, F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+
+
+def fold_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(fold, lang, string, n) over all rows of ``docs``; summed in the task before the shuffle."""
 
     def factory():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs, texts = strings(batch.column("lang")), strings(batch.column("text"))
-            names, numbers, counts = [], [], []
-            for name in sorted(set(langs)):
-                own = [value for value, it in zip(texts, langs) if it == name]
+            groups = list(zip(batch.column("fold").to_pylist(), strings(batch.column("lang"))))
+            texts = strings(batch.column("text"))
+            folds, names, numbers, counts = [], [], [], []
+            for fold, name in sorted(set(groups)):
+                own = [value for value, it in zip(texts, groups) if it == (fold, name)]
                 # A part of the counts each time: Spark sums them up.
                 for _, found in blocks(own):
                     values, n = np.unique(np.concatenate(found), return_counts=True)
+                    folds += [fold] * len(values)
                     names += [name] * len(values)
                     numbers.append(values.view(np.int64))
                     counts.append(n)
             empty = [np.zeros(0, np.int64)]
             return pa.record_batch(
                 [
+                    pa.array(folds, pa.int32()),
                     pa.array(names, pa.string()),
                     pa.array(np.concatenate(numbers or empty)),
                     pa.array(np.concatenate(counts or empty).astype(np.int64)),
                 ],
-                ["lang", "string", "n"],
+                ["fold", "lang", "string", "n"],
             )
 
         return work
 
-    counted = map_slices(source, "lang string, string long, n long", factory)
-    return counted.groupBy("lang", "string").agg(F.sum("n").alias("n"))
+    source = _foldwise(docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()), text, lang)
+    counted = map_slices(source, "fold int, lang string, string long, n long", factory)
+    return counted.groupBy("fold", "lang", "string").agg(F.sum("n").alias("n"))
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    """(lang, string, n) over the folds."""
+    return counts.groupBy("lang", "string").agg(F.sum("n").alias("n"))
+
+
+def string_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, string, n) over all rows of ``docs``."""
+    return _summed(fold_counts(docs, text, lang))
 
 
 def order_counts(counts: DataFrame) -> dict[int, DataFrame]:
@@ -326,31 +349,55 @@ class LanguageModels:
                 yield row, n, -total / n
 
 
+def _models(counts: DataFrame) -> LanguageModels:
+    stored = materialize(counts, "strings")
+    models = LanguageModels(stored)
+    discard(stored)
+    return models
+
+
 def train(training: DataFrame, text: str, lang: str) -> LanguageModels:
     """Models of the languages of ``training``, of all its strings."""
-    counts = materialize(string_counts(training, text, lang), "strings")
-    models = LanguageModels(counts)
+    return _models(string_counts(training, text, lang))
+
+
+def train_folds(training: DataFrame, text: str, lang: str) -> tuple[LanguageModels, list[LanguageModels]]:
+    """Models of all of ``training``, and for each fold models of the others.
+
+    The texts are counted once.
+    """
+    counts = materialize(fold_counts(training, text, lang), "fold-strings")
+    whole = _models(_summed(counts))
+    others = [_models(_summed(counts.filter(F.col("fold") != fold))) for fold in range(FOLDS)]
     discard(counts)
-    return models
+    return whole, others
 
 
 def rejection_limits(
-    models: LanguageModels, learned: DataFrame, text: str, lang: str
+    models: LanguageModels,
+    learned: DataFrame,
+    text: str,
+    lang: str,
+    folds: Sequence[LanguageModels] = (),
 ) -> np.ndarray:
     """Per language the cross-entropy that at most ``REJECTED_SHARE`` of its texts reach.
 
-    All texts are counted, in cells of ``CELL``; the limit is the end of a cell.
+    Each text is scored by the models that ``folds`` has for its fold, or else by ``models``. All
+    texts are counted, in cells of ``CELL``; the limit is the end of a cell.
     """
-    rows = learned.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+    rows = _foldwise(learned, text, lang)
+    shared = rows.sparkSession.sparkContext.broadcast(list(folds) or [models] * FOLDS)
 
     def factory():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs = strings(batch.column("lang"))
+            langs, texts = strings(batch.column("lang")), strings(batch.column("text"))
+            fold_of = batch.column("fold").to_numpy()
             own = []
-            for row, _, found in shared.value.entropies(strings(batch.column("text"))):
-                if langs[row] in shared.value.languages:
-                    own.append((langs[row], found[shared.value.languages.index(langs[row])]))
+            for fold, scorer in enumerate(shared.value):
+                mine = [value if at == fold else None for value, at in zip(texts, fold_of)]
+                for row, _, found in scorer.entropies(mine) if scorer.languages else ():
+                    if langs[row] in scorer.languages:
+                        own.append((langs[row], found[scorer.languages.index(langs[row])]))
             names, values = zip(*own) if own else ((), ())
             return pa.record_batch(
                 [pa.array(names, pa.string()), pa.array(values, pa.float64())], ["lang", "value"]
@@ -388,8 +435,11 @@ def identify(
     language among all, on the evidence of at most ``EVIDENCE_CHARS`` characters.
     """
     learned = docs.filter(training & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    models = train(learned, text, lang)
-    limits = rejection_limits(models, learned, text, lang)
+    models, folds = train_folds(learned, text, lang)
+    limits = rejection_limits(models, learned, text, lang, folds)
+    for at in np.flatnonzero(np.isinf(limits)):
+        alone = learned.filter(F.col(lang).cast("string") == models.languages[at])
+        limits[at] = rejection_limits(models, alone, text, lang)[at]
     shared = docs.sparkSession.sparkContext.broadcast((models, limits))
     carried = F.struct(*[F.col(f"`{name}`") for name in carry or docs.columns])
     source = docs.select(carried.alias("row"), F.col(text).alias("text"))

@@ -169,3 +169,41 @@ def test_limits_equal_brute_force_over_all_texts(spark):
         beyond = np.array(values[name]) >= limit
         below = np.array(values[name]) >= limit - language_id.CELL
         assert beyond.mean() <= language_id.REJECTED_SHARE < below.mean()
+
+
+def test_folds_leave_their_own_texts_out(spark):
+    table = rows(90)
+    docs = spark.createDataFrame(table, SCHEMA)
+    fold = F.pmod(F.xxhash64("text"), F.lit(language_id.FOLDS)).alias("fold")
+    fold_of = {row.doc_id: row.fold for row in docs.select("doc_id", fold).collect()}
+    whole, folds = language_id.train_folds(docs, "text", "lang")
+    for fold, models in enumerate(folds):
+        kept = [r for r in table if fold_of[r[0]] != fold]
+        alone = language_id.train(spark.createDataFrame(kept, SCHEMA), "text", "lang")
+        assert models.model.keys.tolist() == alone.model.keys.tolist()
+        assert 0 < len(models.model.keys) <= len(whole.model.keys)
+
+
+def test_held_out_texts_are_rejected_as_often_as_stated(spark, monkeypatch):
+    """Texts of rare words: a model knows its own ones far better than others."""
+    monkeypatch.setattr(language_id, "REJECTED_SHARE", 0.02)
+    chance = random.Random(11)
+    letters = {"aa": "abcdefghij", "bb": "klmnopqrst"}
+
+    def text(lang):
+        words = ["".join(chance.choice(letters[lang]) for _ in range(1 + chance.randrange(6))) for _ in range(6)]
+        return " ".join(words)
+
+    table = [(i, text(lang := ("aa", "bb")[i % 2]), lang, "s", 1) for i in range(9_000)]
+    docs = spark.createDataFrame(table, SCHEMA)
+    found = language_id.identify(docs, F.col("doc_id") % 3 != 1)
+    held, own = [
+        found.filter((F.col("row.doc_id") % 3 == 1) == out).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+        for out in (True, False)
+    ]
+    assert 0.01 <= held <= 0.04
+    learned = docs.filter("doc_id % 3 != 1")
+    models, folds = language_id.train_folds(learned, "text", "lang")
+    naive = language_id.rejection_limits(models, learned, "text", "lang")
+    assert (language_id.rejection_limits(models, learned, "text", "lang", folds) > naive).all()
+    assert own <= held
