@@ -120,6 +120,8 @@ def multipliers(sources: DataFrame, most: float = MOST_COPIES) -> DataFrame:
         ).first()
         if off is None or off <= ACCURACY:
             break
+    else:
+        raise RuntimeError(f"the multipliers are off by {off} of a target after {STEPS} steps")
     rate = F.least(F.lit(float(most)), F.exp("_m"))
     return solved.withColumn("rate", F.when(F.col("target") > 0, rate).otherwise(0.0)).drop("_m")
 

@@ -40,6 +40,13 @@ def test_newton_finds_the_rates(spark):
     assert found["c"] == pytest.approx(2.0) and found["d"] == 0
 
 
+def test_multipliers_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 2)
+    sources = spark.createDataFrame([("a", 1000, 3.0)], "source string, source_size long, target double")
+    with pytest.raises(RuntimeError, match="after 2 steps"):
+        mixing.multipliers(sources)
+
+
 def test_copies_follow_the_rate():
     sizes = np.sort(np.random.default_rng(1).integers(0, 500, 300))[::-1]
     for rate in (0.0, 0.3, 1.0, 1.37, 2.0):
