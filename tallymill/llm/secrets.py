@@ -8,11 +8,11 @@ high enough; shorter runs hold less evidence, and their sum must make up for how
 frequent identifiers are. The pieces between ``/ - _ =`` of a run are judged like whole runs,
 and reported where the whole run is not.
 
-The models are trained on labelled strings, each distinct one counted once. A table of them may be
-given. Else all documents give them: what the patterns find is labelled secret, the identifiers
-outside of it ordinary. Such labels are wrong where a secret fits no pattern. So what the models
-then call random is left out of the ordinary strings and they are counted again, up to
-``ROUNDS`` times or until the same strings are left.
+The models are trained on labelled strings. A table of them may be given. Else all documents give
+them: what the patterns find is labelled secret, the identifiers outside of it ordinary. Such
+labels are wrong where a secret fits no pattern. So what the models then call random is left out
+of the ordinary strings and they are counted again, up to ``ROUNDS`` times or until the same
+strings are left.
 
 All work is column expressions. The start of a match is the total length of what stands
 before it: texts are split by the pattern, and one fold over the parts and matches adds the
@@ -126,13 +126,13 @@ def pairs(value: Column) -> Column:
 
 
 def _pair_counts(values: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """Counts of character pairs of values(secret, value), of secrets and of the others.
+    """Counts of character pairs of values(secret, value, n), of secrets and of the others.
 
     At most twice as many rows as the alphabet has pairs.
     """
-    exploded = values.select("secret", F.explode(pairs(F.col("value"))).alias("pair"))
+    exploded = values.select("secret", "n", F.explode(pairs(F.col("value"))).alias("pair"))
     within = exploded.filter(F.col("pair").rlike(rf"^[{ALPHABET[:-1]}\-]{{2}}$"))
-    counted = within.groupBy("secret", "pair").agg(F.count("*").alias("n")).collect()
+    counted = within.groupBy("secret", "pair").agg(F.sum("n").alias("n")).collect()
     return tuple({x["pair"]: x["n"] for x in counted if x["secret"] == it} for it in (True, False))
 
 
@@ -225,7 +225,8 @@ def train(labelled: DataFrame, rounds: int = ROUNDS, least_ratio: float = LEAST_
     counted again.
     """
     strings = labelled.filter("value IS NOT NULL AND secret IS NOT NULL").select("secret", "value")
-    stored = materialize(strings.distinct(), "strings")
+    counted = strings.groupBy("secret", "value").agg(F.count("*").alias("n"))
+    stored = materialize(counted, "strings")
     models, left_out = _models(stored), 0
     for _ in range(rounds):
         if models is None:

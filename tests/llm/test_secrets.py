@@ -174,7 +174,7 @@ def planted_corpus(share, n_docs, per_doc):
     return rows, keys
 
 
-@pytest.mark.parametrize("share, n_docs, per_doc", [(0.002, 4_000, 16), (0.01, 2_000, 16), (0.1, 1_000, 16), (0.02, 200, 800)])
+@pytest.mark.parametrize("share, n_docs, per_doc", [(0.002, 4_000, 16), (0.01, 2_000, 16), (0.1, 1_000, 16), (0.02, 600, 240)])
 def test_unlabelled_secrets_do_not_hide_each_other(spark, share, n_docs, per_doc):
     rows, keys = planted_corpus(share, n_docs, per_doc)
     assert keys
@@ -193,7 +193,7 @@ def test_unlabelled_secrets_do_not_hide_each_other(spark, share, n_docs, per_doc
 def test_labelled_strings_alone_decide(spark):
     chance = random.Random(3)
     key = lambda: "".join(chance.choice(SHAPES["mixed"]) for _ in range(30))
-    labelled = [(key(), True) for _ in range(300)] + [(word, False) for word in ORDINARY]
+    labelled = [(key(), True) for _ in range(3_000)] + [(word, False) for word in ORDINARY]
     labelled += [(None, True), ("x", None)]
     table = spark.createDataFrame(labelled, "value string, secret boolean")
     one = key()
