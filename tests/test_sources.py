@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from tallymill.operators.retrieval import index_corpus
 from tallymill.schemas import EVALUATION, SYNCED, TRANSACTION
-from tallymill.session import discard, fresh_path, materialize, shared_folder
+from tallymill.session import (
+    bound_arrow_batches,
+    discard,
+    fresh_path,
+    materialize,
+    shared_folder,
+)
 from tallymill.sources.corpus import (
     CorpusReader,
     read_corpus,
@@ -249,3 +255,15 @@ def test_only_intermediate_tables_are_deleted(spark, tmp_path):
     with pytest.raises(ValueError):
         discard(spark.read.parquet(str(tmp_path / "own")))
     assert (tmp_path / "own").exists()
+
+
+def test_arrow_batches_are_only_made_smaller(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, rows, want in (("10000", 1_000, "1000"), ("500", 1_000, "500"), ("0", 1_000, "1000")):
+            spark.conf.set(name, given)
+            bound_arrow_batches(spark, rows)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
