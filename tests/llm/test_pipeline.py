@@ -91,7 +91,7 @@ def test_odd_documents_pass_through_all_stages(spark, odd):
     """Nulls, blank and very long texts, repeated rows, near copies and clashing names."""
     (passage,) = table(spark, FOLDER, "benchmark").select("text").limit(1).collect()
     more = [(100 + i, prose(100 + i, 40 + i), "en", "ab"[i % 2], 1) for i in range(30)]
-    more += [(200, f"{prose(200, 60)} {passage.text} {prose(201, 60)}", "en", "a", 1), (201, passage.text * 3, "en", "b", 1)]
+    more += [(200, f"{prose(200, 60)} {passage.text} {prose(201, 60)}", "en", "a", 1), (201, f"{passage.text} {prose(202, 10)}", "en", "b", 1)]
     extra = spark.createDataFrame(more, SCHEMA)
     for name in CLASH:
         extra = extra.selectExpr("*", f"'extra' AS {name}")
