@@ -3,12 +3,17 @@
 A document is a vector of features of its text. In a preference pair one document is good
 and the other is not; the chance that the good one wins is the logistic function of the
 difference of their scores, and a score is linear in the features. So the weights minimise
-logistic loss on feature differences. They are fitted by Newton's method on pairs from a
-bounded sample of labelled documents, ``MOST_LABELS``.
+logistic loss on feature differences, which Newton's method finds.
 
-Bradley-Terry scores have no zero. The threshold is a quantile of the sample's scores: the
-share of bad documents. The published score is logistic around it, so that documents above
-the quantile have ``THRESHOLD`` or more.
+Every usable label counts. The labelled documents are dealt by a hash of the key into blocks
+of about ``MOST_LABELS``, and each meets some documents of the other kind in its block: pairs
+grow with the labels, not with their square. Where one kind is rare, its documents are in
+several blocks, so that each block has about ``RARE_IN_BLOCK`` of them. Tasks sum gradient and
+curvature of their blocks, and one small row per task reaches the driver in each step.
+
+Bradley-Terry scores have no zero. The threshold is the exact quantile of the scores of all
+labels at the share of bad documents. The published score is logistic around it, so that
+documents above the quantile have ``THRESHOLD`` or more.
 
 Defined cases: null and empty texts have features too (all counts zero) and a score. Labels
 that are null or belong to no document are not used; a document with several labels is used
@@ -18,7 +23,8 @@ with each. Without labels of both kinds all scores are equal to ``THRESHOLD``.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallymill.llm.common import map_slices, utf8
+from tallymill.session import discard, materialize
 
+#: Labels that are paired with each other, and scores that are ranked in one place.
 MOST_LABELS = 20_000
+#: Documents of the rarer kind in a block, of those there are.
+RARE_IN_BLOCK = 200
 PAIRS_PER_BAD = 20
 MOST_PAIRS = 200_000
+#: Pairs whose differences are held at once.
+PAIRS_AT_ONCE = 10_000
 PENALTY = 1.0
 THRESHOLD = 0.3
 
@@ -112,51 +124,71 @@ def features(text: bytes | None) -> np.ndarray:
     )
 
 
+@dataclass
 class Ranker:
     """Scores linear in features and their squares, learned from preference pairs."""
 
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, seed: int = 7) -> None:
-        self.mean = vectors.mean(axis=0) if len(vectors) else np.zeros(len(FEATURES))
-        spread = vectors.std(axis=0) if len(vectors) else np.ones(len(FEATURES))
-        self.spread = np.where(spread > 1e-9, spread, 1.0)
-        self.weights = np.zeros(2 * len(FEATURES))
-        self.limit = 0.0
-        good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-        if not len(good) or not len(bad):
-            return
-        expanded = self._expanded(vectors)
-        chance = np.random.default_rng(seed)
-        n = min(MOST_PAIRS, PAIRS_PER_BAD * max(len(good), len(bad)))
-        differences = expanded[chance.choice(good, n)] - expanded[chance.choice(bad, n)]
-        self.weights = newton(differences)
-        self.limit = float(np.quantile(expanded @ self.weights, len(bad) / len(labels)))
-
-    def _expanded(self, vectors: np.ndarray) -> np.ndarray:
+    mean: np.ndarray
+    spread: np.ndarray
+    weights: np.ndarray
+    limit: float = 0.0
+
+    def expanded(self, vectors: np.ndarray) -> np.ndarray:
         scaled = np.clip((vectors - self.mean) / self.spread, -8, 8)
         return np.concatenate((scaled, scaled**2 / 4), axis=1)
 
+    def plain_scores(self, vectors: np.ndarray) -> np.ndarray:
+        return self.expanded(vectors) @ self.weights
+
     def scores(self, vectors: np.ndarray) -> np.ndarray:
         """0 to 1, ``THRESHOLD`` at the quantile."""
-        over = self._expanded(vectors) @ self.weights - self.limit
+        over = self.plain_scores(vectors) - self.limit
         offset = np.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(over + offset, -500, 500)))
 
 
-def newton(differences: np.ndarray, penalty: float = PENALTY, steps: int = 30) -> np.ndarray:
-    """Weights that minimise the mean logistic loss of ``differences`` plus a ridge penalty."""
-    weights = np.zeros(differences.shape[1])
-    ridge = penalty * np.eye(len(weights)) / 100
+#: Sums over pairs of differences, at some weights: how many, and gradient and curvature of the loss.
+Sums = tuple[int, np.ndarray, np.ndarray]
+
+
+def pair_sums(differences: np.ndarray, weights: np.ndarray) -> Sums:
+    lose = 1 / (1 + np.exp(np.clip(differences @ weights, -500, 500)))
+    curve = (differences * (lose * (1 - lose))[:, None]).T @ differences
+    return len(differences), -(differences.T @ lose), curve
+
+
+def descend(sums_at: Callable[[np.ndarray], Sums], size: int, penalty: float = PENALTY, steps: int = 30) -> np.ndarray:
+    """Weights that minimise the mean loss of the pairs behind ``sums_at`` plus a ridge penalty."""
+    weights = np.zeros(size)
+    ridge = penalty * np.eye(size) / 100
     for _ in range(steps):
-        lose = 1 / (1 + np.exp(np.clip(differences @ weights, -500, 500)))
-        gradient = ridge @ weights - differences.T @ lose / len(differences)
-        curve = (differences * (lose * (1 - lose))[:, None]).T @ differences / len(differences)
-        step = np.linalg.solve(curve + ridge, gradient)
+        pairs, slope, curve = sums_at(weights)
+        gradient = ridge @ weights + slope / pairs
+        step = np.linalg.solve(curve / pairs + ridge, gradient)
         weights = weights - step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-9:
             break
     return weights
 
 
+def newton(differences: np.ndarray, penalty: float = PENALTY, steps: int = 30) -> np.ndarray:
+    """Weights that minimise the mean logistic loss of ``differences`` plus a ridge penalty."""
+    return descend(lambda weights: pair_sums(differences, weights), differences.shape[1], penalty, steps)
+
+
+def _drawn(chance: np.random.Generator, rows: int, n: int) -> np.ndarray:
+    """``n`` numbers of rows, each row as often as any other."""
+    return np.concatenate([chance.permutation(rows) for _ in range(-(-n // rows))])[:n]
+
+
+def pairs_of(goods: int, bads: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of good and bad documents that meet; every document of both kinds does."""
+    most = max(goods, bads)
+    n = max(min(MOST_PAIRS, PAIRS_PER_BAD * most), most) if goods and bads else 0
+    chance = np.random.default_rng(seed)
+    return (_drawn(chance, goods, n), _drawn(chance, bads, n)) if n else (np.zeros(0, int),) * 2
+
+
 def vectors_of(docs: DataFrame, text: str, carry: Sequence[str]) -> DataFrame:
     """(carried columns, vector) of documents."""
     source = docs.select(*carry, F.col(text).alias("text"))
@@ -175,6 +207,113 @@ def vectors_of(docs: DataFrame, text: str, carry: Sequence[str]) -> DataFrame:
     return map_slices(source, schema, factory)
 
 
+def _in_blocks(known: DataFrame, counts: dict[int, int], most: int) -> DataFrame:
+    """known(key, label, vector) with ``block``; a rare label is in several blocks."""
+    blocks = -(-sum(counts.values()) // most)
+    home = F.pmod(F.xxhash64("key", "label"), F.lit(blocks))
+    copies = F.lit(1)
+    for label, rows in counts.items():
+        needed = min(blocks, -(-RARE_IN_BLOCK * blocks // rows))
+        copies = F.when(F.col("label") == label, F.lit(needed)).otherwise(copies)
+    places = F.transform(F.sequence(F.lit(0), copies - 1), lambda at: F.pmod(home + at, F.lit(blocks)))
+    dealt = known.select(F.explode(places).alias("block"), "key", "label", "vector")
+    return dealt.repartition(blocks, "block")
+
+
+def _packed(known: DataFrame) -> DataFrame:
+    """(block, good, bad): the vectors of each block, in the order of their values."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        vectors = group.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+        labels = group.column("label").to_numpy()
+        vectors, labels = (x[np.lexsort(vectors.T)] for x in (vectors, labels))
+        kinds = [pa.array([vectors[labels == label].tobytes()], pa.binary()) for label in (1, 0)]
+        return pa.table([group.column("block").slice(0, 1).combine_chunks(), *kinds], ["block", "good", "bad"])
+
+    return known.groupBy("block").applyInArrow(pack, "block long, good binary, bad binary")
+
+
+def _block_sums(blocks: DataFrame, ranker: Ranker, weights: np.ndarray) -> Sums:
+    """Sums over the pairs of all blocks; each task adds up its own."""
+    size = len(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, slope, curve, first = 0, np.zeros(size), np.zeros((size, size)), None
+        for batch in batches:
+            for block, *packed in zip(*[batch.column(name).to_pylist() for name in ("block", "good", "bad")]):
+                good, bad = (
+                    ranker.expanded(np.frombuffer(kind).reshape(-1, len(FEATURES))) for kind in packed
+                )
+                first = block if first is None else min(first, block)
+                of_good, of_bad = pairs_of(len(good), len(bad))
+                for at in range(0, len(of_good), PAIRS_AT_ONCE):
+                    part = slice(at, at + PAIRS_AT_ONCE)
+                    found = pair_sums(good[of_good[part]] - bad[of_bad[part]], weights)
+                    pairs, slope, curve = pairs + found[0], slope + found[1], curve + found[2]
+        if first is not None:
+            numbers = np.concatenate(([pairs], slope, curve.ravel()))
+            yield pa.record_batch([pa.array([first], pa.int64()), pa.array([numbers.tobytes()])], ["first", "sums"])
+
+    rows = blocks.mapInArrow(run, "first long, sums binary").collect()
+    total = sum(np.frombuffer(row["sums"]) for row in sorted(rows))
+    return int(total[0]), total[1 : size + 1], total[size + 1 :].reshape(size, size)
+
+
+def _plain_scores(known: DataFrame, ranker: Ranker) -> DataFrame:
+    """(score) of known(vector)."""
+
+    def factory():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            vectors = batch.column("vector").flatten().to_numpy().reshape(-1, len(FEATURES))
+            return pa.record_batch([pa.array(ranker.plain_scores(vectors))], ["score"])
+
+        return work
+
+    return map_slices(known.select("vector"), "score double", factory)
+
+
+def _value_at(scores: DataFrame, rank: int, most: int) -> float:
+    """The score of that rank, from 0: the range it lies in is cut until few scores are left."""
+    low, high, n = scores.agg(F.min("score"), F.max("score"), F.count("*")).first()
+    inside = scores
+    while n > most and low < high:
+        width = (high - low) / most
+        place = F.least(F.floor((F.col("score") - F.lit(low)) / F.lit(width)), F.lit(most - 1))
+        bins = inside.groupBy(place.alias("bin")).agg(
+            F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")
+        )
+        for found in bins.orderBy("bin").toLocalIterator():
+            if rank < found.n:
+                break
+            rank -= found.n
+        if (found.low, found.high) == (low, high):
+            break  # the range is too narrow to be cut
+        low, high, n = found.low, found.high, found.n
+        inside = scores.filter(F.col("score").between(low, high))
+    if low == high:
+        return low
+    counted = inside.groupBy("score").agg(F.count("*").alias("n")).orderBy("score")
+    for found in counted.toLocalIterator():
+        if rank < found.n:
+            return found["score"]
+        rank -= found.n
+    return high
+
+
+def quantile(scores: DataFrame, share: float, total: int, most: int = MOST_LABELS) -> float:
+    """The exact quantile of scores(score), between the two scores next to it."""
+    place = share * (total - 1)
+    below = int(place)
+    value = _value_at(scores, below, most)
+    if place == below:
+        return value
+    up_to, above = scores.agg(
+        F.count_if(F.col("score") <= value), F.min(F.when(F.col("score") > value, F.col("score")))
+    ).first()
+    after = value if up_to > below + 1 or above is None else above
+    return float(value + (after - value) * (place - below))
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -184,21 +323,30 @@ def learn(
     text: str = "text",
     most: int = MOST_LABELS,
 ) -> Ranker:
-    """Fit on about ``most`` labels, chosen by a hash of the key among the usable ones."""
+    """Fit on all usable labels, paired in blocks of about ``most``."""
     known = labels.filter(usable & F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(
         F.col(key).alias("key"), F.col(label).cast("int").alias("label")
     )
-    total = known.count()
-    if total > most:
-        place = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
-        known = known.filter(place < int(1_000_000 * most / total))
-    # At most about MOST_LABELS narrow rows, so the texts need not be moved to meet them.
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(
-        F.broadcast(known), "key"
-    )
-    found = vectors_of(sample, "text", ["key", "label"]).toPandas().sort_values(["key", "label"])
-    vectors = np.array(found["vector"].tolist(), np.float64).reshape(-1, len(FEATURES))
-    return Ranker(vectors, found["label"].to_numpy())
+    named = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    # Vectors are far smaller than texts, which need not be moved to meet the labels.
+    vectors = materialize(vectors_of(named, "text", ["key"]).join(known, "key"), "label-vectors")
+    counts = {row.label: row.n for row in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    plain = Ranker(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(2 * len(FEATURES)))
+    if len(counts) < 2:
+        discard(vectors)
+        return plain
+    features_at = [F.get("vector", F.lit(at)) for at in range(len(FEATURES))]
+    told = vectors.agg(*map(F.avg, features_at), *map(F.stddev_pop, features_at)).first()
+    mean, spread = np.array(told).reshape(2, -1)
+    ranker = Ranker(mean, np.where(spread > 1e-9, spread, 1.0), plain.weights)
+    blocks = materialize(_packed(_in_blocks(vectors, counts, most)), "label-blocks")
+    ranker.weights = descend(lambda weights: _block_sums(blocks, ranker, weights), 2 * len(FEATURES))
+    scores = materialize(_plain_scores(vectors, ranker), "label-scores")
+    total = sum(counts.values())
+    ranker.limit = quantile(scores, counts[0] / total, total)
+    for table in (vectors, blocks, scores):
+        discard(table)
+    return ranker
 
 
 def scored(

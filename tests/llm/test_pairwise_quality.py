@@ -62,3 +62,36 @@ def test_odd_documents(spark, odd, nothing):
     same = pairwise_quality.scored(odd, blank).collect()
     assert {round(row.score, 9) for row in same} == {0.3}
     assert pairwise_quality.scored(nothing, blank).count() == 0
+
+
+def test_every_label_counts_however_many(spark):
+    rows, labels = documents(300)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame(labels, LABELS)
+    ranker = pairwise_quality.learn(docs, known, F.lit(True), most=50)
+    vectors = np.array([pairwise_quality.features(row[1].encode()) for row in rows])
+    assert np.allclose(ranker.mean, vectors.mean(axis=0))
+    spread = vectors.std(axis=0)
+    assert np.allclose(ranker.spread, np.where(spread > 1e-9, spread, 1))
+    share = sum(label == 0 for _, label in labels) / len(labels)
+    assert np.isclose(ranker.limit, np.quantile(ranker.plain_scores(vectors), share))
+    good, bad = pairwise_quality.pairs_of(700, 30)
+    assert len(good) == len(bad) and set(good) == set(range(700)) and set(bad) == set(range(30))
+
+
+def test_a_rare_kind_is_in_every_block(spark):
+    rows = [(i, int(i != 77), [float(i)]) for i in range(400)]
+    known = spark.createDataFrame(rows, "key long, label int, vector array<double>")
+    dealt = pairwise_quality._in_blocks(known, {1: 399, 0: 1}, most=40).toPandas()
+    assert set(dealt["key"]) == set(range(400))
+    assert sorted(dealt[dealt["label"] == 0]["block"]) == list(range(10))
+    assert not dealt.duplicated(["key", "block"]).any()
+
+
+def test_the_quantile_is_exact(spark):
+    chance = np.random.default_rng(3)
+    for values in (chance.normal(0, 1, 500), np.repeat([1.0, 2.0, 1e9], 40), np.array([0.5, 0.7])):
+        scores = spark.createDataFrame([(float(x),) for x in values], "score double")
+        for share in (0.0, 0.3, 1 / 3, 0.77, 1.0):
+            found = pairwise_quality.quantile(scores, share, len(values), most=20)
+            assert np.isclose(found, np.quantile(values, share))
