@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymill.functions.vectors import has_length
-from tallymill.operators.nearest import best_of_tile, keep_best, ranked, tiles, unit_rows
+from tallymill.operators.nearest import TILE, Best, id_ranks, ranked, unit_rows
 from tallymill.operators.retrieval import (
     BLOCK_VALUES,
     GROUP_VALUES,
@@ -62,6 +62,12 @@ class Lists:
     radii: np.ndarray
 
 
+def _tiles_of(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+    """The vectors of a batch, at most ``TILE`` at a time: each meets all centroids."""
+    for at in range(0, len(batch), TILE):
+        yield unit_rows(batch["embedding"].iloc[at : at + TILE])
+
+
 def _packed_sums(vectors: DataFrame, centroids: np.ndarray) -> list[tuple[int, int, bytes]]:
     """(list, rows, summed vectors) of all rows by their nearest centroid.
 
@@ -72,8 +78,7 @@ def _packed_sums(vectors: DataFrame, centroids: np.ndarray) -> list[tuple[int, i
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals, rows = np.zeros(centroids.shape), np.zeros(len(centroids), np.int64)
         for batch in batches:
-            if len(batch):
-                units = unit_rows(batch["embedding"])
+            for units in _tiles_of(batch):
                 nearest = (units @ centroids.T).argmax(1)
                 np.add.at(totals, nearest, units)
                 rows += np.bincount(nearest, minlength=len(rows))
@@ -123,12 +128,13 @@ def fit_lists(index: DataFrame, lists: int | None = None, rounds: int = ROUNDS)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                near = unit_rows(batch["embedding"]) @ centroids.T
-                at = near.argmax(1)
-                yield batch.assign(
-                    list=at.astype(np.int32), apart=_distance(near[np.arange(len(at)), at])
-                )
+            lists_of, apart = [], []
+            for units in _tiles_of(batch):
+                near = units @ centroids.T
+                lists_of.append(near.argmax(1).astype(np.int32))
+                apart.append(_distance(near[np.arange(len(near)), lists_of[-1]]))
+            if lists_of:
+                yield batch.assign(list=np.concatenate(lists_of), apart=np.concatenate(apart))
 
     dealt = vectors.mapInPandas(placed, schema)
     # A list may be any share of the rows: it is cut within by distance.
@@ -164,6 +170,11 @@ def _segments(lists: np.ndarray, apart: np.ndarray) -> Iterator[tuple[int, int,
         yield int(lists[start]), int(start), int(end)
 
 
+def queries_at_once(lists: int, dimensions: int) -> int:
+    """Queries of a block, which meets a tile of rows, and all centroids, as one matrix."""
+    return min(TILE, BLOCK_VALUES // max(dimensions, lists, 1) + 1)
+
+
 def _scan(queries: DataFrame, lists: Lists, k: int, probes: int, rest: bool) -> DataFrame:
     """Candidates from the nearest lists, or with ``rest`` from those that bounds leave over.
 
@@ -177,24 +188,20 @@ def _scan(queries: DataFrame, lists: Lists, k: int, probes: int, rest: bool) ->
         ]
     )
     centroids, radii, uris = lists.centroids, lists.radii, sorted(queries.inputFiles())
-    per_block = BLOCK_VALUES // max(centroids.size // max(len(centroids), 1), len(centroids), 1) + 1
-
-    def of_list(block, wanted, apart_of_list, group, at, start, end, mine):
-        """The best rows of one list for the queries ``mine`` of a block."""
-        if rest:
-            apart, reach = group["apart"].to_numpy()[start:end], block["reach"].to_numpy()[mine]
-            near, far = (apart_of_list[mine] - reach).min() - ROOM, (apart_of_list[mine] + reach).max() + ROOM
-            start, end = start + np.searchsorted(apart, near), start + np.searchsorted(apart, far, "right")
-        ids, units = group["id"].to_numpy(), group["units"]
-        for part in tiles(end - start):
-            rows = slice(start + part.start, min(start + part.stop, end))
-            yield best_of_tile(block["query_id"].to_numpy()[mine], wanted[mine], ids[rows], units[rows], k)
+    per_block = queries_at_once(*centroids.shape)
+
+    def within_reach(block, apart_of_list, apart, start, end, mine):
+        """The rows of one list that bounds leave to the queries ``mine`` of a block."""
+        reach = block["reach"].to_numpy()[mine]
+        near, far = (apart_of_list[mine] - reach).min() - ROOM, (apart_of_list[mine] + reach).max() + ROOM
+        inside = apart[start:end]
+        return start + np.searchsorted(inside, near), start + np.searchsorted(inside, far, "right")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in groups_of(batches, GROUP_VALUES):
-            group = {name: frame[name] for name in ("id", "apart")}
-            group["units"] = unit_rows(frame["embedding"])
-            segments = list(_segments(frame["list"].to_numpy(), frame["apart"].to_numpy()))
+            ids, apart_of_row = frame["id"].to_numpy(), frame["apart"].to_numpy()
+            units, ranks = unit_rows(frame["embedding"]), id_ranks(ids)
+            segments = list(_segments(frame["list"].to_numpy(), apart_of_row))
             for block in stored_blocks(uris, per_block):
                 wanted = unit_rows(block["embedding"])
                 near = wanted @ centroids.T
@@ -202,13 +209,14 @@ def _scan(queries: DataFrame, lists: Lists, k: int, probes: int, rest: bool) ->
                 if rest:
                     within = apart - radii <= block["reach"].to_numpy()[:, None] + ROOM
                     asked = within & ~asked
-                best = []
+                best = Best(wanted, units, ranks, k)
                 for at, start, end in segments:
                     mine = np.flatnonzero(asked[:, at])
+                    if len(mine) and rest:
+                        start, end = within_reach(block, apart[:, at], apart_of_row, start, end, mine)
                     if len(mine):
-                        best += of_list(block, wanted, apart[:, at], group, at, start, end, mine)
-                if best:
-                    yield keep_best(pd.concat(best, ignore_index=True), k)
+                        best.look(start, end, mine)
+                yield best.found(block["query_id"].to_numpy(), ids)
 
     return lists.rows.select("id", "embedding", "list", "apart").mapInPandas(scan, schema)
 

@@ -63,3 +63,8 @@ def test_equal_vectors_are_one_centroid(spark):
     lists = fit_lists(rows, 10)
     assert len(lists.centroids) == 2 and np.isfinite(lists.radii).all()
     assert found(search(asked, lists, 3, 1, exact=True)) == {0: [0, 1, 2]}
+
+
+def test_a_block_of_queries_never_exceeds_a_tile():
+    for lists, dimensions in ((89, 64), (4096, 64), (1, 1), (0, 0)):
+        assert 1 <= inverted.queries_at_once(lists, dimensions) <= inverted.TILE

@@ -3,7 +3,7 @@ import pytest
 
 from plan import plan_of
 from tallymill.functions.vectors import has_length
-from tallymill.operators import retrieval
+from tallymill.operators import nearest, retrieval
 from tallymill.operators.inverted import fit_lists
 from tallymill.operators.retrieval import context, contexts_for, embed, top_k
 from pyspark.sql import functions as F
@@ -171,3 +171,27 @@ def test_vectors_of_several_dimensions_stop_the_search_early(spark):
             search()
     # Vectors without a direction may have any length.
     assert found(top_k(queries, index.filter("id != 8"), 2)) == {1: [7, 9], 2: [7, 9]}
+
+
+def test_a_small_file_of_vectors_is_searched_by_several_tasks(spark):
+    index = spark.range(5000).coalesce(1)
+    assert retrieval.dealt(index, 10).rdd.getNumPartitions() == min(5, spark.sparkContext.defaultParallelism)
+    assert retrieval.dealt(index, 10**12).rdd.getNumPartitions() == 5
+    assert retrieval.dealt(index.limit(0), 10).rdd.getNumPartitions() == 1
+
+
+def test_best_rows_over_tiles_and_parts_of_the_queries(monkeypatch):
+    monkeypatch.setattr(nearest, "TILE", 7)
+    chance = np.random.default_rng(5)
+    units, wanted = (chance.integers(-2, 3, (n, 3)).astype(float) + 0.1 for n in (60, 9))
+    ids = np.array([f"id-{n % 50}" for n in chance.permutation(60)])
+    best = nearest.Best(wanted, units, nearest.id_ranks(ids), 4)
+    best.look(0, 20, np.arange(0, 9, 2))
+    best.look(0, 20, np.arange(1, 9, 2))
+    best.look(20, 60)
+    found = best.found(np.arange(9), ids)
+    similarity = np.round(wanted @ units.T, nearest.DIGITS) + 0.0
+    for query in range(9):
+        want = sorted(zip(-similarity[query], ids))[:4]
+        mine = found[found["query_id"] == query]
+        assert sorted(zip(-mine["similarity"], mine["id"])) == want
