@@ -1,10 +1,13 @@
 import datetime as dt
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tallymill.operators.trace import step_durations
-from tallymill.streaming.trace import duration_store, durations, late_steps, write_durations
+from tallymill.streaming.trace import WAITING, duration_store, durations, late_steps
+from tallymill.streaming.trace import numbered_steps, write_durations
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "trace_id string, seq long, step string, ts timestamp"
@@ -58,3 +61,22 @@ def test_late_steps_are_counted(arrive):
     assert [(row[1], row[2], row[5]) for row in found] == [
         (1, 1, None), (2, 5, 5400.0), (3, 2, 600.0), (4, 3, 60.0),
     ]
+
+
+def test_traces_that_share_a_state(spark, arrive, monkeypatch):
+    monkeypatch.setattr("tallymill.streaming.trace.BUCKETS", 2)
+    chance = random.Random(4)
+    steps = [(f"t{n % 40}", n, f"s{n % 3}", at(n // 4)) for n in range(400)]
+    arrival = sorted(steps, key=lambda s: s[3] + dt.timedelta(minutes=chance.randrange(25)))
+    _, found = arrive(*[arrival[k : k + 100] for k in range(0, 400, 100)], *END)
+    batch = step_durations(spark.createDataFrame(steps, SCHEMA)).collect()
+    assert found == sorted((r.trace_id, r.position, r.seq, r.step, r.ts, r.seconds) for r in batch)
+
+
+def test_steps_are_numbered_on_from_the_last_of_their_trace():
+    rows = {"trace_id": ["b", "a", "b", None], "at": [7, 5, 6, 9], "seq": [1, 2, 3, 4], "step": ["x", None, "y", "z"]}
+    last = {"b": (3, 4), "c": (1, 1)}
+    found = numbered_steps(pa.table(rows, WAITING), last)
+    assert found[["seq", "position"]].values.tolist() == [[2, 1], [3, 4], [1, 5], [4, 1]]
+    assert [None if pd.isna(x) else x for x in found["micros"]] == [None, 2, 1, None]
+    assert last == {"b": (5, 7), "c": (1, 1), "a": (1, 5), None: (1, 9)}
