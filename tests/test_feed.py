@@ -20,6 +20,7 @@ from tallymill.sources.feed import (
 from tallymill.sources.snapshots import Snapshots
 from tallymill.sources.transactions import read_synced, synced_store
 from tallymill.streaming.feed import batch_sync, rejects_store, stream_texts, sync_stream
+from workload import queries
 
 # The first two records and what becomes of them.
 RECORDS = [
@@ -172,3 +173,16 @@ def test_texts_are_parsed_once(spark):
         # The formatted plan names each step's expressions once.
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("from_json(") == 1, plan
+
+
+def test_the_streamed_feed_comes_in_more_files_than_batches(spark, monkeypatch):
+    asked = []
+
+    def spied(spark, folder, files_per_batch):
+        asked.append((spark.read.text(folder).inputFiles(), files_per_batch))
+        return stream_texts(spark, folder, files_per_batch=files_per_batch)
+
+    monkeypatch.setattr(queries, "stream_texts", spied)
+    queries.feed_stream(spark, "/root/testdata/sf0.001")
+    files, per_batch = asked[0]
+    assert len(files) == 3 * per_batch >= int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -110,12 +110,14 @@ def synced_versions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, folder: str) -> tuple[str, str]:
-    """Stores of the faulty feed that arrives in three files, the first of them twice."""
+    """Stores of the faulty feed that arrives in three batches of files, the first of them twice."""
     raw = fresh_path(spark, "feed")
     synced, rejects = fresh_path(spark, "synced"), fresh_path(spark, "rejects")
     state = fresh_path(spark, "state")
-    tables.faulty_payloads(spark, folder).repartition(3).write.text(raw)
-    texts = stream_texts(spark, raw, files_per_batch=1)
+    # One task writes, and later reads, a file: their number follows that of shuffle partitions.
+    per_batch = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+    tables.faulty_payloads(spark, folder).repartition(3 * per_batch).write.text(raw)
+    texts = stream_texts(spark, raw, files_per_batch=per_batch)
     sync_stream(texts, synced, rejects, state).awaitTermination()
     again = spark.read.text(raw).select(F.col("value").alias("body"))
     batch_sync(synced, rejects, state)(again, 0)
