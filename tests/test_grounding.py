@@ -12,6 +12,7 @@ from tallymill.plans.answers import (
     responses,
 )
 from tallymill.sources.evaluations import read_evaluations
+from workload import queries
 
 ANSWER = "question_id long, answer string"
 EVIDENCE = "question_id long, evidence string"
@@ -109,3 +110,10 @@ def test_grounding_plan_stays_in_the_jvm(spark):
     evidence = spark.createDataFrame([(1, "1")], EVIDENCE)
     plan = plan_of(grounding(answers, evidence))
     assert "Python" not in plan and "NestedLoop" not in plan
+
+
+def test_logged_records_are_computed_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(queries, "append_evaluations", lambda rows, path: plans.append(plan_of(rows)))
+    queries.log_append_scan(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("Join" in plan for plan in plans)

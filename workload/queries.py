@@ -369,7 +369,7 @@ def log_append_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "log")
     question = F.concat(F.lit("order "), F.col("question_id").cast("string"))
     grounded = _grounded("exact", spark, folder).withColumn("query", question)
-    records = evaluation_records(grounded, latency_lines_query(spark, folder))
+    records = materialize(evaluation_records(grounded, latency_lines_query(spark, folder)), "records")
     append_evaluations(records.filter("passed"), path)
     append_evaluations(records.filter("not passed"), path)
     return read_evaluations(spark, path)
