@@ -46,16 +46,25 @@ def number_tokens(text: Column, mode: str = "exact") -> Column:
     if mode == "exact":
         return F.array_distinct(find_all(text, NUMBER))
     if mode == "normalized":
-        plain = F.transform(find_all(text, GROUPED_NUMBER), _plain_number)
-        return F.array_distinct(plain)
+        return F.array_distinct(_plain_numbers(F.array_distinct(find_all(text, GROUPED_NUMBER))))
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def _plain_number(token: Column) -> Column:
-    digits = F.regexp_replace(token, r"[$,]", "")
-    digits = F.regexp_replace(digits, r"^0+(?=\d)", "")
-    digits = F.regexp_replace(digits, r"(\.\d*?)0+$", "$1")
-    return F.regexp_replace(digits, r"\.$", "")
+def _plain_numbers(tokens: Column) -> Column:
+    """Numbers without signs, separators and zeros that say nothing.
+
+    Most tokens have no such zeros, and patterns are run only on those that may.
+    """
+
+    def without_zeros_before(digits: Column) -> Column:
+        return F.when(digits.startswith("0"), F.regexp_replace(digits, r"^0+(?=\d)", "")).otherwise(digits)
+
+    def without_zeros_after(digits: Column) -> Column:
+        short = F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return F.when(F.contains(digits, F.lit(".")), short).otherwise(digits)
+
+    plain = F.transform(tokens, lambda token: F.translate(token, "$,", ""))
+    return F.transform(F.transform(plain, without_zeros_before), without_zeros_after)
 
 
 def _spoken_date(date: Column) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.functions.money import amount_text, parse_amount, parse_date, spent_sentence
-from tallymill.functions.text import number_tokens, pseudonym, speech_text, trimmed
+from tallymill.functions.text import _plain_numbers, number_tokens, pseudonym, speech_text, trimmed
 
 
 def apply(spark, function, texts):
@@ -83,3 +83,13 @@ def test_sentence_has_two_decimals_and_no_grouping(spark):
     df = spark.sql("select cast(1234567.5 as decimal(28,2)) s, 3L n")
     (text,) = df.select(spent_sentence(F.col("s"), F.col("n"))).first()
     assert text == "You spent $1234567.50 across 3 transactions."
+
+
+def test_plain_numbers_are_those_of_the_patterns_alone(spark):
+    tokens = ["$1,200.50", "007", "000", "0", "00.50", "0.0", "10", "100.", "1.0", "$0,012.0100", "5.25", "$5", "20,000"]
+    by_pattern = F.col("token")
+    for pattern, to in ((r"[$,]", ""), (r"^0+(?=\d)", ""), (r"(\.\d*?)0+$", "$1"), (r"\.$", "")):
+        by_pattern = F.regexp_replace(by_pattern, pattern, to)
+    rows = spark.createDataFrame([(token,) for token in tokens], "token string")
+    found = rows.select(by_pattern.alias("want"), _plain_numbers(F.array("token"))[0].alias("got")).collect()
+    assert all(row.got == row.want for row in found)
