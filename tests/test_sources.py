@@ -267,3 +267,19 @@ def test_arrow_batches_are_only_made_smaller(spark):
             assert spark.conf.get(name) == want
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_sync_computes_each_row_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    schema = "date date, merchant string, category string, amount decimal(18,2)"
+    rows = [(dt.date(2024, 1, 1 + n % 20), f"m{n}", "c", Decimal(n)) for n in range(50)]
+    txns = spark.createDataFrame(rows, schema).withColumn("merchant", counted("merchant"))
+    write_synced(txns, str(tmp_path / "synced"))
+    assert seen.value == 50
+    assert read_synced(spark, str(tmp_path / "synced")).count() == 50
