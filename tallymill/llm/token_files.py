@@ -9,9 +9,10 @@ the metadata alone, without the ids.
 A document's place among all ids is the place within its file, written with it, plus the
 sizes of the files before; these are summed from the metadata on reading.
 
-Texts are split at ASCII white space, and of a slice of documents each distinct part that the
-worker does not remember is encoded. That gives the ids of the whole text for tokenizers that drop white space before they merge, as
-this one does; the tests compare it with whole texts.
+Texts are split at ASCII white space and, if they are simple, between letters, digits and signs.
+Of a slice of documents each distinct part that the worker does not remember is encoded. That
+gives the ids of the whole text for tokenizers that cut there before they merge, as this one
+does; the tests compare it with whole texts.
 
 Defined cases: a null or empty text has the end id only. Null ids come first. Rows with
 equal ids are ordered by hashes of all columns; equal rows are interchangeable.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tallymill.llm.common import map_parts, map_slices, row_key, text_parts, utf8
-from tallymill.session import fresh_path
+from tallymill.session import bound_arrow_batches, fresh_path
 
 END_ID = 1
 ROW_GROUP_BYTES = 32 * 1024 * 1024
@@ -43,7 +44,7 @@ LONGEST_PART = 64
 #: Plain parts that are encoded as one text.
 JOINED_PARTS = 2_000
 #: Documents, and about the bytes of text, that are encoded together.
-SLICE_DOCS, SLICE_BYTES = 2_000, 16_000_000
+SLICE_DOCS, SLICE_BYTES = 2_000, 8_000_000
 
 #: Letters that stay one letter in lower case and in composed form, and ASCII signs but the
 #: apostrophe (which starts contractions) and ``<`` (which starts special tokens).
@@ -56,19 +57,53 @@ LOWER_LINE = re.compile(rb"(?m)^(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+$")
 #: Bytes of texts that may be lower-cased first, as the tokenizer does it anyway: ASCII and
 #: the letters above. Marks that combine with letters are not among them.
 SIMPLE = bytes([*range(192), 0xC3])
-SPACE, LETTER, SIGN = 0, 1, 2
+SPACE, LETTER, SIGN, DIGIT = 0, 1, 2, 4
 KIND = np.full(256, SIGN, np.uint8)
 KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
 KIND[32] = SPACE
+#: Kinds by byte where a text may be cut, none for white space and the apostrophe; and whether
+#: it is cut between two kinds. Each digit is a token.
+CUT_KIND = KIND.copy()
+CUT_KIND[[*range(48, 58)]] = DIGIT
+CUT_KIND[[*range(9, 14), 39]] = SPACE
+CUT_KIND = CUT_KIND.tobytes()
+CUT = np.zeros(256, bool)
+CUT[[8 * a + b for a in (LETTER, SIGN, DIGIT) for b in (LETTER, SIGN, DIGIT) if a != b or a == DIGIT]] = True
+CUT = CUT.tobytes()
+#: Signs among the letters above: texts with them are not cut.
+SIGN_LETTERS = ("×".encode(), "÷".encode())
 
 
-def lowered(text: bytes | None) -> bytes:
-    """The text to encode; simple texts in lower case, which leaves fewer distinct parts."""
-    if not text:
-        return b""
-    if not text.translate(None, SIMPLE) and b"<|" not in text:
-        return text.decode().lower().encode()
-    return text
+def is_simple(text: bytes) -> bool:
+    return not text.translate(None, SIMPLE) and b"<|" not in text
+
+
+def cut_apart(texts: list[bytes | None]) -> pa.Array:
+    """The texts to encode, simple ones in lower case and with a blank between letters, digits
+    and signs, which leaves far fewer distinct parts.
+
+    The tokenizer cuts there anyway, but for apostrophes, which may start contractions.
+    """
+    made, whole, at = [], [], 0
+    for text in texts:
+        simple = not text or is_simple(text)
+        own = (text.decode().lower().encode() if simple else text) if text else b""
+        if not simple or any(sign in own for sign in SIGN_LETTERS):
+            whole.append((at, at + len(own)))
+        made.append(own)
+        at += len(own)
+    joined = b"".join(made)
+    offsets = np.cumsum([0, *map(len, made)])
+    kinds = np.frombuffer(joined.translate(CUT_KIND), np.uint8)
+    if whole:
+        kinds = kinds.copy()
+        for start, end in whole:
+            kinds[start:end] = SPACE
+    pairs = (kinds[:-1] << 3) | kinds[1:]
+    cuts = np.flatnonzero(np.frombuffer(pairs.tobytes().translate(CUT), bool)) + 1
+    data = np.insert(np.frombuffer(joined, np.uint8), cuts, 32)
+    offsets = (offsets + np.searchsorted(cuts, offsets)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(made), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
 def word_runs(joined: bytes) -> np.ndarray:
@@ -110,6 +145,8 @@ class PartEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.merger = Tokenizer(self.tokenizer.model)
+        # Parts are remembered here; a cache of the model would only be looked up in vain.
+        self.tokenizer.model._resize_cache(0)
         self.merger.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
@@ -134,8 +171,9 @@ class PartEncoder:
         """Ids of parts encoded together; ``runs_of`` says how many runs each of them has."""
         out = {}
         groups = [parts[at : at + JOINED_PARTS] for at in range(0, len(parts), JOINED_PARTS)]
-        texts = [b" ".join(group) for group in groups]
-        for group, text, ids in zip(groups, texts, self._encode(texts, tokenizer)):
+        for group in groups:
+            text = b" ".join(group)
+            (ids,) = self._encode([text], tokenizer)
             ends = np.flatnonzero(self.ends_run[ids])
             runs = np.cumsum(runs_of(text, group))
             if len(runs) != len(group) or runs[-1] != len(ends):
@@ -190,10 +228,9 @@ class PartEncoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
-        joined = pa.array(list(map(lowered, texts)), pa.binary()).cast(pa.string())
-        split = pc.ascii_split_whitespace(joined)
+        split = pc.ascii_split_whitespace(cut_apart(texts))
         parts = split.flatten().dictionary_encode()
-        found = self.ids_of(parts.dictionary.cast(pa.binary()).to_pylist())
+        found = self.ids_of(parts.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
         ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
@@ -309,6 +346,7 @@ def id_sums(files: DataFrame, key: str = "doc_id") -> DataFrame:
 def token_table(docs: DataFrame, tokenizer_file: str, key: str = "doc_id") -> DataFrame:
     """Write the documents' ids to a fresh folder and read places and checksums back."""
     spark = docs.sparkSession
+    bound_arrow_batches(spark, SLICE_DOCS)
     path = fresh_path(spark, "tokens")
     write_tokens(docs, path, tokenizer_file, key)
     files = spark.read.parquet(path)

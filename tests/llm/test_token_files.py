@@ -44,6 +44,34 @@ def test_random_texts_give_the_ids_of_the_whole_text():
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [whole(tokenizer, t)[:-1] for t in texts]
 
 
+def test_random_simple_texts_give_the_ids_of_the_whole_text():
+    encoder, tokenizer = token_files.PartEncoder(FILE), Tokenizer.from_file(FILE)
+    chance = random.Random(5)
+    alphabets = ["abestrvmldß 'É", "aB1 2.,'sé-", "a1'\x00\x1c\x7f \t\n.<|", "aé×÷.,1 '"]
+    texts = ["".join(chance.choice(letters) for _ in range(200)) for letters in alphabets * 60]
+    found = encoder.encode_all([text.encode() for text in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [whole(tokenizer, t)[:-1] for t in texts]
+
+
+def test_simple_texts_are_cut_between_letters_digits_and_signs():
+    texts = ["Été, they'll (pay) $12.5!", None, "a×b,c", "x=1", "世,a"]
+    found = token_files.cut_apart([None if t is None else t.encode() for t in texts])
+    parts = [(text or "").split() for text in found.to_pylist()]
+    assert parts[0] == ["été", ",", "they'll", "(", "pay", ")", "$", "1", "2", ".", "5", "!"]
+    assert parts[1:] == [[], ["a×b,c"], ["x", "=", "1"], ["世,a"]]
+
+
+def test_few_documents_go_to_python_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        token_files.token_table(spark.createDataFrame([(1, "a b", "en", "s", 1)], SCHEMA), FILE)
+        assert int(spark.conf.get(name)) <= token_files.SLICE_DOCS
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_runs_of_parts():
     assert token_files.word_runs("ab ,, a.b.c é! x".encode()).tolist() == [1, 1, 5, 2, 1]
 
