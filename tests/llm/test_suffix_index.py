@@ -1,11 +1,13 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from tallymill.llm import suffix_index
+from tallymill.session import dropping_shuffles, fresh_path
 from tests.llm.conftest import SCHEMA, odd_rows, prose
 
 
@@ -116,3 +118,18 @@ def test_odd_documents(odd, nothing):
     got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found]
     assert sorted(got) == sorted(want)
     assert suffix_index.without_repeats(nothing).count() == 0
+
+
+def test_tables_and_shuffles_go_as_soon_as_the_next_table_is_stored(spark, texts):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folder = Path(fresh_path(spark, "any").replace("file://", "").removeprefix("file:")).parent
+    stored = lambda: set(folder.iterdir()) if folder.exists() else set()
+    before, setting = stored(), spark.conf.get(name)
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "doc_id long, text string")
+    found = suffix_index.without_repeats(docs, carry=["doc_id"])
+    left = sorted(path.name.rpartition("-")[0] for path in stored() - before)
+    assert left == ["measured", "spans"]
+    assert spark.conf.get(name) == setting
+    assert found.filter("n_removed > 0").count() > 0
+    with dropping_shuffles(spark):
+        assert spark.conf.get(name) == "true"
