@@ -23,6 +23,8 @@ from tallymill.session import bound_arrow_batches, discard, materialize
 
 #: Whole documents that go to Python at a time, or come back.
 BATCH_ROWS = 1_000
+#: Fewer in the last stage, as its workers also hold what the stages before left behind.
+TOKEN_ROWS = 500
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -68,7 +70,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and each document's place and checksum as read back from them."""
-    bound_arrow_batches(spark, BATCH_ROWS)
+    bound_arrow_batches(spark, TOKEN_ROWS)
     return token_files.token_table(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -264,6 +264,8 @@ def write_tokens(
     schema = schema.add("part_start", "long").add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
 
     def factory():
+        # Workers are used again: what earlier tasks freed goes back before the encoder grows.
+        pa.default_memory_pool().release_unused()
         encoder, at = encoder_of(tokenizer_file), 0
 
         def encoded(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -76,6 +76,17 @@ def test_tokens_follow_the_mix(stages):
         at += row.n_tokens
 
 
+def test_few_documents_go_to_the_tokenizer_at_a_time(spark, stages):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        corpus_pipeline.tokens(spark, stages[-2], FOLDER)
+        assert int(spark.conf.get(name)) <= 500
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_run_gives_the_last_stage(spark, stages):
     assert rows_of(corpus_pipeline.run(spark, FOLDER), "*") == rows_of(stages[5], "*")
 
