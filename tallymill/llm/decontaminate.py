@@ -264,7 +264,7 @@ def matchers(
     return Blocks(stored, n_blocks, window)
 
 
-FOUND = "n_words long, runs array<struct<start:long,end:long>>, items array<string>"
+FOUND = "n_words long, runs array<struct<start:long,end:long>>, items array<string>, rest string"
 
 
 def hits(
@@ -276,10 +276,11 @@ def hits(
     item_text: str = "text",
     window: int = WINDOW,
 ) -> DataFrame:
-    """(row, text, n_words, runs, items) for each document.
+    """(row, text, n_words, runs, items, rest) for each document.
 
     ``row`` is a struct of the carried columns (all by default), ``runs`` the hit runs of
-    words as [start, end), ``items`` the items that have a window in the document.
+    words as [start, end), ``items`` the items that have a window in the document, ``rest``
+    the text without the hit runs, null where nothing is hit.
     """
     carried = F.struct(*[F.col(f"`{name}`") for name in carry or docs.columns])
     empty = StructType.fromDDL(FOUND)
@@ -289,6 +290,7 @@ def hits(
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast(empty["runs"].dataType).alias("runs"),
         F.array().cast(empty["items"].dataType).alias("items"),
+        F.lit(None).cast("string").alias("rest"),
     )
     blocks = matchers(docs.sparkSession, benchmark, item, item_text, window)
     return found.select("row", "text").mapInArrow(_marking(blocks), found.schema)
@@ -337,16 +339,22 @@ def _marking(blocks: Blocks):
 
 def _marked(part: pa.RecordBatch, found: list[tuple[list, set[str], int]]) -> pa.RecordBatch:
     run = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    runs = [[{"start": a, "end": b} for a, b in merged(own)] for own, _, _ in found]
+    runs = [merged(own) for own, _, _ in found]
+    hit = [at for at, own in enumerate(runs) if own]
+    texts = utf8(part.column("text").take(pa.array(hit, pa.int64())))
+    rest: list[str | None] = [None] * len(runs)
+    for at, text in zip(hit, texts):
+        rest[at] = cut(text, runs[at]).decode()
     return pa.record_batch(
         [
             part.column("row"),
             part.column("text"),
             pa.array([n for _, _, n in found], pa.int64()),
-            pa.array(runs, pa.list_(run)),
+            pa.array([[{"start": a, "end": b} for a, b in own] for own in runs], pa.list_(run)),
             pa.array([sorted(items) for _, items, _ in found], pa.list_(pa.string())),
+            pa.array(rest, pa.string()),
         ],
-        ["row", "text", "n_words", "runs", "items"],
+        ["row", "text", "n_words", "runs", "items", "rest"],
     )
 
 
@@ -370,26 +378,13 @@ def removed(found: DataFrame, longest_share: float = 0.5, most_run: int | None =
     """(row, text) of :func:`hits` without contaminated spans.
 
     A document of which more than ``longest_share`` of the words is hit, or that has a hit
-    run of more than ``most_run`` words, goes as a whole; of others the hit runs go.
+    run of more than ``most_run`` words, goes as a whole; of others the hit runs go. They were
+    cut where they were found: a second Python step here would be a second worker for each
+    task, and Spark keeps workers for all that follows.
     """
     share_ok = n_hit() <= longest_share * F.col("n_words")
     keep = share_ok
     if most_run is not None:
         keep &= ~F.exists("runs", lambda run: run["end"] - run["start"] > most_run)
-    schema = StructType([found.schema["row"], found.schema["text"]])
-
-    def factory():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = []
-            pairs = zip(utf8(batch.column("text")), batch.column("runs").to_pylist())
-            for value, runs in pairs:
-                if runs:
-                    value = cut(value, [(run["start"], run["end"]) for run in runs])
-                texts.append(None if value is None else value.decode())
-            return pa.record_batch(
-                [batch.column("row"), pa.array(texts, pa.string())], ["row", "text"]
-            )
-
-        return work
-
-    return map_slices(found.filter(keep).select("row", "text", "runs"), schema, factory)
+    text = F.when(F.size("runs") > 0, F.col("rest")).otherwise(F.col("text"))
+    return found.filter(keep).select("row", text.alias("text"))

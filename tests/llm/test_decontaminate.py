@@ -8,6 +8,7 @@ import pytest
 
 from tallymill.llm import decontaminate
 from tests.llm.conftest import SCHEMA, odd_rows
+from tests.plan import plan_of
 
 ITEMS = "item_id long, text string"
 
@@ -93,6 +94,23 @@ def test_contaminated_spans_go_and_full_documents_too(spark):
     assert [row["row"].doc_id for row in strict.collect()] == [3]
 
 
+def test_hit_runs_are_cut_without_a_second_python_step(spark, texts):
+    items, docs = texts
+    found = decontaminate.hits(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS))
+    clean = decontaminate.removed(found)
+    assert plan_of(clean).count("MapInArrow") == 1
+    left, cuts = {row["row"].doc_id: row.text for row in clean.collect()}, 0
+    for row in found.collect():
+        spans = [match.span() for match in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", row.text)]
+        text = row.text
+        for run in reversed(row.runs):
+            text = text[: spans[run.start][0]] + text[spans[run.end - 1][1] :]
+        kept = 2 * sum(run.end - run.start for run in row.runs) <= row.n_words
+        assert left.get(row["row"].doc_id) == (text if kept else None)
+        cuts += kept and text != row.text
+    assert cuts
+
+
 def test_odd_documents(spark, odd, nothing):
     items = [(1, "short"), (2, "héllo 世界")]
     benchmark = spark.createDataFrame(items, ITEMS)
