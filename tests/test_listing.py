@@ -4,6 +4,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from plan import plan_of
+from tallymill.operators import skew
+from tallymill.operators.matching import SET, Matches
 from workload import queries
 
 LARGEST = Decimal("9999999999999999.99")
@@ -57,3 +59,24 @@ def test_listed_rows_are_summed_as_whole_numbers(spark, tmp_path):
     plan = plan_of(found)
     assert "partial_sum(high" in plan and "partial_sum(amount" not in plan
     assert "partial_sum(amount" in plan_of(want)
+
+
+def test_rows_are_copied_little_where_the_listing_is_large(spark, monkeypatch):
+    """Sizes may be too large: those of a large table make the cuts, few rows are listed."""
+    stored = {}
+
+    def kept(df, name, materialize=skew.materialize):
+        stored[name] = materialize(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(skew, "materialize", kept)
+    of_set = [F.lit("").alias("hits"), F.lit("all").alias("window")]
+    ids = F.col("id").alias("question_id")
+    members = spark.range(2000).select(ids, F.lit(False).alias("used_fallback"), *of_set)
+    rows = spark.range(30).select(*of_set, F.col("id").alias("amount"))
+    sizes = spark.createDataFrame([("", "all", 10**7)], "hits string, window string, rows long")
+    listed = Matches(members, rows, sizes).of_questions()
+    (cut,) = stored["cuts"].select(*SET, "left_cuts", "right_cuts").collect()
+    assert max(cut.left_cuts, cut.right_cuts) < 100
+    found = listed.groupBy("question_id").agg(F.sum("amount").alias("amount")).collect()
+    assert [row.amount for row in found] == [sum(range(30))] * 2000

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.operators import skew
-from tallymill.operators.skew import balanced_join, key_cuts, key_sizes
+from plan import plan_of
+from tallymill.operators.skew import balanced_join, key_cuts, key_sizes, listing_join, listing_side
 
 
 def sides(spark, n, m):
@@ -55,3 +56,39 @@ def test_copies_of_one_row_are_spread(spark):
     copies = spark.range(0, 4000, 1, 40).select(F.lit(1).alias("k"))
     parts = copies.select(F.pmod(F.xxhash64("k", F.spark_partition_id()), F.lit(4)).alias("s"))
     assert parts.distinct().count() == 4
+
+
+@pytest.mark.parametrize("n, m", [(600, 4), (4, 600), (300, 300), (0, 5), (5, 0)])
+def test_listing_join_equals_plain_join(spark, n, m, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SIDE", 10)
+    left, right = sides(spark, n, m)
+    joined = listing_join(left, right, ["k"], key_sizes(left, ["k"]), key_sizes(right, ["k"]))
+    plain = left.join(right, ["k"])
+    assert joined.columns == plain.columns
+    assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_copies_of_a_listing_do_not_grow_with_its_square(spark):
+    def copies(n, m):
+        sizes = [spark.createDataFrame([(1, rows)], "k int, rows long") for rows in (n, m)]
+        side, tasks = listing_side(n * m, 200)
+        (cut,) = key_cuts(*sizes, ["k"], side).collect()
+        return n * cut.right_cuts + m * cut.left_cuts, tasks
+
+    few, tasks = copies(100_000, 100_000)
+    many, more = copies(1_000_000, 1_000_000)
+    assert tasks == more == 200
+    assert many < 11 * few < 11 * 100 * 200_000
+    most, _ = copies(10_000_000, 1_000_000)
+    assert most < 2.1 * 10**13 / skew.MOST_PER_SIDE
+    assert listing_side(0, 200) == (skew.ROWS_PER_SIDE, 1)
+
+
+def test_a_listing_has_tasks_by_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SIDE", 10)
+    left, right = sides(spark, 300, 300)
+    joined = listing_join(left, right, ["k"], key_sizes(left, ["k"]), key_sizes(right, ["k"]))
+    assert "SortMergeJoin" in plan_of(joined)
+    joined.collect()
+    assert "AQEShuffleRead" not in plan_of(joined)
+    assert joined.rdd.getNumPartitions() == 4
